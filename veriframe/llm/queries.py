@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, pieces, quality, secrets
+from . import decontaminate, language, licenses, pieces, quality, revisits, secrets, tokens
 
 
 def tokenizer_file(name: str) -> str:
@@ -32,6 +32,22 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_report(table(spark, sf_dir, "documents"))
+
+
+def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_digests(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2)
+
+
+def op9_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return revisits.revisit_report(table(spark, sf_dir, "pages"))
+
+
 def op10_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
@@ -48,4 +64,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_revisits": OP9}
+
+
+OP9 = r"""
+WITH a AS (
+  SELECT page_id, html, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM pages
+), b AS (
+  SELECT page_id, html, bare,
+    list_sort(list_filter(string_split(regexp_extract(bare, '^[^?]*\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT starts_with(lower(p), 'utm_'))) AS query
+  FROM a
+), c AS (
+  SELECT page_id, html, '"' || substr(sha256(coalesce(html, '')), 1, 16) || '"' AS tag,
+    regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), '^.*@', ''), ':(80|443)$', ''), '^www\.', '')
+      || regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '')
+      || CASE WHEN len(query) > 0 THEN '?' || array_to_string(query, '&') ELSE '' END AS key
+  FROM b
+), d AS (
+  SELECT r.page_id, r.key, r.tag, max(f.page_id) AS answer FROM c r LEFT JOIN c f ON f.key = r.key AND f.page_id < 2 * r.page_id GROUP BY ALL
+), e AS (
+  SELECT d.*, f.tag AS stored, f.html AS body,
+    CASE WHEN answer IS NULL THEN 'orphan' WHEN d.page_id % 7 = 0 THEN 'unvalidated' WHEN d.tag = f.tag THEN 'resolved' ELSE 'mismatch' END AS outcome
+  FROM d LEFT JOIN c f ON f.page_id = d.answer
+)
+SELECT page_id, key AS canonical_url, outcome, answer AS answer_page_id,
+  CASE WHEN outcome = 'resolved' THEN 'content-length=' || strlen(coalesce(body, '')) || ';date=' || 2 * page_id || ';etag=' || CASE WHEN page_id % 5 = 0 THEN 'W/' ELSE '' END || tag || ';x-cache=hit' END AS headers,
+  CASE WHEN outcome = 'resolved' THEN sha256(body) END AS body_sha256
+FROM e
+"""
