@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, licenses, pieces, quality, revisits, secrets, tokens
+from . import decontaminate, jaccard, language, licenses, pieces, quality, revisits, secrets, tokens
 
 
 def tokenizer_file(name: str) -> str:
@@ -44,6 +44,10 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_digests(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2)
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op9_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return revisits.revisit_report(table(spark, sf_dir, "pages"))
 
