@@ -1,0 +1,145 @@
+"""Function spans of source files: one table function a backend, by priority; no backend, no spans (never a guess by patterns)."""
+
+from __future__ import annotations
+
+import ast
+import re
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+SPAN = "name string, line_start int, line_end int"
+#: Lines within which a signature has to end.
+SIGNATURE_LINES = 6
+_SIGNATURE = re.compile(r"(?:^|[\s}])(?:(?:export|default|public|private|protected|static|async|override)\s+)*(?:function\s+)?([A-Za-z_$][\w$]*)\s*(?:<[^<>{}()]*>)?\s*\(")
+# Words that stand before brackets and braces without being functions.
+NOT_FUNCTIONS = frozenset("catch class do else for function if new return switch super this typeof while with".split())
+
+
+def python_spans(text: str) -> list[tuple[str, int, int]] | None:
+    """All function definitions, nested and async ones too, by line; None for a file that doesn't parse."""
+    try:
+        tree = ast.parse(text)
+    except (SyntaxError, ValueError, RecursionError):
+        return None
+    found = [(n.name, n.lineno, n.end_lineno or n.lineno) for n in ast.walk(tree) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))]
+    return sorted(found, key=lambda x: (x[1], x[2], x[0]))
+
+
+def blanked(text: str) -> str:
+    """text with the insides of comments and strings as spaces; line feeds stay."""
+    out, i, n = list(text), 0, len(text)
+
+    def blank(a: int, b: int) -> None:
+        for k in range(a, min(b, n)):
+            if out[k] != "\n":
+                out[k] = " "
+
+    while i < n:
+        if text.startswith("//", i):
+            j = text.find("\n", i)
+            j = n if j < 0 else j
+        elif text.startswith("/*", i):
+            j = text.find("*/", i + 2)
+            j = n if j < 0 else j + 2
+        elif text[i] in "\"'`":
+            j = i + 1
+            while j < n and text[j] != text[i] and (text[i] == "`" or text[j] != "\n"):
+                j += 2 if text[j] == "\\" else 1
+            j += 1
+        else:
+            i += 1
+            continue
+        blank(i, j)
+        i = j
+    return "".join(out)
+
+
+def brace_spans(text: str) -> list[tuple[str, int, int]] | None:
+    """Functions of a language with braces: a name, its brackets, and a body that opens within SIGNATURE_LINES lines. None where braces
+    don't match."""
+    plain = blanked(text)
+    match, stack = {}, []
+    for i, c in enumerate(plain):
+        if c in "({":
+            stack.append(i)
+        elif c in ")}":
+            if not stack or plain[stack[-1]] != ("(" if c == ")" else "{"):
+                return None
+            match[stack.pop()] = i
+    if stack:
+        return None
+    line = lambda i: plain.count("\n", 0, i) + 1
+    found = []
+    for m in _SIGNATURE.finditer(plain):
+        if m[1] in NOT_FUNCTIONS:
+            continue
+        close = match[m.end() - 1]
+        body = re.match(r"\s*(?::[^;={}]*(?:\{[^{}]*\}[^;={}]*)?)?\s*(?=\{)", plain[close + 1 : close + 2000])
+        if not body or close + 1 + body.end() not in match:
+            continue
+        opens = close + 1 + body.end()
+        if line(opens) - line(m.start(1)) < SIGNATURE_LINES:
+            found.append((m[1], line(m.start(1)), line(match[opens])))
+    return sorted(found, key=lambda x: (x[1], x[2], x[0]))
+
+
+def tree_sitter_spans(text: str, language: str):
+    """Spans by tree-sitter's grammars; None where the module isn't there."""
+    try:
+        from tree_sitter_languages import get_parser
+    except ImportError:
+        return None
+    kinds = {"function_definition", "function_declaration", "method_definition", "method_declaration", "function_item", "constructor_declaration"}
+    out, todo, raw = [], [get_parser(language).parse(text.encode()).root_node], text.encode()
+    while todo:
+        node = todo.pop()
+        todo += node.children
+        name = node.child_by_field_name("name") or node.child_by_field_name("declarator")
+        arrow = node.type == "variable_declarator" and (v := node.child_by_field_name("value")) is not None and v.type == "arrow_function"
+        if (node.type in kinds or arrow) and name is not None:
+            out.append((raw[name.start_byte : name.end_byte].decode("utf-8", "replace").split("(")[0], node.start_point[0] + 1, node.end_point[0] + 1))
+    return sorted(out, key=lambda x: (x[1], x[2], x[0]))
+
+
+BACKENDS = {"python": (("tree-sitter", lambda t: tree_sitter_spans(t, "python")), ("python-ast", python_spans)), "arkts": (("brace", brace_spans),)}
+for _name in ("javascript", "typescript", "go", "rust", "java", "c", "cpp"):
+    BACKENDS[_name] = (("tree-sitter", lambda t, n=_name: tree_sitter_spans(t, n)),)
+
+
+def spans_of(text: str | None, language: str | None) -> tuple[str | None, list[tuple[str, int, int]]]:
+    """The first backend of a language that can read the text, and its spans; (None, []) if none can."""
+    for name, backend in BACKENDS.get(language or "", ()):
+        if text is not None and (found := backend(text)) is not None:
+            return name, found
+    return None, []
+
+
+def function_spans(files: DataFrame, exported: DataFrame | None = None) -> DataFrame:
+    """files (path, text, language): path, name, line_start, line_end, ord (from 1 in a file) and extraction_backend. Files in exported
+    (path, name, line_start, line_end) take their spans from there."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for path, text, language in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                backend, found = spans_of(text, language)
+                rows += [(path, name, a, b, k, backend) for k, (name, a, b) in enumerate(found, 1)]
+            kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["path", "name", "line_start", "line_end", "ord", "extraction_backend"])
+
+    rest = files if exported is None else files.join(exported.select("path").distinct(), "path", "left_anti")
+    own = rest.select("path", "text", "language").mapInArrow(run, "path string, name string, line_start int, line_end int, ord int, extraction_backend string")
+    if exported is None:
+        return own
+    from pyspark.sql import Window
+
+    known = exported.join(files.select("path"), "path", "left_semi")
+    place = F.row_number().over(Window.partitionBy("path").orderBy("line_start", "line_end", "name"))
+    return own.unionByName(known.select("path", "name", "line_start", "line_end", place.cast("int").alias("ord"), F.lit("export").alias("extraction_backend")))
+
+
+def uncovered_files(files: DataFrame, spans: DataFrame) -> DataFrame:
+    """Paths of files without a span: extraction fails closed on them."""
+    return files.join(spans.select("path").distinct(), "path", "left_anti").select("path")
