@@ -26,7 +26,7 @@ def files_below(spark: SparkSession, root: str) -> DataFrame:
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     plain = F.regexp_replace(F.col("path"), r"^[a-z0-9+.-]+:/+", "/")
     cut = re.sub(r"^[a-z0-9+.-]+:/+", "/", base)
-    return raw.select(F.when(plain.startswith(cut), F.substring(plain, len(cut) + 1, 2**31 - 1)).otherwise(plain).alias("path"), F.decode(F.col("content"), F.lit("UTF-8")).alias("text"), F.col("length").alias("size"))
+    return raw.select(F.when(plain.startswith(cut), F.substring(plain, len(cut) + 1, 2**31 - 1)).otherwise(plain).alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"), F.col("length").alias("size"))
 
 
 def production_sources(files: DataFrame, extensions: tuple[str, ...] = EXTENSIONS, scopes: tuple[str, ...] = ()) -> DataFrame:
