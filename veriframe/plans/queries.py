@@ -596,3 +596,435 @@ def incremental_impact(spark, d):
     decisions = incremental.affected(V.v0(spark, d), V.v1(spark, d), units, V.edge_sparse(spark, d))
     out = incremental.affected_coverage(decisions, V.verdicts(spark, d).withColumnRenamed("doc_id", "id"), "lang")
     return out.select("lang", "total", "n_match", "n_mismatch", "required")
+
+
+# ---- registry, scans, small expressions -------------------------------------------------------------------------------------
+
+
+@query(
+    "SELECT unnest(['.py', '.js', '.jsx', '.mjs', '.cjs', '.ts', '.tsx', '.mts', '.cts', '.go', '.rs', '.java', '.c', '.cc', '.cpp', '.cxx', '.h', '.hpp', '.cu', '.cuh', '.ets', '.erl']) AS extension, "
+    "unnest(['python', 'javascript', 'javascript', 'javascript', 'javascript', 'typescript', 'typescript', 'typescript', 'typescript', 'go', 'rust', 'java', 'c', 'cpp', 'cpp', 'cpp', 'cpp', 'cpp', 'cuda', 'cuda', 'arkts', 'erlang']) AS key"
+)
+def capability_matrix(spark, d):
+    """P2."""
+    return registry.capability_matrix(registry.profiles(spark)).select("extension", "key")
+
+
+@query("SELECT CASE p_size % 4 WHEN 0 THEN 'go' WHEN 1 THEN 'rust' WHEN 2 THEN 'c' ELSE 'python' END AS key, count(*) AS n FROM part GROUP BY 1")
+def build_profiles(spark, d):
+    """the first profile whose detector is among a project's files."""
+    names = {0: "go.mod", 1: "Cargo.toml", 2: "CMakeLists.txt", 3: "none"}
+    profile, out = registry.profiles(spark), None
+    for k, name in names.items():
+        own = registry.build_profile(spark.createDataFrame([(name,)], "name string"), profile).join(table(spark, d, "part").where(F.col("p_size") % 4 == k).agg(F.count(F.lit(1)).alias("n")), F.lit(True))
+        out = own if out is None else out.unionByName(own)
+    return out.where("n > 0")
+
+
+@query("SELECT path FROM v1 WHERE path NOT IN (SELECT path FROM v0)", "v0 v1")
+def untracked_scan(spark, d):
+    """S3."""
+    from ..sources.scans import untracked_sources
+
+    return untracked_sources(V.v1(spark, d), V.v0(spark, d)).select("path")
+
+
+@query("SELECT CASE WHEN doc_id % 3 = 0 THEN path || '.spec.json' WHEN doc_id % 3 = 1 THEN path || '.info.json' ELSE path END AS path FROM files WHERE doc_id % 3 = 2", "files")
+def artifact_scan(spark, d):
+    """Artifacts without the documents beside them."""
+    from ..sources.scans import artifacts
+
+    end = F.when(F.col("doc_id") % 3 == 0, ".spec.json").when(F.col("doc_id") % 3 == 1, ".info.json").otherwise("")
+    return artifacts(V.files(spark, d).select(F.concat("path", end).alias("path")))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN -1 ELSE CAST(json_extract(props, '$.k') AS INT) END AS k FROM events")
+def json_fallback(spark, d):
+    """Every fifth document is malformed."""
+    from ..sources.scans import json_or
+
+    text = F.when(F.col("event_id") % 5 == 0, "{").otherwise(F.col("props"))
+    return table(spark, d, "events").select("event_id", json_or(text, "k int", F.struct(F.lit(-1).alias("k")))["k"].alias("k"))
+
+
+@query("SELECT 'p' || p_partkey AS name, CAST(p_size AS VARCHAR) AS version FROM part WHERE p_partkey % 3 <> 0 AND p_partkey % 7 = 0")
+def unlocked_packages(spark, d):
+    """A lockfile a part; packages of parts divisible by three are in them, those divisible by seven are installed."""
+    from ..sources.scans import lockfile_packages
+    from ..sources.scans import unlocked_packages as unlocked
+
+    part = table(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("name"), F.col("p_size").cast("string").alias("version"), "p_partkey")
+    text = F.concat(F.lit('{// lock\n"packages": {"'), "name", F.lit('@x": {"version": "'), "version", F.lit('",},},}'))
+    locked = lockfile_packages(part.where("p_partkey % 3 = 0").select("name", text.alias("text")).withColumnRenamed("name", "path"))
+    return unlocked(part.where("p_partkey % 7 = 0").select("name", "version"), locked)
+
+
+@query("SELECT lpad(CAST(doc_id % 1000 AS VARCHAR), 3, '0') || '-d' || doc_id || '.md' AS name FROM documents WHERE doc_id % 4 = 0")
+def knowledge_documents(spark, d):
+    """Markdown documents whose digest is the recorded one; the others' extension or digest is wrong."""
+    from ..sources.scans import knowledge_documents as known
+
+    end = F.when(F.col("doc_id") % 2 == 0, ".md").otherwise(".txt")
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("k/d"), F.col("doc_id").cast("string"), end).alias("path"), "text")
+    want = docs.select((F.col("doc_id") % 1000).alias("ord"), "path", F.when(F.col("doc_id") % 4 == 2, "0").otherwise(F.sha2("text", 256)).alias("sha256"))
+    return known(docs, want)[0].select("name")
+
+
+@query("SELECT 'm' || p_partkey || '.py' AS path, unnest(['f' || p_partkey, 'g']) AS name, unnest([1, 2]) AS line_start, unnest([3, 3]) AS line_end FROM part WHERE p_partkey % 5 <> 0")
+def span_extraction(spark, d):
+    """A Python file a part; every fifth doesn't parse and fails closed."""
+    from ..sources.spans import function_spans
+
+    key = F.col("p_partkey").cast("string")
+    text = F.when(F.col("p_partkey") % 5 == 0, "def (").otherwise(F.concat(F.lit("def f"), key, F.lit("():\n    def g():\n        pass\n")))
+    return function_spans(table(spark, d, "part").select(F.concat(F.lit("m"), key, F.lit(".py")).alias("path"), text.alias("text"), F.lit("python").alias("language"))).select("path", "name", "line_start", "line_end")
+
+
+@query("SELECT 'm' || p_partkey || '.ets' AS path, 'f' || p_partkey AS name, 1 AS line_start, 3 AS line_end FROM part WHERE p_partkey % 5 <> 0")
+def span_extraction_braces(spark, d):
+    """A file with braces a part; every fifth has one too many."""
+    from ..sources.spans import function_spans
+
+    key = F.col("p_partkey").cast("string")
+    text = F.concat(F.lit("function f"), key, F.lit("(a: number): void {\n  // }\n}"), F.when(F.col("p_partkey") % 5 == 0, "}").otherwise(""))
+    return function_spans(table(spark, d, "part").select(F.concat(F.lit("m"), key, F.lit(".ets")).alias("path"), text.alias("text"), F.lit("arkts").alias("language"))).select("path", "name", "line_start", "line_end")
+
+
+@query(f"SELECT k AS ordinal, [{_PHASES}][k] AS phase, [{_PHASES}][k + 1] AS next FROM range(1, 10) t(k)")
+def phase_order(spark, d):
+    """P19."""
+    phase = F.element_at(F.array(*map(F.lit, FULL_PHASES)), F.col("id").cast("int"))
+    return spark.range(1, 10).select(S.ordinal(FULL_PHASES, phase).alias("ordinal"), phase.alias("phase"), S.next_of(FULL_PHASES, phase).alias("next"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'explicit' WHEN p_size % 2 = 0 THEN 'saved' ELSE 'default' END AS retries, 'default' AS caps FROM part")
+def config_merge(spark, d):
+    """P20: keys that have no default are dropped."""
+    m = lambda *kv: F.create_map(*map(F.lit, kv))
+    none = F.lit(None).cast("map<string,string>")
+    merged = S.merged_config(m("retries", "default", "caps", "default"), F.when(F.col("p_size") % 2 == 0, m("retries", "saved", "zz", "x")).otherwise(none), F.when(F.col("p_size") % 3 == 0, m("retries", "explicit")).otherwise(none))
+    return table(spark, d, "part").select("p_partkey", merged["retries"].alias("retries"), merged["caps"].alias("caps"))
+
+
+@query("SELECT count(DISTINCT p_brand || ':' || p_size % 7) AS fingerprints, count(*) AS n FROM part")
+def fingerprints(spark, d):
+    """As many fingerprints as combinations of what decides; operational keys and the order of scopes don't count."""
+    config = F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("workers"), F.col("p_partkey").cast("string"))
+    size = (F.col("p_size") % 7).cast("string")
+    scope = F.when(F.col("p_partkey") % 2 == 0, F.array(size, F.lit("x"))).otherwise(F.array(F.lit("x"), size, F.lit("x")))
+    own = S.fingerprint(config, ["workers"], F.lit(False), scope, F.lit("e"), F.array().cast("array<string>"))
+    return table(spark, d, "part").select(own.alias("f")).agg(F.countDistinct("f").alias("fingerprints"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o_orderkey, least(7200, greatest(600, o_orderkey % 10000)) AS ttl, o_orderkey % 3 = 0 OR o_orderkey % 5000 > least(7200, greatest(600, o_orderkey % 10000)) AS takeover FROM orders")
+def lock_takeover(spark, d):
+    """P21 T9."""
+    orders, key = table(spark, d, "orders"), F.col("o_orderkey")
+    now = F.lit("2024-01-02 00:00:00").cast("timestamp")
+    written = F.date_format(now - F.make_dt_interval(secs=key % 5000), "yyyy-MM-dd'T'HH:mm:ss")
+    status, lease = F.when(key % 3 == 0, "failed").otherwise("running"), key % 10000
+    return orders.select("o_orderkey", S.lease_seconds(F.lit(7200), F.lit(600), lease).alias("ttl"), L.lock_takeover(status, written, now, F.lit(7200), F.lit(600), lease).alias("takeover"))
+
+
+# ---- documents and validators -----------------------------------------------------------------------------------------------
+
+
+@query(
+    """SELECT event_id, CASE event_id % 6 WHEN 0 THEN '' WHEN 1 THEN 'fields differ: unsupported fields: z' WHEN 2 THEN 'fields differ: missing fields: pre_condition' WHEN 3 THEN 'blank or non-text field' WHEN 4 THEN 'oracle marker in the contract' ELSE 'not a JSON object' END AS reason FROM events"""
+)
+def spec_validation(spark, d):
+    """F5."""
+    good = '{"signature": "f", "pre_condition": "x", "post_condition": "y"%s}'
+    texts = [good % "", good % ', "z": 1', '{"signature": "f", "post_condition": "y"}', good.replace('"f"', '" "') % "", good.replace('"y"', '"TODO: y"') % "", "[1]"]
+    return table(spark, d, "events").select("event_id", P.spec_check(F.element_at(F.array(*map(F.lit, texts)), (F.col("event_id") % 6 + 1).cast("int")))["reason"].alias("reason"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 2 THEN NULL WHEN event_id % 3 = 1 THEN 'y' || chr(10) || 'Error behavior: fails ' || user_id ELSE 'y' END AS post_condition, CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'error_behavior' ELSE '' END AS removed FROM events")
+def spec_canonical(spark, d):
+    """An error behaviour is appended; a document without a signature has no canonical form."""
+    text = F.when(F.col("event_id") % 3 == 0, '{"signature": "f", "pre_condition": "x", "post_condition": "y"}').when(F.col("event_id") % 3 == 1, F.concat(F.lit('{"signature": "f", "pre_condition": "x", "post_condition": "y  ", "error_behavior": " fails '), F.col("user_id").cast("string"), F.lit('"}'))).otherwise('{"pre_condition": "x"}')
+    out = S.spec_canonical(text)
+    return table(spark, d, "events").select("event_id", out["spec"]["post_condition"].alias("post_condition"), F.array_join(out["removed"], ",").alias("removed"))
+
+
+@query("SELECT event_id, event_id % 4 IN (0, 3) AS valid, CASE event_id % 4 WHEN 0 THEN 'g' WHEN 1 THEN 'h' WHEN 3 THEN '' END AS names FROM events")
+def callee_documents(spark, d):
+    """A name falls back to the id; one bad element spoils the list."""
+    one = '{"callees": [{"%s": "%s", "signature": "s", "pre_condition": "p", "post_condition": "q"}%s]}'
+    texts = [one % ("name", "g", ""), one % ("id", "h", ""), one % ("name", "g", ', {"name": 3}'), '{"callees": []}']
+    text = F.element_at(F.array(*map(F.lit, texts)), (F.col("event_id") % 4 + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", P.info_check(text).alias("valid"), F.array_join(F.transform(S.callees_canonical(text), lambda c: c["name"]), ",").alias("names"))
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'job id' WHEN 2 THEN 'outputs differ from the required ones' WHEN 3 THEN 'verdict' ELSE 'unsupported keys: extra' END AS reason FROM events")
+def receipt_validation(spark, d):
+    """F13."""
+    job = F.col("user_id").cast("string")
+    ends = ['"outputs": ["a", "b"]}', '"outputs": ["a", "b"]}', '"outputs": ["b", "a"]}', '"outputs": ["a", "b"], "verdict": "NO"}', '"outputs": ["a", "b"], "extra": 1}']
+    own = F.concat(F.lit('{"job_id": "'), F.when(F.col("event_id") % 5 == 1, "other").otherwise(job), F.lit('", "status": "done", '), F.element_at(F.array(*map(F.lit, ends)), (F.col("event_id") % 5 + 1).cast("int")))
+    check = P.receipt_check(own, job, F.lit("spec_batch"), F.array(F.lit("a"), F.lit("b")))
+    return table(spark, d, "events").select("event_id", check["reason"].alias("reason"))
+
+
+@query(
+    """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'post-conditions missing or changed' WHEN 2 THEN CASE WHEN length(text) > 8000 OR trim(text) = '' THEN 'mismatch without counterexample, statements and reason' ELSE '' END
+      WHEN 3 THEN 'statements are no quote of the source' ELSE 'no structured reasoning' END AS reason FROM documents"""
+)
+def reasoning_validation(spark, d):
+    """F8: the document is the source; a mismatch has to quote it."""
+    k = F.col("doc_id") % 5
+    text = F.lit(None).cast("string")
+    r = F.when(k == 4, None).otherwise(F.struct(F.lit("a").alias("actual_postcondition"), F.when(k == 1, "other").otherwise("post").alias("spec_postcondition"), F.when(k >= 2, "cx").otherwise(text).alias("counterexample"), F.when(k == 2, F.col("text")).when(k == 3, F.concat(F.lit("zz\0zz"), F.left("text", F.lit(20)))).otherwise(text).alias("offending_statements"), F.lit("r").alias("reason")))
+    return table(spark, d, "documents").select("doc_id", P.reasoning_check(r, F.lit("post"), F.col("text"), k >= 2)["reason"].alias("reason"))
+
+
+@query("SELECT event_id, event_id % 4 = 0 AS safe, event_id % 3 <> 0 AS identifier FROM events")
+def path_and_identifier(spark, d):
+    """F11 F12."""
+    paths = F.element_at(F.array(F.lit("out/a..b/c"), F.lit("/a"), F.lit("a/../b"), F.lit("../a")), (F.col("event_id") % 4 + 1).cast("int"))
+    name = F.concat(F.when(F.col("event_id") % 3 == 0, "-").otherwise(""), F.col("user_id").cast("string"), F.lit("_a.b"))
+    return table(spark, d, "events").select("event_id", P.is_safe_path(paths).alias("safe"), P.is_identifier(name).alias("identifier"))
+
+
+@query("SELECT event_id, event_id % 4 IN (0, 2) AS risk_ok, event_id % 3 = 0 AS reproduction_ok, CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'classification differs from the result''s' ELSE 'evidence path' END AS attempt FROM events")
+def evidence_validation(spark, d):
+    """F9 F10 F16."""
+    k4, k3 = F.col("event_id") % 4, F.col("event_id") % 3
+    callees = F.when(k4 == 0, F.array(F.lit("g"))).when(k4 == 1, F.array(F.lit("f"))).when(k4 == 2, F.array(F.lit("g"), F.lit("h"))).otherwise(F.array(F.lit("zz")))
+    risk = P.dependency_check(callees, F.lit("f"), F.array(*map(F.lit, "fgh")))
+    pair = P.reproduction_check(F.when(k3 == 0, "completed").otherwise("unsupported"), F.lit("confirmed"))
+    attempt = P.dynamic_attempt_check(F.lit("confirmed"), F.when(k3 == 2, "/abs").otherwise("probes/1.json"), F.lit("s"), F.lit("completed"), F.when(k3 == 0, "confirmed").otherwise("inconclusive"), F.lit("s"))
+    return table(spark, d, "events").select("event_id", risk.alias("risk_ok"), pair.alias("reproduction_ok"), attempt["reason"].alias("attempt"))
+
+
+# ---- joins, plans, sets -----------------------------------------------------------------------------------------------------
+
+
+@query("SELECT path AS artifact, CASE WHEN doc_id % 6 <> 0 THEN 'id' || doc_id END AS function_id FROM files", "files")
+def manifest_index(spark, d):
+    """Every sixth artifact has no manifest row."""
+    rows = V.files(spark, d).select(F.col("path").alias("artifact"), "doc_id")
+    manifest = rows.where("doc_id % 6 <> 0").select("artifact", F.concat(F.lit("id"), F.col("doc_id").cast("string")).alias("function_id"), F.lit("s").alias("source_path"), F.lit(1).alias("line_start"), F.lit(2).alias("line_end"))
+    good, bad = J.manifest_index(rows.select("artifact"), manifest)
+    return good.select("artifact", "function_id").unionByName(bad.withColumn("function_id", F.lit(None).cast("string")))
+
+
+@query("SELECT CAST(substr(source, 4) AS INT) % 4 AS phase, count(*) AS functions FROM files GROUP BY 1", "files")
+def phase_functions(spark, d):
+    """A phase's modules name its source files."""
+    rows = V.files(spark, d)
+    phase = (F.substr("source", F.lit(4)).cast("int") % 4).alias("phase")
+    plan = rows.groupBy(phase, "source").agg(F.collect_set("path").alias("source_files")).groupBy("phase").agg(F.collect_list(F.struct(F.col("source").alias("name"), "source_files")).alias("modules"))
+    return J.phase_functions(plan, rows.select(F.col("doc_id").alias("id"), "path")).groupBy("phase").agg(F.count(F.lit(1)).alias("functions"))
+
+
+@query(
+    """WITH n AS (SELECT caller AS a, callee AS b FROM edge_sparse UNION SELECT callee, caller FROM edge_sparse), j AS (SELECT p_partkey AS job_id FROM part WHERE p_partkey % 50 = 0)
+    SELECT job_id, 'a' || job_id AS path FROM j WHERE job_id % 4 <> 0 UNION SELECT job_id, 'a' || b FROM j JOIN n ON a = job_id WHERE b % 4 <> 0 UNION SELECT job_id, 'ctx' FROM j""",
+    "edge_sparse",
+)
+def read_sets(spark, d):
+    """Artifacts of parts divisible by four don't exist."""
+    part = table(spark, d, "part").select(F.concat(F.lit("a"), F.col("p_partkey").cast("string")).alias("artifact"), F.col("p_partkey").alias("id"), F.lit("gone").alias("path"))
+    jobs = part.where("id % 50 = 0").select(F.col("id").alias("job_id"), F.array("artifact").alias("artifacts"))
+    have = part.where("id % 4 <> 0").select(F.col("artifact").alias("path")).unionByName(spark.createDataFrame([("ctx",)], "path string"))
+    return J.read_sets(jobs, part, V.edge_sparse(spark, d), have, ("ctx",))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS artifact, CASE WHEN doc_id % 9 = 0 THEN 'no job owns the planned artifact' ELSE 'owned artifact isn''t planned' END AS reason FROM documents WHERE doc_id % 9 = 0 OR doc_id % 9 = 4")
+def plan_violations(spark, d):
+    """J10."""
+    docs = table(spark, d, "documents").select("source", "doc_id", F.col("doc_id").cast("string").alias("artifact"))
+    plan = docs.where("doc_id % 9 <> 4").select(F.col("source").alias("job_id"), F.lit("p").alias("phase"), F.lit("t").alias("type"), "artifact")
+    jobs = docs.where("doc_id % 9 <> 0").groupBy(F.col("source").alias("job_id")).agg(F.collect_list("artifact").alias("artifacts")).select("job_id", F.lit("p").alias("phase"), F.lit("t").alias("type"), "artifacts")
+    return J.plan_violations(plan, jobs).select("artifact", "reason")
+
+
+@query("SELECT path AS artifact, CASE WHEN doc_id % 2 = 0 THEN 'r' || doc_id END AS result FROM files", "files")
+def result_join(spark, d):
+    """Results lie at the artifact's path with another suffix."""
+    rows = V.files(spark, d)
+    results = rows.where("doc_id % 2 = 0").select(F.regexp_replace("path", r"\.txt$", ".json").alias("path"), F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("result"))
+    return J.results_of(rows.select(F.col("path").alias("artifact")), results).select("artifact", "result")
+
+
+@query("SELECT callee AS job_id, CASE WHEN q.p_partkey IS NULL OR q.p_size % 2 <> 0 THEN 1 ELSE 0 END AS unsatisfied FROM edge LEFT JOIN (SELECT p_partkey, p_size FROM part WHERE p_partkey % 11 <> 0) q ON q.p_partkey = caller", "edge")
+def unsatisfied_dependencies(spark, d):
+    """A part depends on its parent; parents divisible by eleven are missing."""
+    jobs = table(spark, d, "part").where("p_partkey % 11 <> 0").select(F.col("p_partkey").alias("job_id"), F.when(F.col("p_size") % 2 == 0, "succeeded").otherwise("running").alias("status"))
+    return J.unsatisfied(V.edge(spark, d).select(F.col("callee").alias("job_id"), F.col("caller").alias("depends_on")), jobs)
+
+
+@query("SELECT doc_id AS job_id FROM documents WHERE doc_id % 4 = 1")
+def unique_outputs(spark, d):
+    """Jobs of one output that exactly one report matches."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("job_id"), F.col("doc_id").cast("string").alias("p"))
+    outputs = F.when(F.col("job_id") % 4 == 3, F.array("p", F.lit("x"))).otherwise(F.array("p"))
+    reports = docs.where("job_id % 4 <> 0").withColumn("n", F.explode(F.when(F.col("job_id") % 4 == 2, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))).select(F.col("p").alias("path"))
+    return J.unique_output_match(docs.select("job_id", outputs.alias("required_outputs")), reports).select("job_id")
+
+
+@query("SELECT a.path, 'kept' AS side FROM v0 a JOIN v1 b ON a.path = b.path AND a.sha256 = b.sha256", "v0 v1")
+def preserve_restore(spark, d):
+    """Sidecars of unchanged files whose artifact still exists."""
+    old, new = V.v0(spark, d), V.v1(spark, d)
+    changed = D.inventory_delta(old, new).where("change = 'changed'")
+    kept = D.preserved_sidecars(old.select("path", F.col("path").alias("artifact")), changed)
+    return D.restored_sidecars(kept, new.select(F.col("path").alias("artifact"))).select("path", F.lit("kept").alias("side"))
+
+
+@query("SELECT DISTINCT path AS artifact FROM (SELECT path FROM v0 UNION SELECT path FROM v1)", "v0 v1")
+def applied_union(spark, d):
+    """D7."""
+    a = lambda v: v.select(F.col("path").alias("artifact"))
+    return D.applied_union(a(V.v0(spark, d)), a(V.v1(spark, d)))
+
+
+@query("SELECT coalesce(b.path, a.path) AS artifact, coalesce(b.sha256, a.sha256) AS sha256 FROM v0 a FULL JOIN v1 b ON a.path = b.path", "v0 v1")
+def plan_apply(spark, d):
+    """No violation, so all updates are applied."""
+    a = lambda v: v.select(F.col("path").alias("artifact"), "sha256")
+    old = a(V.v0(spark, d))
+    return D.apply_plan(old, a(V.v1(spark, d)), old.limit(0))
+
+
+@query("SELECT a.path, array_to_string(list_filter([CASE WHEN a.sha256 <> b.sha256 THEN 'sha256' END, CASE WHEN a.size <> b.size THEN 'size' END], lambda x: x IS NOT NULL), ',') AS differences FROM v0 a JOIN v1 b ON a.path = b.path", "v0 v1")
+def resume_differences(spark, d):
+    """D10 E5."""
+    old, new = V.v0(spark, d), V.v1(spark, d).select("path", F.col("sha256").alias("h"), F.col("size").alias("s"))
+    both = old.join(new, "path")
+    return both.select("path", F.array_join(D.resume_differences({"sha256": F.col("sha256"), "size": F.col("size")}, {"sha256": F.col("h"), "size": F.col("s")}), ",").alias("differences"))
+
+
+@query("SELECT p_partkey AS function_id, CASE WHEN p_partkey % 8 = 0 THEN 'missing' WHEN p_partkey % 8 = 1 THEN 'repeated' WHEN p_partkey % 8 = 2 THEN 'other phase' ELSE 'unknown' END AS reason FROM part WHERE p_partkey % 8 < 4")
+def coverage_violations(spark, d):
+    """D6."""
+    part, k = table(spark, d, "part"), F.col("p_partkey") % 8
+    assigned = part.where(k != 0).select(F.col("p_partkey").alias("function_id"), F.when(k == 2, 9).otherwise(1).alias("phase"), F.explode(F.when(k == 1, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    return D.coverage_violations(assigned.select("function_id", "phase"), part.where(k != 3).select(F.col("p_partkey").alias("function_id"), F.lit(1).alias("phase")))
+
+
+@query("SELECT source, n, n + 1 AS stored FROM (SELECT source, count(*) AS n FROM verdicts WHERE verdict = 'MISMATCH' GROUP BY source) WHERE CAST(substr(source, 4) AS INT) % 2 = 1", "verdicts")
+def summary_consistency(spark, d):
+    """Every other source's stored summary is wrong."""
+    reports = V.verdicts(spark, d).where("verdict = 'MISMATCH'").withColumn("confirmation_status", F.lit("confirmed"))
+    stored = A.bug_summary(reports, "source").withColumn("candidates", F.col("candidates") + F.substr("source", F.lit(4)).cast("int") % 2)
+    return A.summary_differences(stored, reports, "source").select("source", F.col("candidates__").alias("n"), F.col("candidates").alias("stored"))
+
+
+@query("SELECT count(*) FILTER (WHERE i) AS included, count(*) FILTER (WHERE NOT i) AS excluded, (SELECT count(*) FROM v0 WHERE path NOT IN (SELECT path FROM v1)) AS removed FROM (SELECT doc_id % 3 = 0 AS i FROM documents)", "v0 v1")
+def selection_summary(spark, d):
+    """A18."""
+    removed = D.inventory_delta(V.v0(spark, d), V.v1(spark, d)).where("change = 'removed'")
+    return A.selection_summary(table(spark, d, "documents").select((F.col("doc_id") % 3 == 0).alias("included")), removed)
+
+
+# ---- job graph, chains, gates -----------------------------------------------------------------------------------------------
+
+
+@query("SELECT 'v' || p_partkey AS job_id, 's' || p_brand AS dep FROM part WHERE p_partkey % 2 = 0")
+def verification_jobs(spark, d):
+    """A specification job a brand owns the even parts."""
+    part = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("artifact"), "p_partkey", "p_brand")
+    spec = part.where("p_partkey % 2 = 0").groupBy(F.concat(F.lit("s"), "p_brand").alias("job_id")).agg(F.collect_list("artifact").alias("artifacts"))
+    verify = part.select(F.concat(F.lit("v"), "artifact").alias("job_id"), F.array("artifact").alias("artifacts"))
+    return G.verification_jobs(verify, spec).select("job_id", F.explode("depends_on").alias("dep"))
+
+
+@query("SELECT k AS ordinal, CASE WHEN k = 1 THEN '' ELSE CAST(k - 1 AS VARCHAR) END AS depends_on FROM (SELECT row_number() OVER (ORDER BY r_regionkey) AS k FROM region WHERE r_regionkey <> 2)")
+def phase_resolution(spark, d):
+    """One phase is empty; each names the one before by name and itself."""
+    rows = table(spark, d, "region").select(F.col("r_regionkey").alias("phase"), F.concat(F.lit("id"), F.col("r_regionkey").cast("string")).alias("id"), F.col("r_name").alias("name"), F.when(F.col("r_regionkey") == 2, F.array().cast("array<string>")).otherwise(F.array("r_name")).alias("files"))
+    before = F.lag("name").over(Window.orderBy("phase"))
+    filled = F.lag(F.when(F.size("files") > 0, F.col("name"))).over(Window.orderBy("phase"))
+    plan = rows.withColumn("depends_on", F.array_compact(F.array(F.coalesce(filled, F.when(F.col("phase") == 3, F.lit("phase-1")), before), "name")))
+    return G.resolve_phases(plan, G.phase_aliases(plan)).select(F.col("ordinal").cast("long").alias("ordinal"), F.array_join(F.col("depends_on").cast("array<string>"), ",").alias("depends_on"))
+
+
+@query(
+    """WITH r AS (SELECT n_nationkey AS k, n_regionkey AS phase, n_nationkey % 4 <> 0 AS done FROM nation) SELECT 'p' || phase AS phase, 'c' || max(k) AS checkpoint_id FROM r WHERE done AND k % 2 = 1 GROUP BY phase"""
+)
+def checkpoint_ancestry(spark, d):
+    """Odd nations form a chain from the last one back."""
+    rows = table(spark, d, "nation").where("n_nationkey % 2 = 1")
+    cid = lambda k: F.concat(F.lit("c"), k.cast("string"))
+    chain = rows.select(cid(F.col("n_nationkey")).alias("checkpoint_id"), F.concat(F.lit("p"), F.col("n_regionkey").cast("string")).alias("phase"), F.when(F.col("n_nationkey") % 4 != 0, "complete").otherwise("committing").alias("status"), F.when(F.col("n_nationkey") > 1, cid(F.col("n_nationkey") - 2)).alias("previous_checkpoint_id"))
+    return R.latest_complete_by_phase(chain, "c23")
+
+
+@query("SELECT p_partkey FROM part ORDER BY p_partkey LIMIT 7 OFFSET 5")
+def job_page(spark, d):
+    """The limit is the feature."""
+    return R.page(table(spark, d, "part").select("p_partkey"), "p_partkey", 7, 5)
+
+
+@query("SELECT source, array_to_string(list_slice(list_sort(list(DISTINCT doc_id)), 1, 3), ',') AS first FROM documents WHERE doc_id % 2 = 0 GROUP BY source")
+def first_errors(spark, d):
+    """The first three of each source."""
+    return table(spark, d, "documents").where("doc_id % 2 = 0").groupBy("source").agg(F.array_join(R.first_n("doc_id", 3).cast("array<string>"), ",").alias("first"))
+
+
+@query("SELECT source, CASE WHEN n < 3 THEN 'no phase plan' WHEN n % 2 = 0 THEN 'other range or configuration' WHEN n % 3 = 0 THEN 'baseline reference differs' ELSE '' END AS reason FROM (SELECT source, count(*) FILTER (WHERE lang = 'en') AS n FROM documents GROUP BY source)")
+def baseline_validity(spark, d):
+    """E2."""
+    rows = table(spark, d, "documents").groupBy("source").agg(F.count_if(F.col("lang") == "en").alias("n"))
+    n, yes = F.col("n"), F.lit(True)
+    check = gates.baseline_check(n >= 3, F.lit("f"), F.when(n % 2 == 0, "g").otherwise("f"), F.lit("c"), yes, F.when(n % 3 == 0, "d").otherwise("c"), n, yes, yes, F.lit("t"))
+    return rows.select("source", check["reason"].alias("reason"))
+
+
+@query("SELECT job_id, array_to_string(list_slice(list_sort(list('j' || event_id) FILTER (WHERE status = 'failed')), 1, 8), '; ') AS message FROM log GROUP BY job_id HAVING count(*) FILTER (WHERE status = 'failed') > 0 UNION ALL SELECT job_id, 'phase failed' FROM log GROUP BY job_id HAVING count(*) FILTER (WHERE status = 'failed') = 0", "log")
+def failure_messages(spark, d):
+    """E6."""
+    failed = F.collect_list(F.when(F.col("status") == "failed", F.concat(F.lit("j"), F.col("event_id").cast("string"))))
+    rows = V.log(spark, d).groupBy("job_id").agg(failed.alias("failed"))
+    none = F.lit(None).cast("string")
+    return rows.select("job_id", gates.failure_message(none, F.col("failed"), none).alias("message"))
+
+
+@query("SELECT (SELECT count(*) FROM documents WHERE doc_id % 9 = 4) = 0 AS ok, CASE WHEN (SELECT count(*) FROM documents WHERE doc_id % 9 = 4) = 0 THEN '' ELSE 'plan' END AS reason")
+def phase_gate(spark, d):
+    """Of two rules the lesser one is violated."""
+    docs = table(spark, d, "documents").where("doc_id % 9 = 4")
+    return gates.phase_gate(docs.select(F.lit(2).alias("rule_no"), F.lit("results").alias("reason")), docs.select(F.lit(1).alias("rule_no"), F.lit("plan").alias("reason")))
+
+
+@query(f"SELECT k AS rule_no, 'unfinished: ' || [{_PHASES}][k] AS reason FROM range(1, 6) t(k) WHERE k NOT IN (SELECT r_regionkey + 1 FROM region WHERE r_regionkey % 2 = 0)")
+def phase_ordering(spark, d):
+    """Specification can't start before the phases in front of it."""
+    done = table(spark, d, "region").where("r_regionkey % 2 = 0").select(F.element_at(F.array(*map(F.lit, FULL_PHASES)), (F.col("r_regionkey") + 1).cast("int")).alias("phase"), F.lit("succeeded").alias("status"))
+    return gates.order_violations(done, FULL_PHASES, "specification")
+
+
+@query(
+    """SELECT event_id, CASE status WHEN 'succeeded' THEN 'done' WHEN 'failed' THEN 'report_failure' WHEN 'running' THEN CASE WHEN event_id % 2 = 0 THEN 'submit' ELSE 'reproduce' END WHEN 'retryable' THEN CASE WHEN event_id % 3 = 0 THEN 'retry' ELSE 'report_failure' END ELSE 'start' END AS action,
+      CASE WHEN status <> 'running' OR event_id % 5 = 0 THEN 'approve' ELSE 'block' END AS stop FROM log""",
+    "log",
+)
+def next_actions(spark, d):
+    """T10 T12."""
+    status, k = F.col("status"), F.col("event_id")
+    return V.log(spark, d).select("event_id", L.probe_action(status, k % 2 == 0, k % 3 == 0).alias("action"), L.stop_decision(status, F.lit("verification"), F.when(k % 5 == 0, "phase_failed").otherwise("wait")).alias("stop"))
+
+
+@query("SELECT job_id, 'c' || max(event_id) AS checkpoint_id, count(*) FILTER (WHERE status = 'failed') AS n_failed, (list('r' || event_id ORDER BY ts DESC))[1] AS receipt_reason FROM log GROUP BY job_id", "log")
+def diagnosis(spark, d):
+    """E7."""
+    log = V.log(spark, d).withColumnRenamed("job_id", "run_id")
+    text = lambda p: F.concat(F.lit(p), F.col("event_id").cast("string"))
+    runs = log.select("run_id").distinct()
+    points = log.select("run_id", text("c").alias("checkpoint_id"), F.col("event_id").alias("ordinal"), F.lit("complete").alias("status"))
+    said = log.select("run_id", text("r").alias("reason"), F.col("ts").alias("received_at"))
+    return gates.diagnosis(runs, said, points, log).select(F.col("run_id").alias("job_id"), "checkpoint_id", "n_failed", "receipt_reason")
+
+
+@query("SELECT path, sha256 FROM v1", "v1")
+def checkpoint_restore(spark, d):
+    """Two checkpoints are published; the later one is rebuilt from its inventory and the object store."""
+    from ..sources import store
+
+    top = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/veriframe-store"
+    root = f"{top}/store-{uuid.uuid4().hex}"
+    store.publish(V.v0(spark, d).select("path", "text"), root, "c0", "extraction", 1, "s0")
+    store.publish(V.v1(spark, d).select("path", "text"), root, "c1", "extraction", 2, "s1")
+    return store.restore(spark, root).select("path", F.sha2("text", 256).alias("sha256"))
