@@ -33,7 +33,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_report(table(spark, sf_dir, "documents"))
+    return quality.quality_report(table(spark, sf_dir, "documents")).drop("longest_repeat")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,9 +72,41 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_revisits": OP9}
-
-
+    return {"op4_quality_rules": OP4, "op8_jaccard_join": OP8, "op9_revisits": OP9}
+
+
+#: A word lies in a repeat of at least 8 words if and only if an 8-word window around it stands twice in its document, and a repeat
+#: of more than 100 words is there if and only if a 101-word window stands twice.
+OP4 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+k AS (SELECT unnest([3, 8, 101]) AS k),
+win AS (SELECT doc_id, k, i, md5(array_to_string(list_slice(w, i, i + k - 1), ' ')) AS h FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, k)),
+dup AS (SELECT doc_id, k, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, k, h) > 1),
+cov AS (SELECT doc_id, k, count(DISTINCT j) AS n FROM (SELECT doc_id, k, unnest(range(i, i + k)) AS j FROM dup) GROUP BY doc_id, k),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines,
+    coalesce(c3.n, 0) AS n_repeat_words, coalesce(c8.n, 0) AS n_covered_words, c101.n IS NOT NULL AS long_repeat
+  FROM d LEFT JOIN lines ON lines.doc_id = d.doc_id LEFT JOIN cov c3 ON c3.doc_id = d.doc_id AND c3.k = 3 LEFT JOIN cov c8 ON c8.doc_id = d.doc_id AND c8.k = 8 LEFT JOIN cov c101 ON c101.doc_id = d.doc_id AND c101.k = 101
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * n_covered_words <= 30 * n_words AND NOT long_repeat AS kept, n_covered_words
+FROM m
+"""
+OP8 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(list_slice(w, i, i + 2), ' ')))) END AS g FROM d
+), c AS (
+  SELECT min(doc_id) AS c, g, len(g) AS n FROM s WHERE len(g) > 0 GROUP BY g
+), e AS (
+  SELECT c, n, unnest(g) AS x FROM c
+), p AS (
+  SELECT a.c AS a, b.c AS b FROM e a JOIN e b ON a.x = b.x AND a.c < b.c AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), both_ AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r(c, o) AS (SELECT c, c FROM c UNION SELECT r.c, both_.b FROM r JOIN both_ ON both_.a = r.o)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, coalesce(k.least, s.doc_id) AS component_id FROM s LEFT JOIN c ON c.g = s.g LEFT JOIN (SELECT c, min(o) AS least FROM r GROUP BY c) k ON k.c = c.c
+"""
 OP9 = r"""
 WITH a AS (
   SELECT page_id, html, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM pages
@@ -95,7 +127,7 @@ WITH a AS (
     CASE WHEN answer IS NULL THEN 'orphan' WHEN d.page_id % 7 = 0 THEN 'unvalidated' WHEN d.tag = f.tag THEN 'resolved' ELSE 'mismatch' END AS outcome
   FROM d LEFT JOIN c f ON f.page_id = d.answer
 )
-SELECT page_id, key AS canonical_url, outcome, answer AS answer_page_id,
+SELECT page_id, key AS canonical_url, outcome, coalesce(answer, -1) AS answer_page_id,
   CASE WHEN outcome = 'resolved' THEN 'content-length=' || strlen(coalesce(body, '')) || ';date=' || 2 * page_id || ';etag=' || CASE WHEN page_id % 5 = 0 THEN 'W/' ELSE '' END || tag || ';x-cache=hit' END AS headers,
   CASE WHEN outcome = 'resolved' THEN sha256(body) END AS body_sha256
 FROM e

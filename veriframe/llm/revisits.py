@@ -89,7 +89,8 @@ def captures(pages: DataFrame) -> DataFrame:
 
 
 def revisit_report(pages: DataFrame) -> DataFrame:
-    """The 304 records of captures(pages) as resolved; the body by its digest, headers as sorted name=value lines."""
+    """The 304 records of captures(pages) as resolved; the body by its digest, headers as sorted name=value lines,
+    answer_page_id -1 for orphans."""
     found = resolve(captures(pages))
     lines = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
-    return found.select(F.expr("(id - 1) div 2").alias("page_id"), F.col("key").alias("canonical_url"), "outcome", F.expr("answer_id div 2").alias("answer_page_id"), lines.alias("headers"), F.sha2("body", 256).alias("body_sha256"))
+    return found.select(F.expr("(id - 1) div 2").alias("page_id"), F.col("key").alias("canonical_url"), "outcome", F.coalesce(F.expr("answer_id div 2"), F.lit(-1)).cast("long").alias("answer_page_id"), lines.alias("headers"), F.sha2("body", 256).alias("body_sha256"))
