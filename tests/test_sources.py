@@ -26,10 +26,12 @@ def test_source_tree(spark, tmp_path):
     assert {(r["path"], r["change"]) for r in scans.changed_sources(old, new).collect()} == {("src/a.py", "changed"), ("src/E.CPP", "removed")}
 
 
-def test_build_profile(spark):
+def test_build_adapter(spark):
     profile = registry.profiles(spark)
-    first = lambda *names: registry.build_profile(spark.createDataFrame([(n,) for n in names] or [], "name string"), profile).first()["key"]
-    assert first("go.mod") == "go" and first("Cargo.toml", "go.mod") == "go" and first() == "python"
+    rows = lambda names, column: spark.createDataFrame([(n,) for n in names], f"{column} string")
+    adapter = lambda names, keys: registry.build_adapter(rows(names, "name"), rows(keys, "key"), profile).first()["adapter"]
+    assert adapter(["go.mod"], ["go", "rust"]) == "go" and adapter(["Cargo.toml"], ["rust"]) == "none" and adapter(["Cargo.toml", "Cargo.lock"], ["rust"]) == "cargo"
+    assert adapter(["x"], ["java", "go"]) == "java" and adapter(["hvigorfile.ts", "build-profile.json5"], ["arkts"]) == "none"
 
 
 def test_json_and_edges(spark, tmp_path):

@@ -102,7 +102,7 @@ def complexity_score(tokens: Column, neighbors: Column, callee_specs: Column, cy
 
 def output_class(returncode: Column, output: Column) -> Column:
     """runtime_error for a failed run; confirmed or not_reproduced if exactly one marker begins a line; else inconclusive."""
-    yes, no = output.rlike(r"(?m)^CONFIRMED\b"), output.rlike(r"(?m)^NOT CONFIRMED\b")
+    yes, no = output.rlike(r"(?m)^CONFIRMED(\s|$)"), output.rlike(r"(?m)^NOT CONFIRMED(\s|$)")
     return F.when(returncode != 0, "runtime_error").when(yes & ~no, "confirmed").when(no & ~yes, "not_reproduced").otherwise("inconclusive")
 
 

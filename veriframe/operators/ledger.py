@@ -139,18 +139,17 @@ def lock_takeover(status: Column, acquired: Column, now: Column, ttl: Column, gr
     return status.isin("succeeded", "failed", "cancelled") | (age_seconds(acquired, now) > lease_seconds(ttl, grace, lease))
 
 
-def probe_action(status: Column, has_result: Column, attempts_left: Column) -> Column:
-    """What a bug-validation job needs next."""
-    return (
-        F.when(status == "succeeded", "done")
-        .when(status == "failed", "report_failure")
-        .when((status == "running") & has_result, "submit")
-        .when(status == "running", "reproduce")
-        .when((status == "retryable") & attempts_left, "retry")
-        .when(status == "retryable", "report_failure")
-        .when(status == "queued", "start")
-        .otherwise("wait")
+def probe_action(status: Column, has_contract: Column, has_result: Column, by_agent: Column, finalized: Column) -> Column:
+    """What a bug-validation job needs next; by_agent: the worker itself runs the reproduction, so its result is submitted as it is."""
+    running = (
+        F.when(~has_contract, "prepare")
+        .when(~has_result & by_agent, "execute")
+        .when(~has_result, "run_dynamic")
+        .when(by_agent, "submit_execution")
+        .when(~finalized, "finalize")
+        .otherwise("submit_finalization")
     )
+    return F.when(status == "queued", "start").when(status == "retryable", "retry").when(status == "running", running).otherwise("terminal")
 
 
 def stop_decision(active: Column, phase: Column, barrier: Column) -> Column:

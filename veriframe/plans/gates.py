@@ -30,11 +30,13 @@ def baseline_check(has_plan: Column, fingerprint: Column, saved_fingerprint: Col
 
 
 def phase_gate(*violations: DataFrame) -> DataFrame:
-    """One row: ok and the reason of the least rule that is violated. Each table has rule_no and reason, and is empty if its check holds."""
+    """One row: ok, the reason of the least rule that is violated, and the class ready, insufficient_specification or invalid. Each table
+    has rule_no and reason, and is empty if its check holds."""
     out = violations[0].select("rule_no", "reason")
     for v in violations[1:]:
         out = out.unionByName(v.select("rule_no", "reason"))
-    return out.agg(F.min_by("reason", F.struct("rule_no", "reason")).alias("reason")).select(F.col("reason").isNull().alias("ok"), F.coalesce("reason", F.lit("")).alias("reason"))
+    kind = F.when(F.col("reason").isNull(), "ready").when(F.col("reason").startswith("insufficient_specification"), "insufficient_specification").otherwise("invalid")
+    return out.agg(F.min_by("reason", F.struct("rule_no", "reason")).alias("reason")).select(F.col("reason").isNull().alias("ok"), F.coalesce("reason", F.lit("")).alias("reason"), kind.alias("class"))
 
 
 def order_violations(states: DataFrame, phases: tuple[str, ...], starting: str) -> DataFrame:

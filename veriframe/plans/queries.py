@@ -538,7 +538,7 @@ def qualified_names(spark, d):
 )
 def output_classes(spark, d):
     """P16 P17."""
-    said = F.when(F.col("event_type") == "view", "x\nCONFIRMED").when(F.col("event_type") == "click", "NOT CONFIRMED: y").when(F.col("event_type") == "error", "CONFIRMED\nNOT CONFIRMED").otherwise("maybe CONFIRMED")
+    said = F.when(F.col("event_type") == "view", "x\nCONFIRMED").when(F.col("event_type") == "click", "NOT CONFIRMED y").when(F.col("event_type") == "error", "CONFIRMED\nNOT CONFIRMED").otherwise("maybe CONFIRMED")
     return table(spark, d, "events").select("event_id", S.output_class((F.col("event_id") % 5 == 1).cast("int"), said).alias("class"), S.tail(F.col("props"), 5).alias("tail"))
 
 
@@ -610,13 +610,14 @@ def capability_matrix(spark, d):
     return registry.capability_matrix(registry.profiles(spark)).select("extension", "key")
 
 
-@query("SELECT CASE p_size % 4 WHEN 0 THEN 'go' WHEN 1 THEN 'rust' WHEN 2 THEN 'c' ELSE 'python' END AS key, count(*) AS n FROM part GROUP BY 1")
-def build_profiles(spark, d):
-    """the first profile whose detector is among a project's files."""
-    names = {0: "go.mod", 1: "Cargo.toml", 2: "CMakeLists.txt", 3: "none"}
+@query("SELECT CASE p_size % 4 WHEN 0 THEN 'go' WHEN 1 THEN 'none' WHEN 2 THEN 'cmake' ELSE 'python' END AS adapter, count(*) AS n FROM part GROUP BY 1")
+def build_adapters(spark, d):
+    """Rust needs two files of which one is there; Python needs none."""
+    cases = {0: ("go.mod", "go"), 1: ("Cargo.toml", "rust"), 2: ("CMakeLists.txt", "c"), 3: ("none", "python")}
     profile, out = registry.profiles(spark), None
-    for k, name in names.items():
-        own = registry.build_profile(spark.createDataFrame([(name,)], "name string"), profile).join(table(spark, d, "part").where(F.col("p_size") % 4 == k).agg(F.count(F.lit(1)).alias("n")), F.lit(True))
+    for k, (name, key) in cases.items():
+        adapter = registry.build_adapter(spark.createDataFrame([(name,)], "name string"), spark.createDataFrame([(key,), ("erlang",)], "key string"), profile)
+        own = adapter.join(table(spark, d, "part").where(F.col("p_size") % 4 == k).agg(F.count(F.lit(1)).alias("n")), F.lit(True))
         out = own if out is None else out.unionByName(own)
     return out.where("n > 0")
 
@@ -982,7 +983,7 @@ def failure_messages(spark, d):
     return rows.select("job_id", gates.failure_message(none, F.col("failed"), none).alias("message"))
 
 
-@query("SELECT (SELECT count(*) FROM documents WHERE doc_id % 9 = 4) = 0 AS ok, CASE WHEN (SELECT count(*) FROM documents WHERE doc_id % 9 = 4) = 0 THEN '' ELSE 'plan' END AS reason")
+@query("SELECT (SELECT count(*) FROM documents WHERE doc_id % 9 = 4) = 0 AS ok, CASE WHEN (SELECT count(*) FROM documents WHERE doc_id % 9 = 4) = 0 THEN '' ELSE 'plan' END AS reason, CASE WHEN (SELECT count(*) FROM documents WHERE doc_id % 9 = 4) = 0 THEN 'ready' ELSE 'invalid' END AS class")
 def phase_gate(spark, d):
     """Of two rules the lesser one is violated."""
     docs = table(spark, d, "documents").where("doc_id % 9 = 4")
@@ -997,14 +998,16 @@ def phase_ordering(spark, d):
 
 
 @query(
-    """SELECT event_id, CASE status WHEN 'succeeded' THEN 'done' WHEN 'failed' THEN 'report_failure' WHEN 'running' THEN CASE WHEN event_id % 2 = 0 THEN 'submit' ELSE 'reproduce' END WHEN 'retryable' THEN CASE WHEN event_id % 3 = 0 THEN 'retry' ELSE 'report_failure' END ELSE 'start' END AS action,
+    """SELECT event_id, CASE status WHEN 'queued' THEN 'start' WHEN 'retryable' THEN 'retry' WHEN 'running' THEN CASE WHEN event_id % 7 = 0 THEN 'prepare' WHEN event_id % 3 = 0 THEN CASE WHEN event_id % 2 = 0 THEN 'execute' ELSE 'run_dynamic' END
+        WHEN event_id % 2 = 0 THEN 'submit_execution' WHEN event_id % 5 = 0 THEN 'finalize' ELSE 'submit_finalization' END ELSE 'terminal' END AS action,
       CASE WHEN status <> 'running' OR event_id % 5 = 0 THEN 'approve' ELSE 'block' END AS stop FROM log""",
     "log",
 )
 def next_actions(spark, d):
     """T10 T12."""
     status, k = F.col("status"), F.col("event_id")
-    return V.log(spark, d).select("event_id", L.probe_action(status, k % 2 == 0, k % 3 == 0).alias("action"), L.stop_decision(status, F.lit("verification"), F.when(k % 5 == 0, "phase_failed").otherwise("wait")).alias("stop"))
+    action = L.probe_action(status, k % 7 != 0, k % 3 != 0, k % 2 == 0, k % 5 != 0)
+    return V.log(spark, d).select("event_id", action.alias("action"), L.stop_decision(status, F.lit("verification"), F.when(k % 5 == 0, "phase_failed").otherwise("wait")).alias("stop"))
 
 
 @query("SELECT job_id, 'c' || max(event_id) AS checkpoint_id, count(*) FILTER (WHERE status = 'failed') AS n_failed, (list('r' || event_id ORDER BY ts DESC))[1] AS receipt_reason FROM log GROUP BY job_id", "log")
@@ -1028,3 +1031,72 @@ def checkpoint_restore(spark, d):
     store.publish(V.v0(spark, d).select("path", "text"), root, "c0", "extraction", 1, "s0")
     store.publish(V.v1(spark, d).select("path", "text"), root, "c1", "extraction", 2, "s1")
     return store.restore(spark, root).select("path", F.sha2("text", 256).alias("sha256"))
+
+
+# ---- documents in folders, sinks --------------------------------------------------------------------------------------------
+
+
+def _folder(spark: SparkSession) -> str:
+    top = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/veriframe-folders"
+    return f"{top}/folder-{uuid.uuid4().hex}"
+
+
+@query("SELECT 'f' || caller % 20 AS caller, 'f' || callee % 20 AS callee, count(*) AS edges FROM edge_sparse GROUP BY ALL", "edge_sparse")
+def edge_documents(spark, d):
+    """Edges as JSON documents, one a caller's group, read again from their folder."""
+    from ..sources.scans import edge_documents as read
+
+    name = lambda c: F.concat(F.lit("f"), (F.col(c) % 20).cast("string"))
+    edge = F.struct(F.struct(name("caller").alias("fqn"), F.array().cast("array<string>").alias("callsite_names")).alias("caller"), F.struct(name("callee").alias("fqn"), F.array().cast("array<string>").alias("info_names")).alias("callee"), F.array(F.lit("e")).alias("evidence"), F.lit("s").alias("source"))
+    path = _folder(spark)
+    docs = V.edge_sparse(spark, d).groupBy((F.col("caller") % 20).alias("g")).agg(F.collect_list(edge).alias("edges"))
+    docs.repartitionByRange(64, "g").select("edges").write.option("maxRecordsPerFile", 1).json(path)
+    return read(spark, path).select(F.col("caller.fqn").alias("caller"), F.col("callee.fqn").alias("callee")).groupBy("caller", "callee").agg(F.count(F.lit(1)).alias("edges"))
+
+
+@query("SELECT (SELECT count(*) FROM part WHERE p_size % 3 < 2) AS nodes, (SELECT count(*) FROM lineitem WHERE l_linenumber IN (1, 2)) AS edges")
+def graph_export(spark, d):
+    """Functions and methods, calls and instantiations of a graph store's tables."""
+    from ..sources.scans import graph_export as export
+
+    kinds = F.array(F.lit("function"), F.lit("method"), F.lit("class"))
+    nodes = table(spark, d, "part").select("p_partkey", F.element_at(kinds, F.col("p_size") % 3 + 1).alias("kind"))
+    edges = table(spark, d, "lineitem").select(F.when(F.col("l_linenumber") == 1, "calls").when(F.col("l_linenumber") == 2, "instantiates").otherwise("imports").alias("kind"))
+    a, b = export(nodes, edges)
+    return a.agg(F.count(F.lit(1)).alias("nodes")).join(b.agg(F.count(F.lit(1)).alias("edges")), F.lit(True))
+
+
+@query("SELECT job_id % 10 AS phase, status, 2 * count(*) AS jobs FROM log GROUP BY ALL", "log")
+def log_and_progress(spark, d):
+    """K1 K4 K5: a log appended to twice, and its summary written and read."""
+    from ..sources import store
+
+    path = _folder(spark)
+    rows = V.log(spark, d).select((F.col("job_id") % 10).alias("phase"), "status")
+    for _ in range(2):
+        store.append_log(rows, f"{path}/log")
+    store.progress(spark.read.parquet(f"{path}/log"), f"{path}/progress")
+    return spark.read.parquet(f"{path}/progress")
+
+
+@query("SELECT '# Intent' || repeat(chr(10), 2) || '## Commits' || chr(10) || (SELECT string_agg('- c' || r_regionkey || ' ' || r_name, chr(10) ORDER BY r_regionkey) FROM region) || repeat(chr(10), 2) || '## Changes (' || count(*) || ')' || chr(10) || string_agg('- removed ' || path, chr(10) ORDER BY path) || repeat(chr(10), 2) || '## Note' || chr(10) || 'why' || chr(10) AS report FROM v0 WHERE path NOT IN (SELECT path FROM v1)", "v0 v1")
+def intent_report(spark, d):
+    """K6."""
+    from ..sources import store
+
+    commits = table(spark, d, "region").select(F.col("r_regionkey").alias("ord"), F.concat(F.lit("c"), F.col("r_regionkey").cast("string")).alias("id"), F.col("r_name").alias("subject"))
+    return store.intent_report(commits, D.inventory_delta(V.v0(spark, d), V.v1(spark, d)).where("change = 'removed'"), "why")
+
+
+@query("SELECT 'm' || p_partkey || '.c' AS path, 'f' || p_partkey AS name, 2 AS line_start, 4 AS line_end FROM part WHERE p_partkey % 3 = 0")
+def span_extraction_compiler(spark, d):
+    """A compiler's syntax tree a part; a third are included from elsewhere, a third have no body."""
+    from ..sources.spans import compiler_spans, function_spans
+
+    key, k = F.col("p_partkey").cast("string"), F.col("p_partkey") % 3
+    body = F.when(k == 2, "ParmVarDecl").otherwise("CompoundStmt")
+    place = F.when(k == 1, '"includedFrom": {"file": "x.h"}, "line": 2').otherwise('"line": 2')
+    tree = F.concat(F.lit('{"kind": "TranslationUnitDecl", "inner": [{"kind": "FunctionDecl", "name": "f'), key, F.lit('", "loc": {'), place, F.lit('}, "range": {"begin": {"offset": 1}, "end": {"line": 4}}, "inner": [{"kind": "'), body, F.lit('"}]}]}'))
+    files = table(spark, d, "part").select(F.concat(F.lit("m"), key, F.lit(".c")).alias("path"), F.lit("\n\nint f(){\n}").alias("text"), F.lit("c").alias("language"), tree.alias("tree"))
+    exported = compiler_spans(files.select("path", "text"), files.select("path", "tree"))
+    return function_spans(files.select("path", "text", "language"), exported).select("path", "name", "line_start", "line_end")

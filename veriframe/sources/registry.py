@@ -43,8 +43,10 @@ def with_language(files: DataFrame, profile: DataFrame) -> DataFrame:
     return files.join(names, suffix(F.col("path")) == F.col("e__"), "left").withColumn("language", F.coalesce("k__", F.lit("unknown"))).drop("e__", "k__")
 
 
-def build_profile(present: DataFrame, profile: DataFrame) -> DataFrame:
-    """The first profile in registry order that is satisfied by the present file names (name): a detector is there, or none is required."""
-    hits = profile.select("ord", "key", "requires_build_metadata", F.explode("build_detectors").alias("name")).join(present.select("name").distinct().withColumn("has", F.lit(True)), "name", "left")
-    good = hits.groupBy("ord", "key", "requires_build_metadata").agg(F.max(F.coalesce("has", F.lit(False))).alias("has")).where("has or not requires_build_metadata")
-    return good.agg(F.min_by("key", F.struct(~F.col("has"), "ord")).alias("key"))
+def build_adapter(present: DataFrame, languages: DataFrame, profile: DataFrame) -> DataFrame:
+    """One row: the build adapter of the first profile in registry order that has one, whose language (key) occurs, and whose detectors
+    are all among the present file names (name) unless it needs none; none if there is no such profile."""
+    own = profile.where("build_adapter is not null").join(languages.select("key").distinct(), "key", "left_semi")
+    hits = own.select("ord", "build_adapter", "requires_build_metadata", F.explode("build_detectors").alias("name")).join(present.select("name").distinct().withColumn("has", F.lit(True)), "name", "left")
+    good = hits.groupBy("ord", "build_adapter", "requires_build_metadata").agg(F.min(F.coalesce("has", F.lit(False))).alias("all")).where("all or not requires_build_metadata")
+    return good.agg(F.coalesce(F.min_by("build_adapter", "ord"), F.lit("none")).alias("adapter"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import json
 import re
 
 import pyarrow as pa
@@ -103,6 +104,59 @@ def tree_sitter_spans(text: str, language: str):
     return sorted(out, key=lambda x: (x[1], x[2], x[0]))
 
 
+# Node kinds of function definitions in a compiler's JSON tree.
+DEFINITIONS = frozenset(("CXXConstructorDecl", "CXXConversionDecl", "CXXDestructorDecl", "CXXMethodDecl", "FunctionDecl"))
+
+
+def syntax_tree_spans(tree: str, path: str, text: str) -> list[tuple[str, int, int]] | None:
+    """Spans from a C-family compiler's JSON syntax tree of a file: definitions with a body, in the file itself and not what it includes.
+    Places without a line count line feeds up to their offset. None for a tree that can't be read."""
+    try:
+        root = json.loads(tree)
+    except (TypeError, ValueError):
+        return None
+    raw = text.encode()
+
+    def line(place: dict, other: int | None) -> int | None:
+        if isinstance(place.get("line"), int):
+            return place["line"]
+        offset = place.get("offset")
+        return raw.count(b"\n", 0, offset) + 1 if isinstance(offset, int) and offset >= 0 else other
+
+    def nodes(node):
+        if isinstance(node, dict):
+            yield node
+            for child in node.get("inner") or ():
+                yield from nodes(child)
+
+    found = set()
+    for node in nodes(root):
+        inner = [c for c in node.get("inner") or () if isinstance(c, dict)]
+        if node.get("kind") not in DEFINITIONS or not any(c.get("kind") == "CompoundStmt" for c in inner):
+            continue
+        at, area = node.get("loc") or {}, node.get("range") or {}
+        begin, end = area.get("begin") or {}, area.get("end") or {}
+        named = at.get("file") or begin.get("file")
+        if "includedFrom" in at or "includedFrom" in begin or (named and named != path):
+            continue
+        first = line(begin, line(at, None))
+        last = line(end, first)
+        if isinstance(node.get("name"), str) and first and last and 1 <= first <= last:
+            found.add((node["name"], first, last))
+    return sorted(found, key=lambda x: (x[1], x[2], x[0]))
+
+
+def compiler_spans(files: DataFrame, trees: DataFrame) -> DataFrame:
+    """files (path, text) with their compiler's syntax trees (path, tree): path, name, line_start, line_end, for function_spans' exported."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [(p, *x) for p, text, tree in zip(*(batch.column(k).to_pylist() for k in range(3))) for x in syntax_tree_spans(tree, p, text or "") or []]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.string(), pa.string(), pa.int32(), pa.int32()])], names=["path", "name", "line_start", "line_end"])
+
+    return files.join(trees, "path").select("path", "text", "tree").mapInArrow(run, f"path string, {SPAN}")
+
+
 BACKENDS = {"python": (("tree-sitter", lambda t: tree_sitter_spans(t, "python")), ("python-ast", python_spans)), "arkts": (("brace", brace_spans),)}
 for _name in ("javascript", "typescript", "go", "rust", "java", "c", "cpp"):
     BACKENDS[_name] = (("tree-sitter", lambda t, n=_name: tree_sitter_spans(t, n)),)
