@@ -1,8 +1,8 @@
 """Token ids in a binary format: a static range asymmetric numeral system with independent interleaved blocks.
 
 Texts are cut at white space where the tokenizer's own splitting must cut too, and each distinct part of a block is
-encoded once by the tokenizers library. The ids are written to a table; their counts over all documents give one
-frequency table (of 2**20 slots) that all blocks share. Documents are dealt by ranges of doc_id and sorted, and each
+encoded once by the tokenizers library. The ids are kept in a packed table until they are written; their counts over all
+documents give one frequency table (of 2**20 slots) that all blocks share. Documents are dealt by ranges of doc_id and sorted, and each
 range is written as blocks of about BLOCK_TOKENS ids of whole documents. Within a block, id t belongs to lane t % lanes;
 all lanes' states advance together. A block holds its documents' ids and lengths, the lanes' states at its start and at
 every CHECKPOINT_STEPS steps with the place in the stream (so parts can be decoded apart), a CRC-32 of the ids and one of
@@ -68,7 +68,9 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
 
 
 #: Distinct parts that a Python worker remembers; then it begins anew.
-MOST_KNOWN = 1_000_000
+MOST_KNOWN = 800_000
+#: Parts that go to the library in one call.
+STEP = 16_384
 
 
 class Encoder:
@@ -83,24 +85,27 @@ class Encoder:
 
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.ids, self.at = np.zeros(1 << 16, np.uint32), [0]
+        self.ids, self.at = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64)
 
     def parts(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Starts in self.ids and numbers of ids of distinct parts."""
         if len(self.known) + len(parts) > MOST_KNOWN:
             self.forget()
         new = [x for x in parts if x not in self.known]
-        if new:
-            own = [x.ids for x in self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)]
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            ends = self.at[-1] + np.cumsum([len(x) for x in own])
-            if ends[-1] > len(self.ids):
-                self.ids = np.append(self.ids, np.zeros(int(ends[-1]), np.uint32))
-            self.ids[self.at[-1] : ends[-1]] = np.fromiter(itertools.chain.from_iterable(own), np.uint32, int(ends[-1]) - self.at[-1])
-            self.at += ends.tolist()
+        for k in range(0, len(new), STEP):
+            step, n = new[k : k + STEP], len(self.known)
+            own = [x.ids for x in self.tokenizer.encode_batch_fast([x.decode() for x in step], add_special_tokens=False)]
+            self.known.update(zip(step, range(n, n + len(step))))
+            ends = self.at[n] + np.cumsum([len(x) for x in own])
+            self.ids, self.at = _room(self.ids, int(ends[-1])), _room(self.at, n + len(step) + 1)
+            self.ids[self.at[n] : ends[-1]] = np.fromiter(itertools.chain.from_iterable(own), np.uint32, int(ends[-1] - self.at[n]))
+            self.at[n + 1 : n + len(step) + 1] = ends
         which = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
-        at = np.array(self.at, np.int64)
-        return at[which], at[which + 1] - at[which]
+        return self.at[which], self.at[which + 1] - self.at[which]
+
+
+def _room(array: np.ndarray, size: int) -> np.ndarray:
+    return array if size <= len(array) else np.append(array, np.zeros(max(size, 2 * len(array)) - len(array), array.dtype))
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -213,22 +218,33 @@ class Coder:
         return out, doc_ids, nulls, lengths
 
 
-def _tokenized(df: DataFrame, path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n, ids (32-bit little-endian), and on one row a block the counts of the block's ids."""
+def _tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+    """doc_id, n and ids (packed) of each text, and on one row a block the counts of the block's ids."""
 
     def block(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
-        ids, at = encode_block(path, data, offsets)
-        n = rows.num_rows
+        ids, at = encode_block(tokenizer, data, offsets)
         ids = np.insert(ids, at[1:], end_id).astype("<u4")
-        at = at + np.arange(n + 1)
+        at = at + np.arange(len(at))
+        packed = pa.array([pack(ids[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())
         counts = np.bincount(ids)
         seen = np.flatnonzero(counts)
-        counts = counts[seen]
-        tally = [seen.astype("<u4").tobytes() + counts.astype("<u8").tobytes(), *[None] * (n - 1)]
-        wide = strings(ids.view(np.uint8), at[:-1] * 4, int(at[-1]) * 4)
-        return pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(at)), wide, pa.array(tally, pa.binary())], names=["doc_id", "n", "ids", "tally"])
+        tally = seen.astype("<u4").tobytes() + counts[seen].astype("<u8").tobytes()
+        return pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(at)), packed, pa.array([tally, *[None] * (rows.num_rows - 1)], pa.binary())], names=["doc_id", "n", "ids", "tally"])
+
+    return per_block(docs, block, "doc_id long, n long, ids binary, tally binary")
+
+
+def pack(ids: np.ndarray) -> bytes:
+    """Ids for the way to their block: lower and upper bytes apart, deflated; wide ids take four planes."""
+    planes = 2 if int(ids.max(initial=0)) < 1 << 16 else 4
+    return bytes([planes]) + zlib.compress(np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :planes].T).tobytes(), 1)
+
 
-    return per_block(narrowed(df, id_col, text_col), block, "doc_id long, n long, ids binary, tally binary")
+def unpack(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(raw[1:]), np.uint8).reshape(raw[0], -1)
+    out = np.zeros((planes.shape[1], 4), np.uint8)
+    out[:, : raw[0]] = planes.T
+    return out.view("<u4").ravel()
 
 
 def _counts(tokenized: DataFrame) -> np.ndarray:
@@ -242,7 +258,7 @@ def _counts(tokenized: DataFrame) -> np.ndarray:
                 seen, counts = np.frombuffer(raw, "<u4", k), np.frombuffer(raw, "<u8", k, 4 * k)
                 if int(seen.max(initial=0)) >= len(total):
                     total = np.append(total, np.zeros(int(seen.max()) + 1 - len(total), np.int64))
-                np.add.at(total, seen, counts.astype(np.int64))
+                total[seen] += counts.astype(np.int64)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
 
@@ -258,7 +274,7 @@ def _counts(tokenized: DataFrame) -> np.ndarray:
 def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes the ids of df's texts, each followed by end_id, to the folder path (it must not exist)."""
     spark = df.sparkSession
-    tokenized = written(_tokenized(df, tokenizer, end_id, id_col, text_col), "ids")
+    tokenized = written(_tokenized(narrowed(df, id_col, text_col), tokenizer, end_id), "ids")
     counts = _counts(tokenized)
     freq = quantised(counts)
     raw = freq.astype("<u4").tobytes()
@@ -268,19 +284,20 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, number = Coder(freq), TaskContext.get().partitionId(), 0
         docs: list[int | None] = []
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
         size = 0
 
         def full() -> pa.RecordBatch:
             nonlocal docs, held, size, number
-            payload = coder.encode(np.frombuffer(b"".join(held), "<u4"), np.array([d or 0 for d in docs], np.int64), np.array([d is None for d in docs]), np.array([len(h) // 4 for h in held]), number)
-            out = pa.RecordBatch.from_arrays([pa.array([part]), pa.array([number]), pa.array([size // 4]), pa.array([payload], pa.binary())], names=["part", "block", "n_tokens", "payload"])
+            payload = coder.encode(np.concatenate(held), np.array([d or 0 for d in docs], np.int64), np.array([d is None for d in docs]), np.array([len(h) for h in held]), number)
+            out = pa.RecordBatch.from_arrays([pa.array([part]), pa.array([number]), pa.array([size]), pa.array([payload], pa.binary())], names=["part", "block", "n_tokens", "payload"])
             docs, held, size, number = [], [], 0, number + 1
             return out
 
         for batch in batches:
             for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if held and size + len(ids) > 4 * BLOCK_TOKENS:
+                ids = unpack(ids)
+                if held and size + len(ids) > BLOCK_TOKENS:
                     yield full()
                 docs.append(doc)
                 held.append(ids)
@@ -305,9 +322,9 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
     Each block is decoded by itself; starts come from the sums of blocks by part, one row a block, never one a document."""
     freq = _coder(spark, path)
-    blocks = spark.read.schema("part long, block long, n_tokens long, payload binary").parquet(f"{path}/blocks")
+    found = spark.read.schema("part long, block long, n_tokens long, payload binary").parquet(f"{path}/blocks")
     # Sums by part: two numbers each, MOST_PARTS at most.
-    sums = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
+    sums = found.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
     starts, total = {}, 0
     for r in sums:
         starts[r["part"]] = total
@@ -326,8 +343,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     from pyspark.sql import Window
 
     own = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    lead = blocks.select("part", "block", F.coalesce(F.sum("n_tokens").over(own), F.lit(0)).alias("lead"))
-    return blocks.join(lead, ["part", "block"]).select("part", "lead", "payload").mapInArrow(before, "doc_id long, start long, n_tokens long, ids binary")
+    lead = found.select("part", "block", F.coalesce(F.sum("n_tokens").over(own), F.lit(0)).alias("lead"))
+    return found.join(lead, ["part", "block"]).select("part", "lead", "payload").mapInArrow(before, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def token_digests(df: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
