@@ -217,7 +217,7 @@ def test_tokens(spark, tmp_path):
         want.append((d if known else None, start, len(own), zlib.crc32(np.array(own, "<u4").tobytes())))
         start += len(own)
     got = [tuple(x) for x in tokens.token_digests(df, path).collect()]
-    # Rows of one id stand in order of their ids' bytes: only the places of such rows may differ.
+    # Rows of one id stand in an order of their own: only the places of such rows may differ.
     single = {w[0] for w in want} - {0, None}
     assert sorted(g for g in got if g[0] in single) == [w for w in want if w[0] in single] and sorted((str(g[0]), *g[2:]) for g in got) == sorted((str(w[0]), *w[2:]) for w in want)
     assert tokens.token_digests(df.limit(0), path).count() == 0

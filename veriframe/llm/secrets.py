@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import narrowed, per_block
+from .common import flat, narrowed, per_block
 
 #: Kinds in the order in which spans of one start are listed: name, expression, group that is measured, its least length.
 BASE_RULES = [
@@ -233,8 +233,6 @@ def without_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             if not batch.num_rows:
                 continue
             column = batch.column(at)
-            from .common import flat
-
             data, offsets = flat(column)
             if not (found := rules.scan(data, offsets)):
                 yield batch
