@@ -1,6 +1,6 @@
 """WARC revisits: a not-modified record takes its body from the latest earlier full response of its canonical URL.
 
-An as-of join. The most frequent URL may hold a third of all records, so time is cut into SLICES: within (URL, slice) a
+An as-of join. The most frequent URL may hold a third of all records, so time is cut into slices: within (URL, slice) a
 running maximum of (time, record) of full responses answers most records; the slices' maxima, one row per URL and slice,
 run on over the slices and answer the rest. Bodies and headers come by the answer's record id afterwards, in a join that
 Spark may split where many records took one answer. Everything is built-in functions.
@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Slices of time, at least; as many more as there are shuffle partitions.
 SLICES = 64
 #: Stored headers that a 304 doesn't replace.
 KEPT_HEADERS = ("connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate", "te", "trailer", "transfer-encoding", "upgrade")
@@ -39,24 +40,26 @@ def _tag(headers: Column) -> Column:
     return F.regexp_replace(F.trim(F.try_element_at(headers, F.lit("etag"))), r"^[Ww]/", "")
 
 
-def latest_before(rows: DataFrame, slices: int = SLICES) -> DataFrame:
-    """rows (key, ts long, id, full boolean, and others), with answer: the struct (ts, id) of the latest full row of the key before ts."""
+def latest_before(rows: DataFrame, slices: int | None = None) -> DataFrame:
+    """rows (key, ts long, id, full boolean, and others), with answer: the struct (ts, id) of the latest full row of the key before ts.
+
+    slices: SLICES or twice the shuffle partitions, whichever is more."""
+    slices = slices or max(SLICES, 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     span = rows.where("ts is not null").agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
     low, width = (span["a"], max(1, -(-(span["b"] - span["a"] + 1) // slices))) if span["a"] is not None else (0, 1)
     cut = rows.withColumn("slice__", F.floor((F.col("ts") - F.lit(low)) / F.lit(width)).cast("int"))
     mine = F.when(F.col("full") & F.col("key").isNotNull() & F.col("ts").isNotNull(), F.struct("ts", "id"))
     before = Window.partitionBy("key", "slice__").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
     near = cut.where(F.col("ts").isNotNull() & F.col("key").isNotNull()).withColumn("near__", F.max(mine).over(before))
-    sums = cut.where(mine.isNotNull()).groupBy("key", "slice__").agg(F.max(mine).alias("top__"))
-    over = Window.partitionBy("key").orderBy("slice__").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = sums.withColumn("top__", F.max("top__").over(over)).withColumn("till__", F.coalesce(F.lead("slice__").over(Window.partitionBy("key").orderBy("slice__")), F.lit(slices)))
-    # The running maximum of a slice holds for the later ones up to the next slice that has a full response, itself included.
-    far = sums.select("key", F.explode(F.sequence(F.col("slice__") + 1, F.col("till__"))).alias("slice__"), F.col("top__").alias("far__"))
+    # One row for each slice of a key: what its earlier slices end with.
+    tops = cut.where(F.col("ts").isNotNull() & F.col("key").isNotNull()).groupBy("key", "slice__").agg(F.max(mine).alias("top__"))
+    over = Window.partitionBy("key").orderBy("slice__").rowsBetween(Window.unboundedPreceding, -1)
+    far = tops.select("key", "slice__", F.max("top__").over(over).alias("far__"))
     joined = near.join(far, ["key", "slice__"], "left").withColumn("answer", F.coalesce("near__", "far__")).drop("near__", "far__", "slice__")
     return joined.unionByName(rows.where(F.col("ts").isNull() | F.col("key").isNull()).withColumn("answer", F.lit(None).cast(joined.schema["answer"].dataType)))
 
 
-def resolve(records: DataFrame, slices: int = SLICES) -> DataFrame:
+def resolve(records: DataFrame, slices: int | None = None) -> DataFrame:
     """records: id long, url string, ts long, status int, headers map of lower-case names, body string. One row per record of
     status 304: id, key, outcome, answer_id, headers (merged) and body (both null unless resolved)."""
     base = records.withColumn("key", canonical_url(F.col("url"))).withColumn("full", F.coalesce(F.col("status") == 200, F.lit(False)))
