@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import dropped, narrowed, per_block, ragged, shared_folder, strings, written
@@ -44,13 +44,17 @@ _HEAD = struct.Struct("<8sIQIIIII")  # magic, documents, ids, lanes, checkpoints
 _LOW = np.uint64(1 << 31)
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
+_LETTERS, _SIGNS = np.zeros(256, bool), np.zeros(256, bool)
+_LETTERS[[*range(65, 91), *range(97, 123)]] = True
+_SIGNS[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 
 
-def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+def cut(data: np.ndarray, offsets: np.ndarray, whole: tuple[bytes, ...] = ()) -> tuple[pa.Array, np.ndarray]:
     """Parts that the tokenizer encodes by themselves as within the text, and the n + 1 part offsets of the texts.
 
-    Its expression never takes a character that isn't white space together with white space behind it, so a text may be
-    cut there; and behind a single line feed between two others. White space beyond ASCII is left alone."""
+    Its expression never takes a character that isn't white space together with white space behind it, nor a letter with
+    punctuation behind it, so a text may be cut there; and behind a single line feed between two others. White space beyond
+    ASCII is left alone. whole: strings (special tokens) that aren't cut."""
     n = len(data)
     starts = np.zeros(n + 1, bool)
     starts[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
@@ -63,11 +67,21 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
         starts[1:-1] |= _SPACES[data[1:]] & solid[:-1]
         if n > 2:
             starts[2:-1] |= (data[1:-1] == 10) & solid[:-2] & plain[2:]
+        letter = _LETTERS[data]
+        letter[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)  # Latin letters of two bytes, no signs
+        starts[1:-1] |= letter[:-1] & _SIGNS[data[1:]]
+        raw = data.tobytes() if whole else b""
+        for string in whole:
+            place = raw.find(string)
+            while place >= 0:
+                starts[place + 1 : place + len(string)] = False
+                place = raw.find(string, place + 1)
+        starts[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
     at = np.flatnonzero(starts[:-1])
     return strings(data, at, n), np.searchsorted(at, offsets)
 
 
-#: Distinct parts that a Python worker remembers; then it begins anew.
+#: Distinct parts that a Python worker remembers; then those of the block at hand stay.
 MOST_KNOWN = 800_000
 #: Parts that go to the library in one call.
 STEP = 16_384
@@ -81,16 +95,22 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.forget()
-
-    def forget(self) -> None:
+        self.whole = tuple(x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values())
         self.known: dict[bytes, int] = {}
         self.ids, self.at = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64)
 
+    def forget(self, but: list[bytes]) -> None:
+        """Keeps those of the parts in but that are known, and no others."""
+        kept = [x for x in but if x in self.known]
+        which = np.fromiter(map(self.known.__getitem__, kept), np.int64, len(kept))
+        starts, lengths = self.at[which], self.at[which + 1] - self.at[which]
+        self.ids, self.at = self.ids[ragged(starts, lengths)], np.concatenate([[0], np.cumsum(lengths)])
+        self.known = dict(zip(kept, range(len(kept))))
+
     def parts(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Starts in self.ids and numbers of ids of distinct parts."""
         if len(self.known) + len(parts) > MOST_KNOWN:
-            self.forget()
+            self.forget(parts)
         new = [x for x in parts if x not in self.known]
         for k in range(0, len(new), STEP):
             step, n = new[k : k + STEP], len(self.known)
@@ -115,12 +135,13 @@ def encode_block(path: str, data: np.ndarray, offsets: np.ndarray) -> tuple[np.n
     """Ids of all texts, one after the other, and n + 1 offsets."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
-    parts, texts = cut(data, offsets)
+    own = _ENCODERS[path]
+    parts, texts = cut(data, offsets, own.whole)
     coded = parts.dictionary_encode()
-    starts, lengths = _ENCODERS[path].parts(coded.dictionary.to_pylist())
+    starts, lengths = own.parts(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
     which = coded.indices.to_numpy(zero_copy_only=False)
     each = lengths[which]
-    return _ENCODERS[path].ids[ragged(starts[which], each)], np.concatenate([[0], np.cumsum(each)])[texts]
+    return own.ids[ragged(starts[which], each)], np.concatenate([[0], np.cumsum(each)])[texts]
 
 
 def quantised(counts: np.ndarray) -> np.ndarray:
@@ -340,8 +361,6 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 wide = strings(ids.astype("<u4").view(np.uint8), (ends - lengths) * 4, len(ids) * 4)
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64(), mask=nulls), pa.array(at.astype(np.int64)), pa.array(lengths.astype(np.int64)), wide], names=["doc_id", "start", "n_tokens", "ids"])
 
-    from pyspark.sql import Window
-
     own = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     lead = found.select("part", "block", F.coalesce(F.sum("n_tokens").over(own), F.lit(0)).alias("lead"))
     return found.join(lead, ["part", "block"]).select("part", "lead", "payload").mapInArrow(before, "doc_id long, start long, n_tokens long, ids binary")
