@@ -2,8 +2,8 @@
 
 Texts are cut at white space where the tokenizer's own splitting must cut too, and each distinct part of a block is
 encoded once by the tokenizers library. The ids are kept in a packed table until they are written; their counts over all
-documents give one frequency table (of 2**20 slots) that all blocks share. Documents are dealt by ranges of doc_id and sorted, and each
-range is written as blocks of about BLOCK_TOKENS ids of whole documents. Within a block, id t belongs to lane t % lanes;
+documents give one frequency table (of 2**20 slots) that all blocks share. Documents are dealt by ranges of doc_id
+(and of a hash, should one doc_id have very many rows) and sorted, and each range is written as blocks of about BLOCK_TOKENS ids of whole documents. Within a block, id t belongs to lane t % lanes;
 all lanes' states advance together. A block holds its documents' ids and lengths, the lanes' states at its start and at
 every CHECKPOINT_STEPS steps with the place in the stream (so parts can be decoded apart), a CRC-32 of the ids and one of
 the block itself. Blocks are binary values of Parquet files, so Spark's commit protocol guards the writing.
@@ -11,7 +11,7 @@ the block itself. Blocks are binary values of Parquet files, so Spark's commit p
 A folder holds blocks/ (part, block, n_tokens, payload) and table/ (frequencies with their CRC-32).
 
 Defined results: null text counts as empty and has the end id only; documents stand in ascending doc_id order, null first,
-rows of one doc_id by their ids; an empty table gives an empty folder and no rows; other columns are not read.
+rows of one doc_id in the order of a hash of their ids; an empty table gives an empty folder and no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -326,7 +326,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_c
         if held:
             yield full()
 
-    rows = tokenized.select("doc_id", "ids").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
+    rows = tokenized.select("doc_id", "ids", F.xxhash64("ids").alias("h")).repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h", "ids").drop("h")
     rows.mapInArrow(run, "part long, block long, n_tokens long, payload binary").write.parquet(f"{path}/blocks")
     dropped(tokenized)
 
