@@ -10,8 +10,8 @@ group with exactly the same members. Each (size band, group, members) is a key;
 and each bucket has a tree of its own. No pair that links is lost (an empty group is no key unless a document needs it).
 
 Copies are joined first: equal sets are one class. A bucket whose members are of one component already has nothing to find
-and is left out, so rounds search with growing limits of partners a member (1, 16, 256, then all): the limit sets the order of
-work only, the last round has none. Buckets of more than TILE members are dealt out in pairs of tiles. Links are
+and is left out, so the first rounds search for a few partners a member, and the last one for all that are left: the limit sets
+the order of work only. Buckets of more than TILE members are dealt out in pairs of tiles. Links are
 verified in a join whose hot side is salted by its number of pairs, and components come from minimum labels with
 pointer jumping; all state is in tables of the shared folder.
 
@@ -37,7 +37,7 @@ GROUPS = 64
 BAND = 1.5
 TILE = 2048
 LEAF, FANOUT = 16, 16
-ROUNDS = (1, 16, 256, None)
+ROUNDS = (4, None)
 _M = np.uint64(0xFF51AFD7ED558CCD)
 
 
@@ -242,10 +242,9 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
 
 def _searched(members: DataFrame, most: int | None, measure: Measure) -> DataFrame:
     """members: key, cls, comp, size, point. Distinct pairs a > b of classes that may link."""
-    counted = members.withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("key")))
-    tiles = F.ceil(F.col("many") / F.lit(TILE)).cast("int")
+    tiles = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE)).cast("int").alias("tiles"))
     mine = F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int")
-    dealt = counted.withColumn("tiles", tiles).withColumn("mine", mine)
+    dealt = members.join(tiles, "key").withColumn("mine", mine)
     # Tile t meets each tile: in bucket (min, max) of the two, as half 1 or 2; with itself as half 0.
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     dealt = dealt.select("key", F.least("mine", "other").alias("t1"), F.greatest("mine", "other").alias("t2"), "cls", "comp", "size", "point", F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("half"))
@@ -303,30 +302,38 @@ def _verified(pairs: DataFrame, sets: DataFrame, measure: Measure, heap: int = 5
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """cls and comp, the least class that links reach, of nodes (cls). Minimum labels with pointer jumping, a table a round."""
+    """cls and comp, the least class that links (a, b) reach, of nodes (cls). Minimum labels with pointer jumping, a table a round."""
     both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
-    labels = written(nodes.select("cls", F.col("cls").alias("comp")), "labels")
+    labels = nodes.select("cls", F.col("cls").alias("comp"))
     while True:
         seen = both.join(labels.select(F.col("cls").alias("b"), "comp"), "b").groupBy(F.col("a").alias("cls")).agg(F.min("comp").alias("near"))
         step = labels.join(seen, "cls", "left").select("cls", F.col("comp").alias("was"), F.least("comp", F.coalesce("near", "comp")).alias("comp"))
         jump = labels.select(F.col("cls").alias("comp"), F.col("comp").alias("further"))
         step = step.join(jump, "comp", "left").select("cls", "was", F.least("comp", F.coalesce("further", "comp")).alias("comp"))
         step = written(step, "labels")
-        changed = step.where("was <> comp").limit(1).count()
-        dropped(labels)
         labels = step.select("cls", "comp")
-        if not changed:
+        if step.where("was <> comp").isEmpty():
             dropped(both)
             return labels
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (cls, comp) with links (a, b) taken in: components of the components that they connect."""
+    head = lambda k: labels.select(F.col("cls").alias(k), F.col("comp").alias(f"{k}_"))
+    joined = links.join(head("a"), "a").join(head("b"), "b").select(F.col("a_").alias("a"), F.col("b_").alias("b")).distinct()
+    joined = written(joined, "joined")
+    found = components(joined.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), joined)
+    return labels.join(found.select(F.col("cls").alias("comp"), F.col("comp").alias("now")), "comp", "left").select("cls", F.coalesce("now", "comp").alias("comp"))
+
+
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 90, width: int = 3) -> DataFrame:
     """doc_id, n_shingles and component_id (least doc_id that links reach), one row per row of df."""
     measure, docs = Measure(percent), narrowed(df, id_col, text_col)
     found = written(_profiles(docs, measure, width), "profiles")
     keys = found.where("cls is not null and size(keys) > 0").select("cls", "keys").dropDuplicates(["cls"]).select(F.explode("keys").alias("key"), "cls")
-    own = Window.partitionBy("key")
-    shared = written(keys.withColumn("many", F.count(F.lit(1)).over(own)).where("many > 1").select("key", "cls"), "buckets")
+    # Counts come by aggregates and go back by joins, which Spark may split where a key is hot; a window would hold the key's rows in one task.
+    many = keys.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("key")
+    shared = written(keys.join(many, "key"), "buckets")
     nodes = written(shared.select("cls").distinct(), "classes")
     texts = found.join(nodes, "cls", "left_semi").groupBy(F.col("cls").alias("want")).agg(F.min("doc_id").alias("doc"))
     sets = written(_sets(docs.join(texts, docs["doc_id"].eqNullSafe(texts["doc"])).select("want", "text"), width).dropDuplicates(["cls"]), "sets")
@@ -337,20 +344,18 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     for turn, most in enumerate((1, *ROUNDS)):
         members = (few if turn == 0 else shared).join(labels, "cls")
         if turn:
-            span = Window.partitionBy("key")
-            members = members.withColumn("lo", F.min("comp").over(span)).withColumn("hi", F.max("comp").over(span)).where("lo <> hi").select("key", "cls", "comp")
-            members = written(members, "mixed")
+            unlike = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+            members = written(members.join(unlike, "key"), "mixed")
             shared = members.select("key", "cls")  # components only grow: other buckets are done
         pairs = _searched(members.join(points_of, "cls"), most, measure)
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         checked = written(_verified(written(pairs, "pairs"), sets, measure), "checked")
         tested = checked if tested is None else tested.unionByName(checked)
-        if checked.where("links").limit(1).count():
-            labels = components(nodes, tested.where("links"))
-        elif turn and not checked.limit(1).count() and most is None:
-            break
-        if turn and not members.limit(1).count():
+        if not checked.where("links").isEmpty():
+            links = checked.where("links")
+            labels = written(merged(labels, links), "labels") if turn else components(nodes, links)
+        if turn and members.isEmpty():
             break
     whole = found.select("doc_id", "n", "cls").join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = whole.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
