@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import dropped, narrowed, per_block, ragged, strings, written
@@ -232,8 +232,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     zipped = F.arrays_zip("start", "windows", "dist", "gram", "body")
     each = profile.select("doc_id", "fp", F.explode(zipped).alias("s")).select("doc_id", "fp", "s.*")
     classes = each.groupBy("gram", "body").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start", "windows", "dist")).alias("at"))
-    over = Window.partitionBy("gram")
-    classes = classes.withColumn("all", F.sum("n").over(over)).withColumn("strings", F.count(F.lit(1)).over(over)).where("all > 1")
+    # Sums by gram come by an aggregate and go back by a join, which Spark may split where a gram is hot; a window would hold its rows in one task.
+    grams = classes.groupBy("gram").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("strings")).where("all > 1")
+    classes = classes.join(grams, "gram")
     classes = written(classes.select("gram", "body", F.least("n", F.lit(2)).cast("int").alias("copies"), "strings", "at.*"), "classes")
     want = classes.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_list(F.struct("gram", "body", "copies", "strings", "start", "windows", "dist")).alias("want"))
     bodies = written(_fetched(want.join(docs.select("doc_id", "text"), F.col("doc").eqNullSafe(F.col("doc_id"))).select("want", "text")), "strings")
