@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -207,6 +208,55 @@ def test_leaks(spark):
     assert decontaminate.leaks(df.limit(0), bench).count() == 0 and decontaminate.leaks(df, bench.limit(0)).count() == 0
 
 
+def edited(words, every):
+    """words with each every-th one replaced."""
+    return [f"edit{i}" if i % every == every - 1 else w for i, w in enumerate(words)]
+
+
+@pytest.mark.parametrize("n_docs", [300, 60])
+def test_shared_paraphrase(spark, n_docs):
+    """One copy of an item, about 30 % of its words edited, in a third of all rows; also where 1 % is less than a row."""
+    r = random.Random(12)
+    words = [f"v{i}" for i in range(3000)]
+    items = [(k, " ".join(r.choices(words, k=n))) for k, n in enumerate([30, 45, 60])]
+    copy = items[1][1].split()
+    copy = [w if k % 7 not in (2, 6) else f"edit{k}" for k, w in enumerate(copy)]
+    docs = [(k, " ".join([*r.choices(words, k=40), *(copy if k % 3 == 0 else []), *r.choices(words, k=40)])) for k in range(n_docs)]
+    own = items[1][1].split()
+    assert smith_waterman(own, copy) >= len(own)
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.leaks(df, bench).collect()
+    assert {(x["doc_id"], x["item_id"]) for x in got} == {(k, 1) for k in range(0, n_docs, 3)}
+    assert {x["doc_id"] for x in decontaminate.without_leaks(df, bench).collect()} == {k for k in range(n_docs) if k % 3}
+
+
+def test_windows_lose_nothing(monkeypatch):
+    """With common seeds everywhere, cut and skipped windows give the items and scores of whole texts that hold a seed."""
+    r = random.Random(13)
+    words = [f"c{i}" for i in range(9)] + [f"v{i}" for i in range(60)]
+    draw = lambda n: r.choices(words, [12] * 9 + [1] * 60, k=n)
+    items = [draw(n) for n in (5, 8, 12, 20, 30)]
+    texts = []
+    for k in range(60):
+        t = draw(r.choice([0, 10, 60, 300]))
+        if k % 2:
+            t[len(t) // 2 : len(t) // 2] = edited(items[k % 5], r.choice([4, 5, 7]))
+        texts.append(t)
+    own = decontaminate.Items(list(range(5)), [" ".join(x) for x in items])
+    column = pa.array([" ".join(t) for t in texts], pa.string())
+    whole, (coded, at) = {}, own.numbered(column)
+    for text, item, start, stop in own.windows(coded, at):
+        for x, i, a, b in zip(text.tolist(), item.tolist(), start.tolist(), stop.tolist()):
+            t = texts[x][a - at[x] : b - at[x]]
+            score = smith_waterman(items[i], t) / (2 * len(items[i]))
+            if score >= 0.5:
+                whole[x, i] = max(score, whole.get((x, i), 0))
+    for most in (decontaminate.MOST_WINDOWS, 50):
+        monkeypatch.setattr(decontaminate, "MOST_WINDOWS", most)
+        text, item, score, _, _ = decontaminate.found_in(own, column)
+        assert dict(zip(zip(text.tolist(), item.tolist()), score.tolist())) == whole and len(whole) >= 30
+
+
 def revisit_model(records):
     out = []
     full = [x for x in records if x[3] == 200 and x[1] is not None and x[2] is not None]
