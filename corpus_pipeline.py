@@ -16,13 +16,16 @@ from veriframe.llm import decontaminate, jaccard, pieces, quality, secrets
 from veriframe.llm.common import shared_folder
 from veriframe.llm.queries import table, tokenizer_file
 
+#: Near copies share this much of their runs of so many words; op8_jaccard_join has 90 and 3.
+NEAR_PERCENT, NEAR_WIDTH = 80, 5
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.quality_filter(docs)
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.one_of_each(docs)
+    return jaccard.one_of_each(docs, percent=NEAR_PERCENT, width=NEAR_WIDTH)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -140,6 +140,25 @@ def test_near_copies(spark):
     assert jaccard.jaccard_components(df.limit(0)).count() == 0
 
 
+def test_near_copies_stage(spark):
+    """The pipeline's stage takes runs of five words and 80 %."""
+    import corpus_pipeline
+
+    r = random.Random(14)
+    rows = [x for x in dict(near_rows()).items() if x[0] is not None]
+    base = [f"s{i}" for i in range(100)]
+    longer = [*base, *(f"t{i}" for i in range(15))]
+    twice = [w if k not in (30, 70) else f"u{k}" for k, w in enumerate(base)]
+    apart = [w if k % 10 else f"x{k}" for k, w in enumerate(base)]
+    rows += [(1000 + k, " ".join(w)) for k, w in enumerate([base, longer, twice, apart])]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = component_model(rows, 80, 5)
+    assert key(jaccard.jaccard_components(df, percent=80, width=5).collect()) == want
+    kept = {x["doc_id"] for x in corpus_pipeline.near_copies_stage(spark, df, "").collect()}
+    assert kept == {d for d, _, c in want if d == c} and kept & set(range(1000, 1004)) == {1000, 1003}
+
+
 def test_tree_search():
     r = np.random.default_rng(3)
     point = r.poisson(3, (700, jaccard.GROUPS)).astype(np.int32)
