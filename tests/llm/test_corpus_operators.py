@@ -159,6 +159,21 @@ def test_near_copies_stage(spark):
     assert kept == {d for d, _, c in want if d == c} and kept & set(range(1000, 1004)) == {1000, 1003}
 
 
+def test_one_of_each_row(spark):
+    """Null and repeated ids: each component keeps one row, and rows of other components under the same id stay."""
+    r = random.Random(15)
+    clean, *texts = (" ".join(r.choices([f"w{i}" for i in range(500)], k=60)) for _ in range(5))
+    near = lambda t: t + " end"
+    rows = [(1, texts[0]), (None, texts[0]), (None, near(texts[0])), (5, near(texts[0])), (5, clean)]
+    rows += [(7, texts[1]), (7, near(texts[1])), (7, texts[1].upper())]
+    rows += [(None, texts[2]), (None, near(texts[2])), (None, texts[2]), (None, texts[3]), (None, None), (8, ""), (9, "")]
+    got = [(x["doc_id"], x["text"]) for x in jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    of = lambda t: [x for x in got if x[1] and x[1].lower() in (t, near(t))]
+    assert of(texts[0]) == [(1, texts[0])] and of(clean) == [(5, clean)] and of(texts[3]) == [(None, texts[3])]
+    assert [x[0] for x in of(texts[1])] == [7] and [x[0] for x in of(texts[2])] == [None]
+    assert len(got) == 8 and {(None, None), (8, ""), (9, "")} <= set(got)
+
+
 def test_tree_search():
     r = np.random.default_rng(3)
     point = r.poisson(3, (700, jaccard.GROUPS)).astype(np.int32)

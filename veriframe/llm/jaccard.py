@@ -209,16 +209,17 @@ def bucket_pairs(bucket: np.ndarray, ident: np.ndarray, comp: np.ndarray, size:
 
 
 def _profiles(docs: DataFrame, measure: Measure, width: int) -> DataFrame:
-    """doc_id, n, cls (digest of the set; null if empty), keys."""
+    """doc_id, docs' columns but text, n, cls (digest of the set; null if empty), keys."""
+    more = [k for k in docs.columns if k not in ("doc_id", "text")]
 
     def block(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
         codes, at = sets_of(data, offsets, width)
         keys, ends = routing_keys(codes, at, measure)
         size = np.diff(at)
         digest = pa.array(_digests(codes, at), pa.int64(), mask=size == 0)
-        return pa.RecordBatch.from_arrays([rows.column(0), pa.array(size), digest, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys))], names=["doc_id", "n", "cls", "keys"])
+        return pa.RecordBatch.from_arrays([rows.column(0), *map(rows.column, more), pa.array(size), digest, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys))], names=["doc_id", *more, "n", "cls", "keys"])
 
-    return per_block(docs, block, "doc_id long, n long, cls long, keys array<long>")
+    return per_block(docs, block, ", ".join(["doc_id long", *(f"{k} long" for k in more), "n long, cls long, keys array<long>"]))
 
 
 def _digests(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -326,9 +327,9 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return labels.join(found.select(F.col("cls").alias("comp"), F.col("comp").alias("now")), "comp", "left").select("cls", F.coalesce("now", "comp").alias("comp"))
 
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 90, width: int = 3) -> DataFrame:
-    """doc_id, n_shingles and component_id (least doc_id that links reach), one row per row of df."""
-    measure, docs = Measure(percent), narrowed(df, id_col, text_col)
+def _labelled(docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """docs' columns (doc_id, text and long ones) but text, n, cls and comp (null where the set is empty), one row per row of docs."""
+    measure = Measure(percent)
     found = written(_profiles(docs, measure, width), "profiles")
     keys = found.where("cls is not null and size(keys) > 0").select("cls", "keys").dropDuplicates(["cls"]).select(F.explode("keys").alias("key"), "cls")
     # Counts come by aggregates and go back by joins, which Spark may split where a key is hot; a window would hold the key's rows in one task.
@@ -357,15 +358,24 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             labels = written(merged(labels, links), "labels") if turn else components(nodes, links)
         if turn and members.isEmpty():
             break
-    whole = found.select("doc_id", "n", "cls").join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    return found.drop("keys").join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+
+
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 90, width: int = 3) -> DataFrame:
+    """doc_id, n_shingles and component_id (least doc_id that links reach), one row per row of df."""
+    whole = _labelled(narrowed(df, id_col, text_col), percent, width)
     least = whole.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
     return whole.join(least, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 90, width: int = 3) -> DataFrame:
-    """The rows of df whose doc_id is the least of its component, with all their columns; of repeated rows one stays.
-
-    Documents with an empty set, and rows without doc_id that link with no row that has one, all stay."""
-    found = jaccard_components(df, id_col, text_col, percent, width)
-    gone = found.where("doc_id is null and component_id is not null or doc_id <> component_id").select(F.col("doc_id").alias("gone__id")).distinct()
-    return df.join(gone, df[id_col].cast("long") == gone["gone__id"], "left_anti").dropDuplicates([id_col, text_col])
+    """One row of df of each component, with all its columns: that of the least doc_id; of repeated rows one stays.
+
+    Rows are told apart by doc_id and text (its hash): a component keeps the least doc_id that isn't null, and of its texts under
+    that doc_id, or without any, the one of the least hash. Documents with an empty set all stay."""
+    docs = narrowed(df, id_col, text_col)
+    found = written(_labelled(docs.withColumn("hash", F.xxhash64("text")), percent, width).where("comp is not null").select("doc_id", "hash", "comp").distinct(), "rows")
+    mine = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
+    gone = found.join(found.groupBy("comp").agg(F.min(mine).alias("kept")), "comp").where(~mine.eqNullSafe(F.col("kept"))).select(F.col("doc_id").alias("gone__id"), F.col("hash").alias("gone__hash"))
+    own = F.xxhash64(F.coalesce(df[text_col].cast("string"), F.lit("")))
+    return df.join(gone, (own == gone["gone__hash"]) & df[id_col].cast("long").eqNullSafe(gone["gone__id"]), "left_anti").dropDuplicates([id_col, text_col])
