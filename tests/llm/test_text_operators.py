@@ -116,6 +116,14 @@ def test_expressions(text, worth):
     assert licenses.evaluated(text)[1] == worth
 
 
+def test_short_and_unlisted_identifiers(spark):
+    cases = [("GPL-2.0", "gpl-2.0", 1.0), ("GPL-2.0+", "gpl-2.0+", 1.0), ("GPL-3.0", "gpl-3.0", 1.0), ("LGPL-2.1", "lgpl-2.1", 1.0), ("LGPL-3.0 OR AGPL-3.0", "agpl-3.0,lgpl-3.0", 1.0)]
+    cases += [("LicenseRef-Own", "unlisted", 0.0), ("MIT AND Foo-1.0", "mit,unlisted", 0.0), ("see the file", "", 0.0)]
+    df = spark.createDataFrame([(k, f"SPDX-License-Identifier: {t}\nmore") for k, (t, _, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["base_labels"], r["labels"], r["score"]) for r in licenses.license_scan(df).collect()}
+    assert got == {k: ("", labels, score) for k, (_, labels, score) in enumerate(cases)}
+
+
 def quality_model(text):
     w = re.findall("[^\x20\x09-\x0d]+", text)
     n = len(w)

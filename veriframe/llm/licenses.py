@@ -7,7 +7,8 @@ postfix by the shunting-yard algorithm (WITH before AND before OR) and evaluated
 its worth is the least (AND), most (OR) or left side (WITH) of whether each identifier is known.
 
 Defined results: null text counts as empty; without a label score is 0 and first_word and last_word are null;
-repeated rows each give a row; a null doc_id stays null; a malformed expression gives its known identifiers only.
+repeated rows each give a row; a null doc_id stays null; a malformed expression gives its known identifiers only, a
+well-formed one the label UNLISTED for all others.
 """
 
 from __future__ import annotations
@@ -34,11 +35,18 @@ MORE_PHRASES = {
     "creative commons": "creative-commons",
 }
 TAGS = ("spdx-license-identifier:", "license-expression:")
-#: Identifiers and exceptions that expressions may name.
+#: Identifiers and exceptions that expressions may name, with the short forms that SPDX has given up.
 KNOWN = frozenset(
-    "0bsd agpl-3.0-only agpl-3.0-or-later apache-2.0 artistic-2.0 bsd-2-clause bsd-3-clause bsl-1.0 cc-by-4.0 cc-by-sa-4.0 cc0-1.0 epl-2.0 gpl-2.0-only gpl-2.0-or-later "
-    "gpl-3.0-only gpl-3.0-or-later isc lgpl-2.1-only lgpl-2.1-or-later lgpl-3.0-only lgpl-3.0-or-later mit mpl-2.0 unlicense zlib classpath-exception-2.0 llvm-exception gcc-exception-3.1".split()
+    "0bsd afl-3.0 agpl-1.0 agpl-3.0 agpl-3.0-only agpl-3.0-or-later apache-1.0 apache-1.1 apache-2.0 apsl-2.0 artistic-1.0 artistic-2.0 bsd-1-clause bsd-2-clause bsd-2-clause-patent bsd-3-clause "
+    "bsd-3-clause-clear bsd-4-clause bsl-1.0 busl-1.1 cc-by-2.0 cc-by-2.5 cc-by-3.0 cc-by-4.0 cc-by-nc-4.0 cc-by-nc-nd-4.0 cc-by-nc-sa-4.0 cc-by-nd-4.0 cc-by-sa-2.0 cc-by-sa-2.5 cc-by-sa-3.0 cc-by-sa-4.0 "
+    "cc0-1.0 cddl-1.0 cddl-1.1 cecill-2.1 cpl-1.0 curl ecl-2.0 elastic-2.0 epl-1.0 epl-2.0 eupl-1.1 eupl-1.2 gfdl-1.2 gfdl-1.3 gfdl-1.3-only gfdl-1.3-or-later gpl-1.0 gpl-1.0-only gpl-1.0-or-later "
+    "gpl-2.0 gpl-2.0-only gpl-2.0-or-later gpl-3.0 gpl-3.0-only gpl-3.0-or-later hpnd icu ijg isc lgpl-2.0 lgpl-2.0-only lgpl-2.0-or-later lgpl-2.1 lgpl-2.1-only lgpl-2.1-or-later lgpl-3.0 lgpl-3.0-only "
+    "lgpl-3.0-or-later libpng lppl-1.3c mit mit-0 mpl-1.0 mpl-1.1 mpl-2.0 mpl-2.0-no-copyleft-exception ms-pl ms-rl mulanpsl-2.0 ncsa odbl-1.0 ofl-1.1 openssl osl-3.0 php-3.01 postgresql psf-2.0 python-2.0 "
+    "ruby sspl-1.0 unicode-3.0 unlicense upl-1.0 vim w3c wtfpl x11 zlib zpl-2.1 autoconf-exception-3.0 bison-exception-2.2 classpath-exception-2.0 font-exception-2.0 gcc-exception-2.0 gcc-exception-3.1 "
+    "linux-syscall-note llvm-exception openssl-exception".split()
 )
+#: Label of identifiers in well-formed expressions that aren't known; they are worth nothing.
+UNLISTED = "unlisted"
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -80,12 +88,14 @@ def postfix(expression: str) -> list[str] | None:
 
 
 def evaluated(expression: str) -> tuple[set[str], float]:
-    """Known identifiers that the expression names, and its worth from 0 to 1."""
+    """Known identifiers that the expression names, UNLISTED if it is well-formed and names others, and its worth from 0 to 1."""
     named = [t for t in _TOKEN.findall(expression.lower()) if t not in _RANK and t not in "()"]
     labels = {t for t in named if t.rstrip("+") in KNOWN}
     order = postfix(expression)
     if order is None:
         return labels, 0.5 * bool(labels)
+    if any(t.rstrip("+") not in KNOWN for t in named):
+        labels.add(UNLISTED)
     stack: list[float] = []
     for token in order:
         if token in _RANK:
