@@ -185,19 +185,69 @@ def test_tree_search():
         assert sorted(tree.search(point[i], int(size[i]), measure).tolist()) == np.flatnonzero(measure.links(bound[i], size[i], size)).tolist()
 
 
-def test_tiles():
-    """Pairs of a bucket are the same whole or dealt out in pairs of tiles."""
+def test_forest():
+    """Searches of many entries at once give all pairs of unlike components that the bound allows, and few others are visited."""
     r = np.random.default_rng(4)
-    n, measure = 120, jaccard.Measure(90)
-    point = np.repeat(r.poisson(4, (6, jaccard.GROUPS)), 20, 0).astype(np.int32) + (r.random((n, jaccard.GROUPS)) < 0.02)
-    size, ident, comp, tile = point.sum(1), np.arange(n), np.arange(n), np.arange(n) % 3
-    pairs = lambda rows, half: {(int(ident[rows[a]]), int(ident[rows[b]])) for a, b in zip(*jaccard.bucket_pairs(np.zeros(len(rows), int), ident[rows], comp[rows], size[rows], point[rows], half, None, measure))}
-    whole, dealt = pairs(np.arange(n), np.zeros(n, int)), set()
-    for a in range(3):
-        for b in range(a, 3):
-            rows = np.flatnonzero((tile == a) | (tile == b))
-            dealt |= pairs(rows, np.zeros(len(rows), int) if a == b else np.where(tile[rows] == a, 1, 2))
-    assert whole == dealt and len(whole) > 500
+    n, measure = 600, jaccard.Measure(90)
+    point = np.repeat(r.poisson(4, (30, jaccard.GROUPS)), 20, 0).astype(np.int32) + (r.random((n, jaccard.GROUPS)) < 0.02)
+    size, ident, comp, entry = point.sum(1), r.permutation(n), r.integers(0, 40, n), np.repeat(np.arange(30) // 3, 20)
+    bound = np.minimum(point[:, None], point[None]).sum(2)
+    want = {(int(ident[a]), int(ident[b])) for a, b in np.argwhere(measure.links(bound, size[:, None], size[None]) & (ident[None] < ident[:, None]) & (entry[:, None] == entry[None]) & (comp[:, None] != comp[None]))}
+    built, visited = jaccard.Tree.built, jaccard.Tree.visited
+    a, b = jaccard.tree_pairs(entry, ident, comp, size, point, np.zeros(n, bool), None, measure)
+    assert {(int(ident[x]), int(ident[y])) for x, y in zip(a, b)} == want and len(want) > 1000
+    assert jaccard.Tree.built == built + 1 and 0 < jaccard.Tree.visited - visited < n * n / 4
+    guest = r.random(n) < 0.3
+    a, b = jaccard.tree_pairs(entry, ident, comp, size, point, guest, None, measure)
+    assert {tuple(sorted((int(ident[x]), int(ident[y])))) for x, y in zip(a, b)} == {tuple(sorted((int(ident[x]), int(ident[y])))) for x, y in np.argwhere(measure.links(bound, size[:, None], size[None]) & (entry[:, None] == entry[None]) & (comp[:, None] != comp[None]) & ~(guest[:, None] & guest[None])) if x != y}
+
+
+@pytest.mark.parametrize(("percent", "width"), [(90, 3), (80, 5)])
+def test_entries_lose_nothing(percent, width):
+    """Sets that link have an entry in common, whichever shingles come last; trees find all links of a driver table and made copies."""
+    import pyarrow.parquet as pq
+
+    from veriframe.llm.common import flat
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()
+    codes, at = jaccard.sets_of(*flat(pa.array(texts + [t for _, t in near_rows()], pa.string())), width)
+    measure, size = jaccard.Measure(percent), np.diff(at)
+    sets = [frozenset(codes[a:b].tolist()) for a, b in zip(at[:-1], at[1:])]
+    classes = {s: k for k, s in enumerate(sets) if s}
+    rows = sorted(classes.values())
+    holders = {}
+    for k in rows:
+        for c in sets[k]:
+            holders.setdefault(c, []).append(k)
+    links = {(a, b) for own in holders.values() if len(own) > 1 for a in own for b in own if a < b and 100 * min(size[a], size[b]) >= percent * max(size[a], size[b])}
+    links = {(a, b) for a, b in links if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+    assert len(links) > 50
+    for hot in (np.empty(0, np.uint64), np.sort(np.random.default_rng(1).choice(codes, len(codes) // 3))):
+        keys, ends = jaccard.entries(codes, at, hot, measure)
+        owner = np.repeat(np.arange(len(size)), np.diff(ends))
+        inside = np.isin(owner, rows)
+        owner, entry = owner[inside], np.unique(keys[inside], return_inverse=True)[1]
+        order = np.argsort(entry, kind="stable")
+        owner, entry = owner[order], entry[order]
+        built, visited = jaccard.Tree.built, jaccard.Tree.visited
+        point = jaccard.points(codes, at)
+        a, b = jaccard.tree_pairs(entry, owner, owner, size[owner], point[owner], np.zeros(len(owner), bool), None, measure)
+        assert links <= {(int(min(x)), int(max(x))) for x in zip(owner[a], owner[b])}
+        assert jaccard.Tree.built > built and jaccard.Tree.visited - visited > len(links)
+
+
+def test_large_entries(spark, monkeypatch):
+    """Entries of more members than a tree's are dealt out by size and hash; components stay the same."""
+    r = random.Random(21)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(k, " ".join(w if r.random() > 0.03 else r.choice(base) for w in base[: r.choice([150, 150, 120])])) for k in range(90)]
+    rows += [(90 + k, " ".join(base[:20] + r.choices(base, k=100))) for k in range(20)]
+    monkeypatch.setattr(jaccard, "TILE", 6)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for percent, width in ((90, 3), (80, 5)):
+        assert key(jaccard.jaccard_components(df, percent=percent, width=width).collect()) == component_model(rows, percent, width)
+    monkeypatch.setattr(jaccard, "HOT_LEAST", 2)  # all that is left of the order is shingles in many documents
+    assert key(jaccard.jaccard_components(df).collect()) == component_model(rows)
 
 
 def smith_waterman(a, b):
@@ -359,7 +409,7 @@ def test_pipeline(spark, tmp_path):
             small = {d: t for d, t in before.items() if len(t or "") < 4000}
             assert {d for d in rows if d in small} == {d for d, t in small.items() if quality_model(t or "")[6]}
         elif name == "near_copies":
-            assert set(rows) == {d for d, _, c in component_model(list(before.items())) if d == c}
+            assert set(rows) == {d for d, _, c in component_model(list(before.items()), 80, 5) if d == c}
         elif name == "decontamination":
             items = [r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
             assert all(d not in rows for d, t in before.items() if any(i in t for i in items)) and set(rows) <= set(before)

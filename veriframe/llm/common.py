@@ -97,3 +97,28 @@ def dropped(df: DataFrame) -> None:
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+#: Bits of the filters of maybe_in, which go to every task: 4 MB as rows.
+FILTER_BITS = 1 << 24
+
+
+def maybe_in(df: DataFrame, column: str, other_rows: DataFrame, other: bool = False) -> DataFrame:
+    """Rows of df whose column (a hash, long, not null) may be in other_rows' column of that name; with other, the rest, which is surely not.
+
+    The filter has FILTER_BITS bits whatever the size of either side, so it is broadcast; it only spares rows a shuffle. With many
+    more keys than bits it lets all rows pass, and the join behind it decides alone."""
+    bit = F.pmod(F.col(column), F.lit(FILTER_BITS))
+    word, mask = free_name(df, "word"), free_name(df, "mask")
+    bits = other_rows.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias(word)).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias(mask))
+    own = df.withColumn(word, F.shiftright(bit, 6)).join(F.broadcast(bits), word, "left")
+    there = F.coalesce(F.getbit(F.col(mask), bit.bitwiseAND(F.lit(63)).cast("int")), F.lit(0)) == 1
+    return own.where(~there if other else there).drop(word, mask)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name with so many underscores that no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name

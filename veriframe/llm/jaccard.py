@@ -1,19 +1,22 @@
 """N-gram Jaccard join with count-vector R-trees.
 
 A document's set holds 64-bit hashes of its distinct shingles. Hashing shingles into groups gives a point, the counts by
-group, and the sum of coordinate minima of two points bounds their overlap from above. That bound prunes R-trees of points:
-an inner node keeps the greatest counts and the range of sizes below it. Surviving pairs are verified on the sets.
-
-One tree over all points would send everything to one task, so the groups route first. Sets that link differ in at most
-a ninth of the smaller one's size, and each difference touches one group; hashed into more groups than that, the two have a
-group with exactly the same members. Each (size band, group, members) is a key; documents with a common key form a bucket,
-and each bucket has a tree of its own. No pair that links is lost (an empty group is no key unless a document needs it).
-
-Copies are joined first: equal sets are one class. A bucket whose members are of one component already has nothing to find
-and is left out, so the first rounds search for a few partners a member, and the last one for all that are left: the limit sets
-the order of work only. Buckets of more than TILE members are dealt out in pairs of tiles. Links are
-verified in a join whose hot side is salted by its number of pairs, and components come from minimum labels with
-pointer jumping; all state is in tables of the shared folder.
+group, and the sum of coordinate minima of two points bounds their overlap from above. R-trees of points give the candidates:
+an inner node keeps the greatest counts and the ranges of sizes, components and entries below it, and a search goes down only
+where these allow a link. Candidates are verified on the sets.
+
+One tree over all points would compare each set with most of the collection, as the counts of unrelated texts of one size
+are alike. So a set enters the forest once for each of its entries, and the entry is the leading coordinate of every tree: in
+an order of shingles that all sets share, two sets that link have one of the first shingles in common, of n shingles
+n - ceil(n * percent / 100) + 1. Entries only narrow the search and lose no link. Shingles in many documents come last in that
+order (any order is right; _hot finds them by counts over all documents), so a passage that many texts share makes no large
+entry. An entry also has a size band, of which a set has two, so that one of them is common to sets that link.
+
+Equal sets are one class. Entries of one component have nothing to find, so the first rounds search for a few partners a
+member, and the last one for all that are left: the limit sets the order of work only. An entry of more than TILE members is
+dealt out by hash into trees of its own; in the last round members of other components than the entry's least one are
+sent to each of them. Links are verified in a join whose hot side is salted by its number of pairs, and
+components come from minimum labels with pointer jumping; all state is in tables of the shared folder.
 
 Defined results: null, empty and wordless texts have an empty set, link with nothing, and are their own component; repeated
 rows each give a row; of rows with a null doc_id a component takes the least id that isn't null; other columns are not read.
@@ -26,19 +29,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, narrowed, per_block, ragged, strings, written
+from .common import blocks, dropped, free_name, maybe_in, narrowed, per_block, ragged, strings, written
 from .quality import words_of
 
 GROUPS = 64
-#: Size bands grow by this factor; sizes up to MOST_EQUAL link with equal sets only.
-BAND = 1.5
-TILE = 2048
-LEAF, FANOUT = 16, 16
-ROUNDS = (4, None)
-_M = np.uint64(0xFF51AFD7ED558CCD)
+#: Members of an entry that share a tree at most; trees are built over about BATCH rows of neighbouring entries.
+TILE, BATCH = 2048, 16_384
+LEAF, FANOUT = 8, 16
+#: Partners a member in the rounds of the search; None: all.
+ROUNDS = (1, 4, None)
+#: Shingles in more than one of HOT_SHARE documents (and HOT_LEAST) go last in the order, MOST_HOT of them at most.
+HOT_SHARE, HOT_LEAST, MOST_HOT = 1000, 64, 1 << 17
+_M, _G = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0x9E3779B97F4A7C15)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -46,11 +51,21 @@ def mixed(x: np.ndarray) -> np.ndarray:
     for _ in range(2):
         x ^= x >> np.uint64(33)
         x *= _M
-    return x ^ (x >> np.uint64(29))
+    x ^= x >> np.uint64(29)
+    return x
+
+
+def _in_order(owner: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Order by owner, then code: one sort by owner and leading bits, unless these tie for unequal codes."""
+    bits = int(owner.max(initial=0)).bit_length()
+    lead = (owner.astype(np.uint64) << np.uint64(64 - bits)) | (code >> np.uint64(bits)) if bits else code
+    order = np.argsort(lead)
+    tied = lead[order[1:]] == lead[order[:-1]]
+    return np.lexsort((code, owner)) if (tied & (code[order[1:]] != code[order[:-1]])).any() else order
 
 
-def sets_of(data: np.ndarray, offsets: np.ndarray, width: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each text, one text after the other, and n + 1 offsets."""
+def sets_of(data: np.ndarray, offsets: np.ndarray, width: int = 3, most: np.uint64 | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes (up to most) of each text, one text after the other, and n + 1 offsets."""
     low = data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
     words, doc = words_of(low, offsets)
     n_docs = len(offsets) - 1
@@ -63,13 +78,18 @@ def sets_of(data: np.ndarray, offsets: np.ndarray, width: int = 3) -> tuple[np.n
     pieces = np.where(count == 0, 0, np.maximum(1, count - width + 1))  # a short text is one shingle of all its words
     starts = ragged(first, pieces)
     owner = np.repeat(np.arange(n_docs), pieces)
-    length = np.minimum(width, count[owner])
-    code = length.astype(np.uint64)
+    own = np.concatenate([own, np.zeros(width, np.uint64)])
+    code, at = np.full(len(starts), width, np.uint64), np.cumsum(pieces) - pieces
     for k in range(width):
-        inside = k < length
-        at = np.minimum(starts + k, len(own) - 1)
-        code = np.where(inside, mixed(code * np.uint64(0x9E3779B97F4A7C15) + own[at]), code)
-    order = np.lexsort((code, owner))
+        code = mixed(code * _G + own[starts + k])
+    for row in np.flatnonzero((count > 0) & (count < width)).tolist():
+        value = np.array([count[row]], np.uint64)
+        for k in range(int(count[row])):
+            value = mixed(value * _G + own[first[row] + k : first[row] + k + 1])
+        code[at[row]] = value[0]
+    if most is not None:
+        owner, code = owner[code <= most], code[code <= most]
+    order = _in_order(owner, code)
     code, owner = code[order], owner[order]
     keep = np.ones(len(code), bool)
     keep[1:] = (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])
@@ -83,143 +103,167 @@ class Measure:
         self.percent = percent
         self.most_equal = max(1, -(-percent // (100 - percent)) - 1) if percent < 100 else 2**31  # n / (n + 1) is too little up to here
 
-    def differences(self, size: np.ndarray | int):
-        """Most elements in which a set of this size and a larger one that links differ: union <= size * 100 / percent."""
-        return size * (100 - self.percent) // self.percent
+    def prefix(self, size: np.ndarray) -> np.ndarray:
+        """First shingles of sets, two of which have one in common if the sets link and differ."""
+        return np.where(size > self.most_equal, size * (100 - self.percent) // 100 + 1, 0)
 
-    def band(self, k: int) -> tuple[int, int]:
-        """Least and largest size of the smaller set in band k."""
-        low = int(np.ceil((self.most_equal + 1) * BAND**k))
-        return low, int(np.ceil((self.most_equal + 1) * BAND ** (k + 1))) - 1
+    def counted(self) -> np.uint64:
+        """Hashes up to here are counted to find shingles in many documents: those that prefixes reach, and a half more."""
+        return np.uint64(min(2**64 - 1, 2**64 * 3 * (100 - self.percent) // 200))
+
+    def band(self, size: str) -> Column:
+        """Band of a set's size; sets that link lie in one band or in neighbouring ones."""
+        return F.floor(F.log(F.col(size).cast("double")) / F.lit(1.0001 * float(np.log(100 / self.percent)))).cast("long")
 
     def links(self, both: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return 100 * both >= self.percent * (a + b - both)
 
 
-def routing_keys(codes: np.ndarray, at: np.ndarray, measure: Measure) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all sets, one set after the other, and their n + 1 offsets."""
+def entries(codes: np.ndarray, at: np.ndarray, hot: np.ndarray, measure: Measure) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles of all sets, hot ones (sorted) being last in the order, and their n + 1 offsets."""
     size = np.diff(at)
-    parts: list[tuple[np.ndarray, np.ndarray]] = []
-    k, top = 0, int(size.max(initial=0))
-    while measure.band(k)[0] <= top:
-        low, high = measure.band(k)
-        own = np.flatnonzero((size >= low) & (size * measure.percent <= high * 100))
-        k += 1
-        if not len(own):
-            continue
-        groups = int(measure.differences(high)) + 2
-        members = codes[ragged(at[own], size[own])]
-        owner = np.repeat(np.arange(len(own)), size[own])
-        group = (mixed(members ^ np.uint64(groups)) % np.uint64(groups)).astype(np.int64)
-        cell = owner * groups + group
-        total = np.zeros(len(own) * groups, np.uint64)
-        order = np.argsort(cell, kind="stable")
-        counts = np.bincount(cell, minlength=len(total))
-        filled = np.flatnonzero(counts)
-        total[filled] = np.add.reduceat(mixed(members[order] + np.uint64(0x5851F42D4C957F2D)), (np.cumsum(counts) - counts)[filled])
-        key = mixed(total + mixed(np.tile(np.arange(groups, dtype=np.uint64), len(own)) + np.uint64(k << 32)) + counts.astype(np.uint64))
-        # Groups that aren't empty do, if there are more of them than differences.
-        needs = np.repeat((counts > 0).reshape(len(own), groups).sum(1) <= measure.differences(size[own]), groups)
-        keep = (counts > 0) | needs
-        parts.append((np.repeat(own, groups)[keep], key[keep]))
-    if not parts:
-        return np.empty(0, np.int64), np.zeros(len(size) + 1, np.int64)
-    owner, key = (np.concatenate(x) for x in zip(*parts))
-    order = np.argsort(owner, kind="stable")
-    return key[order].view(np.int64), np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(size)))])
+    owner = np.repeat(np.arange(len(size)), size)
+    late = np.zeros(len(codes), bool)
+    if len(hot) and len(codes):
+        late = hot[np.minimum(np.searchsorted(hot, codes), len(hot) - 1)] == codes
+    early = np.concatenate([[0], np.cumsum(~late)])
+    before = early[:-1] - early[at[:-1]][owner]  # of the set's others that come first, those that aren't hot
+    rank = np.where(late, (early[at[1:]] - early[at[:-1]])[owner] + np.arange(len(codes)) - at[:-1][owner] - before, before)
+    keep = rank < measure.prefix(size)[owner]
+    return codes[keep].view(np.int64), np.concatenate([[0], np.cumsum(keep)])[at]
 
 
 def points(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Counts by group, a row a set."""
     owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    group = (codes >> np.uint64(58)).astype(np.int64)
+    group = (mixed(codes) >> np.uint64(58)).astype(np.int64)
     return np.bincount(owner * GROUPS + group, minlength=(len(at) - 1) * GROUPS).reshape(-1, GROUPS).astype(np.int32)
 
 
 class Tree:
-    """An R-tree of points, packed along a curve of their leading coordinates: levels of greatest counts and size ranges."""
+    """An R-tree of points, packed in order of entry, size and leading counts. A level has for each node the greatest counts and
+    the least and greatest entry, size and component below it. built and visited count trees and the nodes that searches reach."""
+
+    built = visited = 0
 
-    def __init__(self, point: np.ndarray, size: np.ndarray):
-        self.order = np.lexsort((*(point[:, k] for k in range(3)), size))
-        top, low, high = point[self.order], size[self.order], size[self.order]
-        self.levels = [(top, low, high)]
+    def __init__(self, point: np.ndarray, size: np.ndarray, entry: np.ndarray | None = None, comp: np.ndarray | None = None):
+        entry = np.zeros(len(size), np.int64) if entry is None else entry
+        comp = np.arange(len(size)) if comp is None else comp
+        self.order = np.lexsort((*(point[:, k] for k in range(3)), size, entry))
+        top, *ends = point[self.order], *(x for own in (entry, size, comp) for x in (own[self.order],) * 2)
+        self.levels = [(top, *ends)]
         width = LEAF
         while len(top) > 1:
             cuts = np.arange(0, len(top), width)
-            top, low, high = np.maximum.reduceat(top, cuts), np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts)
-            self.levels.append((top, low, high))
+            top = np.maximum.reduceat(top, cuts)
+            ends = [(np.maximum if k % 2 else np.minimum).reduceat(x, cuts) for k, x in enumerate(ends)]
+            self.levels.append((top, *ends))
             width = FANOUT
+        Tree.built += 1
 
-    def search(self, point: np.ndarray, size: int, measure: Measure) -> np.ndarray:
-        """Points (numbers as given) that may link with the one asked for."""
-        at = np.zeros(1, np.int64)
+    def pairs(self, point: np.ndarray, size: np.ndarray, entry: np.ndarray, comp: np.ndarray, measure: Measure, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of searches and of points as given, which have the same entry, differ in component, and may link.
+
+        The searches go down together, level by level; most: nodes whose counts are summed at once."""
+        ask, at = np.arange(len(size)), np.zeros(len(size), np.int64)
         for depth in range(len(self.levels) - 1, -1, -1):
-            top, low, high = self.levels[depth]
-            fits = (low[at] * measure.percent <= 100 * size) & (100 * high[at] >= measure.percent * size)
-            at = at[fits]
-            bound = np.minimum(np.minimum(top[at], point).sum(1), np.minimum(size, high[at]))
-            at = at[measure.links(bound, size, low[at])]
+            top, entry0, entry1, low, high, comp0, comp1 = self.levels[depth]
+            fits = (entry0[at] <= entry[ask]) & (entry[ask] <= entry1[at]) & ~((comp0[at] == comp1[at]) & (comp0[at] == comp[ask]))
+            ask, at = ask[fits], at[fits]
+            fits = (low[at] * measure.percent <= 100 * size[ask]) & (100 * high[at] >= measure.percent * size[ask])
+            ask, at = ask[fits], at[fits]
+            Tree.visited += len(at)
+            fits = np.empty(len(at), bool)
+            for k in range(0, len(at), most):
+                a, x = at[k : k + most], ask[k : k + most]
+                both = np.minimum(np.minimum(top[a], point[x]).sum(1), np.minimum(size[x], high[a]))
+                fits[k : k + most] = measure.links(both, size[x], np.maximum(low[a], both))
+            ask, at = ask[fits], at[fits]
             if depth:
                 width = LEAF if depth == 1 else FANOUT
-                at = (at[:, None] * width + np.arange(width)).ravel()
-                at = at[at < len(self.levels[depth - 1][0])]
-        return self.order[at]
-
-
-def bucket_pairs(bucket: np.ndarray, ident: np.ndarray, comp: np.ndarray, size: np.ndarray, point: np.ndarray, half: np.ndarray, most: int | None, measure: Measure) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (row numbers) of one bucket and different components that may link; of each member the most least partners at
-    most. Rows come by bucket. half: of a pair of two tiles 1 and 2 (only pairs across count), else 0."""
-    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.empty(0, np.int64)
-    counts = np.diff(np.append(cuts, len(bucket)))
-    small = counts <= LEAF  # trees of one leaf, all of them at once
-    first, second = [], []
-    start, count = cuts[small], counts[small]
-    owner = ragged(start, count)
-    many = np.repeat(count, count)
-    a = np.repeat(owner, many)
-    b = ragged(np.repeat(start, count), many)
-    keep = (ident[b] < ident[a]) & (comp[a] != comp[b]) & ((half[a] == 0) | (half[a] != half[b]))
-    a, b = a[keep], b[keep]
-    if len(a):
-        for k in range(0, len(a), 200_000):
-            x, y = a[k : k + 200_000], b[k : k + 200_000]
-            fits = measure.links(np.minimum(point[x], point[y]).sum(1), size[x], size[y])
-            first.append(x[fits])
-            second.append(y[fits])
-    for start, count in zip(cuts[~small].tolist(), counts[~small].tolist()):
-        own = slice(start, start + count)
-        tree = Tree(point[own], size[own])
-        for i in range(start, start + count):
-            near = start + tree.search(point[i], size[i], measure)
-            near = near[(ident[near] < ident[i]) & (comp[near] != comp[i]) & ((half[near] == 0) | (half[near] != half[i]))]
-            if most is not None and len(near) > most:
-                near = near[np.argsort(ident[near], kind="stable")[:most]]
-            first.append(np.full(len(near), i))
-            second.append(near)
-    if not first:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    a, b = np.concatenate(first), np.concatenate(second)
-    if most is not None and len(a):
-        order = np.lexsort((ident[b], a))
-        a, b = a[order], b[order]
-        starts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-        rank = np.arange(len(a)) - np.repeat(starts, np.diff(np.append(starts, len(a))))
-        a, b = a[rank < most], b[rank < most]
-    return a, b
+                ask, at = np.repeat(ask, width), (at[:, None] * width + np.arange(width)).ravel()
+                inside = at < len(self.levels[depth - 1][0])
+                ask, at = ask[inside], at[inside]
+        return ask, self.order[at]
+
+    def search(self, point: np.ndarray, size: int, measure: Measure) -> np.ndarray:
+        """Points (numbers as given) that may link with the one asked for."""
+        return self.pairs(point[None], np.array([size]), self.levels[-1][1][:1], np.array([-1]), measure)[1]
+
+
+def tree_pairs(entry: np.ndarray, ident: np.ndarray, comp: np.ndarray, size: np.ndarray, point: np.ndarray, guest: np.ndarray, most: int | None, measure: Measure) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row numbers) of one entry and different components that may link, from a tree of the rows that aren't guests.
+    Members search for those of lesser ident, guests for all; of each search the most least partners at most."""
+    own = np.flatnonzero(~guest)
+    if not len(own):
+        return own, own
+    tree, found = Tree(point[own], size[own], entry[own], comp[own]), []
+    for k in range(0, len(ident), 2048):
+        a, b = tree.pairs(point[k : k + 2048], size[k : k + 2048], entry[k : k + 2048], comp[k : k + 2048], measure)
+        a, b = a + k, own[b]
+        keep = guest[a] | (ident[b] < ident[a])
+        a, b = a[keep], b[keep]
+        if most is not None and len(a):
+            order = np.lexsort((ident[b], a))
+            a, b = a[order], b[order]
+            starts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+            rank = np.arange(len(a)) - np.repeat(starts, np.diff(np.append(starts, len(a))))
+            a, b = a[rank < most], b[rank < most]
+        found.append((a, b))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _hot(docs: DataFrame, measure: Measure, width: int) -> np.ndarray:
+    """Shingles in many documents, sorted: each task counts its own and sends those that reach the share there, so one that
+    reaches it over all documents is sent by a task. They set the order of shingles, which no result depends on."""
+    most, share = measure.counted(), HOT_SHARE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, count, n, seen = np.empty(0, np.uint64), np.empty(0, np.int64), 0, set()
+        held: list[np.ndarray] = []
+
+        def compacted() -> tuple[np.ndarray, np.ndarray]:
+            both, add = np.concatenate([code, *held]), np.concatenate([count, np.ones(sum(map(len, held)), np.int64)])
+            order = np.argsort(both)
+            both = both[order]
+            first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.empty(0, np.int64)
+            return both[first], np.add.reduceat(add[order], first) if len(first) else first
+
+        for _, data, offsets in blocks(batches):
+            codes, at = sets_of(data, offsets, width, most)
+            new = [k for k, x in enumerate(_digests(codes, at).tolist()) if not (x in seen or seen.add(x))]  # copies count once a task
+            held.append(codes[ragged(at[:-1][new], np.diff(at)[new])])
+            n += len(offsets) - 1
+            if sum(map(len, held)) > 1 << 21:
+                code, count = compacted()
+                held = []
+                if len(code) > 1 << 21:
+                    code, count = code[count > 1], count[count > 1]
+        code, count = compacted()
+        keep = (count > 1) & (count * share >= n)
+        yield pa.RecordBatch.from_arrays([pa.array(code[keep].view(np.int64)), pa.array(count[keep])], names=["code", "n"])
+
+    n_docs = docs.count()
+    found = docs.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    found = found.where(F.col("n") > max(HOT_LEAST, n_docs // HOT_SHARE)).orderBy(F.desc("n"), "code").limit(MOST_HOT)
+    return np.sort(np.array([r["code"] for r in found.collect()], np.int64).view(np.uint64))
 
 
 def _profiles(docs: DataFrame, measure: Measure, width: int) -> DataFrame:
-    """doc_id, docs' columns but text, n, cls (digest of the set; null if empty), keys."""
-    more = [k for k in docs.columns if k not in ("doc_id", "text")]
+    """doc_id, fp, n, cls (digest of the set; null if empty) and keys (entries; none if the task has sent the class's before)."""
+    hot = docs.sparkSession.sparkContext.broadcast(_hot(docs, measure, width))
 
-    def block(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
-        codes, at = sets_of(data, offsets, width)
-        keys, ends = routing_keys(codes, at, measure)
-        size = np.diff(at)
-        digest = pa.array(_digests(codes, at), pa.int64(), mask=size == 0)
-        return pa.RecordBatch.from_arrays([rows.column(0), *map(rows.column, more), pa.array(size), digest, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys))], names=["doc_id", *more, "n", "cls", "keys"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for rows, data, offsets in blocks(batches):
+            codes, at = sets_of(data, offsets, width)
+            keys, ends = entries(codes, at, hot.value, measure)
+            size, cls = np.diff(at), _digests(codes, at)
+            new = np.array([not (x in seen or seen.add(x)) for x in cls.tolist()], bool)
+            keys, ends = keys[np.repeat(new, np.diff(ends))], np.concatenate([[0], np.cumsum(np.diff(ends) * new)])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(size), pa.array(cls, pa.int64(), mask=size == 0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys))], names=["doc_id", "fp", "n", "cls", "keys"])
 
-    return per_block(docs, block, ", ".join(["doc_id long", *(f"{k} long" for k in more), "n long, cls long, keys array<long>"]))
+    return docs.select("doc_id", "text", "fp").mapInArrow(run, "doc_id long, fp long, n long, cls long, keys array<long>")
 
 
 def _digests(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -228,57 +272,59 @@ def _digests(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """cls, size, point and codes (binary) of rows with want (a class)."""
+    """cls, size, point (16-bit counts; the greatest stands for itself and all above) and codes (binary) of rows with want (a class)."""
 
     def block(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
         codes, at = sets_of(data, offsets, width)
         same = _digests(codes, at) == rows.column(0).to_numpy(zero_copy_only=False)
-        point = points(codes, at).astype("<i4").view(np.uint8).reshape(-1)
+        point = np.minimum(points(codes, at), 2**16 - 1).astype("<u2").view(np.uint8).reshape(-1)
         n = rows.num_rows
-        out = [rows.column(0), pa.array(np.diff(at)), strings(point, np.arange(n) * 4 * GROUPS, n * 4 * GROUPS), strings(codes.astype("<u8").view(np.uint8), at[:-1] * 8, int(at[-1]) * 8)]
+        out = [rows.column(0), pa.array(np.diff(at)), strings(point, np.arange(n) * 2 * GROUPS, n * 2 * GROUPS), strings(codes.astype("<u8").view(np.uint8), at[:-1] * 8, int(at[-1]) * 8)]
         return pa.RecordBatch.from_arrays(out, names=["cls", "size", "point", "codes"]).filter(pa.array(same))
 
     return per_block(docs, block, "cls long, size long, point binary, codes binary")
 
 
-def _searched(members: DataFrame, most: int | None, measure: Measure) -> DataFrame:
-    """members: key, cls, comp, size, point. Distinct pairs a > b of classes that may link."""
-    tiles = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE)).cast("int").alias("tiles"))
-    mine = F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int")
-    dealt = members.join(tiles, "key").withColumn("mine", mine)
-    # Tile t meets each tile: in bucket (min, max) of the two, as half 1 or 2; with itself as half 0.
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select("key", F.least("mine", "other").alias("t1"), F.greatest("mine", "other").alias("t2"), "cls", "comp", "size", "point", F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("half"))
-    dealt = dealt.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2", "cls")
+def _searched(members: DataFrame, points_of: DataFrame, most: int | None, measure: Measure) -> DataFrame:
+    """members: key, cls, comp. Pairs a > b of classes that may link."""
+    large = members.groupBy("key").agg(F.count(F.lit(1)).alias("all"), F.min("comp").alias("home")).where(F.col("all") > TILE)
+    tiles = written(large.select("key", "home", F.ceil(F.col("all") / F.lit(TILE)).cast("int").alias("tiles")), "tiles")
+    mine = F.pmod(F.xxhash64("cls"), F.coalesce("tiles", F.lit(1))).cast("int")
+    rows = members.join(tiles, "key", "left").select("key", mine.alias("tile"), "cls", "comp", F.lit(False).alias("guest"))
+    if most is None:  # members of an entry's home component are found by the others
+        away = members.join(tiles, "key").where("comp <> home").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        rows = rows.unionByName(away.where(F.col("tile") != mine).select("key", "tile", "cls", "comp", F.lit(True).alias("guest")))
+    dealt = rows.join(points_of, "cls").select("key", "tile", "cls", "comp", "guest", "size", "point")
+    dealt = dealt.repartition("key", "tile").sortWithinPartitions("key", "tile")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-
         def search(table: pa.Table) -> pa.RecordBatch:
             take = lambda k: table.column(k).combine_chunks().to_numpy(zero_copy_only=False)
-            key, t1, t2, ident, comp, size, half = (take(k) for k in ("key", "t1", "t2", "cls", "comp", "size", "half"))
-            point = np.frombuffer(b"".join(table.column("point").to_pylist()), "<i4").reshape(-1, GROUPS)
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (t1[1:] != t1[:-1]) | (t2[1:] != t2[:-1])
-            a, b = bucket_pairs(np.cumsum(new), ident, comp, size, point, half, most, measure)
-            return pa.RecordBatch.from_arrays([pa.array(ident[a]), pa.array(ident[b])], names=["a", "b"])
-
-        for batch in batches:  # whole buckets together; the last one of a batch may go on
+            key, tile, ident, comp, guest, size = (take(k) for k in ("key", "tile", "cls", "comp", "guest", "size"))
+            point = np.frombuffer(b"".join(table.column("point").to_pylist()), "<u2").reshape(-1, GROUPS).astype(np.int32)
+            point[point == 2**16 - 1] = 2**24  # so many at least
+            new = np.zeros(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])
+            a, b = tree_pairs(np.cumsum(new), ident, comp, size, point, guest, most, measure)
+            both = np.unique(np.stack([np.maximum(ident[a], ident[b]), np.minimum(ident[a], ident[b])]), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+
+        held, n = [], 0
+        for batch in batches:  # whole trees' rows together: the last tree's rows of a batch may go on
             if not batch.num_rows:
                 continue
-            table = pa.Table.from_batches([batch])
-            tail = [(batch.column(k)[-1].as_py()) for k in range(3)]
-            same = np.logical_and.reduce([batch.column(k).to_numpy(zero_copy_only=False) == tail[k] for k in range(3)])
-            open_at = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-            if open_at:
-                yield search(pa.concat_tables([*held, table.slice(0, open_at)]))
-                held = []
-            elif held and [held[-1].column(k)[-1].as_py() for k in range(3)] != tail:
-                yield search(pa.concat_tables(held))
-                held = []
-            held.append(table.slice(open_at))
+            if n + batch.num_rows >= BATCH:
+                lead = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(2)])
+                if held:
+                    lead = np.concatenate([[[held[-1].column(k)[-1].as_py()] for k in range(2)], lead], axis=1)
+                new = np.flatnonzero((lead[:, 1:] != lead[:, :-1]).any(0)) + (not held)
+                if len(new):
+                    yield search(pa.Table.from_batches([*held, batch.slice(0, int(new[-1]))]))
+                    held, n, batch = [], 0, batch.slice(int(new[-1]))
+            held.append(batch)
+            n += batch.num_rows
         if held:
-            yield search(pa.concat_tables(held))
+            yield search(pa.Table.from_batches(held))
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
@@ -327,28 +373,41 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return labels.join(found.select(F.col("cls").alias("comp"), F.col("comp").alias("now")), "comp", "left").select("cls", F.coalesce("now", "comp").alias("comp"))
 
 
+def _mixed(rows: DataFrame, of: str) -> DataFrame:
+    """Keys whose rows differ in a column. They come by an aggregate and go back by a join, which Spark may split where a key
+    is hot; a window would hold the key's rows in one task."""
+    return rows.groupBy("key").agg(F.min(of).alias("lo"), F.max(of).alias("hi")).where("lo <> hi").select("key")
+
+
+def _few(shared: DataFrame, turn: int) -> DataFrame:
+    """Two entries of each class, others each turn: they find most links."""
+    by = F.xxhash64("key", F.lit(turn))
+    few = shared.groupBy("cls").agg(F.array_distinct(F.array(F.min_by("key", by), F.max_by("key", by))).alias("k"))
+    return few.select(F.explode("k").alias("key"), "cls")
+
+
 def _labelled(docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """docs' columns (doc_id, text and long ones) but text, n, cls and comp (null where the set is empty), one row per row of docs."""
+    """doc_id, fp, n, cls and comp (null where the set is empty) of docs (doc_id, text, fp), one row per row."""
     measure = Measure(percent)
     found = written(_profiles(docs, measure, width), "profiles")
-    keys = found.where("cls is not null and size(keys) > 0").select("cls", "keys").dropDuplicates(["cls"]).select(F.explode("keys").alias("key"), "cls")
-    # Counts come by aggregates and go back by joins, which Spark may split where a key is hot; a window would hold the key's rows in one task.
-    many = keys.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("key")
-    shared = written(keys.join(many, "key"), "buckets")
+    keys = found.where("cls is not null").select(F.explode("keys").alias("key"), "cls", "n")
+    shared = keys.join(_mixed(keys, "cls"), "key").distinct()
+    # An entry is a shingle and one of two size bands: sets that link have a band in common, and most other sets with that shingle none.
+    slot = lambda k: F.xxhash64("key", measure.band("n") + k)
+    shared = shared.select("cls", F.explode(F.array(slot(0), slot(1))).alias("key"))
+    shared = written(shared.join(_mixed(shared, "cls"), "key"), "shared")
     nodes = written(shared.select("cls").distinct(), "classes")
-    texts = found.join(nodes, "cls", "left_semi").groupBy(F.col("cls").alias("want")).agg(F.min("doc_id").alias("doc"))
-    sets = written(_sets(docs.join(texts, docs["doc_id"].eqNullSafe(texts["doc"])).select("want", "text"), width).dropDuplicates(["cls"]), "sets")
+    first = found.join(nodes, "cls", "left_semi").groupBy(F.col("cls").alias("want")).agg(F.min(F.struct("doc_id", "fp")).alias("row"))
+    texts = written(first.select("want", F.xxhash64("row.doc_id", "row.fp").alias("rk")), "wanted")
+    rows = maybe_in(docs.select("text", F.xxhash64("doc_id", "fp").alias("rk")), "rk", texts)
+    sets = written(_sets(rows.join(texts, "rk").dropDuplicates(["rk", "want"]).select("want", "text"), width), "sets")
     points_of = sets.select("cls", "size", "point")
-    # To begin with, three buckets a class find most links; later rounds take all whose members differ in component.
-    few = shared.withColumn("k", F.row_number().over(Window.partitionBy("cls").orderBy("key"))).where("k <= 3").select("key", "cls")
     labels, tested = nodes.select("cls", F.col("cls").alias("comp")), None
-    for turn, most in enumerate((1, *ROUNDS)):
-        members = (few if turn == 0 else shared).join(labels, "cls")
-        if turn:
-            unlike = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-            members = written(members.join(unlike, "key"), "mixed")
-            shared = members.select("key", "cls")  # components only grow: other buckets are done
-        pairs = _searched(members.join(points_of, "cls"), most, measure)
+    for turn, most in enumerate(ROUNDS):
+        members = (shared if most is None else _few(shared, turn)).join(labels, "cls")
+        if turn:  # components only grow: entries of one component are done
+            members = written(members.join(_mixed(members, "comp"), "key"), "mixed")
+        pairs = _searched(members, points_of, most, measure)
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         checked = written(_verified(written(pairs, "pairs"), sets, measure), "checked")
@@ -356,14 +415,12 @@ def _labelled(docs: DataFrame, percent: int, width: int) -> DataFrame:
         if not checked.where("links").isEmpty():
             links = checked.where("links")
             labels = written(merged(labels, links), "labels") if turn else components(nodes, links)
-        if turn and members.isEmpty():
-            break
     return found.drop("keys").join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 90, width: int = 3) -> DataFrame:
     """doc_id, n_shingles and component_id (least doc_id that links reach), one row per row of df."""
-    whole = _labelled(narrowed(df, id_col, text_col), percent, width)
+    whole = _labelled(narrowed(df, id_col, text_col).withColumn("fp", F.xxhash64("text")), percent, width)
     least = whole.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
     return whole.join(least, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
@@ -372,10 +429,16 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     """One row of df of each component, with all its columns: that of the least doc_id; of repeated rows one stays.
 
     Rows are told apart by doc_id and text (its hash): a component keeps the least doc_id that isn't null, and of its texts under
-    that doc_id, or without any, the one of the least hash. Documents with an empty set all stay."""
-    docs = narrowed(df, id_col, text_col)
-    found = written(_labelled(docs.withColumn("hash", F.xxhash64("text")), percent, width).where("comp is not null").select("doc_id", "hash", "comp").distinct(), "rows")
-    mine = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
-    gone = found.join(found.groupBy("comp").agg(F.min(mine).alias("kept")), "comp").where(~mine.eqNullSafe(F.col("kept"))).select(F.col("doc_id").alias("gone__id"), F.col("hash").alias("gone__hash"))
-    own = F.xxhash64(F.coalesce(df[text_col].cast("string"), F.lit("")))
-    return df.join(gone, (own == gone["gone__hash"]) & df[id_col].cast("long").eqNullSafe(gone["gone__id"]), "left_anti").dropDuplicates([id_col, text_col])
+    that doc_id, or without any, the one of the least hash. Documents with an empty set all stay, but for repeated rows."""
+    docs = narrowed(df, id_col, text_col).withColumn("fp", F.xxhash64("text"))
+    found = written(_labelled(docs, percent, width).groupBy("doc_id", "fp", "comp").agg(F.count(F.lit(1)).alias("rows")), "rows")
+    mine = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")
+    kept = found.where("comp is not null").groupBy("comp").agg(F.min(mine).alias("kept"))
+    gone = found.join(kept, "comp", "left").withColumn("goes", F.col("kept").isNotNull() & ~mine.eqNullSafe(F.col("kept")))
+    rk, goes = free_name(df, "rk"), free_name(df, "goes")
+    # Most rows are neither copies nor repeated: only those that may be are shuffled.
+    acts = written(gone.where("goes or rows > 1").select(F.xxhash64("doc_id", "fp").alias(rk), F.col("goes").alias(goes)), "acts")
+    own = F.xxhash64(df[id_col].cast("long"), F.xxhash64(F.coalesce(df[text_col].cast("string"), F.lit(""))))
+    rows = df.withColumn(rk, own)
+    touched = maybe_in(rows, rk, acts).join(acts, rk, "left").where(F.coalesce(~F.col(goes), F.lit(True))).drop(goes).dropDuplicates([rk, id_col, text_col])
+    return maybe_in(rows, rk, acts, other=True).unionByName(touched).select(*df.columns)
