@@ -50,10 +50,25 @@ def copied():
     return [*rows, rows[2], rows[2], (None, text(500)), (None, docs[7])]
 
 
-def test_substrings(spark, copied):
+def test_substrings(spark, copied, monkeypatch):
     df = spark.createDataFrame(copied, "doc_id long, text string").repartition(3).withColumns({c: F.lit(1) for c in CLASH})
-    assert key(substrings.without_repeats(df).collect()) == removed_model(copied)
+    want = removed_model(copied)
+    assert key(substrings.without_repeats(df).collect()) == want
     assert substrings.without_repeats(df.limit(0)).count() == 0
+    for most in (("MOST_STRINGS",), ("MOST_STRINGS", "MOST_SPLIT")):  # all grams of several strings in four classes; in single windows
+        for name in most:
+            monkeypatch.setattr(substrings, name, 1)
+        assert key(substrings.without_repeats(df).collect()) == want
+
+
+def test_substrings_without_ids(spark):
+    """Rows without an id and repeated rows stand for themselves."""
+    r = random.Random(41)
+    text = lambda n: "".join(r.choices("abcdefgh ", k=n))
+    shared = text(450)
+    rows = [(None, text(300) + shared + text(100 + k)) for k in range(60)] + [(None, text(900)) for _ in range(60)] + [(7, text(900))] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert key(substrings.without_repeats(df).collect()) == removed_model(rows)
 
 
 def test_split_groups(monkeypatch, copied):
@@ -268,7 +283,7 @@ def test_alignment():
         assert got[0] == smith_waterman(a, b)
 
 
-def test_leaks(spark):
+def test_leaks(spark, monkeypatch):
     r = random.Random(9)
     words = [f"v{i}" for i in range(3000)]
     items = [(k, " ".join(r.choices(words, k=r.choice([12, 30, 60])))) for k in range(20)] + [(20, "uniqueone"), (21, "two uniques"), (22, ""), (23, None), (None, "null item has words enough to be found here")]
@@ -290,6 +305,32 @@ def test_leaks(spark):
     left = decontaminate.without_leaks(df, bench)
     assert left.columns == df.columns and {x["doc_id"] for x in left.collect()} == {d for d, _ in docs} - {d for d, _ in got}
     assert decontaminate.leaks(df.limit(0), bench).count() == 0 and decontaminate.leaks(df, bench.limit(0)).count() == 0
+    whole = key(decontaminate.leaks(df, bench).collect())
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 0)  # the same by joins
+    assert key(decontaminate.leaks(df, bench).collect()) == whole
+    assert key(decontaminate.without_leaks(df, bench).collect()) == key(left.collect())
+
+
+def test_leaks_brute_force(spark):
+    """Every document against every item: alignments of whole texts, where the two share a seed."""
+    r = random.Random(31)
+    words = [f"w{i}" for i in range(150)]
+    items = [(k, r.choices(words, k=r.choice([5, 9, 20, 40]))) for k in range(12)]
+    docs = []
+    for k in range(60):
+        text = r.choices(words, k=r.choice([0, 3, 40, 150]))
+        if k % 2:
+            own = [w if r.random() > r.choice([0, 0.2, 0.35]) else r.choice(words) for w in items[k % 12][1]]
+            text[len(text) // 2 : len(text) // 2] = [w for w in own if r.random() > 0.05]
+        docs.append((k, text))
+    docs.append((60, r.choices(words, k=20_000) + items[3][1]))
+    runs = lambda w: {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+    score = lambda item, text: smith_waterman(item, text) / (2 * len(item))
+    want = {(d, i): score(item, t) for d, t in docs[:60] for i, item in items if runs(item) & runs(t)}
+    want = {k: s for k, s in want.items() if s >= 0.5}
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in docs], "doc_id long, text string").repartition(3)
+    got = {(x["doc_id"], x["item_id"]): x["score"] for x in decontaminate.leaks(df, spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string")).collect()}
+    assert {k: s for k, s in got.items() if k[0] < 60} == pytest.approx(want) and len(want) > 20 and got[60, 3] == 1
 
 
 def edited(words, every):
