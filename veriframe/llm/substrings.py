@@ -12,7 +12,9 @@ lined up by their gram have equal windows in the same column, and only suffixes
 the number of strings, and the rounds are WINDOW + WINDOW - GRAM. Segments whose gram occurs once in the whole collection have
 no partner and stay out; equal segments go in twice at most. Columns of a large batch lie in a file that is read once from
 its start. A gram with more than MOST_STRINGS different segments is split: windows in four classes of distance have three
-quarters of their bytes in common, and that core's hash joins the key.
+quarters of their bytes in common, and that core's hash joins the key. A gram with more than MOST_SPLIT, such as that of a notice with
+as many different neighbours, is split down to single windows, which need no order: equal windows meet by a 128-bit hash in an
+aggregate that combines before the shuffle, so no task holds all strings of a gram.
 
 Defined results: null text counts as empty; texts shorter than WINDOW lose nothing; repeated rows are documents of their own
 (so their text occurs elsewhere); null doc_ids are allowed; other columns are not read.
@@ -20,6 +22,7 @@ Defined results: null text counts as empty; texts shorter than WINDOW lose nothi
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import tempfile
 from collections.abc import Iterator
@@ -30,11 +33,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, narrowed, per_block, ragged, strings, written
+from .common import dropped, maybe_in, narrowed, per_block, ragged, strings, written
 
 WINDOW, GRAM = 400, 64
 SPAN = WINDOW - GRAM  # largest distance of a window's gram from its start
-MOST_STRINGS = 4096
+MOST_STRINGS, MOST_SPLIT = 4096, 32_768
 #: Strings that are built together, about; columns above COLUMN_BYTES go to a file.
 BATCH, COLUMN_BYTES = 16_384, 64 << 20
 QUARTER = (SPAN + 4) // 4
@@ -90,8 +93,9 @@ def repeated(rows: list[tuple[int, int, int, bytes]]) -> list[np.ndarray]:
     raw = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
     shape = (high - low, n)
     out = np.zeros((n, int(windows.max())), bool)
-    with tempfile.TemporaryFile() as file:
+    with contextlib.ExitStack() as held_open:
         if shape[0] * n > COLUMN_BYTES:
+            file = held_open.enter_context(tempfile.TemporaryFile())  # scratch of this task alone, made again if it is run again
             file.truncate(shape[0] * n)
             columns = np.memmap(file, np.uint8, "r+", shape=shape)
         else:
@@ -169,7 +173,8 @@ def _profiles(docs: DataFrame) -> DataFrame:
 
 
 def _fetched(docs: DataFrame) -> DataFrame:
-    """docs: want (list of segments), text. The strings of the segments by key; part: which of the four classes, -1 if not split."""
+    """docs: want (list of segments), text. The strings of the segments by key; of grams with more than MOST_SPLIT strings windows'
+    hashes instead (windows is 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,6 +184,11 @@ def _fetched(docs: DataFrame) -> DataFrame:
                     bytes_ = text[w["start"] : w["start"] + w["windows"] - 1 + WINDOW]
                     if xxhash.xxh3_64_intdigest(bytes_, seed=w["dist"]) != w["body"] & (2**64 - 1):
                         continue  # another text with this doc_id
+                    if w["strings"] > MOST_SPLIT:
+                        for i in range(w["windows"]):
+                            digest = xxhash.xxh3_128_digest(bytes_[i : i + WINDOW], seed=w["dist"] - i)
+                            out.append((w["gram"], w["gram"], w["body"], w["copies"], i, 0, 0, digest))
+                        continue
                     if w["strings"] <= MOST_STRINGS:
                         parts = [(w["gram"], 0, w["windows"])]
                     else:
@@ -227,22 +237,28 @@ def _built(strings_: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text (not null), fp. doc_id, fp and spans (array of struct from, till: bytes) of documents that repeat something."""
+    """docs: doc_id, text (not null), fp, rk (hash of both). These but text, and spans (array of struct from, till: bytes), of documents
+    that repeat something."""
     profile = written(_profiles(docs.select("doc_id", "text", "fp")), "segments")
     zipped = F.arrays_zip("start", "windows", "dist", "gram", "body")
     each = profile.select("doc_id", "fp", F.explode(zipped).alias("s")).select("doc_id", "fp", "s.*")
-    classes = each.groupBy("gram", "body").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start", "windows", "dist")).alias("at"))
+    classes = each.groupBy("gram", "body").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("doc_id", "fp").alias("rk"), "start", "windows", "dist")).alias("at"))
     # Sums by gram come by an aggregate and go back by a join, which Spark may split where a gram is hot; a window would hold its rows in one task.
     grams = classes.groupBy("gram").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("strings")).where("all > 1")
     classes = classes.join(grams, "gram")
     classes = written(classes.select("gram", "body", F.least("n", F.lit(2)).cast("int").alias("copies"), "strings", "at.*"), "classes")
-    want = classes.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_list(F.struct("gram", "body", "copies", "strings", "start", "windows", "dist")).alias("want"))
-    bodies = written(_fetched(want.join(docs.select("doc_id", "text"), F.col("doc").eqNullSafe(F.col("doc_id"))).select("want", "text")), "strings")
-    found = written(_built(bodies.repartition("key").sortWithinPartitions("key", "gram", "body", "first")), "repeats")
+    want = classes.groupBy("rk").agg(F.collect_list(F.struct("gram", "body", "copies", "strings", "start", "windows", "dist")).alias("want"))  # of one document each
+    texts = maybe_in(docs.select("rk", "text"), "rk", classes.select("rk"))
+    bodies = written(_fetched(want.join(texts, "rk").dropDuplicates(["rk"]).select("want", "text")), "strings")
+    built = _built(bodies.where("windows > 0").repartition("key").sortWithinPartitions("key", "gram", "body", "first"))
+    single = bodies.where("windows = 0").select("gram", "body", "copies", "first", "bytes")
+    again = single.groupBy("bytes").agg(F.sum("copies").alias("all")).where("all > 1").select("bytes")
+    single = single.join(again, "bytes").select("gram", "body", "first", (F.col("first") + 1).alias("stop"))
+    found = written(built.unionByName(single), "repeats")
     dropped(bodies)
     hits = each.select("doc_id", "fp", "start", "gram", "body").join(found, ["gram", "body"])
     span = F.struct((F.col("start") + F.col("first")).alias("from"), (F.col("start") + F.col("stop") - 1 + WINDOW).alias("till"))
-    return hits.groupBy("doc_id", "fp").agg(F.collect_set(span).alias("spans"))
+    return hits.groupBy("doc_id", "fp").agg(F.collect_set(span).alias("spans")).withColumn("rk", F.xxhash64("doc_id", "fp"))
 
 
 def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -258,9 +274,12 @@ def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: bytes, bytes removed, maximal runs removed, digest of the bytes that are left."""
-    docs = narrowed(df, id_col, text_col).withColumn("fp", F.xxhash64("text"))
-    spans = written(repeated_spans(docs), "spans").select(F.col("doc_id").alias("doc"), F.col("fp").alias("own"), "spans")
-    joined = docs.join(spans, docs["doc_id"].eqNullSafe(spans["doc"]) & (docs["fp"] == spans["own"]), "left").select("doc_id", "text", "spans")
+    docs = narrowed(df, id_col, text_col).withColumn("fp", F.xxhash64("text")).withColumn("rk", F.xxhash64("doc_id", "fp"))
+    spans = written(repeated_spans(docs), "spans").select("rk", F.col("doc_id").alias("doc"), F.col("fp").alias("own"), "spans")
+    # Documents that surely repeat nothing aren't shuffled.
+    inside = maybe_in(docs, "rk", spans)
+    inside = inside.join(spans, (inside["rk"] == spans["rk"]) & inside["doc_id"].eqNullSafe(spans["doc"]) & (inside["fp"] == spans["own"]), "left").select("doc_id", "text", "spans")
+    joined = maybe_in(docs, "rk", spans, other=True).select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")).unionByName(inside)
 
     def block(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
         raw, out = data.tobytes(), []
