@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at once; one longer text is a block of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def narrowed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -68,11 +69,16 @@ def strings(data: np.ndarray, starts: np.ndarray, end: int) -> pa.Array:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh path below spark.checkpoint.dir; where that is unset (tests), the setting is made first."""
+    """A fresh path below spark.checkpoint.dir; where that is unset on a local master (tests), the setting is made first.
+
+    On a cluster there is no folder to choose that all executors are known to share, so the setting is asked for. Paths are
+    fresh, so two runs never share one."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
         top = spark.sparkContext.getCheckpointDir()
     if not top:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = "file:///tmp/veriframe-checkpoints"
         spark.sparkContext.setCheckpointDir(top)
     return f"{top}/veriframe-{uuid.uuid4().hex}"

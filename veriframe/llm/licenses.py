@@ -87,6 +87,33 @@ def postfix(expression: str) -> list[str] | None:
     return out + stack[::-1]
 
 
+def expression_in(text: str) -> str:
+    """The expression that text begins with, up to where its grammar ends: prose behind an operand is left out, and so is an
+    operator with a word behind it that is neither a known identifier nor looks like one (a digit or a hyphen in it)."""
+    taken, ended, depth, operand = [], 0, 0, True
+    for m in re.finditer(r"\s*([()]|[^\s()]+)", text):
+        token = m[1]
+        if token == "(" and operand:
+            depth += 1
+        elif token == ")" and not operand and depth:
+            depth -= 1
+        elif operand:
+            word = token.rstrip(".,;")
+            if not re.fullmatch(r"[a-z0-9][a-z0-9.+-]*", word) or (taken and word.rstrip("+") not in KNOWN and not re.search(r"[0-9-]", word)):
+                break
+            operand, token = False, word
+        elif token in _RANK:
+            operand = True
+        else:
+            break
+        taken.append(token)
+        if not operand:
+            ended = len(taken)
+        if token != m[1]:
+            break  # the sentence ends here
+    return " ".join(taken[:ended])
+
+
 def evaluated(expression: str) -> tuple[set[str], float]:
     """Known identifiers that the expression names, UNLISTED if it is well-formed and names others, and its worth from 0 to 1."""
     named = [t for t in _TOKEN.findall(expression.lower()) if t not in _RANK and t not in "()"]
@@ -150,7 +177,7 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 lower = raw[offsets[k] : offsets[k + 1]].translate(_LOWER).decode("utf-8", "replace")
                 for tag in tags.values():
                     for part in lower.split(tag)[1:]:
-                        own, value = evaluated(part.split("\n", 1)[0])
+                        own, value = evaluated(expression_in(part.split("\n", 1)[0]))
                         more |= own
                         worth = max(worth, value)
             out.append((len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | more)), 1 - miss * (1 - worth)))

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import BLOCK_BYTES, flat, narrowed, per_block, ragged, strings
+from .common import flat, narrowed, per_block, ragged, strings
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _NONE = np.int32(2**31 - 1)
@@ -267,14 +267,15 @@ def piece_encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_co
 
 
 def piece_decode(df: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """doc_id and text of rows with ids; null ids give null, bytes that aren't UTF-8 become U+FFFD."""
+    """doc_id and text of rows with ids; null ids give null, bytes that aren't UTF-8 become U+FFFD, null elements and ids that the
+    model doesn't have are left out."""
 
     def run(batches):
         model = piece_model(model_path)
         for batch in batches:
             out = []
             for own in batch.column(1).to_pylist():
-                ids = np.array([i for i in own or [] if i is not None], np.int64)
+                ids = np.array([i for i in own or [] if i is not None and 0 <= i < model.n], np.int64)
                 raw = model.surface[ragged(model.surface_at[ids], model.surface_len[ids])].tobytes()
                 out.append(None if own is None else raw.removeprefix(b" ").decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
@@ -294,7 +295,7 @@ def piece_digests(df: DataFrame, model_path: str, id_col: str = "doc_id", text_c
         digest = lambda parts: pa.array([hashlib.sha256(x[1:]).hexdigest() for x in parts], pa.string())  # noqa: E731  the first comma; the space put in front
         return pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(counts)), digest(listed), digest(decoded)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return per_block(narrowed(df, id_col, text_col), block, SCHEMA, 2 * BLOCK_BYTES)
+    return per_block(narrowed(df, id_col, text_col), block, SCHEMA)
 
 
 def _joined(parts: pa.Array, lengths: np.ndarray | None, which: np.ndarray, texts: np.ndarray) -> list[memoryview]:

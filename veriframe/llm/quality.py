@@ -46,7 +46,8 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarra
 def suffix_ranks(ids: np.ndarray, doc: np.ndarray, last: np.ndarray) -> list[tuple[int, np.ndarray]]:
     """(h, rank of the first h words of each suffix within its document) for h = 1, 2, 4, ... until no two tie.
 
-    last: one past the last word of the suffix's document."""
+    last: one past the last word of the suffix's document. A level takes 4 bytes a word; there are as many as the longest repeat's
+    length has binary digits."""
     n = len(ids)
     key = doc.astype(np.int64) * (int(ids.max(initial=0)) + 1) + ids
     order = np.argsort(key)
@@ -59,7 +60,7 @@ def suffix_ranks(ids: np.ndarray, doc: np.ndarray, last: np.ndarray) -> list[tup
         place = np.arange(len(active)) if base is None else base
         rank = rank.copy()
         rank[active] = np.maximum.accumulate(np.where(new, place, 0))
-        levels.append((h, rank))
+        levels.append((h, rank.astype(np.int32)))
         tied = ~new
         tied[:-1] |= ~new[1:]
         active, place = active[tied], place[tied]

@@ -179,7 +179,7 @@ class Rules:
     def scan(self, data: np.ndarray, offsets: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
         """Spans (start, kind's place, end) in code points by document, sorted."""
         if self.table is None:
-            self.table = np.zeros(1 << 24, np.uint8)
+            self.table = np.zeros(1 << 24, np.min_scalar_type(len(self.wanted)))
             for k, t in enumerate(self.wanted):
                 self.table[int.from_bytes(t, "big")] = k + 1
         n, raw = len(offsets) - 1, data.tobytes()
