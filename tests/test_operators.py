@@ -54,6 +54,26 @@ def test_layers_in_spark(spark):
         G.acyclic_layers(nodes.select("id"), edges)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_layers_of_random_graphs(spark, seed):
+    """Peeling before the fold gives the layers of the fold alone; a node may be in two phases."""
+    r = random.Random(seed)
+    edges = list({(r.randrange(30), r.randrange(30)) for _ in range(25 + 12 * seed)})
+    phases = {1: list(range(20)), 2: list(range(10, 30))}
+    nodes = spark.createDataFrame([(p, n) for p, own in phases.items() for n in own], "phase int, id int")
+    got = {(x["phase"], x["layer"], x["id"]) for x in G.caller_first_layers(nodes, spark.createDataFrame(edges, "caller int, callee int")).collect()}
+    assert got == {(p, k, n) for p, own in phases.items() for k, n in layers_model(own, [e for e in edges if set(e) <= set(own)])}
+
+
+def test_long_paths(spark):
+    """Loops of many rounds keep each node once."""
+    edges = spark.range(40).selectExpr("id AS caller", "id + 1 AS callee")
+    start = spark.createDataFrame([(0,)], "id long")
+    assert sorted(map(tuple, G.impact_closure(edges, start).collect())) == [(0, "file-change"), *((k, "callee-propagation") for k in range(1, 41))]
+    assert sorted(map(tuple, G.reachable(edges.toDF("a", "b"), start).collect())) == [(k, k) for k in range(41)]
+    assert sorted(map(tuple, G.acyclic_layers(spark.range(41), edges).collect())) == [(k, k) for k in range(41)]
+
+
 def test_closure(spark):
     edges = spark.createDataFrame([("p", "q"), ("r", "q"), ("s", "t")], "caller string, callee string")
     got = {r["id"]: r["reason"] for r in G.impact_closure(edges, spark.createDataFrame([("p",)], "id string")).collect()}
@@ -164,6 +184,11 @@ def test_job_graph(spark):
 def test_chain(spark):
     rows = spark.createDataFrame([("c1", "p", 1, "complete", None), ("c2", "q", 2, "complete", "c1"), ("c3", "p", 3, "committing", "c2"), ("c4", "q", 4, "complete", "c3"), ("x", "p", 9, "complete", None)], "checkpoint_id string, phase string, ordinal int, status string, previous_checkpoint_id string")
     assert {r["phase"]: r["checkpoint_id"] for r in R.latest_complete_by_phase(rows, "c4").collect()} == {"q": "c4", "p": "c1"}
+    assert R.last_complete(rows, "c1").first()["checkpoint_id"] == "x"
+    long = spark.range(1, 12_001).selectExpr("cast(id as string) AS checkpoint_id", "'p' AS phase", "cast(id as int) AS ordinal", "if(id = 3, 'complete', 'committing') AS status", "cast(id - 1 as string) AS previous_checkpoint_id")
+    assert R.last_complete(long, "12000").first()["checkpoint_id"] == "3"
+    round_ = spark.createDataFrame([("a", "c"), ("b", "a"), ("c", "b")], "checkpoint_id string, previous_checkpoint_id string")
+    assert {r["checkpoint_id"]: r["depth"] for r in R.chain(round_, "a").collect()} == {"a": 0, "c": 1, "b": 2}
     assert R.last_complete(rows, "c4").first()["checkpoint_id"] == "c2" and R.last_complete(rows, None).first()["checkpoint_id"] == "x"
 
 
@@ -171,6 +196,28 @@ def test_quotes(spark):
     s = spark.createDataFrame([(1, "xx one two three four five six yy"), (2, "one two"), (3, None), (4, "")], "source_id int, text string")
     q = spark.createDataFrame([(1, "x one two three four five six y"), (2, "e tw"), (3, "none of that at all is there"), (4, None)], "quote_id int, text string")
     assert sorted(map(tuple, J.quotes_in(s, q).collect())) == [(1, 1), (1, 2), (2, 2)]
+    assert J.quotes_in(s, q.limit(0)).count() == 0
+    more = ["", "w", "wo", "two", "  ", "one two", "ne two three", "x one two three four five", "six  ", "é", "y" * 5]
+    texts = ["xx one two three four five six yy", "two  two", "", "é one two three", "yyyyyy w"]
+    s, q = (spark.createDataFrame(list(enumerate(x)), f"{n}_id int, text string") for n, x in (("source", texts), ("quote", more)))
+    assert sorted(map(tuple, J.quotes_in(s, q).collect())) == sorted((i, k) for i, t in enumerate(texts) for k, x in enumerate(more) if x in t)
+
+
+def test_many_short_quotes(spark):
+    """More short quotes than a plan could list."""
+    s = spark.createDataFrame([(1, "a q7 b"), (2, "a q11999 b c")], "source_id int, text string")
+    q = spark.range(12_000).selectExpr("cast(id as int) AS quote_id", "concat('a q', id, ' b') AS text")
+    assert sorted(map(tuple, J.quotes_in(s, q).collect())) == [(1, 7), (2, 11999)]
+
+
+def test_plan_form(spark):
+    kind = "plan string, position int, phase int, modules array<struct<source_files: array<string>>>, depends_on array<int>"
+    module = lambda *files: (list(files),)
+    rows = [("p", 1, 1, [module("a.py")], []), ("p", 2, 2, [module("b.py", "gone.py"), module()], [1]), ("p", 3, 3, [module(), module("gone.py")], [1]), ("p", 4, 5, [module("a.py")], []), ("p", 5, 5, [module("a.py")], [1, 5])]
+    rows += [("q", 1, 1, [module("tests/t.py")], []), ("q", 2, 2, [(None,)], []), ("q", 3, 3, None, []), ("q", 4, 4, [], None), ("q", 5, 5, [module("b.py")], [0]), ("q", 6, None, [module("b.py")], []), ("r", 1, 1, [], [])]
+    found = J.plan_form_violations(spark.createDataFrame(rows, kind), spark.createDataFrame([("a.py",), ("b.py",), ("tests/t.py",)], "path string"))
+    source, production, order, normal = "invalid module sources", "invalid production source", "invalid dependencies", "not normalized"
+    assert {(r["plan"], r["position"]): r["reason"] for r in found.collect()} == {("p", 2): production, ("p", 3): source, ("p", 4): normal, ("p", 5): order, ("q", 1): production, ("q", 2): source, ("q", 3): normal, ("q", 4): order, ("q", 5): order, ("q", 6): normal}
 
 
 def test_edges_and_reads(spark):

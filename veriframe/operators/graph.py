@@ -10,57 +10,104 @@ from pyspark.sql import functions as F
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """df through checkpoint(), in the folder that the session's cluster names in spark.checkpoint.dir (its own where that is unset)."""
+    """df through checkpoint(), in the folder that the session's cluster names in spark.checkpoint.dir (where that is unset, a folder
+    of its own on a local master, and an error on a cluster, whose executors would each write to their own disk)."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", f"file:///tmp/veriframe-{uuid.uuid4().hex}"))
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or local_folder(df.sparkSession))
     return df.checkpoint()
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
+def local_folder(spark) -> str:
+    """A folder of this machine, for sessions on a local master that name none."""
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"file:///tmp/veriframe-{uuid.uuid4().hex}"
+
+
+class Found:
+    """Rows of all rounds of a loop, as saved tables of which two of about one size become one: each row is written as often as the
+    number of rounds has binary digits at most, and a union has as many parts."""
+
+    def __init__(self, first: DataFrame):
+        self.parts = [(0, first)]
+
+    def add(self, rows: DataFrame) -> None:
+        self.parts.append((0, rows))
+        while len(self.parts) > 1 and self.parts[-1][0] == self.parts[-2][0]:
+            (k, a), (_, b) = self.parts.pop(), self.parts.pop()
+            self.parts.append((k + 1, saved(b.unionByName(a))))
+
+    def all(self) -> DataFrame:
+        out = self.parts[0][1]
+        for _, part in self.parts[1:]:
+            out = out.unionByName(part)
+        return out
+
+
+def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """id and depth (fewest steps from a seed, id) along edges (a, b). Each round joins the last round's new nodes only."""
-    found = saved(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
-    frontier, depth = found, 0
-    while most is None or depth < most:
+    frontier, depth = saved(seeds.select("id").distinct().withColumn("depth", F.lit(0))), 0
+    found = Found(frontier)
+    while True:
         depth += 1
         step = edges.join(frontier.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
-        frontier = saved(step.join(found.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)))
+        frontier = saved(step.join(found.all().select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
-            break
-        found = saved(found.unionByName(frontier))
-    return found
+            return found.all()
+        found.add(frontier)
 
 
 def impact_closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """id and reason of all nodes connected with a seed (id) by edges (caller, callee) in either direction: file-change for seeds,
-    else how the nearest reached it; a caller's reach (callee-propagation) before a callee's."""
+    else how the nearest reached it; a caller's reach (callee-propagation) before a callee's.
+
+    Edges go both ways, so a frontier's neighbours lie in it, in the one before or in neither: only these two are compared, and
+    each node is written once."""
     down = edges.select(F.col("caller").alias("a"), F.col("callee").alias("b"), F.lit("callee-propagation").alias("how"))
     up = edges.select(F.col("callee").alias("a"), F.col("caller").alias("b"), F.lit("caller-propagation").alias("how"))
     both = saved(down.unionByName(up).distinct())
-    found = saved(seeds.select("id").distinct().withColumn("reason", F.lit("file-change")))
-    frontier = found
+    frontier = saved(seeds.select("id").distinct().withColumn("reason", F.lit("file-change")))
+    found, before = Found(frontier), frontier
     while True:
         step = both.join(frontier.select(F.col("id").alias("a")), "a", "left_semi").groupBy(F.col("b").alias("id")).agg(F.min("how").alias("reason"))
-        frontier = saved(step.join(found.select("id"), "id", "left_anti"))
+        seen = frontier.select("id") if before is frontier else frontier.select("id").unionByName(before.select("id"))
+        before, frontier = frontier, saved(step.join(seen, "id", "left_anti"))
         if frontier.isEmpty():
-            return found
-        found = saved(found.unionByName(frontier))
+            return found.all()
+        found.add(frontier)
+
+
+def peeled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id and layer of those nodes (id, distinct) that have no cycle above them: the longest path from a node without callers.
+
+    A round sends the last layer's edges (caller, callee) only; a node joins the next layer when as many have arrived as it has callers."""
+    own = edges.select("caller", "callee").where("caller <> callee").distinct()
+    own = own.join(nodes.select(F.col("id").alias("caller")), "caller", "left_semi").join(nodes.select(F.col("id").alias("callee")), "callee", "left_semi")
+    own = saved(own)
+    callers = saved(own.groupBy(F.col("callee").alias("id")).agg(F.count(F.lit(1)).alias("callers")))
+    frontier, layer = saved(nodes.join(callers, "id", "left_anti").select("id").withColumn("layer", F.lit(0))), 0
+    found, arrived = Found(frontier), None
+    while not frontier.isEmpty():
+        layer += 1
+        now = saved(own.join(frontier.select(F.col("id").alias("caller")), "caller", "left_semi").groupBy(F.col("callee").alias("id")).agg(F.count(F.lit(1)).alias("n")))
+        if arrived is None:
+            arrived = Found(now)
+        else:
+            arrived.add(now)
+        total = arrived.all().join(now.select("id"), "id", "left_semi").groupBy("id").agg(F.sum("n").alias("n"))
+        frontier = saved(total.join(callers, "id").where("n = callers").select("id").withColumn("layer", F.lit(layer)))
+        found.add(frontier)
+    return found.all()
 
 
 def acyclic_layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id and layer of nodes (id) of an acyclic graph: the longest path from a node without callers. A cycle is an error."""
-    left = saved(nodes.select("id").distinct())
-    rest = saved(edges.select("caller", "callee").where("caller <> callee").distinct().join(left.select(F.col("id").alias("caller")), "caller", "left_semi").join(left.select(F.col("id").alias("callee")), "callee", "left_semi"))
-    done, layer = None, 0
-    while not left.isEmpty():
-        now = saved(left.join(rest.select(F.col("callee").alias("id")), "id", "left_anti").withColumn("layer", F.lit(layer)))
-        if now.isEmpty():
-            raise ValueError("the graph has a cycle; use caller_first_layers")
-        done = now if done is None else done.unionByName(now)
-        left = saved(left.join(now, "id", "left_anti"))
-        rest = saved(rest.join(now.select(F.col("id").alias("caller")), "caller", "left_anti"))
-        layer += 1
-    return nodes.select("id").distinct().withColumn("layer", F.lit(0)).limit(0) if done is None else done
+    nodes = saved(nodes.select("id").distinct())
+    out = saved(peeled(nodes, edges))
+    if not nodes.join(out, "id", "left_anti").isEmpty():
+        raise ValueError("the graph has a cycle; use caller_first_layers")
+    return out
 
 
 def layers_of(nodes: list, edges: list[tuple]) -> list[tuple[int, object]]:
@@ -94,17 +141,29 @@ def caller_first_layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """phase, id and layer of nodes (phase, id), by edges (caller, callee) within a phase; others don't count.
 
     Nodes without cycles above them get their layer by frontier rounds over the whole graph. Which node opens a cycle depends on all
-    that was emitted before, so a phase in which some are left is folded in one task: its graph, not the data, has to fit."""
-    within = edges.select("caller", "callee").join(nodes.select(F.col("phase"), F.col("id").alias("caller")), "caller").join(nodes.select(F.col("phase").alias("q"), F.col("id").alias("callee")), "callee").where("phase = q")
-    rows = nodes.select("phase", F.col("id").alias("a"), F.lit(None).cast(nodes.schema["id"].dataType).alias("b")).unionByName(within.select("phase", F.col("caller").alias("a"), F.col("callee").alias("b")))
+    that was emitted before, so what is left of a phase (nodes on and below cycles) is folded in one task: that part of its graph,
+    not the data, has to fit."""
+    of = lambda k, phase: nodes.select(F.col("phase").alias(phase), F.col("id").alias(k))
+    nodes = saved(nodes.select("phase", "id").distinct())
+    within = saved(edges.select("caller", "callee").where("caller <> callee").distinct().join(of("caller", "phase"), "caller").join(of("callee", "q"), "callee").where("phase = q").select("phase", "caller", "callee"))
+    own = lambda c: F.struct("phase", c)  # noqa: E731  a node may be in several phases
+    names = nodes.select(own(F.col("id").alias("id")).alias("id"))
+    done = peeled(names, within.select(own(F.col("caller").alias("id")).alias("caller"), own(F.col("callee").alias("id")).alias("callee")))
+    done = saved(done.select("id.phase", "id.id", "layer"))
+    left = nodes.join(done, ["phase", "id"], "left_anti")
+    start = done.groupBy("phase").agg((F.max("layer") + 1).alias("start"))
+    rest = within.join(left.select("phase", F.col("id").alias("caller")), ["phase", "caller"], "left_semi").join(left.select("phase", F.col("id").alias("callee")), ["phase", "callee"], "left_semi")
+    none = F.lit(None).cast(nodes.schema["id"].dataType)
+    rows = left.select("phase", F.col("id").alias("a"), none.alias("b")).unionByName(rest.select("phase", F.col("caller").alias("a"), F.col("callee").alias("b")))
+    rows = rows.join(start, "phase", "left").withColumn("start", F.coalesce("start", F.lit(0)))
 
     def fold(key, table):
         pairs = list(zip(table.column("a").to_pylist(), table.column("b").to_pylist()))
-        out = layers_of([a for a, b in pairs if b is None], [(a, b) for a, b in pairs if b is not None])
-        return pa.table({"phase": pa.array([key[0].as_py()] * len(out), table.schema.field("phase").type), "id": pa.array([n for _, n in out], table.schema.field("a").type), "layer": pa.array([k for k, _ in out], pa.int32())})
+        out, first = layers_of([a for a, b in pairs if b is None], [(a, b) for a, b in pairs if b is not None]), table.column("start")[0].as_py()
+        return pa.table({"phase": pa.array([key[0].as_py()] * len(out), table.schema.field("phase").type), "id": pa.array([n for _, n in out], table.schema.field("a").type), "layer": pa.array([first + k for k, _ in out], pa.int32())})
 
     kind = dict(rows.dtypes)
-    return rows.groupBy("phase").applyInArrow(fold, f"phase {kind['phase']}, id {kind['a']}, layer int")
+    return done.unionByName(rows.groupBy("phase").applyInArrow(fold, f"phase {kind['phase']}, id {kind['a']}, layer int"))
 
 
 def resolve_phases(plan: DataFrame, aliases: DataFrame) -> DataFrame:

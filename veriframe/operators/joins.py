@@ -131,29 +131,55 @@ def unique_output_match(jobs: DataFrame, reports: DataFrame) -> DataFrame:
     return joined.withColumn("n__", F.count(F.lit(1)).over(Window.partitionBy("job_id"))).where("n__ = 1").drop("n__")
 
 
-#: Short quotes that are looked for in each source one by one; more is an error.
-MOST_SHORT = 10_000
-
-
 def quotes_in(sources: DataFrame, quotes: DataFrame, words: int = 4) -> DataFrame:
     """source_id and quote_id where the quote (quote_id, text) is an exact substring of the source (source_id, text).
 
-    Candidates meet by an equality: a run of inner words of the quote, cut at single spaces, must stand in the source as well.
-    Quotes too short for it are few and go into the plan."""
+    Candidates meet by an equality and are verified: a run of inner words of the quote, cut at single spaces, must stand in the source
+    as well; for quotes with fewer inner words their longest one; for those without any, their first three characters (an empty
+    quote stands everywhere). Sources are cut into what quotes of a kind ask for only if there are such quotes."""
     runs = lambda text: F.split(text, " ")
-    q = quotes.select("quote_id", F.col("text").alias("quote")).where("quote is not null").withColumn("w__", runs(F.col("quote")))
-    long_, short = q.where(F.size("w__") >= words + 2), q.where(F.size("w__") < words + 2).drop("w__")
-    gram = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - words + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, words), " ")))
-    key = long_.withColumn("key__", F.xxhash64(F.array_join(F.slice("w__", 2, words), " "))).drop("w__")
+    inner = F.slice("w__", 2, F.greatest(F.size("w__") - 2, F.lit(0)))
+    q = quotes.select("quote_id", F.col("text").alias("quote")).where("quote is not null").withColumn("w__", runs(F.col("quote"))).withColumn("in__", inner)
+    kind = F.when(F.size("in__") >= words, 4 + words).when(F.size("in__") > 0, 4).otherwise(F.least(F.length("quote"), F.lit(3)))
+    q = q.withColumn("kind__", kind)
     s = sources.select("source_id", F.col("text").alias("source")).where("source is not null")
-    cut = s.withColumn("w__", runs(F.col("source"))).where(F.size("w__") >= words)
-    grams = cut.select("source_id", F.explode(F.array_distinct(gram(F.col("w__")))).alias("key__"))
-    near = grams.join(key, "key__").select("source_id", "quote_id", "quote")
-    long_hits = near.join(s, "source_id").where(F.col("source").contains(F.col("quote"))).select("source_id", "quote_id")
-    rows = short.limit(MOST_SHORT + 1).collect()
-    if len(rows) > MOST_SHORT:
-        raise ValueError("too many short quotes")
-    if not rows:
-        return long_hits.distinct()
-    each = F.array(*(F.when(F.col("source").contains(r["quote"]), F.lit(r["quote_id"])) for r in rows))
-    return long_hits.unionByName(s.select("source_id", F.explode(F.array_compact(each)).alias("quote_id"))).distinct()
+    run = lambda w, i: F.xxhash64(*(F.get(w, i + k) for k in range(words)))
+    longest = F.array_max(F.transform("in__", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    keys = {4 + words: run(F.col("in__"), F.lit(0)), 4: F.xxhash64(longest), **{n: F.xxhash64(F.left("quote", F.lit(n))) for n in range(4)}}
+    cut = runs(F.col("source"))
+    places = lambda n: F.sequence(F.lit(1), F.length("source") - n + 1)
+    start = lambda n: lambda i: F.xxhash64(F.substring("source", i, F.lit(n)))
+    parts = {
+        4 + words: F.when(F.size(cut) >= words, F.transform(F.sequence(F.lit(0), F.size(cut) - words), lambda i: run(cut, i))),
+        4: F.transform(cut, lambda w: F.xxhash64(w)),
+        **{n: F.when(F.length("source") >= n, F.transform(places(n), start(n))) for n in (1, 2, 3)},
+        0: F.array(F.xxhash64(F.lit(""))),
+    }
+    out = None
+    for k in sorted(r["kind__"] for r in q.select("kind__").distinct().collect()):
+        own = q.where(F.col("kind__") == k).select("quote_id", "quote", keys[k].alias("key__"))
+        grams = s.select("source_id", F.explode(F.array_distinct(parts[k])).alias("key__"))
+        near = grams.join(own, "key__").select("source_id", "quote_id", "quote")
+        hits = near.join(s, "source_id").where(F.col("source").contains(F.col("quote"))).select("source_id", "quote_id")
+        out = hits if out is None else out.unionByName(hits)
+    return s.join(q, F.lit(False)).select("source_id", "quote_id") if out is None else out.distinct()
+
+
+def plan_form_violations(phases: DataFrame, sources: DataFrame, plan: str = "plan") -> DataFrame:
+    """The first reason, in order, why a phase isn't in normal form: plan, position, reason.
+
+    phases: plan, position (place in the list, from 1), phase, modules (array of struct source_files: array of text), depends_on (array of
+    int); sources: path of existing files. A phase has its position as number; every module has sources, which exist and aren't tests;
+    dependencies come strictly earlier. A plan without rows here, and with a phase at all, is ready."""
+    from ..functions.predicates import is_test_path
+
+    each = phases.select(plan, "position", F.posexplode("modules").alias("m__", "module")).withColumn("files__", F.col("module.source_files"))
+    empty = each.where(F.coalesce(F.size("files__"), F.lit(-1)) <= 0).select(plan, "position", "m__", F.lit("invalid module sources").alias("reason"))
+    named = each.select(plan, "position", "m__", F.explode("files__").alias("path"))
+    known = named.join(sources.select("path").distinct().withColumn("there__", F.lit(True)), "path", "left")
+    wrong = known.where(F.col("there__").isNull() | is_test_path(F.col("path"))).select(plan, "position", "m__", F.lit("invalid production source").alias("reason"))
+    first = empty.unionByName(wrong).groupBy(plan, "position").agg(F.min(F.struct("m__", "reason"))["reason"].alias("sources__"))
+    early = F.coalesce(F.forall("depends_on", lambda d: F.coalesce((d > 0) & (d < F.col("position")), F.lit(False))), F.lit(False))
+    normal = F.coalesce(F.col("phase") == F.col("position"), F.lit(False)) & F.col("modules").isNotNull()
+    reason = F.when(~normal, "not normalized").when(F.col("sources__").isNotNull(), F.col("sources__")).when(~early, "invalid dependencies")
+    return phases.join(first, [plan, "position"], "left").select(plan, "position", reason.alias("reason")).where("reason is not null")

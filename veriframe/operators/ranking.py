@@ -63,12 +63,13 @@ def greedy_batches(items: DataFrame, key: str, order: str, most_items: int = 20,
     return items.select(*columns).repartition(F.col(key)).sortWithinPartitions(key, order).mapInArrow(run, schema)
 
 
-def reshape_batches(batches: DataFrame, least: int = 3, order: str = "batch") -> DataFrame:
-    """batches (batch, items array): those of fewer than least items become one batch an item, in front of the others; numbered from 1."""
-    small = batches.where(F.size("items") < least).select(F.lit(0).alias("late__"), order, F.posexplode("items").alias("pos__", "i")).select("late__", order, "pos__", F.array("i").alias("items"))
-    large = batches.where(F.size("items") >= least).select(F.lit(1).alias("late__"), order, F.lit(0).alias("pos__"), "items")
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("late__", order, "pos__"))  # as many rows as one phase has batches
-    return small.unionByName(large).withColumn("ordinal", place).select("ordinal", "items")
+def reshape_batches(batches: DataFrame, least: int = 3, order: str = "batch", keys: tuple[str, ...] = ()) -> DataFrame:
+    """batches (keys, batch, items array): those of fewer than least items become one batch an item, in front of the others; numbered
+    from 1 within keys (a phase, say)."""
+    small = batches.where(F.size("items") < least).select(*keys, F.lit(0).alias("late__"), order, F.posexplode("items").alias("pos__", "i")).select(*keys, "late__", order, "pos__", F.array("i").alias("items"))
+    large = batches.where(F.size("items") >= least).select(*keys, F.lit(1).alias("late__"), order, F.lit(0).alias("pos__"), "items")
+    place = F.row_number().over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("late__", order, "pos__"))  # as many rows as one phase has batches
+    return small.unionByName(large).withColumn("ordinal", place).select(*keys, "ordinal", "items")
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -85,18 +86,29 @@ def page(rows: DataFrame, order: str, limit: int, offset: int = 0) -> DataFrame:
     return rows.orderBy(order).offset(offset).limit(limit)
 
 
-def first_n(column: str, n: int) -> Column:
-    """Aggregate: the n least distinct values as a sorted array."""
-    return F.slice(F.array_sort(F.collect_set(column)), 1, n)
+def first_n(rows: DataFrame, key: str, column: str, n: int) -> DataFrame:
+    """key and first: its n least distinct values as a sorted array. Ranks are cut to n before the shuffle, so none gathers more."""
+    few = rows.where(F.col(column).isNotNull()).select(key, column).distinct().withColumn("r__", F.row_number().over(Window.partitionBy(key).orderBy(column))).where(F.col("r__") <= n)
+    kept = few.groupBy(key).agg(F.array_sort(F.collect_list(column)).alias("first"))
+    return rows.select(key).distinct().join(kept, key, "left").select(key, F.coalesce("first", F.array().cast(kept.schema["first"].dataType)).alias("first"))
 
 
-def chain(rows: DataFrame, start: str | None, key: str = "checkpoint_id", previous: str = "previous_checkpoint_id", most: int = 10_000) -> DataFrame:
-    """rows on the chain of previous keys from start on, with depth from 0. A chain is one run's checkpoints, so the walk is bounded."""
-    from .graph import reachable
+def chain(rows: DataFrame, start: str | None, key: str = "checkpoint_id", previous: str = "previous_checkpoint_id") -> DataFrame:
+    """rows on the chain of previous keys from start on, with depth from 0, to its end or to where it meets itself.
 
-    links = rows.where(F.col(previous).isNotNull()).select(F.col(key).alias("a"), F.col(previous).alias("b"))
-    seeds = rows.where(F.col(key) == start).select(F.col(key).alias("id"))
-    return rows.join(reachable(links, seeds, most).select(F.col("id").alias(key), "depth"), key)
+    Pointers double each round, so a chain of n rows takes as many rounds as n has binary digits."""
+    from .graph import Found, saved
+
+    jump, step = saved(rows.where(F.col(previous).isNotNull()).select(F.col(key).alias("id"), F.col(previous).alias("to"))), 1
+    found = Found(saved(rows.where(F.col(key) == start).select(F.col(key).alias("id")).distinct().withColumn("depth", F.lit(0))))
+    while True:
+        on = found.all()
+        more = on.join(jump, "id").groupBy(F.col("to").alias("id")).agg((F.min("depth") + step).alias("depth"))
+        more = saved(more.join(on.select("id"), "id", "left_anti"))
+        if more.isEmpty():
+            return rows.join(found.all().withColumnRenamed("id", key), key)
+        found.add(more)
+        jump, step = saved(jump.join(jump.select(F.col("id").alias("to"), F.col("to").alias("further")), "to").select("id", F.col("further").alias("to"))), 2 * step
 
 
 def latest_complete_by_phase(rows: DataFrame, head: str) -> DataFrame:
@@ -106,7 +118,9 @@ def latest_complete_by_phase(rows: DataFrame, head: str) -> DataFrame:
 
 
 def last_complete(rows: DataFrame, before: str | None) -> DataFrame:
-    """The first complete checkpoint on the chain behind before; without before, the newest complete one."""
-    if before is None:
-        return rows.where("status = 'complete'").orderBy(F.desc("ordinal")).limit(1)
-    return chain(rows, before).where("status = 'complete' and depth > 0").orderBy("depth").limit(1).drop("depth")
+    """The first complete checkpoint on the chain behind before; without before, or where that has none, the newest complete one."""
+    if before is not None:
+        found = chain(rows, before).where("status = 'complete' and depth > 0").orderBy("depth").limit(1).drop("depth")
+        if not found.isEmpty():
+            return found
+    return rows.where("status = 'complete'").orderBy(F.desc("ordinal")).limit(1)
