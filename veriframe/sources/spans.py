@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 SPAN = "name string, line_start int, line_end int"
 #: Lines within which a signature has to end.
 SIGNATURE_LINES = 6
-_SIGNATURE = re.compile(r"(?:^|[\s}])(?:(?:export|default|public|private|protected|static|async|override)\s+)*(?:function\s+)?([A-Za-z_$][\w$]*)\s*(?:<[^<>{}()]*>)?\s*\(")
-# Words that stand before brackets and braces without being functions.
+_SIGNATURE = re.compile(r"(?:^|[\s}])(?:(?:export|default|public|private|protected|static|async|override)\s+)*(?:function(?:\s+|\s*\*\s*))?([A-Za-z_$][\w$]*)\s*(?:<[^<>{}()]*>)?\s*\(")
+#: An arrow function that a declaration names.
+_ARROW = re.compile(r"\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=;]*)?=\s*(?:async\s*)?(?:<[^<>{}()]*>\s*)?\(")
+#: Words that stand before brackets and braces without being functions.
 NOT_FUNCTIONS = frozenset("catch class do else for function if new return switch super this typeof while with".split())
 
 
@@ -73,6 +75,12 @@ def brace_spans(text: str) -> list[tuple[str, int, int]] | None:
         return None
     line = lambda i: plain.count("\n", 0, i) + 1
     found = []
+    for m in _ARROW.finditer(plain):
+        close = match[m.end() - 1]
+        body = re.match(r"\s*(?::[^;={}]*)?\s*=>\s*(?=\{)", plain[close + 1 : close + 2000])
+        opens = close + 1 + body.end() if body else -1
+        if opens in match and line(opens) - line(m.start(1)) < SIGNATURE_LINES:
+            found.append((m[1], line(m.start(1)), line(match[opens])))
     for m in _SIGNATURE.finditer(plain):
         if m[1] in NOT_FUNCTIONS:
             continue
@@ -92,15 +100,36 @@ def tree_sitter_spans(text: str, language: str):
         from tree_sitter_languages import get_parser
     except ImportError:
         return None
-    kinds = {"function_definition", "function_declaration", "method_definition", "method_declaration", "function_item", "constructor_declaration"}
-    out, todo, raw = [], [get_parser(language).parse(text.encode()).root_node], text.encode()
+    return tree_spans(get_parser(language).parse(text.encode()).root_node, text.encode())
+
+
+# Node kinds of functions in tree-sitter's grammars.
+FUNCTION_KINDS = frozenset(("function_definition", "function_declaration", "function_item", "generator_function_declaration", "method_declaration", "method_definition"))
+
+
+def tree_spans(root, raw: bytes) -> list[tuple[str, int, int]]:
+    """Spans of a tree-sitter tree (nodes with type, children, named_children, parent, start_point, end_point, child_by_field_name): named
+    functions of all kinds, and arrow functions by their variable, from the declaration or export on that has only this one."""
+    out, todo = set(), [root]
     while todo:
         node = todo.pop()
         todo += node.children
-        name = node.child_by_field_name("name") or node.child_by_field_name("declarator")
-        arrow = node.type == "variable_declarator" and (v := node.child_by_field_name("value")) is not None and v.type == "arrow_function"
-        if (node.type in kinds or arrow) and name is not None:
-            out.append((raw[name.start_byte : name.end_byte].decode("utf-8", "replace").split("(")[0], node.start_point[0] + 1, node.end_point[0] + 1))
+        around = node
+        if node.type == "variable_declarator":
+            value = node.child_by_field_name("value")
+            if value is None or value.type != "arrow_function":
+                continue
+            while (above := around.parent) is not None:
+                several = sum(c.type == "variable_declarator" for c in above.named_children) != 1
+                if above.type not in ("variable_declaration", "lexical_declaration", "export_statement") or (several and above.type != "export_statement"):
+                    break
+                around = above
+        elif node.type not in FUNCTION_KINDS:
+            continue
+        name = node.child_by_field_name("name")
+        text = raw[name.start_byte : name.end_byte].decode("utf-8", "replace") if name is not None else ""
+        if re.fullmatch(r"[A-Za-z_$][\w$]*", text):
+            out.add((text, around.start_point[0] + 1, around.end_point[0] + 1))
     return sorted(out, key=lambda x: (x[1], x[2], x[0]))
 
 

@@ -1,7 +1,7 @@
 """Sinks: documents, the content-addressed object store, checkpoints with a head pointer, logs and reports.
 
-Writing a checkpoint goes objects, mirror, manifest, record, head; each is a folder of its own that is complete once its _SUCCESS file
-stands, and a crash between any two leaves the former head in force. Doing it again is harmless."""
+Writing a checkpoint goes objects, mirror, manifest, record (committing), head, record (complete); each is a folder of its own that is
+complete once its _SUCCESS file stands, and a crash between any two leaves the former head in force. Doing it again is harmless."""
 
 from __future__ import annotations
 
@@ -12,6 +12,10 @@ POINTS = ("after_objects", "after_current", "after_manifest", "after_db", "after
 _RECORD = "checkpoint_id string, phase string, ordinal int, snapshot string, status string, previous_checkpoint_id string"
 
 
+class CorruptObject(RuntimeError):
+    """An object's content doesn't have its digest, or a restored file doesn't have its inventory's."""
+
+
 class Crash(RuntimeError):
     """Raised at a crash point that a test asks for."""
 
@@ -31,23 +35,35 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def put_objects(df: DataFrame, store: str) -> DataFrame:
-    """Appends contents (text) that the store lacks, once each, by digest; returns the inventory rows (path, sha256, size)."""
+    """Appends contents (text) that the store lacks, once each, by digest; returns the inventory rows (path, sha256, size).
+
+    A stored object of that digest with another content or size is an error. Two writers may append the same object; readers
+    take one of each digest (objects)."""
     rows = df.select("path", "text", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("size"))
     new = rows.select("sha256", "size", "text").dropDuplicates(["sha256"])
     spark = df.sparkSession
     if exists(spark, store):
-        new = new.join(spark.read.parquet(store).select("sha256"), "sha256", "left_anti")
+        held = spark.read.parquet(store)
+        bad = held.join(new.select("sha256"), "sha256", "left_semi").where((F.sha2("text", 256) != F.col("sha256")) | (F.octet_length("text") != F.col("size")))
+        if first := bad.select("sha256").first():
+            raise CorruptObject(first["sha256"])
+        new = new.join(held.select("sha256"), "sha256", "left_anti")
     new.withColumn("shard", F.substring("sha256", 1, 2)).write.mode("append").partitionBy("shard").parquet(store)
     return rows.drop("text")
 
 
+def objects(spark: SparkSession, store: str) -> DataFrame:
+    """sha256, size and text of the store, once each."""
+    return spark.read.parquet(store).select("sha256", "size", "text").dropDuplicates(["sha256"])
+
+
 def corrupt_objects(spark: SparkSession, store: str) -> DataFrame:
     """Objects whose content doesn't have the recorded digest or size."""
     return spark.read.parquet(store).where((F.sha2("text", 256) != F.col("sha256")) | (F.octet_length("text") != F.col("size"))).select("sha256")
 
 
 def head(spark: SparkSession, root: str) -> str | None:
-    """The last checkpoint whose head was written: heads are numbered folders, and the highest complete one counts."""
+    """The last complete checkpoint: heads are numbered folders, and the highest whose record is complete counts."""
     jvm = spark.sparkContext._jvm
     top = jvm.org.apache.hadoop.fs.Path(f"{root}/heads")
     fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -56,7 +72,9 @@ def head(spark: SparkSession, root: str) -> str | None:
     names = sorted((s.getPath().getName() for s in fs.listStatus(top)), key=int, reverse=True)
     for name in names:
         if exists(spark, f"{root}/heads/{name}"):
-            return spark.read.parquet(f"{root}/heads/{name}").first()["checkpoint_id"]
+            own = spark.read.parquet(f"{root}/heads/{name}").first()["checkpoint_id"]
+            if complete(spark, root, own):  # a head whose record is still committing is passed over
+                return own
     return None
 
 
@@ -77,20 +95,32 @@ def publish(files: DataFrame, root: str, checkpoint_id: str, phase: str, ordinal
     reached("after_current")
     write_documents(inventory, f"{root}/manifests/{checkpoint_id}")
     reached("after_manifest")
-    record = spark.createDataFrame([(checkpoint_id, phase, ordinal, snapshot, "complete", previous)], _RECORD)
-    write_documents(record, f"{root}/records/{checkpoint_id}")
+    row = lambda status: spark.createDataFrame([(checkpoint_id, phase, ordinal, snapshot, status, previous)], _RECORD)
+    write_documents(row("committing"), f"{root}/records/{checkpoint_id}/committing")
     reached("after_db")
-    write_documents(record.select("checkpoint_id"), f"{root}/heads/{ordinal}")
+    write_documents(row("committing").select("checkpoint_id"), f"{root}/heads/{ordinal}")
     reached("after_head")
+    write_documents(row("complete"), f"{root}/records/{checkpoint_id}/complete")
+
+
+def complete(spark: SparkSession, root: str, checkpoint_id: str) -> bool:
+    return exists(spark, f"{root}/records/{checkpoint_id}/complete")
 
 
 def restore(spark: SparkSession, root: str, checkpoint_id: str | None = None) -> DataFrame:
-    """path and text of a checkpoint (the head's): exactly its inventory, so removed files can't come back."""
+    """path and text of a checkpoint (the head's): exactly its inventory, so removed files can't come back. A checkpoint that isn't
+    complete, a missing object, and content without its digest are errors."""
     own = checkpoint_id or head(spark, root)
     if own is None:
         raise ValueError("no checkpoint has been published")
+    if not complete(spark, root, own):
+        raise ValueError(f"checkpoint {own} isn't complete")
     manifest = spark.read.parquet(f"{root}/manifests/{own}")
-    return manifest.join(spark.read.parquet(f"{root}/objects").select("sha256", "text"), "sha256").select("path", "text")
+    files = manifest.select("path", "sha256", "size").join(objects(spark, f"{root}/objects").withColumnRenamed("size", "held"), "sha256", "left")
+    wrong = files.where(F.col("text").isNull() | (F.sha2("text", 256) != F.col("sha256")) | (F.octet_length("text") != F.col("size")))
+    if first := wrong.select("path").first():
+        raise CorruptObject(first["path"])
+    return files.select("path", "text")
 
 
 def problems(spark: SparkSession, root: str, checkpoint_id: str) -> DataFrame:
