@@ -221,22 +221,36 @@ def caller_first_layers(spark, d):
     return G.acyclic_layers(edges.select(F.explode(F.array("caller", "callee")).alias("id")), edges)
 
 
-@query()
+@query(
+    """WITH own AS (SELECT DISTINCT caller, callee, CAST(floor(caller / 3) AS BIGINT) % 2 AS phase FROM edge_sparse WHERE caller <> callee AND CAST(floor(caller / 3) AS BIGINT) % 2 = CAST(floor(callee / 3) AS BIGINT) % 2),
+    n AS (SELECT DISTINCT CAST(floor(id / 3) AS BIGINT) % 2 AS phase, id FROM (SELECT caller AS id FROM edge_sparse UNION SELECT callee FROM edge_sparse)),
+    r AS (SELECT phase, -1 AS layer, list(id) AS rest, CAST([] AS BIGINT[]) AS now FROM n GROUP BY phase
+      UNION ALL SELECT phase, layer + 1, list_filter(rest, lambda x: NOT list_contains(next, x)), next FROM (SELECT phase, layer, rest, CASE WHEN len(free) > 0 THEN free ELSE [list_min(rest)] END AS next FROM (
+        SELECT r.phase, r.layer, r.rest, list_filter(r.rest, lambda x: NOT list_contains(held.ids, x)) AS free FROM r JOIN (
+          SELECT r.phase, coalesce(list(DISTINCT own.callee) FILTER (WHERE own.callee IS NOT NULL), []) AS ids FROM r LEFT JOIN own ON own.phase = r.phase AND list_contains(r.rest, own.caller) GROUP BY r.phase) held ON held.phase = r.phase
+        WHERE len(r.rest) > 0)))
+    SELECT CAST(phase AS INT) AS phase, unnest(now) AS id, CAST(layer AS INT) AS layer FROM r""",
+    "edge_sparse",
+    True,
+)
 def caller_first_layers_cyclic(spark, d):
-    """G1 with cycles, a phase in a task; two phases by parity of the id's third."""
+    """G1 with cycles: what lies on or below one is folded in a task a phase; two phases by parity of the id's third."""
     edges = V.edge_sparse(spark, d)
     nodes = edges.select(F.explode(F.array("caller", "callee")).alias("id")).distinct().select((F.floor(F.col("id") / 3) % 2).cast("int").alias("phase"), "id")
     return G.caller_first_layers(nodes, edges)
 
 
 @query(
-    """WITH both_ AS (SELECT caller AS a, callee AS b FROM edge_sparse UNION SELECT callee, caller FROM edge_sparse), r(id) AS (SELECT p_partkey FROM part WHERE p_partkey % 97 = 0 UNION SELECT b FROM r JOIN both_ ON a = r.id) SELECT id FROM r""",
+    """WITH both_ AS (SELECT caller AS a, callee AS b, 'callee-propagation' AS how FROM edge_sparse UNION SELECT callee, caller, 'caller-propagation' FROM edge_sparse),
+    r(id, depth) AS (SELECT p_partkey, 0 FROM part WHERE p_partkey % 97 = 0 UNION SELECT b, depth + 1 FROM r JOIN both_ ON a = r.id WHERE depth < 64),
+    n AS (SELECT id, min(depth) AS depth FROM r GROUP BY id)
+    SELECT n.id, CASE WHEN any_value(n.depth) = 0 THEN 'file-change' ELSE min(how) END AS reason FROM n LEFT JOIN both_ ON b = n.id LEFT JOIN n m ON m.id = a WHERE n.depth = 0 OR m.depth = n.depth - 1 GROUP BY n.id""",
     "edge_sparse",
     True,
 )
 def impact_closure(spark, d):
-    """Members only, as several reasons may be as near."""
-    return G.impact_closure(V.edge_sparse(spark, d), table(spark, d, "part").where("p_partkey % 97 = 0").select(F.col("p_partkey").alias("id"))).select("id")
+    """Of several ways in from one distance, the caller's reach counts."""
+    return G.impact_closure(V.edge_sparse(spark, d), table(spark, d, "part").where("p_partkey % 97 = 0").select(F.col("p_partkey").alias("id")))
 
 
 @query("SELECT job_id % 10 AS phase, status, count(*) AS jobs FROM log GROUP BY ALL", "log")
@@ -351,15 +365,15 @@ def batch_totals(spark, d):
 
 
 @query(
-    """WITH b AS (SELECT source AS batch, list(doc_id ORDER BY doc_id) AS items FROM documents WHERE doc_id % 25 = CAST(substr(source, 4) AS INT) % 5 GROUP BY source),
-    s AS (SELECT 0 AS late, batch, unnest(items) AS i, generate_subscripts(items, 1) AS pos, NULL AS l FROM b WHERE len(items) < 3 UNION ALL SELECT 1, batch, NULL, 0, items FROM b WHERE len(items) >= 3)
-    SELECT row_number() OVER (ORDER BY late, batch, pos) AS ordinal, CASE WHEN late = 0 THEN CAST(i AS VARCHAR) ELSE array_to_string(l, ',') END AS items FROM s"""
+    """WITH b AS (SELECT source, doc_id // (20 + 20 * (CAST(substr(source, 4) AS INT) % 5)) AS batch, list(doc_id ORDER BY doc_id) AS items FROM documents GROUP BY ALL),
+    s AS (SELECT source, 0 AS late, batch, unnest(items) AS i, generate_subscripts(items, 1) AS pos, NULL AS l FROM b WHERE len(items) < 3 UNION ALL SELECT source, 1, batch, NULL, 0, items FROM b WHERE len(items) >= 3)
+    SELECT source, row_number() OVER (PARTITION BY source ORDER BY late, batch, pos) AS ordinal, CASE WHEN late = 0 THEN CAST(i AS VARCHAR) ELSE array_to_string(l, ',') END AS items FROM s"""
 )
 def batch_reshape(spark, d):
-    """W3."""
-    docs = table(spark, d, "documents").where("doc_id % 25 = cast(substr(source, 4) as int) % 5")
-    batches = docs.groupBy(F.col("source").alias("batch")).agg(F.array_sort(F.collect_list("doc_id")).alias("items"))
-    return R.reshape_batches(batches).select(F.col("ordinal").cast("long").alias("ordinal"), F.array_join(F.col("items").cast("array<string>"), ",").alias("items"))
+    """A phase a source; its batches are ranges of ids, longer ones in some sources."""
+    batch = F.expr("doc_id div (20 + 20 * (cast(substr(source, 4) as int) % 5))")
+    batches = table(spark, d, "documents").groupBy("source", batch.alias("batch")).agg(F.array_sort(F.collect_list("doc_id")).alias("items"))
+    return R.reshape_batches(batches, keys=("source",)).select("source", F.col("ordinal").cast("long").alias("ordinal"), F.array_join(F.col("items").cast("array<string>"), ",").alias("items"))
 
 
 @query("WITH a AS (SELECT job_id % 10 AS type, status, ts, lead(ts) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS done FROM log) SELECT type, round(greatest(0e0, coalesce(avg(epoch(done) - epoch(ts)) FILTER (WHERE status = 'succeeded'), 0e0)), 3) AS seconds FROM a GROUP BY type", "log")
@@ -409,8 +423,7 @@ def stream_job_status(spark, d):
     """T1 T2 T3 as a stream over the events, each job's last state."""
     from ..streaming.jobs import job_status_stream, latest_states, upsert_latest
 
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/veriframe-streams"
-    folder = f"{top}/stream-{uuid.uuid4().hex}"
+    folder = _folder(spark)
     raw = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
     action = V._mapped(F.col("event_type"), {"view": "start", "purchase": "complete", "error": "fail", "click": "retry"}, None)
     events = raw.select(F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), action.alias("action"), F.lit("execution").alias("failure_class"))
@@ -959,10 +972,10 @@ def job_page(spark, d):
     return R.page(table(spark, d, "part").select("p_partkey"), "p_partkey", 7, 5)
 
 
-@query("SELECT source, array_to_string(list_slice(list_sort(list(DISTINCT doc_id)), 1, 3), ',') AS first FROM documents WHERE doc_id % 2 = 0 GROUP BY source")
+@query("SELECT source, array_to_string(list_slice(list_sort(list(DISTINCT doc_id)), 1, 3), ',') AS first FROM documents GROUP BY source")
 def first_errors(spark, d):
     """The first three of each source."""
-    return table(spark, d, "documents").where("doc_id % 2 = 0").groupBy("source").agg(F.array_join(R.first_n("doc_id", 3).cast("array<string>"), ",").alias("first"))
+    return R.first_n(table(spark, d, "documents"), "source", "doc_id", 3).select("source", F.array_join(F.col("first").cast("array<string>"), ",").alias("first"))
 
 
 @query("SELECT source, CASE WHEN n < 3 THEN 'no phase plan' WHEN n % 2 = 0 THEN 'other range or configuration' WHEN n % 3 = 0 THEN 'baseline reference differs' ELSE '' END AS reason FROM (SELECT source, count(*) FILTER (WHERE lang = 'en') AS n FROM documents GROUP BY source)")
@@ -1026,8 +1039,7 @@ def checkpoint_restore(spark, d):
     """Two checkpoints are published; the later one is rebuilt from its inventory and the object store."""
     from ..sources import store
 
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/veriframe-store"
-    root = f"{top}/store-{uuid.uuid4().hex}"
+    root = _folder(spark)
     store.publish(V.v0(spark, d).select("path", "text"), root, "c0", "extraction", 1, "s0")
     store.publish(V.v1(spark, d).select("path", "text"), root, "c1", "extraction", 2, "s1")
     return store.restore(spark, root).select("path", F.sha2("text", 256).alias("sha256"))
@@ -1037,7 +1049,7 @@ def checkpoint_restore(spark, d):
 
 
 def _folder(spark: SparkSession) -> str:
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/veriframe-folders"
+    top = spark.conf.get("spark.checkpoint.dir", None) or G.local_folder(spark)
     return f"{top}/folder-{uuid.uuid4().hex}"
 
 
@@ -1100,3 +1112,6 @@ def span_extraction_compiler(spark, d):
     files = table(spark, d, "part").select(F.concat(F.lit("m"), key, F.lit(".c")).alias("path"), F.lit("\n\nint f(){\n}").alias("text"), F.lit("c").alias("language"), tree.alias("tree"))
     exported = compiler_spans(files.select("path", "text"), files.select("path", "tree"))
     return function_spans(files.select("path", "text", "language"), exported).select("path", "name", "line_start", "line_end")
+
+
+from . import checks  # noqa: E402, F401  it registers its queries here
