@@ -219,7 +219,7 @@ def test_forest():
 
 @pytest.mark.parametrize(("percent", "width"), [(90, 3), (80, 5)])
 def test_entries_lose_nothing(percent, width):
-    """Sets that link have an entry in common, whichever shingles come last; trees find all links of a driver table and made copies."""
+    """Sets that link have an entry in common; trees find all links of a driver table and made copies, and visit few of all pairs."""
     import pyarrow.parquet as pq
 
     from veriframe.llm.common import flat
@@ -237,18 +237,18 @@ def test_entries_lose_nothing(percent, width):
     links = {(a, b) for own in holders.values() if len(own) > 1 for a in own for b in own if a < b and 100 * min(size[a], size[b]) >= percent * max(size[a], size[b])}
     links = {(a, b) for a, b in links if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
     assert len(links) > 50
-    for hot in (np.empty(0, np.uint64), np.sort(np.random.default_rng(1).choice(codes, len(codes) // 3))):
-        keys, ends = jaccard.entries(codes, at, hot, measure)
-        owner = np.repeat(np.arange(len(size)), np.diff(ends))
-        inside = np.isin(owner, rows)
-        owner, entry = owner[inside], np.unique(keys[inside], return_inverse=True)[1]
-        order = np.argsort(entry, kind="stable")
-        owner, entry = owner[order], entry[order]
-        built, visited = jaccard.Tree.built, jaccard.Tree.visited
-        point = jaccard.points(codes, at)
-        a, b = jaccard.tree_pairs(entry, owner, owner, size[owner], point[owner], np.zeros(len(owner), bool), None, measure)
-        assert links <= {(int(min(x)), int(max(x))) for x in zip(owner[a], owner[b])}
-        assert jaccard.Tree.built > built and jaccard.Tree.visited - visited > len(links)
+    keys, ends = jaccard.entries(codes, at, measure)
+    owner = np.repeat(np.arange(len(size)), np.diff(ends))
+    inside = np.isin(owner, rows)
+    owner, entry = owner[inside], np.unique(keys[inside], return_inverse=True)[1]
+    order = np.argsort(entry, kind="stable")
+    owner, entry = owner[order], entry[order]
+    assert all(set(entry[owner == a]) & set(entry[owner == b]) for a, b in links)
+    built, visited = jaccard.Tree.built, jaccard.Tree.visited
+    point = jaccard.points(codes, at)
+    a, b = jaccard.tree_pairs(entry, owner, owner, size[owner], point[owner], np.zeros(len(owner), bool), None, measure)
+    assert links <= {(int(min(x)), int(max(x))) for x in zip(owner[a], owner[b])}
+    assert jaccard.Tree.built > built and len(links) < jaccard.Tree.visited - visited < 40 * len(owner)
 
 
 def test_large_entries(spark, monkeypatch):
@@ -261,8 +261,6 @@ def test_large_entries(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     for percent, width in ((90, 3), (80, 5)):
         assert key(jaccard.jaccard_components(df, percent=percent, width=width).collect()) == component_model(rows, percent, width)
-    monkeypatch.setattr(jaccard, "HOT_LEAST", 2)  # all that is left of the order is shingles in many documents
-    assert key(jaccard.jaccard_components(df).collect()) == component_model(rows)
 
 
 def smith_waterman(a, b):

@@ -15,8 +15,17 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 4 << 20
 
 
+def bounded(spark: SparkSession) -> None:
+    """Batches that go to Python workers get a bound in bytes, unless the session has one of its own: very long texts would else fill
+    a worker's memory by the thousand."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(2 * BLOCK_BYTES))
+
+
 def narrowed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator reads, as doc_id and text (null text: empty)."""
+    bounded(df.sparkSession)
     return df.select(df[id_col].cast("long").alias("doc_id"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"))
 
 

@@ -6,11 +6,11 @@ an inner node keeps the greatest counts and the ranges of sizes, components and
 where these allow a link. Candidates are verified on the sets.
 
 One tree over all points would compare each set with most of the collection, as the counts of unrelated texts of one size
-are alike. So a set enters the forest once for each of its entries, and the entry is the leading coordinate of every tree: in
-an order of shingles that all sets share, two sets that link have one of the first shingles in common, of n shingles
-n - ceil(n * percent / 100) + 1. Entries only narrow the search and lose no link. Shingles in many documents come last in that
-order (any order is right; _hot finds them by counts over all documents), so a passage that many texts share makes no large
-entry. An entry also has a size band, of which a set has two, so that one of them is common to sets that link.
+are alike. So a set enters the forest once for each of its entries, and the entry is the leading coordinate of every tree. An entry
+is a group with exactly its members, of a number of groups that depends on the size's level (a factor of two). Two sets that link
+differ in few elements, and each of them touches one group; of all groups, in an order that depends on number and hash of their
+members, the first that both sets have alike comes behind no more than these. So a set enters with that many groups and one more,
+and loses no link. Groups with most members come first: unrelated texts hardly ever share one.
 
 Equal sets are one class. Entries of one component have nothing to find, so the first rounds search for a few partners a
 member, and the last one for all that are left: the limit sets the order of work only. An entry of more than TILE members is
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, dropped, free_name, maybe_in, narrowed, per_block, ragged, strings, written
@@ -41,8 +41,6 @@ TILE, BATCH = 2048, 16_384
 LEAF, FANOUT = 8, 16
 #: Partners a member in the rounds of the search; None: all.
 ROUNDS = (1, 4, None)
-#: Shingles in more than one of HOT_SHARE documents (and HOT_LEAST) go last in the order, MOST_HOT of them at most.
-HOT_SHARE, HOT_LEAST, MOST_HOT = 1000, 64, 1 << 17
 _M, _G = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -64,8 +62,8 @@ def _in_order(owner: np.ndarray, code: np.ndarray) -> np.ndarray:
     return np.lexsort((code, owner)) if (tied & (code[order[1:]] != code[order[:-1]])).any() else order
 
 
-def sets_of(data: np.ndarray, offsets: np.ndarray, width: int = 3, most: np.uint64 | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes (up to most) of each text, one text after the other, and n + 1 offsets."""
+def sets_of(data: np.ndarray, offsets: np.ndarray, width: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of each text, one text after the other, and n + 1 offsets."""
     low = data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
     words, doc = words_of(low, offsets)
     n_docs = len(offsets) - 1
@@ -87,8 +85,6 @@ def sets_of(data: np.ndarray, offsets: np.ndarray, width: int = 3, most: np.uint
         for k in range(int(count[row])):
             value = mixed(value * _G + own[first[row] + k : first[row] + k + 1])
         code[at[row]] = value[0]
-    if most is not None:
-        owner, code = owner[code <= most], code[code <= most]
     order = _in_order(owner, code)
     code, owner = code[order], owner[order]
     keep = np.ones(len(code), bool)
@@ -103,34 +99,56 @@ class Measure:
         self.percent = percent
         self.most_equal = max(1, -(-percent // (100 - percent)) - 1) if percent < 100 else 2**31  # n / (n + 1) is too little up to here
 
-    def prefix(self, size: np.ndarray) -> np.ndarray:
-        """First shingles of sets, two of which have one in common if the sets link and differ."""
-        return np.where(size > self.most_equal, size * (100 - self.percent) // 100 + 1, 0)
+    def level(self, size: np.ndarray) -> np.ndarray:
+        """Level of sets by their size, a factor of two each; -1 for those that link with equal sets only."""
+        return np.where(size > self.most_equal, np.floor(np.log2(np.maximum(size, 1) / (self.most_equal + 1))), -1).astype(np.int64)
 
-    def counted(self) -> np.uint64:
-        """Hashes up to here are counted to find shingles in many documents: those that prefixes reach, and a half more."""
-        return np.uint64(min(2**64 - 1, 2**64 * 3 * (100 - self.percent) // 200))
+    def groups(self, level: int) -> tuple[int, int]:
+        """Number of groups at a level, and the most differences of two sets of which the smaller one is there."""
+        top = (self.most_equal + 1) * 2 ** (level + 1)
+        return int(top * (100 - self.percent) / (0.75 * self.percent)) + 2, top * (100 - self.percent) // self.percent
 
-    def band(self, size: str) -> Column:
-        """Band of a set's size; sets that link lie in one band or in neighbouring ones."""
-        return F.floor(F.log(F.col(size).cast("double")) / F.lit(1.0001 * float(np.log(100 / self.percent)))).cast("long")
+    def differences(self, size: np.ndarray) -> np.ndarray:
+        """Most elements in which a set and a larger one that links differ: union <= size * 100 / percent."""
+        return size * (100 - self.percent) // self.percent
 
     def links(self, both: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return 100 * both >= self.percent * (a + b - both)
 
 
-def entries(codes: np.ndarray, at: np.ndarray, hot: np.ndarray, measure: Measure) -> tuple[np.ndarray, np.ndarray]:
-    """The first shingles of all sets, hot ones (sorted) being last in the order, and their n + 1 offsets."""
+def entries(codes: np.ndarray, at: np.ndarray, measure: Measure) -> tuple[np.ndarray, np.ndarray]:
+    """Entries of all sets, one set after the other, and their n + 1 offsets. A set enters at its level, and at that of the
+    smallest set it may link with; there its differences are bounded by its own size as the larger one, too."""
     size = np.diff(at)
-    owner = np.repeat(np.arange(len(size)), size)
-    late = np.zeros(len(codes), bool)
-    if len(hot) and len(codes):
-        late = hot[np.minimum(np.searchsorted(hot, codes), len(hot) - 1)] == codes
-    early = np.concatenate([[0], np.cumsum(~late)])
-    before = early[:-1] - early[at[:-1]][owner]  # of the set's others that come first, those that aren't hot
-    rank = np.where(late, (early[at[1:]] - early[at[:-1]])[owner] + np.arange(len(codes)) - at[:-1][owner] - before, before)
-    keep = rank < measure.prefix(size)[owner]
-    return codes[keep].view(np.int64), np.concatenate([[0], np.cumsum(keep)])[at]
+    level, least = measure.level(size), measure.level(-(-size * measure.percent // 100))
+    least = np.where((level >= 0) & (least < 0), 0, least)
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    for k in range(int(level.max(initial=-1)) + 1):
+        own = np.flatnonzero((level == k) | (least == k))
+        if not len(own):
+            continue
+        groups, most = measure.groups(k)
+        members = codes[ragged(at[own], size[own])]
+        group = (mixed(members ^ np.uint64(groups)) % np.uint64(groups)).astype(np.int64)
+        cell = np.repeat(np.arange(len(own)) * groups, size[own]) + group
+        counts = np.bincount(cell, minlength=len(own) * groups)
+        total, filled = np.zeros(len(counts), np.uint64), np.flatnonzero(counts)
+        order = np.argsort(cell)
+        total[filled] = np.add.reduceat(mixed(members[order] + np.uint64(0x5851F42D4C957F2D)), (np.cumsum(counts) - counts)[filled])
+        key = mixed(total + mixed(np.tile(np.arange(groups, dtype=np.uint64), len(own)) + np.uint64((k + 1) << 32)) + counts.astype(np.uint64))
+        # Order by set, members (many first), hash; equal ones by group.
+        bits = int(len(own)).bit_length()
+        lead = np.repeat(np.arange(len(own), dtype=np.uint64) << np.uint64(64 - bits), groups)
+        lead |= (255 - np.minimum(counts, 255)).astype(np.uint64) << np.uint64(56 - bits)
+        order = np.argsort(lead | (key >> np.uint64(8 + bits)), kind="stable")
+        wanted = 1 + np.where(level[own] == k, measure.differences(size[own]), np.minimum(most, 2 * (100 - measure.percent) * size[own] // (100 + measure.percent)))
+        take = order[ragged(np.arange(len(own)) * groups, np.minimum(wanted, groups))]
+        parts.append((np.repeat(own, np.minimum(wanted, groups)), key[take]))
+    if not parts:
+        return np.empty(0, np.int64), np.zeros(len(size) + 1, np.int64)
+    owner, key = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(owner, kind="stable")
+    return key[order].view(np.int64), np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(size)))])
 
 
 def points(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -213,51 +231,13 @@ def tree_pairs(entry: np.ndarray, ident: np.ndarray, comp: np.ndarray, size: np.
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _hot(docs: DataFrame, measure: Measure, width: int) -> np.ndarray:
-    """Shingles in many documents, sorted: each task counts its own and sends those that reach the share there, so one that
-    reaches it over all documents is sent by a task. They set the order of shingles, which no result depends on."""
-    most, share = measure.counted(), HOT_SHARE
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, count, n, seen = np.empty(0, np.uint64), np.empty(0, np.int64), 0, set()
-        held: list[np.ndarray] = []
-
-        def compacted() -> tuple[np.ndarray, np.ndarray]:
-            both, add = np.concatenate([code, *held]), np.concatenate([count, np.ones(sum(map(len, held)), np.int64)])
-            order = np.argsort(both)
-            both = both[order]
-            first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.empty(0, np.int64)
-            return both[first], np.add.reduceat(add[order], first) if len(first) else first
-
-        for _, data, offsets in blocks(batches):
-            codes, at = sets_of(data, offsets, width, most)
-            new = [k for k, x in enumerate(_digests(codes, at).tolist()) if not (x in seen or seen.add(x))]  # copies count once a task
-            held.append(codes[ragged(at[:-1][new], np.diff(at)[new])])
-            n += len(offsets) - 1
-            if sum(map(len, held)) > 1 << 21:
-                code, count = compacted()
-                held = []
-                if len(code) > 1 << 21:
-                    code, count = code[count > 1], count[count > 1]
-        code, count = compacted()
-        keep = (count > 1) & (count * share >= n)
-        yield pa.RecordBatch.from_arrays([pa.array(code[keep].view(np.int64)), pa.array(count[keep])], names=["code", "n"])
-
-    n_docs = docs.count()
-    found = docs.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    found = found.where(F.col("n") > max(HOT_LEAST, n_docs // HOT_SHARE)).orderBy(F.desc("n"), "code").limit(MOST_HOT)
-    return np.sort(np.array([r["code"] for r in found.collect()], np.int64).view(np.uint64))
-
-
 def _profiles(docs: DataFrame, measure: Measure, width: int) -> DataFrame:
     """doc_id, fp, n, cls (digest of the set; null if empty) and keys (entries; none if the task has sent the class's before)."""
-    hot = docs.sparkSession.sparkContext.broadcast(_hot(docs, measure, width))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for rows, data, offsets in blocks(batches):
             codes, at = sets_of(data, offsets, width)
-            keys, ends = entries(codes, at, hot.value, measure)
+            keys, ends = entries(codes, at, measure)
             size, cls = np.diff(at), _digests(codes, at)
             new = np.array([not (x in seen or seen.add(x)) for x in cls.tolist()], bool)
             keys, ends = keys[np.repeat(new, np.diff(ends))], np.concatenate([[0], np.cumsum(np.diff(ends) * new)])
@@ -330,22 +310,27 @@ def _searched(members: DataFrame, points_of: DataFrame, most: int | None, measur
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, measure: Measure, heap: int = 512) -> DataFrame:
-    """a, b and whether they link. b is the side with many pairs; it is salted by their number."""
+    """a, b and whether they link. b is the side with many pairs; it is salted by their number, and its set leads their rows."""
     salts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / F.lit(heap)).cast("int").alias("salts"))
     left = pairs.join(salts, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int"))
-    left = left.join(sets.select(F.col("cls").alias("a"), F.col("codes").alias("x")), "a")
-    right = salts.join(sets.select(F.col("cls").alias("b"), F.col("codes").alias("y")), "b").select("b", "y", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    left = left.join(sets.select(F.col("cls").alias("a"), "codes"), "a").select("b", "salt", F.lit(True).alias("ask"), "a", "codes")
+    right = salts.join(sets.select(F.col("cls").alias("b"), "codes"), "b").select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "codes")
+    rows = left.unionByName(right.select("b", "salt", F.lit(False).alias("ask"), F.lit(0).cast("long").alias("a"), "codes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        y, own = np.empty(0, np.uint64), None
         for batch in batches:
-            links = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                place = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                links.append(bool(measure.links(int((y[place] == x).sum()), len(x), len(y))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(links, pa.bool_())], names=["a", "b", "links"])
+            out = []
+            for k, (b, salt, ask) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
+                x = np.frombuffer(batch.column(4)[k].as_buffer(), "<u8")
+                if not ask:
+                    y, own = x.copy(), (b, salt)
+                elif own == (b, salt):
+                    place = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                    out.append((batch.column(3)[k].as_py(), b, bool(measure.links(int((y[place] == x).sum()), len(x), len(y)))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate([pa.int64(), pa.int64(), pa.bool_()])], names=["a", "b", "links"])
 
-    return left.join(right, ["b", "salt"]).select("a", "b", "x", "y").mapInArrow(run, "a long, b long, links boolean")
+    return rows.repartition("b", "salt").sortWithinPartitions("b", "salt", "ask").mapInArrow(run, "a long, b long, links boolean")
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -390,12 +375,11 @@ def _labelled(docs: DataFrame, percent: int, width: int) -> DataFrame:
     """doc_id, fp, n, cls and comp (null where the set is empty) of docs (doc_id, text, fp), one row per row."""
     measure = Measure(percent)
     found = written(_profiles(docs, measure, width), "profiles")
-    keys = found.where("cls is not null").select(F.explode("keys").alias("key"), "cls", "n")
-    shared = keys.join(_mixed(keys, "cls"), "key").distinct()
-    # An entry is a shingle and one of two size bands: sets that link have a band in common, and most other sets with that shingle none.
-    slot = lambda k: F.xxhash64("key", measure.band("n") + k)
-    shared = shared.select("cls", F.explode(F.array(slot(0), slot(1))).alias("key"))
+    keys = found.where("cls is not null").select(F.explode("keys").alias("key"), "cls")
+    many = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "many")
+    shared = maybe_in(keys, "key", many).join(many, "key").distinct()  # copies of a class in two tasks count as two: more than classes tell
     shared = written(shared.join(_mixed(shared, "cls"), "key"), "shared")
+    dropped(many)
     nodes = written(shared.select("cls").distinct(), "classes")
     first = found.join(nodes, "cls", "left_semi").groupBy(F.col("cls").alias("want")).agg(F.min(F.struct("doc_id", "fp")).alias("row"))
     texts = written(first.select("want", F.xxhash64("row.doc_id", "row.fp").alias("rk")), "wanted")

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import blocks, narrowed, per_block, strings
+from .common import blocks, bounded, narrowed, per_block, strings
 
 #: Repeats of fewer words don't count for the method's verdict.
 LEAST_REPEAT = 8
@@ -152,6 +152,7 @@ def quality_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def quality_filter(df: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of df that are kept, with all their columns."""
+    bounded(df.sparkSession)
     at = df.columns.index(text_col)
 
     def run(batches):

@@ -72,7 +72,52 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": OP4, "op8_jaccard_join": OP8, "op9_revisits": OP9}
+    return {"op1_secret_scan": OP1, "op3_substring_dedup": OP3, "op4_quality_rules": OP4, "op8_jaccard_join": OP8, "op9_revisits": OP9}
+
+
+def _secret_sql() -> str:
+    """Spans of a kind from what lies between its matches; a UNION ALL part a kind."""
+    either = lambda words: "(" + "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in words) + ")"
+    names = either(["password", "passwd", "secret", "token", "api_?key"])
+    kinds = [
+        ("assign", names + r"""["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+        ("access", "AKIA[A-Z0-9]+", 0, 16),
+        ("hex", "[0-9a-f]+", 0, 32),
+        ("pem", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 1),
+        ("github", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
+        ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
+        ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 1),
+        ("bearer", either(["bearer"]) + r"\x20+[A-Za-z0-9._~+/-]{16,}=*", 0, 1),
+        ("url_password", r"[a-z]{2,10}://[A-Za-z0-9._-]{1,64}:[^\x09-\x0D :@/]{3,64}@[A-Za-z0-9.-]+", 0, 1),
+    ]
+    found = " UNION ALL ".join(f"SELECT r, {k} AS k, '{kind}' AS kind, {least} AS least, string_split_regex(t, '{p}') AS gaps, regexp_extract_all(t, '{p}') AS hits, regexp_extract_all(t, '{p}', {g}) AS parts FROM d" for k, (kind, p, g, least) in enumerate(kinds))
+    listed = "string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({found}),
+each AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM found),
+span AS (
+  SELECT r, k, kind, a, a + length(hits[i]) AS b FROM (
+    SELECT *, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a FROM each WHERE length(parts[i]) >= least)
+), by_doc AS (
+  SELECT r, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex, {listed} FILTER (WHERE k < 3) AS base, {listed} AS spans, count(*) AS n_spans FROM span GROUP BY r
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_spans, 0) AS n_spans FROM d LEFT JOIN by_doc ON by_doc.r = d.r
+"""
+
+
+OP1 = _secret_sql()
+#: Windows of 400 bytes by their digest; runs of those that stand twice, and what is left between them.
+OP3 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, i, md5_number(substr(h, CAST(2 * i + 1 AS BIGINT), 800)) AS m FROM (SELECT r, h, unnest(range(0, n - 399)) AS i FROM d WHERE n >= 400)),
+again AS (SELECT r, i FROM w QUALIFY count(*) OVER (PARTITION BY m) > 1),
+run AS (SELECT r, min(i) AS a, max(i) + 400 AS b FROM (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS g FROM (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 0 ELSE 1 END AS new FROM again)) GROUP BY r, g),
+part AS (SELECT r, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS a, a AS b FROM run UNION ALL SELECT d.r, coalesce(t.b, 0), d.n FROM d LEFT JOIN (SELECT r, max(b) AS b FROM run GROUP BY r) t ON t.r = d.r),
+kept AS (SELECT part.r, string_agg(substr(h, CAST(2 * a + 1 AS BIGINT), CAST(2 * (b - a) AS BIGINT)), '' ORDER BY a) AS h FROM part JOIN d ON d.r = part.r GROUP BY part.r),
+sums AS (SELECT r, sum(b - a) AS removed, count(*) AS spans FROM run GROUP BY r)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256 FROM d JOIN kept ON kept.r = d.r LEFT JOIN sums ON sums.r = d.r
+"""
 
 
 #: A word lies in a repeat of at least 8 words if and only if an 8-word window around it stands twice in its document, and a repeat

@@ -1,6 +1,6 @@
 """WARC revisits: a not-modified record takes its body from the latest earlier full response of its canonical URL.
 
-An as-of join. The most frequent URL may hold a third of all records, so time is cut into slices: within (URL, slice) a
+An as-of join. The most frequent URL may hold a third of all records, so time is cut into slices of about as many records: within (URL, slice) a
 running maximum of (time, record) of full responses answers most records; the slices' maxima, one row per URL and slice,
 run on over the slices and answer the rest. Bodies and headers come by the answer's record id afterwards, in a join that
 Spark may split where many records took one answer. Everything is built-in functions.
@@ -21,8 +21,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import maybe_in, written
+
 #: Slices of time, at least; as many more as there are shuffle partitions.
-SLICES = 64
+SLICES, MOST_SLICES = 64, 1024
 #: Stored headers that a 304 doesn't replace.
 KEPT_HEADERS = ("connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate", "te", "trailer", "transfer-encoding", "upgrade")
 
@@ -40,14 +42,27 @@ def _tag(headers: Column) -> Column:
     return F.regexp_replace(F.trim(F.try_element_at(headers, F.lit("etag"))), r"^[Ww]/", "")
 
 
+def _slice(ts: Column, cuts: list[int]) -> Column:
+    """How many of the cuts (ascending) ts has reached, in two steps."""
+    if not cuts:
+        return F.lit(0)
+    step = max(1, int(len(cuts) ** 0.5))
+    parts = [cuts[k : k + step] for k in range(0, len(cuts), step)]
+    reached = lambda own: F.size(F.filter(own, lambda c: c <= ts))
+    longs = lambda own: F.array(*(F.lit(c).cast("long") for c in own))
+    coarse = reached(longs([p[0] for p in parts]))
+    return F.when(coarse > 0, (coarse - 1) * step + reached(F.element_at(F.array(*map(longs, parts)), coarse))).otherwise(0)
+
+
 def latest_before(rows: DataFrame, slices: int | None = None) -> DataFrame:
     """rows (key, ts long, id, full boolean, and others), with answer: the struct (ts, id) of the latest full row of the key before ts.
 
-    slices: SLICES or twice the shuffle partitions, whichever is more."""
+    slices: SLICES or twice the shuffle partitions, whichever is more, MOST_SLICES at most. They hold about as many rows each, so a
+    burst is cut as well as a long history, and a stray time doesn't stretch them."""
     slices = slices or max(SLICES, 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    span = rows.where("ts is not null").agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
-    low, width = (span["a"], max(1, -(-(span["b"] - span["a"] + 1) // slices))) if span["a"] is not None else (0, 1)
-    cut = rows.withColumn("slice__", F.floor((F.col("ts") - F.lit(low)) / F.lit(width)).cast("int"))
+    slices = min(slices, MOST_SLICES)
+    cuts = rows.agg(F.percentile_approx("ts", [k / slices for k in range(1, slices)] or [0.5], 10_000).alias("q")).first()["q"]
+    cut = rows.withColumn("slice__", _slice(F.col("ts"), sorted(set(cuts or ()))))
     mine = F.when(F.col("full") & F.col("key").isNotNull() & F.col("ts").isNotNull(), F.struct("ts", "id"))
     before = Window.partitionBy("key", "slice__").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
     near = cut.where(F.col("ts").isNotNull() & F.col("key").isNotNull()).withColumn("near__", F.max(mine).over(before))
@@ -65,7 +80,10 @@ def resolve(records: DataFrame, slices: int | None = None) -> DataFrame:
     base = records.withColumn("key", canonical_url(F.col("url"))).withColumn("full", F.coalesce(F.col("status") == 200, F.lit(False)))
     head = base.select("id", "key", "ts", "full", F.coalesce(F.col("status") == 304, F.lit(False)).alias("again"), F.when(F.col("status") == 304, F.col("headers")).alias("own"))
     asked = latest_before(head, slices).where("again").select("id", "key", "own", F.col("answer.id").alias("answer_id"))
-    full = base.where("full and id is not null").groupBy(F.col("id").alias("answer_id")).agg(F.max_by(F.struct(F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("h"), "body"), F.struct("ts", F.coalesce("body", F.lit("")))).alias("found"))
+    asked = written(asked, "asked")
+    answers = asked.where("answer_id is not null").select(F.col("answer_id").alias("id")).distinct()
+    full = maybe_in(base.where("full and id is not null"), "id", answers)  # bodies that answer nothing aren't shuffled
+    full = full.groupBy(F.col("id").alias("answer_id")).agg(F.max_by(F.struct(F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("h"), "body"), F.struct("ts", F.coalesce("body", F.lit("")))).alias("found"))
     none = F.create_map().cast("map<string,string>")
     own, stored = F.coalesce("own", none), F.coalesce("found.h", none)
     tags, dates = (_tag(own), _tag(stored)), (F.try_element_at(own, F.lit("last-modified")), F.try_element_at(stored, F.lit("last-modified")))

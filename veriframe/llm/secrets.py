@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import flat, narrowed, per_block
+from .common import bounded, flat, narrowed, per_block
 
 #: Kinds in the order in which spans of one start are listed: name, expression, group that is measured, its least length.
 BASE_RULES = [
@@ -225,6 +225,7 @@ def without_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """df with each secret replaced by [kind]; rows without one stay as they are, null text stays null.
 
     Where spans overlap, they are replaced together by the kind of the first."""
+    bounded(df.sparkSession)
     rules = Rules([*BASE_RULES, *more_rules])
     at = df.columns.index(text_col)
 
