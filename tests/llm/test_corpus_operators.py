@@ -32,7 +32,9 @@ def removed_model(rows):
                 gone[i : i + 400] = True
         edge = np.flatnonzero(np.diff(np.concatenate([[0], gone])) == 1)
         out.append((doc, len(b), int(gone.sum()), len(edge), hashlib.sha256(bytes(c for c, g in zip(b, gone) if not g)).hexdigest()))
-    return key(out)
+    words = [re.findall("[^\x20\x09-\x0d]+", t or "") for _, t in rows]
+    runs = Counter(tuple(w[i : i + 51]) for w in words for i in range(len(w) - 50))
+    return key((*o, len({j for i in range(len(w) - 50) if runs[tuple(w[i : i + 51])] > 1 for j in range(i, i + 51)})) for o, w in zip(out, words))
 
 
 @pytest.fixture(scope="module")
@@ -45,6 +47,9 @@ def copied():
         b, k = r.choice(base), r.random()
         i = r.randrange(len(b))
         docs.append(b if k < 0.2 else b[:i] + "Z" + b[i + 1 :] if k < 0.5 else text(50) + b[i : i + r.choice([380, 400, 420, 800])] + text(80) if k < 0.8 else b + text(20) + b)
+    for _ in range(25):  # passages of short words
+        words = " ".join(r.choices("a b c d ee".split(), k=r.choice([50, 51, 52, 70, 120])))
+        docs += [f"{text(30)} {words} {text(30)}" for _ in range(r.choice([1, 2, 3]))]
     docs += ["", None, "a" * 1000, "ab" * 700, "x" * 399, "a" * 400, "abc" * 300]
     rows = list(enumerate(docs))
     return [*rows, rows[2], rows[2], (None, text(500)), (None, docs[7])]

@@ -109,14 +109,18 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 OP1 = _secret_sql()
 #: Windows of 400 bytes by their digest; runs of those that stand twice, and what is left between them.
 OP3 = r"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, strlen(t) AS n, hex(encode(t)) AS h FROM documents),
 w AS (SELECT r, i, md5_number(substr(h, CAST(2 * i + 1 AS BIGINT), 800)) AS m FROM (SELECT r, h, unnest(range(0, n - 399)) AS i FROM d WHERE n >= 400)),
 again AS (SELECT r, i FROM w QUALIFY count(*) OVER (PARTITION BY m) > 1),
 run AS (SELECT r, min(i) AS a, max(i) + 400 AS b FROM (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS g FROM (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 0 ELSE 1 END AS new FROM again)) GROUP BY r, g),
 part AS (SELECT r, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS a, a AS b FROM run UNION ALL SELECT d.r, coalesce(t.b, 0), d.n FROM d LEFT JOIN (SELECT r, max(b) AS b FROM run GROUP BY r) t ON t.r = d.r),
 kept AS (SELECT part.r, string_agg(substr(h, CAST(2 * a + 1 AS BIGINT), CAST(2 * (b - a) AS BIGINT)), '' ORDER BY a) AS h FROM part JOIN d ON d.r = part.r GROUP BY part.r),
-sums AS (SELECT r, sum(b - a) AS removed, count(*) AS spans FROM run GROUP BY r)
-SELECT doc_id, n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256 FROM d JOIN kept ON kept.r = d.r LEFT JOIN sums ON sums.r = d.r
+sums AS (SELECT r, sum(b - a) AS removed, count(*) AS spans FROM run GROUP BY r),
+word AS (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS l FROM d),
+passage AS (SELECT r, i FROM (SELECT r, i, md5_number(array_to_string(list_slice(l, i, i + 50), ' ')) AS m FROM (SELECT r, l, unnest(range(1, len(l) - 49)) AS i FROM word WHERE len(l) >= 51)) QUALIFY count(*) OVER (PARTITION BY m) > 1),
+words AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(range(i, i + 51)) AS j FROM passage) GROUP BY r)
+SELECT doc_id, d.n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256, coalesce(words.n, 0) AS n_repeat_words
+FROM d JOIN kept ON kept.r = d.r LEFT JOIN sums ON sums.r = d.r LEFT JOIN words ON words.r = d.r
 """
 
 

@@ -16,6 +16,9 @@ quarters of their bytes in common, and that core's hash joins the key. A gram wi
 as many different neighbours, is split down to single windows, which need no order: equal windows meet by a 128-bit hash in an
 aggregate that combines before the shuffle, so no task holds all strings of a gram.
 
+The same construction over words (32-bit hashes of them as symbols, windows of REPEAT_WORDS words) finds passages that are short in
+bytes: n_repeat_words counts a document's words in runs of more than 50 that also stand anywhere else.
+
 Defined results: null text counts as empty; texts shorter than WINDOW lose nothing; repeated rows are documents of their own
 (so their text occurs elsewhere); null doc_ids are allowed; other columns are not read.
 """
@@ -26,6 +29,7 @@ import contextlib
 import hashlib
 import tempfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,21 +38,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import dropped, maybe_in, narrowed, per_block, ragged, strings, written
+from .quality import words_of
+
+@dataclass(frozen=True)
+class Shape:
+    """What is compared: windows of so many symbols, routed by grams of so many (a power of two); bits of a symbol."""
+
+    window: int
+    gram: int
+    bits: int
+
+    @property
+    def span(self) -> int:
+        """Largest distance of a window's gram from its start."""
+        return self.window - self.gram
+
+    @property
+    def quarter(self) -> int:
+        return (self.span + 4) // 4
 
-WINDOW, GRAM = 400, 64
-SPAN = WINDOW - GRAM  # largest distance of a window's gram from its start
+
+WINDOW, REPEAT_WORDS = 400, 51
+BYTES, WORDS = Shape(WINDOW, 64, 8), Shape(REPEAT_WORDS, 16, 32)
 MOST_STRINGS, MOST_SPLIT = 4096, 32_768
 #: Strings that are built together, about; columns above COLUMN_BYTES go to a file.
 BATCH, COLUMN_BYTES = 16_384, 64 << 20
-QUARTER = (SPAN + 4) // 4
+QUARTER = BYTES.quarter
 _TABLE = np.random.default_rng(7).integers(0, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeat_words long"
+
 
+def symbols(data: np.ndarray, offsets: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of texts, one text after the other, and n + 1 offsets: their bytes, or hashes of their words."""
+    if shape.bits == 8:
+        return data, offsets
+    words, doc = words_of(data, offsets)
+    coded = words.dictionary_encode()
+    names = coded.dictionary.to_pylist() if len(words) else []
+    own = np.array([xxhash.xxh32_intdigest(w) for w in names], np.uint32)
+    out = own[coded.indices.to_numpy(zero_copy_only=False)] if names else np.empty(0, np.uint32)
+    return out, np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(offsets) - 1))])
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the GRAM bytes from each place on, by doubling."""
-    code, length = _TABLE[data], 1
-    while length < GRAM:
+
+def gram_hashes(code: np.ndarray, gram: int) -> np.ndarray:
+    """Hash of the gram from each place on, by doubling; code: hashes of the symbols."""
+    length = 1
+    while length < gram:
         code = code[:-length] * np.uint64(0x9E3779B97F4A7C15) + code[length:]
         code ^= code >> np.uint64(29)
         code *= np.uint64(0xBF58476D1CE4E5B9)
@@ -57,18 +92,18 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return code
 
 
-def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+def segments(data: np.ndarray, offsets: np.ndarray, shape: Shape = BYTES) -> tuple[np.ndarray, ...]:
     """start, windows, distance of the gram from start, hash of the gram, for all segments of a block; n + 1 offsets of the texts."""
-    count = np.maximum(0, np.diff(offsets) - WINDOW + 1)
+    count = np.maximum(0, np.diff(offsets) - shape.window + 1)
     if not count.sum():
         return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64), np.zeros(len(offsets), np.int64))
-    code = gram_hashes(data)
+    code = gram_hashes(_TABLE[data] if shape.bits == 8 else (data.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93), shape.gram)
     least = (code & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(code), dtype=np.uint64)
     width = 1
-    while 2 * width <= SPAN + 1:
+    while 2 * width <= shape.span + 1:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
-    if rest := SPAN + 1 - width:
+    if rest := shape.span + 1 - width:
         least = np.minimum(least[:-rest], least[rest:])
     start = ragged(offsets[:-1], count)
     gram = (least[start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -80,26 +115,27 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return start, windows, gram - start, code[gram], np.searchsorted(start, offsets)
 
 
-def repeated(rows: list[tuple[int, int, int, bytes]]) -> list[np.ndarray]:
+def repeated(rows: list[tuple[int, int, int, bytes]], shape: Shape = BYTES) -> list[np.ndarray]:
     """rows: (key, windows, distance of the gram from the first window, bytes), by key. Of each, which windows start elsewhere too.
 
-    Column 0 is the gram's place; a string covers columns -distance to windows - 1 - distance + WINDOW - 1."""
+    Column 0 is the gram's place; a string covers columns -distance to windows - 1 - distance + shape.window - 1."""
     n = len(rows)
     key = np.array([r[0] for r in rows], np.int64)
     group = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])) - 1
     windows, left = np.array([r[1] for r in rows], np.int64), -np.array([r[2] for r in rows], np.int64)
-    size = np.array([len(r[3]) for r in rows], np.int64)
+    kind = np.dtype(f"<u{shape.bits // 8}")
+    size = np.array([len(r[3]) for r in rows], np.int64) // kind.itemsize
     low, high = int(left.min()), int((left + size).max())
-    raw = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
-    shape = (high - low, n)
+    raw = np.frombuffer(b"".join(r[3] for r in rows), kind)
+    table = (high - low, n)
     out = np.zeros((n, int(windows.max())), bool)
     with contextlib.ExitStack() as held_open:
-        if shape[0] * n > COLUMN_BYTES:
+        if table[0] * n * kind.itemsize > COLUMN_BYTES:
             file = held_open.enter_context(tempfile.TemporaryFile())  # scratch of this task alone, made again if it is run again
-            file.truncate(shape[0] * n)
-            columns = np.memmap(file, np.uint8, "r+", shape=shape)
+            file.truncate(table[0] * n * kind.itemsize)
+            columns = np.memmap(file, kind, "r+", shape=table)
         else:
-            columns = np.zeros(shape, np.uint8)
+            columns = np.zeros(table, kind)
         at = np.concatenate([[0], np.cumsum(size)])
         for i in range(n):  # rounds go from the last column to the first: the file holds them in this order
             stop = high - 1 - int(left[i])
@@ -123,7 +159,7 @@ def repeated(rows: list[tuple[int, int, int, bytes]]) -> list[np.ndarray]:
             if not len(held):
                 continue
             symbol = columns[high - 1 - column][held]
-            own = group[held] << 8 | symbol
+            own = group[held] << shape.bits | symbol
             if len(own) > 1 and (own[1:] < own[:-1]).any():
                 turn = np.argsort(own, kind="stable")
                 own = own[turn]
@@ -137,7 +173,7 @@ def repeated(rows: list[tuple[int, int, int, bytes]]) -> list[np.ndarray]:
             go_on = (a >= 0) & (b >= 0)
             prefix[same[go_on]] += _least_between(common, a[go_on], b[go_on])
             order, common = held[turn], prefix
-            hit = common >= WINDOW
+            hit = common >= shape.window
             if hit.any():
                 hit[:-1] |= hit[1:].copy()
                 own = order[hit]
@@ -158,13 +194,15 @@ def _least_between(common: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarr
     return out
 
 
-def _profiles(docs: DataFrame) -> DataFrame:
+def _profiles(docs: DataFrame, shape: Shape) -> DataFrame:
     """One row a document: doc_id, fp, and of its segments start, windows, dist, gram, body (hash of the bytes)."""
 
     def block(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
-        start, windows, dist, gram, at = segments(data, offsets)
-        raw = memoryview(np.ascontiguousarray(data))
-        body = np.array([xxhash.xxh3_64_intdigest(raw[a:b], seed=d) for a, b, d in zip(start.tolist(), (start + windows + WINDOW - 1).tolist(), dist.tolist())], np.uint64)
+        data, offsets = symbols(data, offsets, shape)
+        start, windows, dist, gram, at = segments(data, offsets, shape)
+        raw, unit = memoryview(np.ascontiguousarray(data).view(np.uint8)), shape.bits // 8
+        ends = start + windows + shape.window - 1
+        body = np.array([xxhash.xxh3_64_intdigest(raw[a:b], seed=d) for a, b, d in zip((start * unit).tolist(), (ends * unit).tolist(), dist.tolist())], np.uint64)
         start = start - np.repeat(offsets[:-1], np.diff(at))
         lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x)) for x in (start, windows.astype(np.int32), dist.astype(np.int32), gram.view(np.int64), body.view(np.int64))]
         return pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), *lists], names=["doc_id", "fp", "start", "windows", "dist", "gram", "body"])
@@ -172,35 +210,39 @@ def _profiles(docs: DataFrame) -> DataFrame:
     return per_block(docs, block, "doc_id long, fp long, start array<long>, windows array<int>, dist array<int>, gram array<long>, body array<long>", 4 << 20)
 
 
-def _fetched(docs: DataFrame) -> DataFrame:
+def _fetched(docs: DataFrame, shape: Shape) -> DataFrame:
     """docs: want (list of segments), text. The strings of the segments by key; of grams with more than MOST_SPLIT strings windows'
     hashes instead (windows is 0)."""
 
+    unit, window, quarter = shape.bits // 8, shape.window, shape.quarter
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for want, text in zip(batch.column(0), batch.column(1).to_pylist()):
                 text, out = text.encode(), []
+                if unit > 1:
+                    text = symbols(np.frombuffer(text, np.uint8), np.array([0, len(text)]), shape)[0].tobytes()
                 for w in want.as_py():
-                    bytes_ = text[w["start"] : w["start"] + w["windows"] - 1 + WINDOW]
-                    if xxhash.xxh3_64_intdigest(bytes_, seed=w["dist"]) != w["body"] & (2**64 - 1):
-                        continue  # another text with this doc_id
+                    part = lambda a, b: text[(w["start"] + a) * unit : (w["start"] + b) * unit]  # noqa: B023, E731
+                    if xxhash.xxh3_64_intdigest(part(0, w["windows"] - 1 + window), seed=w["dist"]) != w["body"] & (2**64 - 1):
+                        continue  # another text with this hash
                     if w["strings"] > MOST_SPLIT:
                         for i in range(w["windows"]):
-                            digest = xxhash.xxh3_128_digest(bytes_[i : i + WINDOW], seed=w["dist"] - i)
+                            digest = xxhash.xxh3_128_digest(part(i, i + window), seed=w["dist"] - i)
                             out.append((w["gram"], w["gram"], w["body"], w["copies"], i, 0, 0, digest))
                         continue
                     if w["strings"] <= MOST_STRINGS:
                         parts = [(w["gram"], 0, w["windows"])]
                     else:
                         parts = []
-                        for q in range(4):  # windows whose gram is q * QUARTER to (q + 1) * QUARTER - 1 behind their start
-                            first, stop = max(0, w["dist"] - (q + 1) * QUARTER + 1), min(w["windows"], w["dist"] - q * QUARTER + 1)
+                        for q in range(4):  # windows whose gram is q * quarter to (q + 1) * quarter - 1 behind their start
+                            first, stop = max(0, w["dist"] - (q + 1) * quarter + 1), min(w["windows"], w["dist"] - q * quarter + 1)
                             if first < stop:
-                                core = w["dist"] - q * QUARTER
-                                key = xxhash.xxh3_64_intdigest(bytes_[core : core - QUARTER + 1 + WINDOW], seed=(w["gram"] + q) & (2**64 - 1))
+                                core = w["dist"] - q * quarter
+                                key = xxhash.xxh3_64_intdigest(part(max(0, core), core - quarter + 1 + window), seed=(w["gram"] + q) & (2**64 - 1))
                                 parts.append((key - 2**64 if key >= 2**63 else key, first, stop))
                     for key, first, stop in parts:
-                        out.append((key, w["gram"], w["body"], w["copies"], first, stop - first, w["dist"] - first, bytes_[first : stop - 1 + WINDOW]))
+                        out.append((key, w["gram"], w["body"], w["copies"], first, stop - first, w["dist"] - first, part(first, stop - 1 + window)))
                 kinds = [pa.int64()] * 3 + [pa.int32()] * 4 + [pa.binary()]
                 columns = zip(*out) if out else [[]] * 8
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["key", "gram", "body", "copies", "first", "windows", "dist", "bytes"])
@@ -208,7 +250,7 @@ def _fetched(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "key long, gram long, body long, copies int, first int, windows int, dist int, bytes binary")
 
 
-def _built(strings_: DataFrame) -> DataFrame:
+def _built(strings_: DataFrame, shape: Shape) -> DataFrame:
     """gram, body, first and stop window: stretches of windows that also start elsewhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +259,7 @@ def _built(strings_: DataFrame) -> DataFrame:
         def build() -> pa.RecordBatch:
             rows = [r for r in held for _ in range(r[3])]
             out = []
-            for r, hit in zip(rows, repeated([(r[0], r[5], r[6], r[7]) for r in rows])):
+            for r, hit in zip(rows, repeated([(r[0], r[5], r[6], r[7]) for r in rows], shape)):
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], hit, [0]])))
                 out += [(r[1], r[2], r[4] + int(a), r[4] + int(b)) for a, b in zip(edge[::2], edge[1::2])]
             out = list(dict.fromkeys(out))
@@ -236,10 +278,10 @@ def _built(strings_: DataFrame) -> DataFrame:
     return strings_.mapInArrow(run, "gram long, body long, first int, stop int")
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text (not null), fp, rk (hash of both). These but text, and spans (array of struct from, till: bytes), of documents
+def repeated_spans(docs: DataFrame, shape: Shape = BYTES) -> DataFrame:
+    """docs: doc_id, text (not null), fp, rk (hash of both). These but text, and spans (array of struct from, till: symbols), of documents
     that repeat something."""
-    profile = written(_profiles(docs.select("doc_id", "text", "fp")), "segments")
+    profile = written(_profiles(docs.select("doc_id", "text", "fp"), shape), "segments")
     zipped = F.arrays_zip("start", "windows", "dist", "gram", "body")
     each = profile.select("doc_id", "fp", F.explode(zipped).alias("s")).select("doc_id", "fp", "s.*")
     classes = each.groupBy("gram", "body").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("doc_id", "fp").alias("rk"), "start", "windows", "dist")).alias("at"))
@@ -249,15 +291,15 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     classes = written(classes.select("gram", "body", F.least("n", F.lit(2)).cast("int").alias("copies"), "strings", "at.*"), "classes")
     want = classes.groupBy("rk").agg(F.collect_list(F.struct("gram", "body", "copies", "strings", "start", "windows", "dist")).alias("want"))  # of one document each
     texts = maybe_in(docs.select("rk", "text"), "rk", classes.select("rk"))
-    bodies = written(_fetched(want.join(texts, "rk").dropDuplicates(["rk"]).select("want", "text")), "strings")
-    built = _built(bodies.where("windows > 0").repartition("key").sortWithinPartitions("key", "gram", "body", "first"))
+    bodies = written(_fetched(want.join(texts, "rk").dropDuplicates(["rk"]).select("want", "text"), shape), "strings")
+    built = _built(bodies.where("windows > 0").repartition("key").sortWithinPartitions("key", "gram", "body", "first"), shape)
     single = bodies.where("windows = 0").select("gram", "body", "copies", "first", "bytes")
     again = single.groupBy("bytes").agg(F.sum("copies").alias("all")).where("all > 1").select("bytes")
     single = single.join(again, "bytes").select("gram", "body", "first", (F.col("first") + 1).alias("stop"))
     found = written(built.unionByName(single), "repeats")
     dropped(bodies)
     hits = each.select("doc_id", "fp", "start", "gram", "body").join(found, ["gram", "body"])
-    span = F.struct((F.col("start") + F.col("first")).alias("from"), (F.col("start") + F.col("stop") - 1 + WINDOW).alias("till"))
+    span = F.struct((F.col("start") + F.col("first")).alias("from"), (F.col("start") + F.col("stop") - 1 + shape.window).alias("till"))
     return hits.groupBy("doc_id", "fp").agg(F.collect_set(span).alias("spans")).withColumn("rk", F.xxhash64("doc_id", "fp"))
 
 
@@ -273,13 +315,19 @@ def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of df: bytes, bytes removed, maximal runs removed, digest of the bytes that are left."""
+    """One row per row of df: bytes, bytes removed, maximal runs removed, digest of the bytes that are left; words in runs of
+    REPEAT_WORDS words that stand elsewhere, too."""
     docs = narrowed(df, id_col, text_col).withColumn("fp", F.xxhash64("text")).withColumn("rk", F.xxhash64("doc_id", "fp"))
-    spans = written(repeated_spans(docs), "spans").select("rk", F.col("doc_id").alias("doc"), F.col("fp").alias("own"), "spans")
+    none = F.lit(None)
+    own = [F.col("doc_id").alias("doc"), F.col("fp").alias("own")]
+    found, of_words = repeated_spans(docs, BYTES), repeated_spans(docs, WORDS)
+    kind = found.schema["spans"].dataType
+    found = found.select("rk", *own, "spans", none.cast(kind).alias("words")).unionByName(of_words.select("rk", *own, none.cast(kind).alias("spans"), F.col("spans").alias("words")))
+    spans = written(found.groupBy("rk", "doc", "own").agg(F.first("spans", ignorenulls=True).alias("spans"), F.first("words", ignorenulls=True).alias("words")), "spans")
     # Documents that surely repeat nothing aren't shuffled.
     inside = maybe_in(docs, "rk", spans)
-    inside = inside.join(spans, (inside["rk"] == spans["rk"]) & inside["doc_id"].eqNullSafe(spans["doc"]) & (inside["fp"] == spans["own"]), "left").select("doc_id", "text", "spans")
-    joined = maybe_in(docs, "rk", spans, other=True).select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")).unionByName(inside)
+    inside = inside.join(spans, (inside["rk"] == spans["rk"]) & inside["doc_id"].eqNullSafe(spans["doc"]) & (inside["fp"] == spans["own"]), "left").select("doc_id", "text", "spans", "words")
+    joined = maybe_in(docs, "rk", spans, other=True).select("doc_id", "text", none.cast(kind).alias("spans"), none.cast(kind).alias("words")).unionByName(inside)
 
     def block(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
         raw, out = data.tobytes(), []
@@ -291,7 +339,8 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 digest.update(text[last:a])
                 last = b
             digest.update(text[last:])
-            out.append((len(text), sum(b - a for a, b in runs), len(runs), digest.hexdigest()))
-        return pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(c, k) for c, k in zip(zip(*out), [pa.int64()] * 3 + [pa.string()]))], names=[x.split()[0] for x in _SCHEMA.split(", ")])
+            words = united([(s["from"], s["till"]) for s in rows.column(3)[i].as_py() or []])
+            out.append((len(text), sum(b - a for a, b in runs), len(runs), digest.hexdigest(), sum(b - a for a, b in words)))
+        return pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(c, k) for c, k in zip(zip(*out), [pa.int64()] * 3 + [pa.string(), pa.int64()]))], names=[x.split()[0] for x in _SCHEMA.split(", ")])
 
     return per_block(joined, block, _SCHEMA)
