@@ -463,3 +463,56 @@ def test_pipeline(spark, tmp_path):
     assert 0 < kept["secrets"] == kept["decontamination"] <= kept["near_copies"] <= kept["quality"]
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert last.count() == kept["secrets"] and corpus_pipeline.run(spark, sf).count() == kept["secrets"]
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Stages on nulls in any column, repeated rows, columns named like internals and an empty table; a run is taken up where it ended."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    r = random.Random(51)
+    text = lambda n: " ".join(r.choices([f"w{i}" for i in range(300)], k=n))
+    one, two, three = text(80), text(90), text(100)
+    rows = [(None, one, None, None, None), (1, one, "en", "s", 1), (2, two, None, "s", None), (2, two, None, "s", None), (None, three, "de", None, 5), (3, None, "en", "s", 0), (4, "", "en", "s", 0), (5, text(60) + " password = abcdefgh123", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit(1) for c in ("rk", "goes", "word", "mask", "fp", "cls", "comp", "keys", "kept", "n", "spans", "want")})
+    for empty in (False, True):
+        now = docs.limit(0) if empty else docs
+        for name, stage in corpus_pipeline.STAGES:
+            now = stage(spark, now, sf)
+            assert name == "pieces" or now.columns == docs.columns
+            now.write.parquet(str(tmp_path / f"{name}{empty}"))
+            now = spark.read.parquet(str(tmp_path / f"{name}{empty}"))
+            if name == "secrets" and not empty:
+                left = sorted(((x["doc_id"], x["text"]) for x in now.collect()), key=repr)
+                assert [d for d, _ in left] == [1, 2, 5, None] and "[assign]" in left[2][1] and left[3][1] == three
+        assert now.count() == (0 if empty else 4)
+    folder = str(tmp_path / "run")
+    (tmp_path / "in").mkdir()
+    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "in" / "documents.parquet"))
+    spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(str(tmp_path / "in" / "benchmark.parquet"))
+    whole = key(corpus_pipeline.run(spark, str(tmp_path / "in"), folder).collect())
+    import shutil
+
+    shutil.rmtree(f"{folder}/pieces")
+    (tmp_path / "run" / "secrets" / "_SUCCESS").unlink()
+    assert key(corpus_pipeline.run(spark, str(tmp_path / "in"), folder).collect()) == whole and len(whole) == 4
+
+
+def test_sql_of_operators(spark):
+    """SQL over the smallest driver table."""
+    con = duckdb.connect()
+    con.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    for name in ("op1_secret_scan", "op3_substring_dedup"):
+        got, want = queries.queries()[name](spark, "/root/testdata/sf0.001"), con.execute(queries.oracle_sql()[name])
+        names = [c[0] for c in want.description]
+        assert sorted(names) == sorted(got.columns) and key(got.select(*names).collect()) == key(want.fetchall())
+    texts = ["é Password: 'abcdefgh12' api-key=zz secret=aaaaaaaaa", "AKIA" + "A" * 12 + " " + "0f" * 16, "postgres://me:pass%word@host.example xoxb-1234567890 ghp_" + "a" * 36, "BEARER  " + "t" * 16 + "== -----BEGIN RSA PRIVATE KEY-----", "", None]
+    rows = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
+    con.register("made", rows)
+    con.sql("CREATE OR REPLACE VIEW documents AS SELECT * FROM made")
+    from veriframe.llm import secrets
+
+    want = con.execute(queries.oracle_sql()["op1_secret_scan"])
+    names = [c[0] for c in want.description]
+    assert key(secrets.secret_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select(*names).collect()) == key(want.fetchall())

@@ -93,6 +93,12 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{top}/veriframe-{uuid.uuid4().hex}"
 
 
+def complete(spark: SparkSession, path: str) -> bool:
+    """Whether a write to path has ended."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def written(df: DataFrame, name: str = "step") -> DataFrame:
     """df written as Parquet to the shared folder and read again: later reads need no executor to have survived.
 
