@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriframe.llm import decontaminate, jaccard, pieces, quality, secrets
-from veriframe.llm.common import shared_folder
+from veriframe.llm.common import complete, shared_folder
 from veriframe.llm.queries import table, tokenizer_file
 
 #: Near copies share this much of their runs of so many words; op8_jaccard_join has 90 and 3.
@@ -47,10 +47,14 @@ STAGES = [("quality", quality_stage), ("near_copies", near_copies_stage), ("deco
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; the tables between them lie in the shared folder."""
-    docs, folder = table(spark, sf_dir, "documents"), shared_folder(spark)
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """All stages over documents; the tables between them lie in folder, a fresh one in the shared folder where none is given.
+
+    A run that was lost is taken up by giving its folder again: stages whose tables are complete (_SUCCESS) aren't run once more.
+    Two runs at one time need folders of their own."""
+    docs, folder = table(spark, sf_dir, "documents"), folder or shared_folder(spark)
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        if not complete(spark, f"{folder}/{name}"):
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
     return docs
