@@ -180,3 +180,26 @@ def test_stream_leases(spark, tmp_path):
     jobs.upsert_latest(jobs.job_status_stream(raw, lease_seconds=900, delay="1 minute"), str(tmp_path / "out"), str(tmp_path / "cp"))
     got = {r["job_id"]: r["status"] for r in jobs.latest_states(spark.read.parquet(str(tmp_path / "out"))).collect()}
     assert (got["a"], got["b"]) == ("retryable", "succeeded")
+
+
+def test_stream_receipts(spark, tmp_path):
+    """Of identical receipts the first passes, one with another payload too."""
+    from veriframe.streaming import jobs
+
+    schema = "job_id string, attempt int, payload string, received_at timestamp"
+    rows = [("a", 1, "x", 0), ("a", 1, "x", 5), ("a", 1, "y", 9), ("a", 2, "x", 9), ("b", 1, None, 9)]
+    spark.createDataFrame(rows, "job_id string, attempt int, payload string, t int").select("job_id", "attempt", "payload", F.timestamp_seconds("t").alias("received_at")).write.parquet(str(tmp_path / "in"))
+    stream = jobs.first_receipts(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+    jobs.run_to_table(stream.select("job_id", "attempt", "payload"), "first_receipts", str(tmp_path / "cp"), "append")
+    assert sorted(map(tuple, spark.table("first_receipts").collect()), key=repr) == sorted([("a", 1, "x"), ("a", 1, "y"), ("a", 2, "x"), ("b", 1, None)], key=repr)
+
+
+def test_jdbc_graph(spark):
+    """A graph store read over JDBC, from the database that Spark brings along."""
+    from veriframe.sources.scans import jdbc_graph
+
+    url, driver = "jdbc:derby:memory:graph;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    for name, kinds in (("nodes", ["function", "method", "class"]), ("edges", ["calls", "imports", "instantiates"])):
+        spark.createDataFrame([(k, x) for k, x in enumerate(kinds)], "id int, kind string").write.jdbc(url, name, "overwrite", {"driver": driver, "createTableColumnTypes": "kind VARCHAR(40)"})
+    nodes, edges = jdbc_graph(spark, url, driver)
+    assert sorted(r["id"] for r in nodes.collect()) == [0, 1] and sorted(r["id"] for r in edges.collect()) == [0, 2]

@@ -420,7 +420,7 @@ def job_state_machine(spark, d):
 
 @query()
 def stream_job_status(spark, d):
-    """T1 T2 T3 as a stream over the events, each job's last state."""
+    """T1 as a stream over the events, each job's last state; leases (T2) and receipts (T3) of the stream are tested apart."""
     from ..streaming.jobs import job_status_stream, latest_states, upsert_latest
 
     folder = _folder(spark)
