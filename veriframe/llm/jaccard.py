@@ -32,10 +32,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, dropped, free_name, maybe_in, narrowed, per_block, ragged, strings, written
+from .common import blocks, dropped, free_name, maybe_in, narrowed, per_block, ragged, released, strings, written
 from .quality import words_of
 
-GROUPS = 64
+GROUPS = 256
 #: Members of an entry that share a tree at most; trees are built over about BATCH rows of neighbouring entries.
 TILE, BATCH = 2048, 16_384
 LEAF, FANOUT = 8, 16
@@ -154,7 +154,7 @@ def entries(codes: np.ndarray, at: np.ndarray, measure: Measure) -> tuple[np.nda
 def points(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Counts by group, a row a set."""
     owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    group = (mixed(codes) >> np.uint64(58)).astype(np.int64)
+    group = (mixed(codes) >> np.uint64(56)).astype(np.int64)
     return np.bincount(owner * GROUPS + group, minlength=(len(at) - 1) * GROUPS).reshape(-1, GROUPS).astype(np.int32)
 
 
@@ -252,14 +252,14 @@ def _digests(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """cls, size, point (16-bit counts; the greatest stands for itself and all above) and codes (binary) of rows with want (a class)."""
+    """cls, size, point (8-bit counts; the greatest stands for itself and all above) and codes (binary) of rows with want (a class)."""
 
     def block(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
         codes, at = sets_of(data, offsets, width)
         same = _digests(codes, at) == rows.column(0).to_numpy(zero_copy_only=False)
-        point = np.minimum(points(codes, at), 2**16 - 1).astype("<u2").view(np.uint8).reshape(-1)
+        point = np.minimum(points(codes, at), 255).astype(np.uint8).reshape(-1)
         n = rows.num_rows
-        out = [rows.column(0), pa.array(np.diff(at)), strings(point, np.arange(n) * 2 * GROUPS, n * 2 * GROUPS), strings(codes.astype("<u8").view(np.uint8), at[:-1] * 8, int(at[-1]) * 8)]
+        out = [rows.column(0), pa.array(np.diff(at)), strings(point, np.arange(n) * GROUPS, n * GROUPS), strings(codes.astype("<u8").view(np.uint8), at[:-1] * 8, int(at[-1]) * 8)]
         return pa.RecordBatch.from_arrays(out, names=["cls", "size", "point", "codes"]).filter(pa.array(same))
 
     return per_block(docs, block, "cls long, size long, point binary, codes binary")
@@ -281,8 +281,8 @@ def _searched(members: DataFrame, points_of: DataFrame, most: int | None, measur
         def search(table: pa.Table) -> pa.RecordBatch:
             take = lambda k: table.column(k).combine_chunks().to_numpy(zero_copy_only=False)
             key, tile, ident, comp, guest, size = (take(k) for k in ("key", "tile", "cls", "comp", "guest", "size"))
-            point = np.frombuffer(b"".join(table.column("point").to_pylist()), "<u2").reshape(-1, GROUPS).astype(np.int32)
-            point[point == 2**16 - 1] = 2**24  # so many at least
+            point = np.frombuffer(b"".join(table.column("point").to_pylist()), np.uint8).reshape(-1, GROUPS).astype(np.int32)
+            point[point == 255] = 2**22  # so many at least
             new = np.zeros(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])
             a, b = tree_pairs(np.cumsum(new), ident, comp, size, point, guest, most, measure)
@@ -305,6 +305,7 @@ def _searched(members: DataFrame, points_of: DataFrame, most: int | None, measur
             n += batch.num_rows
         if held:
             yield search(pa.Table.from_batches(held))
+        released()
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
@@ -329,6 +330,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, measure: Measure, heap: int = 5
                     place = np.minimum(np.searchsorted(y, x), len(y) - 1)
                     out.append((batch.column(3)[k].as_py(), b, bool(measure.links(int((y[place] == x).sum()), len(x), len(y)))))
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate([pa.int64(), pa.int64(), pa.bool_()])], names=["a", "b", "links"])
+        released()
 
     return rows.repartition("b", "salt").sortWithinPartitions("b", "salt", "ask").mapInArrow(run, "a long, b long, links boolean")
 

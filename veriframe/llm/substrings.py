@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, maybe_in, narrowed, per_block, ragged, strings, written
+from .common import dropped, maybe_in, narrowed, per_block, ragged, released, strings, written
 from .quality import words_of
 
 @dataclass(frozen=True)
@@ -274,6 +274,7 @@ def _built(strings_: DataFrame, shape: Shape) -> DataFrame:
                 held.append(row)
         if held:
             yield build()
+        released()
 
     return strings_.mapInArrow(run, "gram long, body long, first int, stop int")
 
