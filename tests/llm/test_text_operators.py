@@ -116,6 +116,29 @@ def test_expressions(text, worth):
     assert licenses.evaluated(text)[1] == worth
 
 
+def test_expressions_end_with_their_grammar():
+    cases = {" mit": "mit", " mit --> text": "mit", " (mit or apache-2.0) see the file for more": "( mit or apache-2.0 )", " mit and the rest": "mit", " gpl-2.0 with classpath-exception-2.0.": "gpl-2.0 with classpath-exception-2.0", " mit, see": "mit", " foo": "foo", " see the file": "", " foo-bar baz": "foo-bar", "": "", " or mit": ""}
+    assert {k: licenses.expression_in(k) for k in cases} == cases
+    assert [licenses.evaluated(licenses.expression_in(k))[1] for k in (" mit --> text", " (mit or apache-2.0) see", " (mit")] == [1.0, 1.0, 0.5]
+
+
+def test_many_rules():
+    """More trigrams than a byte can number."""
+    names = [x + y for x in "abcdefghijklmnopqrst" for y in "abcdefghijklmnopqrst" if x != y]
+    rules = secrets.Rules([(n, f"{n}{n}x[0-9]+", 0, 1, 0) for n in names])
+    raw = b"cdcdx7 tsts12 tstsx12"
+    assert len(rules.wanted) > 255 and rules.scan(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])) == {0: [(0, names.index("cd"), 6), (14, names.index("ts"), 21)]}
+
+
+def test_unknown_pieces(spark):
+    from veriframe.llm.queries import tokenizer_file
+
+    path = tokenizer_file("piece_bpe_32k.model")
+    ids = pieces.piece_encode(spark.createDataFrame([(1, "a text")], "doc_id long, text string"), path).first()["ids"]
+    rows = spark.createDataFrame([(1, [-1, *ids, 10**6, None]), (2, None), (3, [])], "doc_id long, ids array<int>")
+    assert {r["doc_id"]: r["text"] for r in pieces.piece_decode(rows, path).collect()} == {1: "a text", 2: None, 3: ""}
+
+
 def test_short_and_unlisted_identifiers(spark):
     cases = [("GPL-2.0", "gpl-2.0", 1.0), ("GPL-2.0+", "gpl-2.0+", 1.0), ("GPL-3.0", "gpl-3.0", 1.0), ("LGPL-2.1", "lgpl-2.1", 1.0), ("LGPL-3.0 OR AGPL-3.0", "agpl-3.0,lgpl-3.0", 1.0)]
     cases += [("LicenseRef-Own", "unlisted", 0.0), ("MIT AND Foo-1.0", "mit,unlisted", 0.0), ("see the file", "", 0.0)]

@@ -130,7 +130,7 @@ def dropped(df: DataFrame) -> None:
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
-#: Bits of the filters of maybe_in, which go to every task: 4 MB as rows.
+#: Bits of the filters of maybe_in, which go to every task: 2 ** 18 rows at most, about 10 MB in memory.
 FILTER_BITS = 1 << 24
 
 

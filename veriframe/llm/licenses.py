@@ -89,7 +89,8 @@ def postfix(expression: str) -> list[str] | None:
 
 def expression_in(text: str) -> str:
     """The expression that text begins with, up to where its grammar ends: prose behind an operand is left out, and so is an
-    operator with a word behind it that is neither a known identifier nor looks like one (a digit or a hyphen in it)."""
+    operator with a word behind it that is neither a known identifier nor looks like one (a digit or a hyphen in it). Such a word is an
+    identifier only where it stands alone."""
     taken, ended, depth, operand = [], 0, 0, True
     for m in re.finditer(r"\s*([()]|[^\s()]+)", text):
         token = m[1]
@@ -99,7 +100,7 @@ def expression_in(text: str) -> str:
             depth -= 1
         elif operand:
             word = token.rstrip(".,;")
-            if not re.fullmatch(r"[a-z0-9][a-z0-9.+-]*", word) or (taken and word.rstrip("+") not in KNOWN and not re.search(r"[0-9-]", word)):
+            if not re.fullmatch(r"[a-z0-9][a-z0-9.+-]*", word) or ((taken or text[m.end() :].strip()) and word.rstrip("+") not in KNOWN and not re.search(r"[0-9-]", word)):
                 break
             operand, token = False, word
         elif token in _RANK:
