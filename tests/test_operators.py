@@ -229,3 +229,28 @@ def test_edges_and_reads(spark):
     plan = spark.createDataFrame([("1", "s", "af", "j"), ("1", "s", "ag", "j")], "phase string, type string, artifact string, job_id string")
     own = spark.createDataFrame([("1", "s", "j", ["af", "ah"])], "phase string, type string, job_id string, artifacts array<string>")
     assert sorted(r["artifact"] for r in J.plan_violations(plan, own).collect()) == ["ag", "ah"]
+
+
+def test_quotes_grow_with_the_text(spark):
+    """A text of 20,000 words costs little more than one of 2,000; one word in all sources is no quote's only key."""
+    import time
+
+    words = [f"w{k * 7919 % 20011}" for k in range(20_000)]
+    q = spark.createDataFrame([(1, " ".join(words[11_000:11_030])), (2, " ".join(words[-3:]) + "x"), (3, words[19_999][:2]), (4, "no " + " ".join(words[5:9]) + " such end")], "quote_id int, text string")
+    took = {}
+    for n in (2_000, 20_000):
+        s = spark.createDataFrame([(n, " ".join(words[:n]))], "source_id int, text string")
+        J.quotes_in(s, q).collect()  # classes are loaded and code is made here
+        began = time.time()
+        assert sorted(map(tuple, J.quotes_in(s, q).collect())) == [(n, k) for k in ((1, 3) if n == 20_000 else (3,))]
+        took[n] = time.time() - began
+    assert took[20_000] < took[2_000] + 3
+
+
+def test_quotes_with_hot_keys(spark, monkeypatch):
+    """A key of all sources is salted; sources that come twice give one row."""
+    monkeypatch.setattr(J, "SALT_ROWS", 10)
+    s = spark.range(100).selectExpr("cast(id as int) AS source_id", "concat('a the same four words here ', id, ' z') AS text").unionByName(spark.createDataFrame([(7, "a the same four words here 7 z")], "source_id int, text string"))
+    q = spark.createDataFrame([(1, "a the same four words here"), (2, "the same four words here 7 z")], "quote_id int, text string")
+    got = [tuple(r) for r in J.quotes_in(s, q).collect()]
+    assert len(got) == 101 and set(got) == {*((k, 1) for k in range(100)), (7, 2)}

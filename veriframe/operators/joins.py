@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 #: Lines of a bucket in span joins: a span joins the buckets it touches, a node its own.
 BUCKET_LINES = 64
+#: Rows of one key that a task of quotes_in should get; the busiest key's count by this gives the number of salts, MOST_SALTS at most.
+SALT_ROWS, MOST_SALTS = 100_000, 256
 
 
 def manifest_index(artifacts: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -131,38 +133,68 @@ def unique_output_match(jobs: DataFrame, reports: DataFrame) -> DataFrame:
     return joined.withColumn("n__", F.count(F.lit(1)).over(Window.partitionBy("job_id"))).where("n__ = 1").drop("n__")
 
 
+#: Kinds of quotes other than those of one, two and three characters.
+_EMPTY, _WORD, _RUN = 0, 4, 8
+
+
+def _quote_kind(quote: Column, words: int) -> Column:
+    """How a quote is found: _RUN by runs of inner words (those between two single spaces), _WORD by single inner words, else by its
+    characters, three at a time or as many as it has."""
+    inner = F.greatest(F.size(F.split(quote, " ")) - 2, F.lit(0))
+    return F.when(inner >= words, _RUN).when(inner > 0, _WORD).otherwise(F.least(F.length(quote), F.lit(3)))
+
+
+def _keys_of(rows: DataFrame, ident: str, text: str, kind: int, words: int, inner: bool) -> DataFrame:
+    """ident and key__ (hash) of the runs of a kind in text, once each a row; inner: without the first and last word.
+
+    Pieces are cut once into a column that a generator keeps from being computed again; neighbours come from slices of it laid side
+    by side, so a text costs its length."""
+    wide = kind in (_RUN, _WORD)
+    n = words if kind == _RUN else 1 if kind == _WORD else kind
+    pieces = F.split(text, " ") if wide else F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    cut = rows.select(ident, F.explode(F.array(pieces)).alias("p__"))
+    if inner and wide:
+        cut = cut.select(ident, F.explode(F.array(F.slice("p__", F.lit(2), F.greatest(F.size("p__") - 2, F.lit(0))))).alias("p__"))
+    cut = cut.where(F.size("p__") >= n)
+    side = F.arrays_zip(*(F.slice("p__", F.lit(k + 1), F.size("p__") - (n - 1)).alias(str(k)) for k in range(n)))
+    each = cut.select(ident, F.explode(side).alias("z__"))
+    return each.select(ident, F.xxhash64(*(F.col("z__")[str(k)] for k in range(n))).alias("key__"))
+
+
 def quotes_in(sources: DataFrame, quotes: DataFrame, words: int = 4) -> DataFrame:
-    """source_id and quote_id where the quote (quote_id, text) is an exact substring of the source (source_id, text).
-
-    Candidates meet by an equality and are verified: a run of inner words of the quote, cut at single spaces, must stand in the source
-    as well; for quotes with fewer inner words their longest one; for those without any, their first three characters (an empty
-    quote stands everywhere). Sources are cut into what quotes of a kind ask for only if there are such quotes."""
-    runs = lambda text: F.split(text, " ")
-    inner = F.slice("w__", 2, F.greatest(F.size("w__") - 2, F.lit(0)))
-    q = quotes.select("quote_id", F.col("text").alias("quote")).where("quote is not null").withColumn("w__", runs(F.col("quote"))).withColumn("in__", inner)
-    kind = F.when(F.size("in__") >= words, 4 + words).when(F.size("in__") > 0, 4).otherwise(F.least(F.length("quote"), F.lit(3)))
-    q = q.withColumn("kind__", kind)
+    """source_id and quote_id, once each, where the quote (quote_id, text) is an exact substring of the source (source_id, text).
+
+    A quote has the keys of its kind (runs of four inner words, cut at single spaces; inner words where there are fewer; runs of three
+    characters where there are none), all of which stand in a source that has the quote. Sources' keys are kept where a quote has them
+    and counted; each quote is then looked up by its rarest one, and not at all if one of its keys stands nowhere. What meets is
+    verified. Keys of many rows are salted by the busiest count. An empty quote stands everywhere, a null text nowhere."""
+    from .graph import saved
+
+    q = quotes.select("quote_id", F.col("text").alias("quote")).where("quote is not null").withColumn("kind__", _quote_kind(F.col("quote"), words))
     s = sources.select("source_id", F.col("text").alias("source")).where("source is not null")
-    run = lambda w, i: F.xxhash64(*(F.get(w, i + k) for k in range(words)))
-    longest = F.array_max(F.transform("in__", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    keys = {4 + words: run(F.col("in__"), F.lit(0)), 4: F.xxhash64(longest), **{n: F.xxhash64(F.left("quote", F.lit(n))) for n in range(4)}}
-    cut = runs(F.col("source"))
-    places = lambda n: F.sequence(F.lit(1), F.length("source") - n + 1)
-    start = lambda n: lambda i: F.xxhash64(F.substring("source", i, F.lit(n)))
-    parts = {
-        4 + words: F.when(F.size(cut) >= words, F.transform(F.sequence(F.lit(0), F.size(cut) - words), lambda i: run(cut, i))),
-        4: F.transform(cut, lambda w: F.xxhash64(w)),
-        **{n: F.when(F.length("source") >= n, F.transform(places(n), start(n))) for n in (1, 2, 3)},
-        0: F.array(F.xxhash64(F.lit(""))),
-    }
-    out = None
-    for k in sorted(r["kind__"] for r in q.select("kind__").distinct().collect()):
-        own = q.where(F.col("kind__") == k).select("quote_id", "quote", keys[k].alias("key__"))
-        grams = s.select("source_id", F.explode(F.array_distinct(parts[k])).alias("key__"))
-        near = grams.join(own, "key__").select("source_id", "quote_id", "quote")
-        hits = near.join(s, "source_id").where(F.col("source").contains(F.col("quote"))).select("source_id", "quote_id")
-        out = hits if out is None else out.unionByName(hits)
-    return s.join(q, F.lit(False)).select("source_id", "quote_id") if out is None else out.distinct()
+    kinds = sorted(r["kind__"] for r in q.select("kind__").distinct().collect())
+    near = None
+    for kind in kinds:
+        own = q.where(F.col("kind__") == kind)
+        if kind == _EMPTY:
+            salted = own.select("quote_id", F.explode(F.sequence(F.lit(0), F.lit(MOST_SALTS - 1))).alias("salt__"))
+            pairs = s.select("source_id", F.pmod(F.xxhash64("source_id"), F.lit(MOST_SALTS)).cast("int").alias("salt__")).join(salted, "salt__").select("source_id", "quote_id")
+        else:
+            asked = _keys_of(own, "quote_id", "quote", kind, words, inner=True).distinct()
+            found = _keys_of(s, "source_id", "source", kind, words, inner=False).join(asked.select("key__").distinct(), "key__", "left_semi")
+            found = saved(found.distinct())
+            counts = found.groupBy("key__").agg(F.count(F.lit(1)).alias("n__"))
+            rarest = asked.join(counts, "key__", "left").groupBy("quote_id").agg(F.min(F.struct(F.coalesce("n__", F.lit(0)).alias("n__"), "key__")).alias("k__"))
+            chosen = saved(rarest.where("k__.n__ > 0").select("quote_id", "k__.key__", "k__.n__"))
+            most = chosen.agg(F.max("n__")).first()[0] or 0
+            salts = max(1, min(MOST_SALTS, -(-most // SALT_ROWS)))
+            salted = chosen.select("quote_id", "key__", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt__"))
+            pairs = found.withColumn("salt__", F.pmod(F.xxhash64("source_id"), F.lit(salts)).cast("int")).join(salted, ["key__", "salt__"]).select("source_id", "quote_id")
+        near = pairs if near is None else near.unionByName(pairs)
+    if near is None:
+        return s.join(q, F.lit(False)).select("source_id", "quote_id")
+    texts = near.join(q.select("quote_id", "quote"), "quote_id").join(s, "source_id")
+    return texts.where(F.col("source").contains(F.col("quote"))).select("source_id", "quote_id").distinct()
 
 
 def plan_form_violations(phases: DataFrame, sources: DataFrame, plan: str = "plan") -> DataFrame:
