@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, language, licenses, pieces, quality, revisits, secrets, substrings, tokens
+from . import byte_pairs, collocations, decontaminate, jaccard, language, licenses, merkle, pieces, quality, revisits, secrets, substrings, tokens
 
 
 def tokenizer_file(name: str) -> str:
@@ -60,6 +60,20 @@ def op10_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op11_byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_pairs.byte_digests(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.merkle_manifest(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,7 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": OP1, "op3_substring_dedup": OP3, "op4_quality_rules": OP4, "op8_jaccard_join": OP8, "op9_revisits": OP9}
+    return {"op1_secret_scan": OP1, "op3_substring_dedup": OP3, "op4_quality_rules": OP4, "op8_jaccard_join": OP8, "op9_revisits": OP9, "op12_collocations": OP12, "op13_merkle_manifest": OP13}
 
 
 def _secret_sql() -> str:
@@ -181,3 +195,59 @@ SELECT page_id, key AS canonical_url, outcome, coalesce(answer, -1) AS answer_pa
   CASE WHEN outcome = 'resolved' THEN sha256(body) END AS body_sha256
 FROM e
 """
+#: Phrases of all lengths by slices of the pieces' words; both shorter ones of a phrase of equal count are left out.
+OP12 = r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM t)),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+g AS (SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest(range(1, 6)) AS k))),
+f AS (SELECT lang, k, phrase, count(*) AS n FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+over AS (SELECT lang, phrase, max(n) AS n FROM (SELECT lang, n, unnest([array_to_string(w[1:k - 1], ' '), array_to_string(w[2:k], ' ')]) AS phrase FROM c WHERE k > 2) GROUP BY ALL),
+kept AS (SELECT c.* FROM c LEFT JOIN over ON over.lang = c.lang AND over.phrase = c.phrase WHERE over.n IS NULL OR over.n < c.n),
+cut AS (SELECT lang, phrase, n AS a, w, k, unnest(range(1, k)) AS i FROM kept),
+side AS (SELECT cut.lang, cut.phrase, a, i, l.n AS l, r.n AS r, total.n AS n, CAST(1000 * CAST(a AS HUGEINT) * total.n // (CAST(l.n AS HUGEINT) * r.n) AS BIGINT) AS score
+  FROM cut JOIN f l ON l.lang = cut.lang AND l.phrase = array_to_string(w[1:i], ' ') JOIN f r ON r.lang = cut.lang AND r.phrase = array_to_string(w[i + 1:cut.k], ' ') JOIN total ON total.lang = cut.lang),
+best AS (SELECT * FROM side QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best) WHERE rank <= 2000
+"""
+#: Levels of both trees by recursion; siblings of a row are the other nodes of its run on each level that isn't the last.
+OP13 = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS id, doc_id, source, coalesce(strlen(source) || ':' || source, '-') AS key, 
+    coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS fixed,
+    text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents
+), crc AS (
+  SELECT id, c AS crc FROM (SELECT id, string_split(CAST(doc_id AS VARCHAR), '') AS b FROM d), LATERAL (SELECT list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(b, lambda x: CAST(ascii(x) AS BIGINT))), lambda s, x: {fold}) AS c)
+), leaf AS (
+  SELECT d.id, doc_id, source, key, sha256(fixed || coalesce(strlen(text) || ':' || text, '-')) AS leaf, CASE WHEN xor(crc, 4294967295) % 5 = 0 AND text IS NOT NULL THEN sha256(fixed || strlen(low) || ':' || low) END AS changed FROM d JOIN crc ON crc.id = d.id
+), node(lvl, key, pos, n, h) AS (
+  SELECT CAST(0 AS INT), key, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf) - 1, count(*) OVER (PARTITION BY key), leaf FROM leaf
+  UNION ALL SELECT lvl + 1, key, pos // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY pos)) FROM node WHERE n > 1 GROUP BY lvl, key, pos // 16, (n + 15) // 16
+), sub AS (
+  SELECT s.key, node.lvl AS levels, node.h, row_number() OVER (ORDER BY s.source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM node JOIN (SELECT DISTINCT key, source FROM leaf) s ON s.key = node.key WHERE node.n = 1
+), top(lvl, pos, n, h) AS (
+  SELECT CAST(0 AS INT), pos, n, h FROM sub UNION ALL SELECT lvl + 1, pos // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY lvl, pos // 16, (n + 15) // 16
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaf
+), side AS (
+  SELECT id, lvl, coalesce(string_agg(h, '' ORDER BY spot) FILTER (WHERE spot < own), '') AS a, coalesce(string_agg(h, '' ORDER BY spot) FILTER (WHERE spot > own), '') AS b FROM (
+    SELECT id, node.lvl, node.h, node.pos AS spot, placed.pos // CAST(16 ** node.lvl AS BIGINT) AS own FROM placed JOIN node ON node.key = placed.key AND node.n > 1 AND node.pos // 16 = placed.pos // CAST(16 ** (node.lvl + 1) AS BIGINT)
+    UNION ALL SELECT id, levels + top.lvl, top.h, top.pos, sub.pos // CAST(16 ** top.lvl AS BIGINT) FROM placed JOIN sub ON sub.key = placed.key JOIN top ON top.n > 1 AND top.pos // 16 = sub.pos // CAST(16 ** (top.lvl + 1) AS BIGINT)) GROUP BY id, lvl
+), fold(id, lvl, h) AS (
+  SELECT id, CAST(0 AS INT), coalesce(changed, leaf) FROM placed UNION ALL SELECT fold.id, fold.lvl + 1, sha256(a || h || b) FROM fold JOIN side ON side.id = fold.id AND side.lvl = fold.lvl
+), root AS (SELECT h FROM top WHERE n = 1)
+SELECT doc_id, leaf, sub.h AS subroot, root.h AS root, sha256(coalesce(p.proof, '')) AS proof_sha256, f.h AS folded_root, f.h = root.h AS verified
+FROM placed JOIN sub ON sub.key = placed.key JOIN root ON true LEFT JOIN (SELECT id, string_agg(a || b, '' ORDER BY lvl) AS proof FROM side GROUP BY id) p ON p.id = placed.id JOIN (SELECT id, arg_max(h, lvl) AS h FROM fold GROUP BY id) f ON f.id = placed.id
+"""
+
+
+def _crc_step() -> str:
+    """The CRC-32 of a state s with the byte x added: eight steps of the polynomial."""
+    out = "xor(s, x)"
+    for _ in range(8):
+        out = f"list_transform([{out}], lambda y: xor(y >> 1, CASE WHEN y & 1 = 1 THEN 3988292384 ELSE 0 END))[1]"
+    return out
+
+
+OP13 = OP13.replace("{fold}", _crc_step())
