@@ -203,3 +203,109 @@ def test_jdbc_graph(spark):
         spark.createDataFrame([(k, x) for k, x in enumerate(kinds)], "id int, kind string").write.jdbc(url, name, "overwrite", {"driver": driver, "createTableColumnTypes": "kind VARCHAR(40)"})
     nodes, edges = jdbc_graph(spark, url, driver)
     assert sorted(r["id"] for r in nodes.collect()) == [0, 1] and sorted(r["id"] for r in edges.collect()) == [0, 2]
+
+
+@pytest.mark.parametrize("point", ["after_rows", "after_pointer", "write"])
+def test_rows_are_replaced_whole(spark, tmp_path, point):
+    """A writer that is lost at any point leaves the old rows or the new ones, and old versions go later."""
+    from veriframe.sources import shared
+
+    path, rows = str(tmp_path / "rows"), lambda *v: spark.createDataFrame([(x,) for x in v], "v int")
+    read = lambda: sorted(r["v"] for r in shared.replaced_rows(spark, path).collect())
+    with pytest.raises(FileNotFoundError):
+        shared.replaced_rows(spark, path)
+    shared.replace_rows(rows(1, 2, 3), path)
+    held = shared.replaced_rows(spark, path)
+    lost = rows(4, 5).select(F.when(F.col("v") == 5, F.raise_error(F.lit("lost"))).otherwise(F.col("v")).alias("v")) if point == "write" else rows(4, 5)
+    with pytest.raises(Exception, match="lost|after"):
+        shared.replace_rows(lost, path, crash=point)
+    assert read() == ([4, 5] if point == "after_pointer" else [1, 2, 3])
+    assert shared.replace_rows(rows(6), path) == (3 if point == "after_pointer" else 2) and read() == [6]
+    assert sorted(r["v"] for r in held.collect()) == [1, 2, 3]  # a reader that came before keeps its rows
+    assert shared.drop_old_rows(spark, path) == []  # too young
+    assert shared.drop_old_rows(spark, path, older_than=0) and read() == [6] and len(shared.names_in(spark, f"{path}/versions")) == 1
+    assert len(shared.names_in(spark, f"{path}/pointers")) == 1 and shared.replace_rows(rows(7), path) > 2 and read() == [7]  # numbers go on
+
+
+def together(n, act):
+    """Results (or errors) of n calls at one time."""
+    import threading
+    from concurrent.futures import ThreadPoolExecutor
+
+    gate = threading.Barrier(n)
+
+    def one(k):
+        gate.wait()
+        try:
+            return act(k)
+        except Exception as error:  # noqa: BLE001
+            return error
+
+    with ThreadPoolExecutor(n) as pool:
+        return list(pool.map(one, range(n)))
+
+
+def test_files_are_created_once(spark, tmp_path):
+    from veriframe.sources import shared
+
+    for k in range(20):
+        got = together(8, lambda i, k=k: shared.create_once(spark, f"{tmp_path}/f{k}", f"{i}" * 1000))
+        assert got.count(True) == 1 and shared.content_of(spark, f"{tmp_path}/f{k}") == f"{got.index(True)}" * 1000
+    assert shared.names_in(spark, str(tmp_path)) == sorted(f"f{k}" for k in range(20)) and shared.content_of(spark, f"{tmp_path}/none") is None
+
+
+def test_writers_at_one_time(spark, tmp_path):
+    from veriframe.sources import shared
+
+    path = str(tmp_path / "rows")
+    got = together(4, lambda k: shared.replace_rows(spark.createDataFrame([(k,)], "v int"), path))
+    assert sorted(got) == [1, 2, 3, 4] and shared.replaced_rows(spark, path).first()["v"] == got.index(4)
+
+
+def test_locks(spark, tmp_path):
+    import datetime as dt
+
+    from veriframe.sources import locks
+
+    root, start = str(tmp_path / "lock"), dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    after = lambda seconds: start + dt.timedelta(seconds=seconds)
+    won = lambda got: [x for x in got if isinstance(x, locks.Lock)]
+    got = together(8, lambda k: locks.acquire(spark, root, f"o{k}", now=start))
+    assert len(won(got)) == 1 and sum(isinstance(x, locks.Held) for x in got) == 7
+    first = won(got)[0]
+    assert locks.holds(spark, first) and locks.current(spark, root).owner == first.owner
+    with pytest.raises(locks.Held):
+        locks.acquire(spark, root, "x", now=after(899))
+    locks.heartbeat(spark, first, now=after(800))
+    with pytest.raises(locks.Held):
+        locks.acquire(spark, root, "x", now=after(1600))
+    second = won(together(8, lambda k: locks.acquire(spark, root, f"p{k}", now=after(1800))))  # the lease has run out
+    assert len(second) == 1 and second[0].number == 2 and not locks.holds(spark, first)
+    with pytest.raises(locks.Held):
+        locks.heartbeat(spark, first, now=after(1801))
+    assert locks.release(spark, first) and locks.holds(spark, second[0])  # it gives back only its own
+    third = won(together(8, lambda k: locks.acquire(spark, root, f"q{k}", run_status="succeeded", now=after(1801))))
+    assert len(third) == 1 and locks.release(spark, third[0]) and not locks.release(spark, third[0])
+    assert locks.acquire(spark, root, "last", now=after(1802)).number == 4
+
+
+def test_publishers_at_one_time(spark, tmp_path):
+    """Two publishers behind one head: one is told so, and both heads are never there; a claim whose publisher is gone is taken over."""
+    root = str(tmp_path / "store")
+    rows = lambda **kv: spark.createDataFrame(list(kv.items()), "path string, text string")
+    files = lambda: {r["path"]: r["text"] for r in store.restore(spark, root).collect()}
+    store.publish(rows(a="1"), root, "c1", "p", 1, "s")
+    got = together(2, lambda k: store.publish(rows(a=f"{k}"), root, f"d{k}", "q", 2, "s"))
+    done = [k for k in range(2) if got[k] is None]
+    assert [type(x) for k, x in enumerate(got) if k not in done] == [store.Conflict] * (2 - len(done)) and done
+    assert store.head(spark, root) == f"d{done[-1]}" or len(done) == 2
+    chain = {r["checkpoint_id"]: r["previous_checkpoint_id"] for r in store.records(spark, root).where("status = 'complete'").collect()}
+    assert len(chain) == 1 + len(done) and len(set(chain.values())) == len(chain)  # each follows another one
+    with pytest.raises(store.Crash):
+        store.publish(rows(a="8"), root, "e", "r", 3, "s", crash="after_head")
+    with pytest.raises(store.Conflict):
+        store.publish(rows(a="9"), root, "f", "r", 3, "s")
+    store.publish(rows(a="9"), root, "f", "r", 3, "s", take_over=True)
+    assert files() == {"a": "9"} and store.head(spark, root) == "f" and {r["checkpoint_id"]: r["status"] for r in store.records(spark, root).collect()}["e"] == "abandoned"
+    store.publish(rows(a="8"), root, "e", "r", 3, "s")  # it comes back, and has to claim a place anew
+    assert store.head(spark, root) == "e" and files() == {"a": "8"}

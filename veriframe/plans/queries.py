@@ -1088,7 +1088,7 @@ def log_and_progress(spark, d):
     for _ in range(2):
         store.append_log(rows, f"{path}/log")
     store.progress(spark.read.parquet(f"{path}/log"), f"{path}/progress")
-    return spark.read.parquet(f"{path}/progress")
+    return store.documents(spark, f"{path}/progress")
 
 
 @query("SELECT '# Intent' || repeat(chr(10), 2) || '## Commits' || chr(10) || (SELECT string_agg('- c' || r_regionkey || ' ' || r_name, chr(10) ORDER BY r_regionkey) FROM region) || repeat(chr(10), 2) || '## Changes (' || count(*) || ')' || chr(10) || string_agg('- removed ' || path, chr(10) ORDER BY path) || repeat(chr(10), 2) || '## Note' || chr(10) || 'why' || chr(10) AS report FROM v0 WHERE path NOT IN (SELECT path FROM v1)", "v0 v1")

@@ -1,13 +1,18 @@
-"""Sinks: documents, the content-addressed object store, checkpoints with a head pointer, logs and reports.
+"""Sinks: documents, the content-addressed object store, checkpoints with a head, logs and reports.
 
-Writing a checkpoint goes objects, mirror, manifest, record (committing), head, record (complete); each is a folder of its own that is
-complete once its _SUCCESS file stands, and a crash between any two leaves the former head in force. Doing it again is harmless."""
+Writing a checkpoint goes objects, mirror, manifest, record (committing), head (a claim), outcome (complete). Rows are replaced by a pointer and
+the small files are created once (shared), so a crash between any two steps leaves the former head in force, and of two publishers
+that follow the same head one gets the place behind it. Doing a step again is harmless."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import Crash, add_files, content_of, create_once, deleted, folders_like, names_in, replace_rows, replaced_rows
+
 POINTS = ("after_objects", "after_current", "after_manifest", "after_db", "after_head")
 _RECORD = "checkpoint_id string, phase string, ordinal int, snapshot string, status string, previous_checkpoint_id string"
 
@@ -16,13 +21,18 @@ class CorruptObject(RuntimeError):
     """An object's content doesn't have its digest, or a restored file doesn't have its inventory's."""
 
 
-class Crash(RuntimeError):
-    """Raised at a crash point that a test asks for."""
+class Conflict(RuntimeError):
+    """Another publisher has claimed the place behind the head."""
 
 
 def write_documents(df: DataFrame, path: str) -> None:
-    """Replaces the documents at path; readers see the old or the new ones."""
-    df.write.mode("overwrite").parquet(path)
+    """Replaces the documents at path; who reads them with documents() gets all the old or all the new ones."""
+    replace_rows(df, path)
+
+
+def documents(spark: SparkSession, path: str) -> DataFrame:
+    """The documents that write_documents wrote last."""
+    return replaced_rows(spark, path)
 
 
 def append_log(df: DataFrame, path: str) -> None:
@@ -42,13 +52,13 @@ def put_objects(df: DataFrame, store: str) -> DataFrame:
     rows = df.select("path", "text", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("size"))
     new = rows.select("sha256", "size", "text").dropDuplicates(["sha256"])
     spark = df.sparkSession
-    if exists(spark, store):
+    if any(n.startswith("shard=") for n in names_in(spark, store)):
         held = spark.read.parquet(store)
         bad = held.join(new.select("sha256"), "sha256", "left_semi").where((F.sha2("text", 256) != F.col("sha256")) | (F.octet_length("text") != F.col("size")))
         if first := bad.select("sha256").first():
             raise CorruptObject(first["sha256"])
         new = new.join(held.select("sha256"), "sha256", "left_anti")
-    new.withColumn("shard", F.substring("sha256", 1, 2)).write.mode("append").partitionBy("shard").parquet(store)
+    add_files(new.withColumn("shard", F.substring("sha256", 1, 2)), store, "shard")
     return rows.drop("text")
 
 
@@ -62,32 +72,49 @@ def corrupt_objects(spark: SparkSession, store: str) -> DataFrame:
     return spark.read.parquet(store).where((F.sha2("text", 256) != F.col("sha256")) | (F.octet_length("text") != F.col("size"))).select("sha256")
 
 
+def claims(spark: SparkSession, root: str) -> list[tuple[int, str, str | None, str | None]]:
+    """Number, checkpoint, its previous one and outcome (complete, abandoned, or None while committing) of all claims, in order."""
+    out = []
+    for name in names_in(spark, f"{root}/heads"):
+        own = json.loads(content_of(spark, f"{root}/heads/{name}"))
+        out.append((int(name), own["checkpoint_id"], own["previous"], content_of(spark, f"{root}/outcomes/{name}")))
+    return out
+
+
 def head(spark: SparkSession, root: str) -> str | None:
-    """The last complete checkpoint: heads are numbered folders, and the highest whose record is complete counts."""
-    jvm = spark.sparkContext._jvm
-    top = jvm.org.apache.hadoop.fs.Path(f"{root}/heads")
-    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(top):
-        return None
-    names = sorted((s.getPath().getName() for s in fs.listStatus(top)), key=int, reverse=True)
-    for name in names:
-        if exists(spark, f"{root}/heads/{name}"):
-            own = spark.read.parquet(f"{root}/heads/{name}").first()["checkpoint_id"]
-            if complete(spark, root, own):  # a head whose record is still committing is passed over
-                return own
+    """The last complete checkpoint; a claim that is still committing is passed over."""
+    for name in reversed(names_in(spark, f"{root}/heads")):
+        if content_of(spark, f"{root}/outcomes/{name}") == "complete":
+            return json.loads(content_of(spark, f"{root}/heads/{name}"))["checkpoint_id"]
     return None
 
 
-def publish(files: DataFrame, root: str, checkpoint_id: str, phase: str, ordinal: int, snapshot: str, crash: str | None = None) -> None:
-    """Publishes files (path, text) as a checkpoint; crash: the point after which to raise Crash."""
+def records(spark: SparkSession, root: str) -> DataFrame:
+    """A row for each checkpoint that was recorded, with its status (committing, complete, abandoned)."""
+    place = {c: (previous, outcome or "committing") for _, c, previous, outcome in claims(spark, root)}
+    rows = []
+    for name in names_in(spark, f"{root}/records"):
+        own = json.loads(content_of(spark, f"{root}/records/{name}"))
+        previous, status = place.get(name, (None, "committing"))
+        rows.append((name, own["phase"], own["ordinal"], own["snapshot"], status, previous))
+    return spark.createDataFrame(rows, _RECORD)
+
+
+def publish(files: DataFrame, root: str, checkpoint_id: str, phase: str, ordinal: int, snapshot: str, crash: str | None = None, take_over: bool = False) -> None:
+    """Publishes files (path, text) as a checkpoint behind the head; crash: the point after which to raise Crash.
+
+    The place behind the last claim goes to the publisher that creates it; another one gets Conflict. So does one that finds a claim
+    which is still committing, unless take_over says that its publisher is gone: then the claim's outcome is set to abandoned, which
+    only one of it and complete can be. A publisher that comes back to a claim of its own goes on with it."""
     spark = files.sparkSession
 
     def reached(point: str) -> None:
         if crash == point:
             raise Crash(point)
 
-    previous = head(spark, root)
-    if previous == checkpoint_id:
+    before = claims(spark, root)
+    own = next((c for c in before if c[1] == checkpoint_id and c[3] != "abandoned"), None)
+    if own and own[3] == "complete":
         return
     inventory = put_objects(files, f"{root}/objects").withColumn("checkpoint_id", F.lit(checkpoint_id))
     reached("after_objects")
@@ -95,16 +122,24 @@ def publish(files: DataFrame, root: str, checkpoint_id: str, phase: str, ordinal
     reached("after_current")
     write_documents(inventory, f"{root}/manifests/{checkpoint_id}")
     reached("after_manifest")
-    row = lambda status: spark.createDataFrame([(checkpoint_id, phase, ordinal, snapshot, status, previous)], _RECORD)
-    write_documents(row("committing"), f"{root}/records/{checkpoint_id}/committing")
+    create_once(spark, f"{root}/records/{checkpoint_id}", json.dumps({"phase": phase, "ordinal": ordinal, "snapshot": snapshot}))
     reached("after_db")
-    write_documents(row("committing").select("checkpoint_id"), f"{root}/heads/{ordinal}")
+    if own is None:
+        if before and before[-1][3] is None:
+            number = before[-1][0]
+            if not take_over or not (create_once(spark, f"{root}/outcomes/{number:012d}", "abandoned") or content_of(spark, f"{root}/outcomes/{number:012d}") == "abandoned"):
+                raise Conflict(before[-1][1])
+        previous = next((c[1] for c in reversed(before) if c[3] == "complete"), None)
+        own = ((before[-1][0] if before else 0) + 1, checkpoint_id, previous, None)
+        if not create_once(spark, f"{root}/heads/{own[0]:012d}", json.dumps({"checkpoint_id": checkpoint_id, "previous": previous})):
+            raise Conflict(f"{root}/heads/{own[0]:012d}")
     reached("after_head")
-    write_documents(row("complete"), f"{root}/records/{checkpoint_id}/complete")
+    if not create_once(spark, f"{root}/outcomes/{own[0]:012d}", "complete") and content_of(spark, f"{root}/outcomes/{own[0]:012d}") != "complete":
+        raise Conflict(f"{checkpoint_id} was abandoned")
 
 
 def complete(spark: SparkSession, root: str, checkpoint_id: str) -> bool:
-    return exists(spark, f"{root}/records/{checkpoint_id}/complete")
+    return any(c[1] == checkpoint_id and c[3] == "complete" for c in claims(spark, root))
 
 
 def restore(spark: SparkSession, root: str, checkpoint_id: str | None = None) -> DataFrame:
@@ -115,7 +150,7 @@ def restore(spark: SparkSession, root: str, checkpoint_id: str | None = None) ->
         raise ValueError("no checkpoint has been published")
     if not complete(spark, root, own):
         raise ValueError(f"checkpoint {own} isn't complete")
-    manifest = spark.read.parquet(f"{root}/manifests/{own}")
+    manifest = documents(spark, f"{root}/manifests/{own}")
     files = manifest.select("path", "sha256", "size").join(objects(spark, f"{root}/objects").withColumnRenamed("size", "held"), "sha256", "left")
     wrong = files.where(F.col("text").isNull() | (F.sha2("text", 256) != F.col("sha256")) | (F.octet_length("text") != F.col("size")))
     if first := wrong.select("path").first():
@@ -126,7 +161,7 @@ def restore(spark: SparkSession, root: str, checkpoint_id: str | None = None) ->
 def problems(spark: SparkSession, root: str, checkpoint_id: str) -> DataFrame:
     from ..operators.inventory import inventory_problems
 
-    return inventory_problems(spark.read.parquet(f"{root}/manifests/{checkpoint_id}"), spark.read.parquet(f"{root}/mirror/{checkpoint_id}"), spark.read.parquet(f"{root}/objects").select("sha256", "size"))
+    return inventory_problems(documents(spark, f"{root}/manifests/{checkpoint_id}"), documents(spark, f"{root}/mirror/{checkpoint_id}"), spark.read.parquet(f"{root}/objects").select("sha256", "size"))
 
 
 def progress(jobs: DataFrame, path: str) -> None:
@@ -144,9 +179,9 @@ def intent_report(commits: DataFrame, changes: DataFrame, note: str) -> DataFram
     return both.select(F.concat(F.lit("# Intent\n\n## Commits\n"), "log", F.lit("\n\n## Changes ("), F.col("n").cast("string"), F.lit(")\n"), "files", F.lit(f"\n\n## Note\n{note}\n")).alias("report"))
 
 
-def reset(spark: SparkSession, root: str, names: tuple[str, ...]) -> None:
-    """Deletes derived folders below root."""
-    jvm = spark.sparkContext._jvm
-    for name in names:
-        place = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+def reset(spark: SparkSession, root: str, names: tuple[str, ...]) -> list[str]:
+    """Deletes derived folders below root that the names or patterns (*, ?, {a,b}) name, and returns their paths; all others stay."""
+    gone = [path for name in names for path in folders_like(spark, f"{root}/{name}")]
+    for path in gone:
+        deleted(spark, path)
+    return gone
