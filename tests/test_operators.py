@@ -254,3 +254,72 @@ def test_quotes_with_hot_keys(spark, monkeypatch):
     q = spark.createDataFrame([(1, "a the same four words here"), (2, "the same four words here 7 z")], "quote_id int, text string")
     got = [tuple(r) for r in J.quotes_in(s, q).collect()]
     assert len(got) == 101 and set(got) == {*((k, 1) for k in range(100)), (7, 2)}
+
+
+def test_merged_lists(spark):
+    """First-seen order over edges and within them; repeated edges, null lists and null elements."""
+    kind = "ord int, caller struct<fqn: string, callsite_names: array<string>>, callee struct<fqn: string, info_names: array<string>>, evidence array<string>"
+    r = random.Random(3)
+    some = lambda letters: None if r.random() < 0.1 else [r.choice([*letters, None]) for _ in range(r.randint(0, 5))]
+    rows = [(k, (r.choice("fg"), ["x"]), (r.choice("hi"), some("abc")), some("stuv")) for k in range(60)] + [(99, ("only", ["y"]), ("null", None), None)]
+    want = {}
+    for _, (caller, _), (callee, info), evidence in rows:
+        own = want.setdefault((caller, callee), ([], []))
+        for had, new in zip(own, (info, evidence)):
+            had += [x for k, x in enumerate(new or []) if x not in had and x not in new[:k]]
+    got = {(x["caller"], x["callee"]): (x["info_names"], x["evidence"]) for x in A.merge_edges(spark.createDataFrame(rows, kind).repartition(3)).collect()}
+    assert got == want
+
+
+def test_documents(spark, tmp_path):
+    """Parts, files and digests of a hot key's lines are those of the whole document; lines of no key, empty tables and long lines."""
+    import hashlib
+
+    from veriframe.operators import documents as O
+
+    rows = [("hot", k, f"line {k} é") for k in range(3000)] + [("b", 1, ""), ("b", 2, "x" * 5000), ("b", 3, None), (None, 5, "no key"), ("one", 1, "same"), ("one", 1, "same")]
+    want = {}
+    for key, k, line in sorted(rows, key=lambda x: x[1]):
+        if line is not None:
+            want.setdefault(key, []).append(line)
+    df = spark.createDataFrame(rows, "k string, ord int, line string").repartition(4)
+    parts = O.document_parts(df, ["k"], ["ord"], size=1000)
+    held = {}
+    for x in sorted(parts.collect(), key=lambda x: x["part"]):
+        held.setdefault(x["k"], []).append(x["text"])
+    assert {k: "\n".join(v) for k, v in held.items()} == {k: "\n".join(v) for k, v in want.items()}
+    assert max(len(x) for x in held["hot"]) < 1200 and len(held["hot"]) > 30
+    got = {x["k"]: (x["lines"], x["bytes"], x["sha256"]) for x in O.document_digests(df, ["k"], ["ord"]).collect()}
+    assert got == {k: (len(v), len(raw), hashlib.sha256(raw).hexdigest()) for k, v in want.items() for raw in ["\n".join(v).encode()]}
+    assert {x["k"]: x["text"] for x in O.joined_text(df, ["k"], ["ord"], separator=", ").collect()} == {k: ", ".join(v) for k, v in want.items()}
+    assert O.document_digests(df.limit(0), ["k"], ["ord"]).count() == 0 and O.joined_text(df.where("k = 'one'"), [], ["ord"]).first()["text"] == "same\nsame"
+    O.write_lines(df, str(tmp_path / "out"), ["k"], ["ord"])
+    for key, lines in want.items():
+        files = sorted((tmp_path / "out" / f"k={key or '__HIVE_DEFAULT_PARTITION__'}").glob("part-*"))
+        assert "".join(f.read_text() for f in files) == "\n".join(lines) + "\n"
+    O.write_lines(df.where("k = 'hot'"), str(tmp_path / "flat"), [], ["ord"])
+    assert "".join(f.read_text() for f in sorted((tmp_path / "flat").glob("part-*"))) == "\n".join(want["hot"]) + "\n"
+
+
+def test_hot_key_document(spark):
+    """A key of a million lines is spread over tasks and comes out whole."""
+    import hashlib
+
+    from veriframe.operators import documents as O
+
+    df = spark.range(1_000_000).selectExpr("'k' AS k", "id AS ord", "concat('line ', id) AS line")
+    assert O.document_parts(df, ["k"], ["ord"]).selectExpr("part >> 32 AS task").distinct().count() > 1
+    state = hashlib.sha256("\n".join(f"line {k}" for k in range(1_000_000)).encode()).hexdigest()
+    assert O.document_digests(df, ["k"], ["ord"]).first()["sha256"] == state
+
+
+def test_findings_and_escalations(spark):
+    from veriframe.plans import gates
+
+    jobs = spark.createDataFrame([("p", 1, "failed", "ERROR", "x"), ("p", 2, "succeeded", "ERROR", None), ("p", 3, "succeeded", "MATCH", "late"), ("q", 4, "succeeded", "MATCH", None), ("q", 5, "succeeded", None, None)], "phase string, job_id int, status string, verdict string, escalation string")
+    assert sorted(map(tuple, A.escalations(jobs, "phase").collect())) == [("p", 1, "failed"), ("p", 2, "ERROR"), ("p", 3, "late")]
+    assert {r["phase"]: r["n_escalations"] for r in A.phase_receipt(jobs, "phase").collect()} == {"p": 3, "q": 0}
+    checks = spark.createDataFrame([("s", 1, "MISMATCH"), ("s", 2, "MISMATCH"), ("s", 3, "MATCH"), ("t", 4, "MISMATCH"), ("s", 5, "MISMATCH")], "source string, function_id int, verdict string")
+    dynamic = spark.createDataFrame([(2, "confirmed"), (3, "confirmed"), (5, "rejected")], "function_id int, confirmation_status string")
+    assert {r["source"]: tuple(r)[1:] for r in gates.terminal_report(checks, dynamic, "source").collect()} == {"s": (4, 3, 1, 1), "t": (1, 1, 1, 0)}
+    assert sorted(map(tuple, gates.terminal_findings(checks, dynamic, F.col("source") != "t", "source").collect())) == [("s", "confirmed", 2), ("s", "static", 1)]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import CONTRACT_BASES, JOB_STATUSES, TYPE_CAPS, VERDICTS
+from .documents import document_digests
 
 
 def _name(value: str) -> str:
@@ -28,13 +29,20 @@ def zero_filled(column: str, domain: tuple[str, ...], prefix: str = "n_") -> lis
     return [F.count_if(F.col(column) == v).alias(f"{prefix}{_name(v)}") for v in domain]
 
 
+def escalation_reason() -> Column:
+    """Why a job (status, verdict, escalation) is escalated, the worst reason first; null if it isn't."""
+    bad = F.col("verdict").isin("ERROR", "INCONCLUSIVE", "DEPENDENCY_RISK")
+    return F.when(F.col("status").isin("failed", "retryable"), F.col("status")).when(bad, F.col("verdict")).when(F.col("escalation").isNotNull(), F.col("escalation"))
+
+
 def phase_receipt(jobs: DataFrame, *keys: str) -> DataFrame:
-    """Counts of all statuses and verdicts by key, and the escalations: job ids with the worst reason of each."""
-    reason = F.when(F.col("status").isin("failed", "retryable"), F.col("status")).when(F.col("verdict").isin("ERROR", "INCONCLUSIVE", "DEPENDENCY_RISK"), F.col("verdict")).when(F.col("escalation").isNotNull(), F.col("escalation"))
-    return jobs.withColumn("why__", reason).groupBy(*keys).agg(
-        *zero_filled("status", JOB_STATUSES), *zero_filled("verdict", VERDICTS),
-        F.array_sort(F.collect_list(F.when(F.col("why__").isNotNull(), F.struct("job_id", F.col("why__").alias("reason"))))).alias("escalations"),
-    )
+    """Counts of all statuses and verdicts by key, and of the escalations; escalations() has these themselves."""
+    return jobs.groupBy(*keys).agg(*zero_filled("status", JOB_STATUSES), *zero_filled("verdict", VERDICTS), F.count(escalation_reason()).alias("n_escalations"))
+
+
+def escalations(jobs: DataFrame, *keys: str) -> DataFrame:
+    """keys, job_id and reason of the jobs that are escalated, a row each; documents.write_lines and document_parts put a key's in order."""
+    return jobs.withColumn("reason", escalation_reason()).where("reason is not null").select(*keys, "job_id", "reason")
 
 
 def coverage(functions: DataFrame, *keys: str) -> DataFrame:
@@ -102,10 +110,19 @@ def summary_differences(stored: DataFrame, reports: DataFrame, *keys: str) -> Da
 
 
 def merge_edges(edges: DataFrame, order: str = "ord") -> DataFrame:
-    """edges (schema extra_edge and an order) by caller name, its call-site names and callee name; lists united, first seen first."""
+    """edges (schema extra_edge and an order) by caller name, its call-site names and callee name; lists united, first seen first.
+
+    Elements are united before they are put together: of each its first place (order, then position) is kept by an aggregate that
+    combines before the shuffle, so a list is as long as its distinct elements, however many edges name them. A null list counts as
+    empty; an element that is null stands once."""
+    keys = ["caller", "callsite_names", "callee"]
     rows = edges.select(order, F.col("caller.fqn").alias("caller"), F.col("caller.callsite_names").alias("callsite_names"), F.col("callee.fqn").alias("callee"), F.col("callee.info_names").alias("info_names"), "evidence")
-    united = lambda c: F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order, c))), lambda s: s[c])))
-    return rows.groupBy("caller", "callsite_names", "callee").agg(united("info_names").alias("info_names"), united("evidence").alias("evidence"))
+    named = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x, i: F.struct(F.lit(c).alias("which"), x.alias("element"), i.alias("i")))
+    listed = F.concat(named("info_names"), named("evidence"))
+    each = rows.select(*keys, order, F.explode_outer(listed).alias("e")).select(*keys, "e.which", "e.element", F.struct(F.col(order).alias("o"), F.col("e.i").alias("i")).alias("place"))
+    first = each.groupBy(*keys, "which", "element").agg(F.min("place").alias("place"))
+    of = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col("which") == c, F.struct("place", "element")))), lambda s: s["element"]).alias(c)
+    return first.groupBy(*keys).agg(of("info_names"), of("evidence"))
 
 
 def barrier(jobs: DataFrame, *keys: str) -> DataFrame:
@@ -115,9 +132,15 @@ def barrier(jobs: DataFrame, *keys: str) -> DataFrame:
 
 
 def batch_totals(items: DataFrame, *keys: str) -> DataFrame:
+    """Items, tokens and bytes of each batch."""
     return items.groupBy(*keys).agg(F.count(F.lit(1)).alias("items"), F.sum("tokens").alias("tokens"), F.sum("bytes").alias("bytes"))
 
 
+def batch_items(items: DataFrame, item: str, *keys: str) -> DataFrame:
+    """batch_totals and the batch's items in order (names); for batches of greedy_batches, whose items are bounded."""
+    return items.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("names"), F.count(F.lit(1)).alias("items"), F.sum("tokens").alias("tokens"), F.sum("bytes").alias("bytes"))
+
+
 def layer_summary(layers: DataFrame) -> DataFrame:
     return layers.groupBy("phase").agg(F.countDistinct("layer").alias("layers"), F.count(F.lit(1)).alias("functions"))
 
@@ -128,9 +151,9 @@ def present(rows: DataFrame, column: str) -> DataFrame:
 
 
 def composite_identity(inventory: DataFrame, *keys: str) -> DataFrame:
-    """Digest of each group's files: (path, sha256, size) in order of path. Lists are bounded by a job's outputs."""
+    """Digest of each group's files: (path, sha256, size) in order, a line each; lines stream through it, so a group has any number of files."""
     line = F.concat_ws("\t", "path", "sha256", F.col("size").cast("string"))
-    return inventory.groupBy(*keys).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("identity"))
+    return document_digests(inventory.select(*keys, line.alias("line")), list(keys), ["line"]).select(*keys, F.col("sha256").alias("identity"))
 
 
 def selection_summary(decisions: DataFrame, removed: DataFrame) -> DataFrame:

@@ -81,17 +81,25 @@ def phase_number(phases: tuple[str, ...], phase: Column) -> Column:
     return ordinal(phases, phase)
 
 
-def terminal_report(verifications: DataFrame, dynamic: DataFrame, official: Column, *keys: str) -> DataFrame:
-    """Counts of verdicts, candidates, confirmed and static findings by key; the findings' sorted ids only if official (else null).
+def terminal_report(verifications: DataFrame, dynamic: DataFrame, *keys: str) -> DataFrame:
+    """Counts of verdicts, candidates, confirmed and static findings by key; terminal_findings has the findings themselves.
+
+    verifications: keys, function_id, verdict; dynamic: function_id, confirmation_status."""
+    kind = _finding(verifications, dynamic)
+    return kind.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(F.col("verdict") == "MISMATCH").alias("mismatches"),
+        F.count_if(F.col("finding") == "static").alias("static_findings"), F.count_if(F.col("finding") == "confirmed").alias("confirmed"),
+    )
+
+
+def terminal_findings(verifications: DataFrame, dynamic: DataFrame, official: Column, *keys: str) -> DataFrame:
+    """keys, finding (static or confirmed) and function_id of the findings of keys that are official, once each; a key's come in order by
+    operators.documents, however many there are."""
+    found = _finding(verifications, dynamic).where(official & F.col("finding").isNotNull())
+    return found.select(*keys, "finding", "function_id").distinct()
 
-    verifications: keys, function_id, verdict; dynamic: function_id, confirmation_status. Findings of one report are bounded by its scope."""
+
+def _finding(verifications: DataFrame, dynamic: DataFrame) -> DataFrame:
     found = verifications.join(dynamic.select("function_id", "confirmation_status"), "function_id", "left")
     mismatch = F.col("verdict") == "MISMATCH"
-    static = mismatch & F.col("confirmation_status").isNull()
-    ids = lambda c: F.array_sort(F.collect_set(F.when(c, F.col("function_id"))))
-    out = found.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(mismatch).alias("mismatches"), F.count_if(static).alias("static_findings"),
-        F.count_if(mismatch & (F.col("confirmation_status") == "confirmed")).alias("confirmed"),
-        ids(static).alias("static_ids"), ids(mismatch & (F.col("confirmation_status") == "confirmed")).alias("confirmed_ids"),
-    )
-    return out.withColumns({"static_ids": F.when(official, F.col("static_ids")), "confirmed_ids": F.when(official, F.col("confirmed_ids"))})
+    return found.withColumn("finding", F.when(mismatch & F.col("confirmation_status").isNull(), "static").when(mismatch & (F.col("confirmation_status") == "confirmed"), "confirmed"))

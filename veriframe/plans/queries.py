@@ -16,6 +16,7 @@ from ..operators import inventory as D
 from ..operators import joins as J
 from ..operators import ledger as L
 from ..operators import ranking as R
+from ..operators.documents import document_digests, joined_text
 from ..schemas import CONTRACT_BASES, FULL_PHASES, JOB_STATUSES, VERDICTS
 from ..session import table
 from ..sources import registry
@@ -280,7 +281,20 @@ def phase_receipt(spark, d):
     """A2."""
     verdict = F.try_element_at(F.array(*map(F.lit, VERDICTS)), (F.col("event_id") % 6 + 1).cast("int"))
     jobs = V.log(spark, d).select((F.col("job_id") % 10).alias("phase"), F.col("event_id").alias("job_id"), "status", verdict.alias("verdict"), F.lit(None).cast("string").alias("escalation"))
-    return A.phase_receipt(jobs, "phase").withColumn("n_escalations", F.size("escalations").cast("long")).drop("escalations")
+    return A.phase_receipt(jobs, "phase")
+
+
+@query(
+    """WITH j AS (SELECT job_id % 10 AS phase, event_id, CASE WHEN status IN ('failed', 'retryable') THEN status ELSE CASE event_id % 6 WHEN 0 THEN 'DEPENDENCY_RISK' WHEN 1 THEN 'ERROR' WHEN 2 THEN 'INCONCLUSIVE' END END AS reason FROM log)
+    SELECT phase, count(*) AS lines, CAST(sum(strlen(event_id || ' ' || reason)) + count(*) - 1 AS BIGINT) AS bytes, sha256(string_agg(event_id || ' ' || reason, chr(10) ORDER BY event_id)) AS sha256 FROM j WHERE reason IS NOT NULL GROUP BY phase""",
+    "log",
+)
+def escalation_documents(spark, d):
+    """A2: a phase's escalations as a document, by its digest."""
+    verdict = F.try_element_at(F.array(*map(F.lit, VERDICTS)), (F.col("event_id") % 6 + 1).cast("int"))
+    jobs = V.log(spark, d).select((F.col("job_id") % 10).alias("phase"), F.col("event_id").alias("job_id"), "status", verdict.alias("verdict"), F.lit(None).cast("string").alias("escalation"))
+    lines = A.escalations(jobs, "phase").withColumn("line", F.concat_ws(" ", F.col("job_id").cast("string"), "reason"))
+    return document_digests(lines, ["phase"], ["job_id"])
 
 
 _COVERAGE = f"""SELECT source, count(*) AS total, {_counts('verdict', VERDICTS)}, {_counts('basis', CONTRACT_BASES, 'b_')}, n_match + n_mismatch AS conclusive, CASE WHEN total = 0 THEN 0e0 ELSE conclusive / total END AS conclusive_ratio FROM verdicts GROUP BY source"""
@@ -364,6 +378,23 @@ def batch_totals(spark, d):
     return A.batch_totals(table(spark, d, "documents").select((F.col("doc_id") % 40).alias("batch"), features["token_estimate"].alias("tokens"), features["source_bytes"].alias("bytes")), "batch")
 
 
+@query(
+    """WITH i AS (SELECT source, doc_id, CAST(greatest(1, ceil(length(text) / 4e0)) AS BIGINT) AS t, strlen(text) AS b, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents),
+    r AS (SELECT source, doc_id, rn, 1 AS batch, CASE WHEN t >= 12000 THEN 20 ELSE 1 END AS n, t AS ts, b AS bs, t, b FROM i WHERE rn = 1
+      UNION ALL SELECT i.source, i.doc_id, i.rn, CASE WHEN x THEN batch + 1 ELSE batch END, CASE WHEN t >= 12000 THEN 20 WHEN x THEN 1 ELSE n + 1 END, CASE WHEN x THEN t ELSE ts + t END, CASE WHEN x THEN b ELSE bs + b END, t, b
+      FROM (SELECT r.batch, r.n, r.ts, r.bs, i.*, r.n >= 20 OR r.ts + i.t > 12000 OR r.bs + i.b > 262144 AS x FROM r JOIN i ON i.source = r.source AND i.rn = r.rn + 1) i)
+    SELECT source, batch, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS names, count(*) AS items, CAST(sum(t) AS BIGINT) AS tokens, CAST(sum(b) AS BIGINT) AS bytes FROM r GROUP BY source, batch""",
+    "",
+    True,
+)
+def batch_items(spark, d):
+    """Each batch's items and totals."""
+    features = S.complexity_features(F.col("text"))
+    items = table(spark, d, "documents").select("source", "doc_id", features["token_estimate"].alias("tokens"), features["source_bytes"].alias("bytes"))
+    out = A.batch_items(R.greedy_batches(items, "source", "doc_id"), "doc_id", "source", "batch")
+    return out.withColumn("names", F.array_join(F.col("names").cast("array<string>"), ","))
+
+
 @query(
     """WITH b AS (SELECT source, doc_id // (20 + 20 * (CAST(substr(source, 4) AS INT) % 5)) AS batch, list(doc_id ORDER BY doc_id) AS items FROM documents GROUP BY ALL),
     s AS (SELECT source, 0 AS late, batch, unnest(items) AS i, generate_subscripts(items, 1) AS pos, NULL AS l FROM b WHERE len(items) < 3 UNION ALL SELECT source, 1, batch, NULL, 0, items FROM b WHERE len(items) >= 3)
@@ -522,8 +553,10 @@ def terminal_report(spark, d):
     """A10: one source isn't official."""
     rows = V.verdicts(spark, d).withColumnRenamed("doc_id", "function_id")
     dynamic = table(spark, d, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("function_id"), F.when(F.col("doc_id") % 6 == 0, "confirmed").otherwise("rejected").alias("confirmation_status"))
-    out = gates.terminal_report(rows, dynamic, F.col("source") != "src1", "source")
-    return out.drop("confirmed_ids").withColumn("static_ids", F.array_join(F.col("static_ids").cast("array<string>"), ","))
+    found = gates.terminal_findings(rows, dynamic, F.col("source") != "src1", "source").where("finding = 'static'").withColumn("line", F.col("function_id").cast("string"))
+    ids = joined_text(found, ["source"], ["function_id"], separator=",").withColumnRenamed("text", "static_ids")
+    none = F.when(F.col("source") != "src1", "")
+    return gates.terminal_report(rows, dynamic, "source").join(ids, "source", "left").withColumn("static_ids", F.coalesce("static_ids", none))
 
 
 @query("SELECT source, count(*) AS candidates, count(*) FILTER (WHERE s = 0) AS confirmed, count(*) FILTER (WHERE s = 1) AS rejected, count(*) FILTER (WHERE s = 2) AS inconclusive FROM (SELECT source, doc_id % 4 AS s FROM verdicts WHERE verdict = 'MISMATCH') GROUP BY source", "verdicts")
@@ -1100,6 +1133,18 @@ def intent_report(spark, d):
     return store.intent_report(commits, D.inventory_delta(V.v0(spark, d), V.v1(spark, d)).where("change = 'removed'"), "why")
 
 
+@query("SELECT count(*) AS folders, sum(files) AS files, string_agg(lang, ',' ORDER BY lang) AS left_ FROM (SELECT lang, count(*) AS files FROM documents WHERE lang IS NOT NULL AND lang <> 'en' AND lang NOT LIKE 'f%' GROUP BY lang)")
+def artifact_reset(spark, d):
+    """K7: artifacts in a folder for each language; the reset names one and gives a pattern for others, and what stays is read."""
+    from ..sources import store
+
+    root = _folder(spark)
+    table(spark, d, "documents").where("lang is not null").select("doc_id", "lang", F.col("lang").alias("folder")).write.partitionBy("folder").parquet(root)
+    store.reset(spark, root, ("folder=en", "folder=f*", "folder=none"))
+    per = spark.read.schema("doc_id long, lang string, folder string").parquet(root).groupBy("lang").agg(F.count(F.lit(1)).alias("files"))
+    return per.agg(F.count(F.lit(1)).alias("folders"), F.sum("files").alias("files"), F.array_join(F.array_sort(F.collect_list("lang")), ",").alias("left_"))
+
+
 @query("SELECT 'm' || p_partkey || '.c' AS path, 'f' || p_partkey AS name, 2 AS line_start, 4 AS line_end FROM part WHERE p_partkey % 3 = 0")
 def span_extraction_compiler(spark, d):
     """A compiler's syntax tree a part; a third are included from elsewhere, a third have no body."""

@@ -11,6 +11,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.documents import joined_text
 from .shared import Crash, add_files, content_of, create_once, deleted, folders_like, names_in, replace_rows, replaced_rows
 
 POINTS = ("after_objects", "after_current", "after_manifest", "after_db", "after_head")
@@ -171,12 +172,20 @@ def progress(jobs: DataFrame, path: str) -> None:
     write_documents(job_rollup(jobs, "phase"), path)
 
 
+def intent_lines(commits: DataFrame, changes: DataFrame, note: str) -> DataFrame:
+    """section, place, text and line of a Markdown report of commits (ord, id, subject) and changed paths (path, change), in this order a
+    row each. documents.write_lines makes files of them, document_digests a digest, joined_text one value."""
+    spark = commits.sparkSession
+    fixed = spark.createDataFrame([(0, "# Intent\n\n## Commits"), (4, f"\n## Note\n{note}\n")], "section int, line string").select("section", F.lit(0).cast("long").alias("place"), F.lit("").alias("text"), "line")
+    log = commits.select(F.lit(1).alias("section"), F.col("ord").cast("long").alias("place"), F.concat(F.lit("- "), "id", F.lit(" "), "subject").alias("line")).withColumn("text", F.col("line"))
+    count = changes.agg(F.count(F.lit(1)).alias("n")).select(F.lit(2).alias("section"), F.lit(0).cast("long").alias("place"), F.lit("").alias("text"), F.concat(F.lit("\n## Changes ("), F.col("n").cast("string"), F.lit(")")).alias("line"))
+    paths = changes.select(F.lit(3).alias("section"), F.lit(0).cast("long").alias("place"), F.concat(F.lit("- "), "change", F.lit(" "), "path").alias("line")).withColumn("text", F.col("line"))
+    return fixed.unionByName(log).unionByName(count).unionByName(paths)
+
+
 def intent_report(commits: DataFrame, changes: DataFrame, note: str) -> DataFrame:
-    """One row: a Markdown report of commits (ord, id, subject) and changed paths (path, change)."""
-    log = commits.agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("ord", F.concat(F.lit("- "), "id", F.lit(" "), "subject").alias("t")))), lambda s: s["t"])).alias("log"))
-    files = changes.agg(F.concat_ws("\n", F.array_sort(F.collect_list(F.concat(F.lit("- "), "change", F.lit(" "), "path")))).alias("files"), F.count(F.lit(1)).alias("n"))
-    both = log.join(files, F.lit(True))
-    return both.select(F.concat(F.lit("# Intent\n\n## Commits\n"), "log", F.lit("\n\n## Changes ("), F.col("n").cast("string"), F.lit(")\n"), "files", F.lit(f"\n\n## Note\n{note}\n")).alias("report"))
+    """One row: the report of intent_lines as one value."""
+    return joined_text(intent_lines(commits, changes, note), [], ["section", "place", "text"]).select(F.col("text").alias("report"))
 
 
 def reset(spark: SparkSession, root: str, names: tuple[str, ...]) -> list[str]:
