@@ -323,3 +323,41 @@ def test_findings_and_escalations(spark):
     dynamic = spark.createDataFrame([(2, "confirmed"), (3, "confirmed"), (5, "rejected")], "function_id int, confirmation_status string")
     assert {r["source"]: tuple(r)[1:] for r in gates.terminal_report(checks, dynamic, "source").collect()} == {"s": (4, 3, 1, 1), "t": (1, 1, 1, 0)}
     assert sorted(map(tuple, gates.terminal_findings(checks, dynamic, F.col("source") != "t", "source").collect())) == [("s", "confirmed", 2), ("s", "static", 1)]
+
+
+def test_hot_job(spark):
+    """Jobs whose events lie in several ranges, one with most of all, end as in a plain fold; kinds and failures change within a job."""
+    r = random.Random(11)
+    event = lambda job, k: (job, k, r.choice(["start", "complete", "fail", "retry", "start", None, "odd"]), r.choice(["execution", "semantic", "interrupted", None]), r.random() < 0.4, r.choice(["bug_validate", "spec_batch"]))
+    rows = [event("hot", k) for k in range(6000)] + [event(f"j{k % 40}", k) for k in range(900)] + [event(None, k) for k in range(30)] + [("once", 0, "start", None, False, None)]
+    want = {}
+    for job, _, action, failure, negative, kind in sorted(rows, key=lambda x: x[1]):
+        want.setdefault(job, L.Job()).apply(action, failure, negative, kind, 5, 3)
+    df = spark.createDataFrame(rows, "job_id string, seq int, action string, failure_class string, negative boolean, type string").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # few rows would be one range
+    try:
+        spread = df.repartitionByRange("job_id", "seq").where("job_id = 'hot'").select(F.spark_partition_id()).distinct().count()
+        cut = {x["job_id"]: tuple(x)[1:] for x in L.fold_events(df, order=("seq",)).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    got = {x["job_id"]: tuple(x)[1:] for x in L.fold_events(df, order=("seq",)).collect()}
+    assert got == {k: (j.status, j.attempts, j.runtime_attempts, j.negative_attempts, j.ignored) for k, j in want.items()}
+    assert cut == got and spread > 1 and L.fold_events(df.limit(0), order=("seq",)).count() == 0
+
+
+def test_composed_runs():
+    """A table of a run, cut anywhere, does what its events do one by one."""
+    r = random.Random(5)
+    moves = L.Transitions(3, 2)
+    for _ in range(60):
+        events = [(r.choice(["start", "complete", "fail", "retry", "x"]), r.choice(["execution", "semantic"]), r.random() < 0.5, r.choice(["bug_validate", "other"])) for _ in range(r.randint(0, 40))]
+        job, cut, run = L.Job(), r.randint(0, len(events)), moves.none()
+        for k, e in enumerate(events):
+            if k < cut:
+                job.apply(*e, 3, 2)
+            else:
+                run = moves.then(run, moves.of(*e))
+        whole = L.Job()
+        for e in events:
+            whole.apply(*e, 3, 2)
+        assert moves.applied(job, run) == whole

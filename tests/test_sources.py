@@ -182,6 +182,41 @@ def test_stream_leases(spark, tmp_path):
     assert (got["a"], got["b"]) == ("retryable", "succeeded")
 
 
+def test_stream_leases_by_event_time(spark, tmp_path):
+    """However a job's events are cut into batches, its leases end at the same events; a timer is due when the watermark reaches it."""
+    import random
+
+    from veriframe.operators.ledger import Job
+    from veriframe.streaming import jobs
+
+    r = random.Random(1)
+    rows, now = [], 100_000
+    for k in range(120):
+        now += r.choice([10, 200, 500])
+        rows.append((f"j{r.randrange(4)}", k, r.choice(["start", "start", "complete", "fail", "retry"]), now))
+    rows += [("edge", 998, "start", now - 900), ("young", 999, "start", now - 899), ("last", 1000, "start", now + 60)]
+    want = {}
+    for job, _, action, at in sorted(rows, key=lambda x: x[1]):
+        own, last = want.get(job, (Job(), None))
+        if last is not None and at >= last + 900 and own.status == "running":
+            own.apply("fail", "interrupted", False, None, 5, 3)
+        own.apply(action, "execution", False, None, 5, 3)
+        want[job] = own, at
+    for own, at in want.values():
+        if at + 900 <= now and own.status == "running":
+            own.apply("fail", "interrupted", False, None, 5, 3)
+    for parts in (1, 4):
+        place = tmp_path / f"p{parts}"
+        events = spark.createDataFrame(rows, "job_id string, seq int, action string, at int").withColumn("ts", F.timestamp_seconds("at")).withColumn("failure_class", F.lit("execution")).drop("at")
+        for part in range(parts):
+            events.where(f"seq >= {part * 1001 // parts} and seq < {(part + 1) * 1001 // parts}" if parts == 1 else f"least(seq, 119) div 30 = {part}").coalesce(1).write.parquet(str(place / f"in/{part}"))
+        raw = spark.readStream.schema(events.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(place / "in"))
+        jobs.upsert_latest(jobs.job_status_stream(raw, lease_seconds=900, delay="1 minute"), str(place / "out"), str(place / "cp"))
+        got = {x["job_id"]: (x["status"], x["attempts"], x["ignored"]) for x in jobs.latest_states(spark.read.parquet(str(place / "out"))).collect()}
+        assert got == {k: (j.status, j.attempts, j.ignored) for k, (j, _) in want.items()}
+    assert (want["edge"][0].status, want["young"][0].status) == ("retryable", "running")
+
+
 def test_stream_receipts(spark, tmp_path):
     """Of identical receipts the first passes, one with another payload too."""
     from veriframe.streaming import jobs

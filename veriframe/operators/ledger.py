@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,10 +53,59 @@ class Job:
             self.ignored += 1
 
 
+STATUSES = ("queued", "running", "retryable", "succeeded", "failed")
+_ACTIONS = ("start", "complete", "fail", "retry", "other")
+_COUNTERS = ("attempts", "runtime_attempts", "negative_attempts", "ignored")
+
+
+class Transitions:
+    """What events do to every state at once.
+
+    A job's future depends on its status and on three counters only up to their limits, so there are few states: a run of events is a table
+    of where each state ends and what its counters gain, runs are composed in order, and a run may be folded without those before it."""
+
+    def __init__(self, max_attempts: int, negative_limit: int):
+        self.limits = (max_attempts, max_attempts, negative_limit)
+        self.sizes = (len(STATUSES), *(k + 1 for k in self.limits))
+        self.n = math.prod(self.sizes)
+        self.step: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+
+    def number(self, job: Job) -> int:
+        counts = (job.attempts, job.runtime_attempts, job.negative_attempts)
+        return int(np.ravel_multi_index((STATUSES.index(job.status), *(min(c, k) for c, k in zip(counts, self.limits))), self.sizes))
+
+    def of(self, action: str, failure: str | None, negative: bool, kind: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Where an event takes each state, and what it adds to the counters."""
+        event = (action if action in _ACTIONS else "other", failure in RETRYABLE_FAILURES, negative, kind == "bug_validate")
+        if event not in self.step:
+            to, gain = np.empty(self.n, np.int32), np.zeros((self.n, 4), np.int32)
+            for k in range(self.n):
+                status, *counts = (int(x) for x in np.unravel_index(k, self.sizes))
+                job = Job(STATUSES[status], *counts, 0)
+                job.apply(action, failure, negative, kind, self.limits[0], self.limits[2])
+                to[k] = self.number(job)
+                gain[k] = [getattr(job, c) - before for c, before in zip(_COUNTERS, (*counts, 0))]
+            self.step[event] = to, gain
+        return self.step[event]
+
+    def none(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.arange(self.n, dtype=np.int32), np.zeros((self.n, 4), np.int32)
+
+    def then(self, run: tuple[np.ndarray, np.ndarray], event: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return event[0][run[0]], run[1] + event[1][run[0]]
+
+    def applied(self, job: Job, run: tuple[np.ndarray, np.ndarray]) -> Job:
+        k = self.number(job)
+        status = STATUSES[int(np.unravel_index(int(run[0][k]), self.sizes)[0])]
+        return Job(status, *(getattr(job, c) + int(g) for c, g in zip(_COUNTERS, run[1][k])))
+
+
 def fold_events(events: DataFrame, key: str = "job_id", order: tuple[str, ...] = ("ts", "seq"), max_attempts: int = 5, negative_limit: int = 3) -> DataFrame:
     """State of each job after its events (action; optionally failure_class, negative, type) in order.
 
-    One pass over sorted partitions; a job's state is a few numbers, so a job with any number of events streams."""
+    Events are sorted by job and order over ranges, so a job with very many lies in several. A range folds the jobs that begin in
+    it; what its first job may have had before is unknown, so the range folds that one for all states (Transitions). Runs of a job
+    are then put together in order, a row each."""
     have = set(events.columns)
     columns = {key: F.col(key), **{o: F.col(o) for o in order}, "action": F.col("action")}
     columns["failure_class"] = F.col("failure_class") if "failure_class" in have else F.lit(None).cast("string")
@@ -62,31 +113,72 @@ def fold_events(events: DataFrame, key: str = "job_id", order: tuple[str, ...] =
     columns["type"] = F.col("type") if "type" in have else F.lit(None).cast("string")
     rows = events.select(*(c.alias(n) for n, c in columns.items()))
     kind = dict(rows.dtypes)[key]
+    by = [F.col(c).asc_nulls_first() for c in (key, *order)]
+    types = [pa.string(), *[pa.int32()] * 4]
+    names = ("status", *_COUNTERS)
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row a job: its state, or for the range's first job the table of its run."""
+        moves = Transitions(max_attempts, negative_limit)
+        now, job, run, begun, part = None, Job(), moves.none(), False, None
+
+        def row() -> tuple:
+            if run is not None:
+                return now, part, *(None,) * 5, run[0].astype("<i4").tobytes() + run[1].astype("<i4").tobytes()
+            return now, part, *(getattr(job, n) for n in names), None
+
+        def out(done: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+            own = [pa.array([d[0] for d in done], schema.field(key).type), pa.array([d[1] for d in done], pa.int32())]
+            rest = [pa.array([d[k + 2] for d in done], t) for k, t in enumerate([*types, pa.binary()])]
+            return pa.RecordBatch.from_arrays([*own, *rest], names=[key, "p__", *names, "run__"])
+
+        schema = None
+        for batch in batches:
+            schema, done = batch.schema, []
+            for k, p, action, failure, negative, type_ in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (key, "p__", "action", "failure_class", "negative", "type"))):
+                if not begun or k != now:
+                    if begun:
+                        done.append(row())
+                        job, run = Job(), None
+                    now, part, begun = k, p, True
+                if run is None:
+                    job.apply(action, failure, bool(negative), type_, max_attempts, negative_limit)
+                elif action is not None:
+                    run = moves.then(run, moves.of(action, failure, bool(negative), type_))
+            if done:
+                yield out(done, schema)
+        if begun:
+            yield out([row()], schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, job, done, first = None, None, [], True
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The state of each job from its rows, in order of range."""
+        moves = Transitions(max_attempts, negative_limit)
+        now, job, begun = None, Job(), False
 
-        def out(schema) -> pa.RecordBatch:
-            names = ("status", "attempts", "runtime_attempts", "negative_attempts", "ignored")
-            types = [pa.string(), *[pa.int32()] * 4]
+        def out(done: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([k for k, _ in done], schema.field(key).type), *(pa.array([getattr(j, n) for _, j in done], t) for n, t in zip(names, types))], names=[key, *names])
 
         schema = None
         for batch in batches:
             schema, done = batch.schema, []
-            for k, action, failure, negative, type_ in zip(*(batch.column(c).to_pylist() for c in (key, "action", "failure_class", "negative", "type"))):
-                if first or k != now:
-                    if job is not None:
+            for k, *state, run in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (key, *names, "run__"))):
+                if not begun or k != now:
+                    if begun:
                         done.append((now, job))
-                    now, job, first = k, Job(), False
-                job.apply(action, failure, bool(negative), type_, max_attempts, negative_limit)
+                    now, job, begun = k, Job(), True
+                if run is None:
+                    job = Job(*state)
+                else:
+                    flat = np.frombuffer(run, "<i4")
+                    job = moves.applied(job, (flat[: moves.n], flat[moves.n :].reshape(-1, 4)))
             if done:
-                yield out(schema)
-        if job is not None:
-            done = [(now, job)]
-            yield out(schema)
+                yield out(done, schema)
+        if begun:
+            yield out([(now, job)], schema)
 
-    return rows.repartition(F.col(key)).sortWithinPartitions(key, *order).mapInArrow(run, f"{key} {kind}, {STATE}")
+    placed = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("p__", F.spark_partition_id())
+    parts = placed.mapInArrow(chunks, f"{key} {kind}, p__ int, {STATE}, run__ binary")
+    return parts.repartition(F.col(key)).sortWithinPartitions(key, "p__").mapInArrow(joined, f"{key} {kind}, {STATE}")
 
 
 def expired_leases(leases: DataFrame, jobs: DataFrame, now: Column) -> DataFrame:

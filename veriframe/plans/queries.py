@@ -462,6 +462,42 @@ def stream_job_status(spark, d):
     return latest_states(spark.read.parquet(f"{folder}/states")).select("job_id", "status", "attempts")
 
 
+@query(
+    """WITH e AS (SELECT job_id, action, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) AS rn FROM log), w AS (SELECT max(ms) - 3600000 AS mark FROM e),
+    r AS (SELECT DISTINCT job_id, CAST(0 AS BIGINT) AS rn, 'queued' AS status, 0 AS attempts, CAST(0 AS BIGINT) AS last FROM e
+      UNION ALL SELECT job_id, rn, CASE WHEN action = 'start' AND status = 'queued' THEN 'running' WHEN action = 'complete' AND status = 'running' THEN 'succeeded'
+        WHEN action = 'fail' AND status IN ('queued', 'running') THEN CASE WHEN attempts < 5 THEN 'retryable' ELSE 'failed' END WHEN action = 'retry' AND status = 'retryable' THEN 'queued' ELSE status END,
+        CASE WHEN action = 'start' AND status = 'queued' THEN attempts + 1 ELSE attempts END, ms
+      FROM (SELECT r.job_id, e.rn, e.action, e.ms, attempts, CASE WHEN status = 'running' AND e.ms >= last + 43200000 THEN CASE WHEN attempts < 5 THEN 'retryable' ELSE 'failed' END ELSE status END AS status FROM r JOIN e ON e.job_id = r.job_id AND e.rn = r.rn + 1)),
+    f AS (SELECT job_id, arg_max(status, rn) AS status, arg_max(attempts, rn) AS attempts, arg_max(last, rn) AS last FROM r GROUP BY job_id)
+    SELECT job_id, CASE WHEN status = 'running' AND last + 43200000 <= mark THEN CASE WHEN attempts < 5 THEN 'retryable' ELSE 'failed' END ELSE status END AS status, attempts FROM f, w""",
+    "log",
+    True,
+)
+def stream_leases(spark, d):
+    """T2 on the stream: leases of half a day as event-time timers, the watermark an hour behind."""
+    from ..streaming.jobs import job_status_stream, latest_states, upsert_latest
+
+    folder = _folder(spark)
+    raw = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
+    action = V._mapped(F.col("event_type"), {"view": "start", "purchase": "complete", "error": "fail", "click": "retry"}, None)
+    events = raw.select(F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), action.alias("action"), F.lit("execution").alias("failure_class"))
+    upsert_latest(job_status_stream(events, lease_seconds=43_200, delay="1 hour"), f"{folder}/states", f"{folder}/checkpoint")
+    return latest_states(spark.read.parquet(f"{folder}/states")).select("job_id", "status", "attempts")
+
+
+@query("SELECT user_id AS job_id, attempt, count(*) AS firsts FROM (SELECT DISTINCT user_id, event_id % 7 AS attempt, sha256(event_type) AS identity FROM events) GROUP BY ALL")
+def stream_receipts(spark, d):
+    """T3 on the stream: of receipts sent again with one content the first passes; each other content does."""
+    from ..streaming.jobs import first_receipts
+
+    folder = _folder(spark)
+    raw = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
+    receipts = raw.select(F.col("user_id").alias("job_id"), (F.col("event_id") % 7).alias("attempt"), F.col("event_type").alias("payload"), F.col("ts").cast("timestamp").alias("received_at"))
+    first_receipts(receipts, delay="1000 days").writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").groupBy("job_id", "attempt").agg(F.count(F.lit(1)).alias("firsts"))
+
+
 @query("SELECT p_partkey AS job_id FROM part p WHERE p_size % 2 <> 0 AND NOT EXISTS (FROM edge e JOIN part q ON q.p_partkey = e.caller WHERE e.callee = p.p_partkey AND q.p_size % 2 <> 0)", "edge")
 def ready_jobs(spark, d):
     """Parts are jobs; those of even size have succeeded; a part depends on its parent."""

@@ -10,40 +10,32 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.ledger import STATE, Job
+from .leases import leased_status_stream, with_timers
 
 
 def job_status_stream(events: DataFrame, key: str = "job_id", order: tuple[str, ...] = ("ts", "seq"), max_attempts: int = 5, negative_limit: int = 3, lease_seconds: int | None = None, delay: str = "10 minutes") -> DataFrame:
     """events (key, ts, action and what fold_events reads) as an update stream of each job's state.
 
     Events of a batch are taken in order; what comes in a later batch comes later. With lease_seconds, a running job without an event
-    for so long (by the watermark, delay behind the newest ts) fails as interrupted. Only jobs' few numbers are kept as state."""
+    for so long fails as interrupted (leases). Only jobs' few numbers are kept as state."""
+    if lease_seconds is not None:
+        return leased_status_stream(events, lease_seconds, delay, key, order, max_attempts, negative_limit)
     have = set(events.columns)
     fill = {"failure_class": "string", "negative": "boolean", "type": "string"}
     rows = events.select(key, *order, "action", *(F.col(n) if n in have else F.lit(None).cast(t).alias(n) for n, t in fill.items()))
-    if lease_seconds is not None:
-        rows = rows.withWatermark("ts", delay)
     kind = dict(rows.dtypes)[key]
 
     def step(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         job = Job(*state.get) if state.exists else Job()
-        if state.hasTimedOut:
-            if job.status == "running":
-                job.apply("fail", "interrupted", False, None, max_attempts, negative_limit)
-        else:
-            batch = pd.concat(list(parts)).sort_values(list(order), kind="stable")
-            for action, failure, negative, type_ in zip(batch["action"], batch["failure_class"], batch["negative"], batch["type"]):
-                none = lambda x: None if pd.isna(x) else x
-                job.apply(none(action), none(failure), bool(none(negative)), none(type_), max_attempts, negative_limit)
-            if lease_seconds is not None and job.status == "running":
-                last = pd.Timestamp(batch["ts"].max())
-                ends = int(last.timestamp() * 1000) + 1000 * lease_seconds
-                state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
+        batch = pd.concat(list(parts)).sort_values(list(order), kind="stable")
+        for action, failure, negative, type_ in zip(batch["action"], batch["failure_class"], batch["negative"], batch["type"]):
+            none = lambda x: None if pd.isna(x) else x
+            job.apply(none(action), none(failure), bool(none(negative)), none(type_), max_attempts, negative_limit)
         row = (job.status, job.attempts, job.runtime_attempts, job.negative_attempts, job.ignored)
         state.update(row)
         yield pd.DataFrame([(*name, *row)], columns=[key, "status", "attempts", "runtime_attempts", "negative_attempts", "ignored"])
 
-    timeout = GroupStateTimeout.NoTimeout if lease_seconds is None else GroupStateTimeout.EventTimeTimeout
-    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {STATE}", STATE, "update", timeout)
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {STATE}", STATE, "update", GroupStateTimeout.NoTimeout)
 
 
 def first_receipts(receipts: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -62,6 +54,7 @@ def upsert_latest(stream: DataFrame, path: str, checkpoint: str, key: str = "job
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
+    with_timers(stream.sparkSession)
     stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
