@@ -65,6 +65,49 @@ def test_layers_of_random_graphs(spark, seed):
     assert got == {(p, k, n) for p, own in phases.items() for k, n in layers_model(own, [e for e in edges if set(e) <= set(own)])}
 
 
+def burst_model(nodes, edges):
+    """The greatest solution of burst(v) = min(v, max of the callers' bursts)."""
+    callers = {v: [a for a, b in edges if b == v] for v in nodes}
+    burst = {v: v for v in nodes}
+    while True:
+        new = {v: min(v, max(burst[a] for a in callers[v])) for v in nodes}
+        if new == burst:
+            return burst
+        burst = new
+
+
+@pytest.mark.parametrize("seed", range(150))
+def test_bursts_are_those_of_the_fold(seed):
+    """On what is left behind peeling, bursts in order with longest ways inside give the fold's layers."""
+    r = random.Random(seed)
+    n = r.randint(2, 24)
+    edges = {(r.randrange(n), r.randrange(n)) for _ in range(r.randint(2, 3 * n))}
+    edges = {(a, b) for a, b in edges if a != b}
+    left = set(range(n))
+    while free := [v for v in left if not any(b == v and a in left for a, b in edges)]:
+        left -= set(free)
+    edges = [(a, b) for a, b in edges if a in left and b in left]
+    burst, layer = burst_model(left, edges), {}
+    for b in sorted(set(burst.values())):
+        own = {v for v in left if burst[v] == b}
+        inner, start = [(x, y) for x, y in edges if x in own and y in own and y != b], max(layer.values(), default=-1) + 1
+        for k, v in layers_model(own, inner):
+            layer[v] = start + k
+    assert {(k, v) for v, k in layer.items()} == set(layers_model(left, edges))
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_layers_by_rounds(spark, seed):
+    """Without a fold the layers are the same; phases of texts share nodes, one has no cycle, one is a cycle of eight."""
+    r = random.Random(seed)
+    name = lambda k: f"n{k:02d}"
+    edges = list({(name(r.randrange(26)), name(r.randrange(26))) for _ in range(45)} | {(name(30 + k), name(30 + (k * 3 + 1) % 8)) for k in range(8)} | {(name(40), name(41))})
+    phases = {1: [name(k) for k in range(18)], 2: [name(k) for k in range(8, 26)], 3: [name(30 + k) for k in range(8)], 4: [name(40), name(41)]}
+    nodes = spark.createDataFrame([(p, n) for p, own in phases.items() for n in own], "phase int, id string")
+    got = {(x["phase"], x["layer"], x["id"]) for x in G.caller_first_layers(nodes, spark.createDataFrame(edges, "caller string, callee string"), fold_edges=0).collect()}
+    assert got == {(p, k, n) for p, own in phases.items() for k, n in layers_model(own, [e for e in edges if set(e) <= set(own)])}
+
+
 def test_long_paths(spark):
     """Loops of many rounds keep each node once."""
     edges = spark.range(40).selectExpr("id AS caller", "id + 1 AS callee")

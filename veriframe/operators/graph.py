@@ -137,12 +137,64 @@ def layers_of(nodes: list, edges: list[tuple]) -> list[tuple[int, object]]:
     return out
 
 
-def caller_first_layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """phase, id and layer of nodes (phase, id), by edges (caller, callee) within a phase; others don't count.
+#: Edges that lie on and below cycles up to which a phase's are folded in one task; beyond it they're layered by rounds.
+FOLD_EDGES = 1 << 20
 
-    Nodes without cycles above them get their layer by frontier rounds over the whole graph. Which node opens a cycle depends on all
-    that was emitted before, so what is left of a phase (nodes on and below cycles) is folded in one task: that part of its graph,
-    not the data, has to fit."""
+
+def burst_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id and burst of nodes (id: struct of phase and id) that all have a caller (edges: caller, callee, distinct, without loops).
+
+    Layering takes the least node left whenever all have a caller left, and then, layer by layer, what this frees: a burst, named by the node
+    that was taken. A node comes in the last burst of its callers, unless its own turn as the least one comes before:
+    burst(v) = min(v, max of its callers' bursts), and of the solutions the greatest. So values fall from v on, and a round looks at callees of
+    nodes whose value fell only. A node's value is the least of those written for it."""
+    edges = saved(edges)
+    fallen = saved(nodes.select("id", F.col("id.id").alias("burst")))
+    found, first = Found(fallen), True
+    while True:
+        hit = edges.select("callee").distinct() if first else edges.join(fallen.select(F.col("id").alias("caller")), "caller", "left_semi").select("callee").distinct()
+        first = False
+        need = edges.join(hit, "callee", "left_semi")
+        asked = need.select(F.explode(F.array("caller", "callee")).alias("id")).distinct()
+        held = found.all().join(asked, "id", "left_semi").groupBy("id").agg(F.min("burst").alias("burst"))
+        top = need.join(held.withColumnRenamed("id", "caller"), "caller").groupBy(F.col("callee").alias("id")).agg(F.max("burst").alias("top"))
+        now = F.least(F.col("id.id"), F.col("top"))
+        fallen = saved(top.join(held, "id").where(now < F.col("burst")).select("id", now.alias("burst")))
+        if fallen.isEmpty():
+            return found.all().groupBy("id").agg(F.min("burst").alias("burst"))
+        found.add(fallen)
+
+
+def _before(rows: DataFrame, group: str, order: str, size: str) -> DataFrame:
+    """group, order and the sum of the sizes of the group's rows in front (before), by ranges: a group may lie in many tasks."""
+    from pyspark.sql import Window
+
+    placed = saved(rows.select(group, order, size).repartitionByRange(group, order).withColumn("p__", F.spark_partition_id()))
+    parts = placed.groupBy(group, "p__").agg(F.sum(size).alias("s__"))
+    front = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(group, "p__", F.coalesce(F.sum("s__").over(front(Window.partitionBy(group).orderBy("p__"))), F.lit(0)).alias("f__"))
+    own = F.coalesce(F.sum(size).over(front(Window.partitionBy(group, "p__").orderBy(order))), F.lit(0))
+    return placed.withColumn("o__", own).join(parts, [group, "p__"]).select(group, order, (F.col("f__") + F.col("o__")).cast("int").alias("before"))
+
+
+def layers_by_rounds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id (struct of phase and id) and layer, from 0, of nodes that all have a caller, as layers_of gives them, by joins alone.
+
+    Within a burst a node's layer is its longest way from the burst's first node, and bursts follow one another in the order of these."""
+    bursts = saved(burst_of(nodes, edges))
+    of = lambda k: bursts.select(F.col("id").alias(k), F.col("burst").alias(f"{k}_burst"))
+    inner = edges.join(of("caller"), "caller").join(of("callee"), "callee").where("caller_burst = callee_burst and callee.id <> callee_burst")
+    places = saved(peeled(nodes.select("id"), inner.select("caller", "callee")).join(bursts, "id").select("id", F.col("id.phase").alias("phase"), "burst", "layer"))
+    lengths = places.groupBy("phase", "burst").agg((F.max("layer") + 1).alias("length"))
+    return places.join(_before(lengths, "phase", "burst", "length"), ["phase", "burst"]).select("id", (F.col("before") + F.col("layer")).alias("layer"))
+
+
+def caller_first_layers(nodes: DataFrame, edges: DataFrame, fold_edges: int = FOLD_EDGES) -> DataFrame:
+    """phase, id and layer of nodes (phase, id; not null), by edges (caller, callee) within a phase; others don't count.
+
+    Nodes without cycles above them get their layer by frontier rounds over the whole graph. What is left (nodes on and below cycles) is
+    folded in a task a phase where it has fold_edges edges in all at most, and layered by rounds (layers_by_rounds) beyond: rounds
+    cost jobs, a fold memory; the layers are the same."""
     of = lambda k, phase: nodes.select(F.col("phase").alias(phase), F.col("id").alias(k))
     nodes = saved(nodes.select("phase", "id").distinct())
     within = saved(edges.select("caller", "callee").where("caller <> callee").distinct().join(of("caller", "phase"), "caller").join(of("callee", "q"), "callee").where("phase = q").select("phase", "caller", "callee"))
@@ -150,9 +202,14 @@ def caller_first_layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     names = nodes.select(own(F.col("id").alias("id")).alias("id"))
     done = peeled(names, within.select(own(F.col("caller").alias("id")).alias("caller"), own(F.col("callee").alias("id")).alias("callee")))
     done = saved(done.select("id.phase", "id.id", "layer"))
-    left = nodes.join(done, ["phase", "id"], "left_anti")
+    left = saved(nodes.join(done, ["phase", "id"], "left_anti"))
     start = done.groupBy("phase").agg((F.max("layer") + 1).alias("start"))
     rest = within.join(left.select("phase", F.col("id").alias("caller")), ["phase", "caller"], "left_semi").join(left.select("phase", F.col("id").alias("callee")), ["phase", "callee"], "left_semi")
+    rest = saved(rest)
+    if rest.limit(fold_edges + 1).count() > fold_edges:
+        below = layers_by_rounds(left.select(own("id").alias("id")), rest.select(own(F.col("caller").alias("id")).alias("caller"), own(F.col("callee").alias("id")).alias("callee")))
+        below = below.select("id.phase", "id.id", "layer").join(start, "phase", "left")
+        return done.unionByName(below.select("phase", "id", (F.col("layer") + F.coalesce("start", F.lit(0))).cast("int").alias("layer")))
     none = F.lit(None).cast(nodes.schema["id"].dataType)
     rows = left.select("phase", F.col("id").alias("a"), none.alias("b")).unionByName(rest.select("phase", F.col("caller").alias("a"), F.col("callee").alias("b")))
     rows = rows.join(start, "phase", "left").withColumn("start", F.coalesce("start", F.lit(0)))

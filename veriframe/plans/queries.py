@@ -222,25 +222,36 @@ def caller_first_layers(spark, d):
     return G.acyclic_layers(edges.select(F.explode(F.array("caller", "callee")).alias("id")), edges)
 
 
-@query(
-    """WITH own AS (SELECT DISTINCT caller, callee, CAST(floor(caller / 3) AS BIGINT) % 2 AS phase FROM edge_sparse WHERE caller <> callee AND CAST(floor(caller / 3) AS BIGINT) % 2 = CAST(floor(callee / 3) AS BIGINT) % 2),
+_CYCLIC = """WITH own AS (SELECT DISTINCT caller, callee, CAST(floor(caller / 3) AS BIGINT) % 2 AS phase FROM edge_sparse WHERE caller <> callee AND CAST(floor(caller / 3) AS BIGINT) % 2 = CAST(floor(callee / 3) AS BIGINT) % 2),
     n AS (SELECT DISTINCT CAST(floor(id / 3) AS BIGINT) % 2 AS phase, id FROM (SELECT caller AS id FROM edge_sparse UNION SELECT callee FROM edge_sparse)),
     r AS (SELECT phase, -1 AS layer, list(id) AS rest, CAST([] AS BIGINT[]) AS now FROM n GROUP BY phase
       UNION ALL SELECT phase, layer + 1, list_filter(rest, lambda x: NOT list_contains(next, x)), next FROM (SELECT phase, layer, rest, CASE WHEN len(free) > 0 THEN free ELSE [list_min(rest)] END AS next FROM (
         SELECT r.phase, r.layer, r.rest, list_filter(r.rest, lambda x: NOT list_contains(held.ids, x)) AS free FROM r JOIN (
           SELECT r.phase, coalesce(list(DISTINCT own.callee) FILTER (WHERE own.callee IS NOT NULL), []) AS ids FROM r LEFT JOIN own ON own.phase = r.phase AND list_contains(r.rest, own.caller) GROUP BY r.phase) held ON held.phase = r.phase
         WHERE len(r.rest) > 0)))
-    SELECT CAST(phase AS INT) AS phase, unnest(now) AS id, CAST(layer AS INT) AS layer FROM r""",
+    SELECT CAST(phase AS INT) AS phase, unnest(now) AS id, CAST(layer AS INT) AS layer FROM r"""
+
+
+@query(
+    _CYCLIC,
     "edge_sparse",
     True,
 )
 def caller_first_layers_cyclic(spark, d):
-    """G1 with cycles: what lies on or below one is folded in a task a phase; two phases by parity of the id's third."""
+    """G1 with cycles: what lies on or below one is folded in a task a phase, as it is small; two phases by parity of the id's third."""
     edges = V.edge_sparse(spark, d)
     nodes = edges.select(F.explode(F.array("caller", "callee")).alias("id")).distinct().select((F.floor(F.col("id") / 3) % 2).cast("int").alias("phase"), "id")
     return G.caller_first_layers(nodes, edges)
 
 
+@query(_CYCLIC, "edge_sparse", True)
+def caller_first_layers_by_rounds(spark, d):
+    """G1 with cycles: the same phases, what lies on and below cycles layered by joins alone."""
+    edges = V.edge_sparse(spark, d)
+    nodes = edges.select(F.explode(F.array("caller", "callee")).alias("id")).distinct().select((F.floor(F.col("id") / 3) % 2).cast("int").alias("phase"), "id")
+    return G.caller_first_layers(nodes, edges, fold_edges=0)
+
+
 @query(
     """WITH both_ AS (SELECT caller AS a, callee AS b, 'callee-propagation' AS how FROM edge_sparse UNION SELECT callee, caller, 'caller-propagation' FROM edge_sparse),
     r(id, depth) AS (SELECT p_partkey, 0 FROM part WHERE p_partkey % 97 = 0 UNION SELECT b, depth + 1 FROM r JOIN both_ ON a = r.id WHERE depth < 64),
