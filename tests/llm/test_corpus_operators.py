@@ -256,6 +256,40 @@ def test_entries_lose_nothing(percent, width):
     assert jaccard.Tree.built > built and len(links) < jaccard.Tree.visited - visited < 40 * len(owner)
 
 
+@pytest.mark.parametrize("percent", [10, 30, 40, 49, 50, 51, 60])
+def test_entries_at_low_percentages(percent):
+    """Partners may lie several levels apart; sets of one element link with larger ones up to 50 percent."""
+    r = random.Random(percent)
+    sets = []
+    for _ in range(500):
+        base = r.sample(range(4000), r.choice([1, 2, 3, 5, 9, 17, 40, 80, 200]))
+        part = r.sample(base, max(1, len(base) * r.randint(percent, 100) // 100))
+        sets += [base, part, part + r.sample(range(4000, 9000), r.randint(0, len(part)))]
+    codes = [np.sort(jaccard.mixed(np.array(s, np.uint64))) for s in sets]
+    at = np.concatenate([[0], np.cumsum([len(c) for c in codes])])
+    keys, ends = jaccard.entries(np.concatenate(codes), at, jaccard.Measure(percent))
+    own = [set(keys[a:b].tolist()) for a, b in zip(ends, ends[1:])]
+    n, linked = 0, [frozenset(s) for s in sets]
+    for k in range(0, len(sets), 3):
+        for a, b in ((k, k + 1), (k, k + 2), (k + 1, k + 2)):
+            if linked[a] != linked[b] and 100 * len(linked[a] & linked[b]) >= percent * len(linked[a] | linked[b]):
+                assert own[a] & own[b], (len(linked[a]), len(linked[b]))
+                n += 1
+    assert n > 150
+
+
+@pytest.mark.parametrize("percent", [30, 50])
+def test_components_at_low_percentages(spark, percent):
+    r = random.Random(percent)
+    words = [f"w{k}" for k in range(300)]
+    rows = [(k, " ".join(words[(a := r.randrange(280)) : a + r.choice([1, 3, 4, 6, 12, 30])])) for k in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert key(jaccard.jaccard_components(df, percent=percent).collect()) == component_model(rows, percent)
+    for wrong in (0, 101):
+        with pytest.raises(ValueError):
+            jaccard.jaccard_components(df, percent=wrong)
+
+
 def test_large_entries(spark, monkeypatch):
     """Entries of more members than a tree's are dealt out by size and hash; components stay the same."""
     r = random.Random(21)
@@ -358,6 +392,26 @@ def test_shared_paraphrase(spark, n_docs):
     assert {x["doc_id"] for x in decontaminate.without_leaks(df, bench).collect()} == {k for k in range(n_docs) if k % 3}
 
 
+def test_common_seeds(spark, monkeypatch):
+    """One seed in all documents and all items: the shuffled way makes a row a document for it where items have nothing rarer only, and
+    finds what the other way does; edited copies by their rarest seeds."""
+    r = random.Random(17)
+    words = [f"w{i}" for i in range(2000)]
+    items = [(k, " ".join(["all", "have", "this", *r.choices(words, k=40)])) for k in range(30)] + [(30, "all have this")]
+    docs = [(k, " ".join(["all", "have", "this", *r.choices(words, k=60)])) for k in range(400)]
+    docs += [(400 + k, " ".join(["all", "have", "this", *r.choices(words, k=20), *(w if r.random() > 0.25 else "edit" for w in items[k][1].split()[3:])])) for k in range(30)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    whole = key(decontaminate.leaks(df, bench).collect())
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 0)
+    monkeypatch.setattr(decontaminate, "SALT_ROWS", 50)
+    monkeypatch.setattr(decontaminate, "COMMON", 100)
+    sizes = {}
+    real = decontaminate.written
+    monkeypatch.setattr(decontaminate, "written", lambda rows, name="step": sizes.setdefault(name, real(rows, name)))
+    assert key(decontaminate.leaks(df, bench).collect()) == whole and len({x[0] for x in whole if x[1] < 30}) > 24
+    assert sizes["pairs"].count() < 430 + 400  # those of the item without another seed, and few of the others
+
+
 def test_windows_lose_nothing(monkeypatch):
     """With common seeds everywhere, cut and skipped windows give the items and scores of whole texts that hold a seed."""
     r = random.Random(13)

@@ -226,6 +226,15 @@ def test_languages(spark):
     assert {x["lang_pred"] for x in language.language_report(df.limit(0).union(df.where("lang is null"))).collect()} == {"und"}
 
 
+def test_long_documents_are_learned(spark):
+    """A language that has only documents beyond the sample's bound."""
+    r = random.Random(9)
+    words = {"en": "the of and with here".split(), "long": "xu yo zza qiu wop".split()}
+    rows = [(k, " ".join(r.choices(words[lang], k=12_000 if lang == "long" else 40)), lang) for k in range(60) for lang in ["long" if k % 6 == 0 else "en"]]
+    got = {x["doc_id"]: x["lang_pred"] for x in language.language_report(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert len(rows[0][1]) > language.SAMPLE_DOC_CHARS and got == {k: lang for k, _, lang in rows}
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     joined = docs.select("doc_id", "lang").join(language.language_report(docs), "doc_id").where("held_out and lang_pred <> 'und'")
@@ -273,6 +282,15 @@ def test_blocks(n):
     assert (out == ids).all() and docs.tolist() == [5, 7] and nulls.tolist() == [False, True] and (sizes == lengths).all()
     points = tokens._HEAD.unpack_from(raw)[4]
     assert (np.concatenate([coder.decode(raw, k)[0] for k in range(points + 1)]) == ids).all() and (points > 0) == (n == 700_000)
+    if points:  # a part that decodes to other ids is found though the block's own checksum is right
+        at = tokens._HEAD.size
+        wrong = bytearray(raw[:-4])
+        wrong[at + 4] ^= 1
+        wrong = bytes(wrong) + zlib.crc32(bytes(wrong)).to_bytes(4, "little")
+        assert (coder.decode(wrong, 0)[0] == ids[: len(coder.decode(raw, 0)[0])]).all()
+        for k in (None, 1):
+            with pytest.raises(ValueError, match="checksum"):
+                coder.decode(wrong, k)
     assert freq.sum() in (0, 1 << tokens.TABLE_BITS) and ((freq > 0) == (np.bincount(ids, minlength=5000) > 0)).all()
 
 

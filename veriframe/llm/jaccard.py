@@ -93,11 +93,13 @@ def sets_of(data: np.ndarray, offsets: np.ndarray, width: int = 3) -> tuple[np.n
 
 
 class Measure:
-    """100 * intersection >= percent * union."""
+    """100 * intersection >= percent * union, for 1 to 100 percent."""
 
     def __init__(self, percent: int = 90):
+        if not 1 <= percent <= 100:
+            raise ValueError("percent is from 1 to 100")
         self.percent = percent
-        self.most_equal = max(1, -(-percent // (100 - percent)) - 1) if percent < 100 else 2**31  # n / (n + 1) is too little up to here
+        self.most_equal = -(-percent // (100 - percent)) - 1 if percent < 100 else 2**31  # n / (n + 1) is too little up to here
 
     def level(self, size: np.ndarray) -> np.ndarray:
         """Level of sets by their size, a factor of two each; -1 for those that link with equal sets only."""
@@ -117,14 +119,15 @@ class Measure:
 
 
 def entries(codes: np.ndarray, at: np.ndarray, measure: Measure) -> tuple[np.ndarray, np.ndarray]:
-    """Entries of all sets, one set after the other, and their n + 1 offsets. A set enters at its level, and at that of the
-    smallest set it may link with; there its differences are bounded by its own size as the larger one, too."""
+    """Entries of all sets, one set after the other, and their n + 1 offsets. A set enters at its level, and at each down to that of
+    the smallest set it may link with (one more from 50 percent on); there its differences are bounded by its own size as the
+    larger one, too."""
     size = np.diff(at)
     level, least = measure.level(size), measure.level(-(-size * measure.percent // 100))
     least = np.where((level >= 0) & (least < 0), 0, least)
     parts: list[tuple[np.ndarray, np.ndarray]] = []
     for k in range(int(level.max(initial=-1)) + 1):
-        own = np.flatnonzero((level == k) | (least == k))
+        own = np.flatnonzero((least <= k) & (k <= level))
         if not len(own):
             continue
         groups, most = measure.groups(k)

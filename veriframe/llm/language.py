@@ -8,8 +8,8 @@ and the ORDER bytes before it alone. Lengths of all grams seen in training are l
 column a language; a gram not found takes its context's escape cost and the next shorter gram's row, which is the same sum.
 A text's language is that with the least code length, and score is its share of the probabilities 2 ** -length of all.
 
-Training takes a bounded sample: of each language the documents with the least hash of doc_id, about SAMPLE_DOCS of them, none of
-more than SAMPLE_DOC_BYTES.
+Training takes a bounded sample: of each language the documents with the least hash of doc_id, about SAMPLE_DOCS of them, and of each of
+these SAMPLE_DOC_CHARS characters at most, so a language that has long documents only is learned too.
 Everything else covers all rows and whole texts.
 
 Defined results: und and score 0 for null, empty and letterless texts and where there is nothing to learn from; on equal
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import bounded, per_block
 
 ORDER = 3
-SAMPLE_DOCS, SAMPLE_DOC_BYTES = 300, 1 << 15
+SAMPLE_DOCS, SAMPLE_DOC_CHARS = 300, 1 << 15
 #: Distinct values of lang that can be learned; more is an error.
 MOST_LANGUAGES = 200
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -165,7 +165,7 @@ def learned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     for r in sizes:
         share = min(1.0, sample_docs / r["count"])
         wanted = wanted | ((df[lang_col] == r["lang"]) & (F.pmod(doc, F.lit(1_000_003)) < int(math.ceil(share * 1_000_003))))
-    rows = use.where(wanted).where(F.octet_length(df[text_col]) <= SAMPLE_DOC_BYTES).select(df[lang_col].alias("lang"), df[text_col].alias("text"), doc.alias("h")).orderBy("h", "lang", "text").limit(2 * sample_docs * max(1, len(sizes))).collect()
+    rows = use.where(wanted).select(df[lang_col].alias("lang"), F.left(df[text_col], F.lit(SAMPLE_DOC_CHARS)).alias("text"), doc.alias("h")).orderBy("h", "lang", "text").limit(2 * sample_docs * max(1, len(sizes))).collect()
     texts: dict[str, list[bytes]] = {}
     for r in rows:
         if len(own := texts.setdefault(r["lang"], [])) < sample_docs:

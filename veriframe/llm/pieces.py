@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 
 from .common import flat, narrowed, per_block, ragged, strings
 
+#: Bytes of text of a block whose tokens' texts are laid out, which take several times as much.
+DIGEST_BYTES = 2 << 20
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _NONE = np.int32(2**31 - 1)
 _SPACE = "▁"
@@ -295,7 +297,7 @@ def piece_digests(df: DataFrame, model_path: str, id_col: str = "doc_id", text_c
         digest = lambda parts: pa.array([hashlib.sha256(x[1:]).hexdigest() for x in parts], pa.string())  # noqa: E731  the first comma; the space put in front
         return pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(counts)), digest(listed), digest(decoded)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return per_block(narrowed(df, id_col, text_col), block, SCHEMA)
+    return per_block(narrowed(df, id_col, text_col), block, SCHEMA, DIGEST_BYTES)
 
 
 def _joined(parts: pa.Array, lengths: np.ndarray | None, which: np.ndarray, texts: np.ndarray) -> list[memoryview]:

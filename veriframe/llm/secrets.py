@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import bounded, flat, narrowed, per_block
+from .common import blocks, bounded, flat, narrowed, per_block
 
 #: Kinds in the order in which spans of one start are listed: name, expression, group that is measured, its least length.
 BASE_RULES = [
@@ -231,17 +231,16 @@ def without_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            column = batch.column(at)
-            data, offsets = flat(column)
-            if not (found := rules.scan(data, offsets)):
-                yield batch
-                continue
-            texts = column.to_pylist()
-            for doc, own in found.items():
-                texts[doc] = masked(texts[doc], own, rules.kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(texts, column.type) if i == at else batch.column(i) for i in range(batch.num_columns)], schema=batch.schema)
+            column, done = batch.column(at), 0
+            for rows, data, offsets in blocks(iter([pa.RecordBatch.from_arrays([column], names=["text"])])):
+                own = rows.column(0)
+                if found := rules.scan(data, offsets):
+                    texts = own.to_pylist()
+                    for doc, spans in found.items():
+                        texts[doc] = masked(texts[doc], spans, rules.kinds)
+                    own = pa.array(texts, column.type)
+                yield batch.slice(done, len(own)).set_column(at, batch.schema.field(at), own)
+                done += len(own)
 
     return df.mapInArrow(run, df.schema)
 

@@ -5,8 +5,8 @@ encoded once by the tokenizers library. The ids are kept in a packed table until
 documents give one frequency table (of 2**20 slots) that all blocks share. Documents are dealt by ranges of doc_id
 (and of a hash, should one doc_id have very many rows) and sorted, and each range is written as blocks of about BLOCK_TOKENS ids of whole documents. Within a block, id t belongs to lane t % lanes;
 all lanes' states advance together. A block holds its documents' ids and lengths, the lanes' states at its start and at
-every CHECKPOINT_STEPS steps with the place in the stream (so parts can be decoded apart), a CRC-32 of the ids and one of
-the block itself. Blocks are binary values of Parquet files, so Spark's commit protocol guards the writing.
+every CHECKPOINT_STEPS steps with the place in the stream, a CRC-32 of the ids of each part between two of these, and one of
+the block itself. Reading decodes a block part by part, each from its own states, and compares its checksum. Blocks are binary values of Parquet files, so Spark's commit protocol guards the writing.
 
 A folder holds blocks/ (part, block, n_tokens, payload) and table/ (frequencies with their CRC-32).
 
@@ -39,8 +39,8 @@ PART_TOKENS = 8 << 20
 MOST_PARTS = 20_000
 #: Vocabularies up to this size are taken; the frequency table is sent to every task.
 MOST_IDS = 1 << 19
-_MAGIC = b"VFTOKEN1"
-_HEAD = struct.Struct("<8sIQIIIII")  # magic, documents, ids, lanes, checkpoints, words, crc of ids, start within the part (block number)
+_MAGIC = b"VFTOKEN2"
+_HEAD = struct.Struct("<8sIQIIII")  # magic, documents, ids, lanes, checkpoints, words, block number
 _LOW = np.uint64(1 << 31)
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
@@ -188,8 +188,10 @@ class Coder:
             f = self.freq[own]
             q = x // f
             state[: len(own)] = (q << bits) + (x - q * f) + self.start[own]
-        head = _HEAD.pack(_MAGIC, len(lengths), n, lanes, len(kept), n_words, zlib.crc32(ids.astype("<u4")), number)
-        parts = [head, doc_ids.astype("<i8").tobytes(), np.packbits(nulls).tobytes(), lengths.astype("<u4").tobytes(), state.astype("<u8").tobytes()]
+        head = _HEAD.pack(_MAGIC, len(lengths), n, lanes, len(kept), n_words, number)
+        cuts = [0, *(step * lanes for step, _, _ in reversed(kept)), n]
+        sums = np.array([zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(cuts, cuts[1:])], "<u4")
+        parts = [head, sums.tobytes(), doc_ids.astype("<i8").tobytes(), np.packbits(nulls).tobytes(), lengths.astype("<u4").tobytes(), state.astype("<u8").tobytes()]
         for step, later, states in reversed(kept):
             parts += [struct.pack("<II", step, n_words - later), states.astype("<u8").tobytes()]
         parts += [w.astype("<u4").tobytes() for w in reversed(words)]
@@ -197,10 +199,11 @@ class Coder:
         return raw + struct.pack("<I", zlib.crc32(raw))
 
     def decode(self, raw: bytes, part: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """ids, doc_ids, nulls, lengths; with part, the ids from that checkpoint (0: the block's start) to the next only."""
+        """ids, doc_ids, nulls, lengths; with part, the ids from that checkpoint (0: the block's start) to the next only. Parts need nothing
+        of one another."""
         if zlib.crc32(memoryview(raw)[:-4]) != struct.unpack("<I", raw[-4:])[0] or raw[:8] != _MAGIC:
             raise ValueError("a token block is damaged")
-        _, n_docs, n, lanes, n_kept, n_words, crc, _ = _HEAD.unpack_from(raw)
+        _, n_docs, n, lanes, n_kept, n_words, _ = _HEAD.unpack_from(raw)
         at = _HEAD.size
 
         def take(kind: str, count: int) -> np.ndarray:
@@ -209,17 +212,25 @@ class Coder:
             at += out.nbytes
             return out
 
+        sums = take("<u4", n_kept + 1)
         doc_ids, nulls = take("<i8", n_docs), np.unpackbits(take("u1", -(-n_docs // 8)), count=n_docs).astype(bool)
-        lengths, state = take("<u4", n_docs), take("<u8", lanes).copy()
+        lengths, state = take("<u4", n_docs), take("<u8", lanes)
         points = [(0, 0, state)]
         for _ in range(n_kept):
             step, word = struct.unpack_from("<II", raw, at)
             at += 8
             points.append((step, word, take("<u8", lanes)))
         words = take("<u4", n_words).astype(np.uint64)
-        steps = -(-n // lanes)
-        first, word, state = points[part or 0]
-        stop = steps if part is None or part == n_kept else points[part + 1][0]
+        points.append((-(-n // lanes), n_words, state))
+        wanted = range(n_kept + 1) if part is None else [part]
+        out = [self._part(points[k], points[k + 1][0], n, lanes, words) for k in wanted]
+        if any(zlib.crc32(own.astype("<u4")) != sums[k] for k, own in zip(wanted, out)):
+            raise ValueError("a part's ids don't match their checksum")
+        return np.concatenate(out), doc_ids, nulls, lengths
+
+    def _part(self, point: tuple[int, int, np.ndarray], stop: int, n: int, lanes: int, words: np.ndarray) -> np.ndarray:
+        """Ids from a checkpoint (step, place in words, states) up to the step stop."""
+        first, word, state = point
         state, out = state.copy(), np.empty(min(n, stop * lanes) - first * lanes, np.uint32)
         bits, slots, shift = np.uint64(TABLE_BITS), np.uint64((1 << TABLE_BITS) - 1), np.uint64(32)
         for step in range(first, stop):
@@ -234,9 +245,7 @@ class Coder:
                 word += len(low)
             state[:count] = x
             out[(step - first) * lanes : (step - first) * lanes + count] = own
-        if part is None and zlib.crc32(out.astype("<u4")) != crc:
-            raise ValueError("a token block's ids don't match their checksum")
-        return out, doc_ids, nulls, lengths
+        return out
 
 
 def _tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
