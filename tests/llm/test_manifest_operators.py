@@ -133,7 +133,7 @@ def test_bucket_counts_lose_nothing(phrases):
     for batch in rows:
         for k, own in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist()):
             if own:
-                sums[k * collocations.SLICE : k * collocations.SLICE + len(own)] += np.frombuffer(own, np.uint8)
+                collocations._add(sums[k * collocations.SLICE : (k + 1) * collocations.SLICE], own)
     frequent = [x for x in collocation_model(phrases, 5, 2) if x[3] >= 5]
     for lang, _, phrase, *_ in frequent:
         own = collocations.mixed(collocations.text_hashes(pa.array([lang])), [collocations.text_hashes(pa.array([w.encode()])) for w in phrase.split(" ")])
@@ -141,6 +141,27 @@ def test_bucket_counts_lose_nothing(phrases):
     assert sums.max() <= 5 and frequent
 
 
+@pytest.mark.parametrize("share", [0, 0.001, 0.2, 0.9])
+def test_packed_counts(share):
+    """Dense and sparse slices give the counts back, added over tasks."""
+    r = np.random.default_rng(1)
+    counts = [np.where(r.random(1 << 18) < share, r.integers(1, 101, 1 << 18), 0).astype(np.uint8) for _ in range(3)]
+    sums = np.zeros(1 << 18, np.int64)
+    for own in counts:
+        for slices, packed in collocations._packed(own):
+            for k, raw in zip(slices.to_pylist(), packed.to_pylist()):
+                collocations._add(sums[k * collocations.SLICE : (k + 1) * collocations.SLICE], raw)
+    assert (sums == np.sum(counts, axis=0, dtype=np.int64)).all()
+
+
+def test_distinct_tuples():
+    """Numbers too wide for one of 62 bits are made dense on the way."""
+    r = np.random.default_rng(2)
+    parts = [r.integers(0, 3, 500), *(r.choice([0, 1, (1 << 24) - 1], 500) for _ in range(5))]
+    got, n = collocations._distinct(parts)
+    assert Counter(dict(zip(zip(*(p.tolist() for p in got)), n.tolist()))) == Counter(zip(*(p.tolist() for p in parts)))
+
+
 def test_long_products(spark):
     """Products beyond 64 bits stay exact."""
     assert spark.sql("SELECT cast((cast(1000 as decimal(4,0)) * cast(99999999999999 as decimal(14,0)) * cast(999999999999999999 as decimal(18,0))) div (cast(100000000000001 as decimal(18,0)) * cast(100000000000003 as decimal(18,0))) as long)").first()[0] == 1000 * 99999999999999 * 999999999999999999 // (100000000000001 * 100000000000003)

@@ -32,8 +32,9 @@ LONGEST = 5
 FIRST = 2000
 #: Buckets of a pass and bits of the table of frequent phrases; 2 MB each where they are sent to all tasks.
 BUCKETS = 1 << 24
-#: Buckets of a row in which a task's counts are shuffled.
-SLICE = 1 << 14
+#: Buckets of a row in which a task's counts are shuffled, 65,536 at most, and rows of a batch.
+SLICE = 1 << 16
+SLICES = 32
 #: Rows of counts that a task keeps before it lets them go.
 MOST_ROWS = 400_000
 UNKNOWN = "und"
@@ -88,13 +89,15 @@ def _set(bits: np.ndarray | None, places: np.ndarray) -> np.ndarray:
 
 
 def _distinct(parts: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct tuples of numbers at one place of each part (dense numbers are made of two at a time, so nothing is hashed), and
-    how often each comes."""
-    key, first = parts[0], None
+    """Distinct tuples of numbers at one place of each part, which aren't empty, and how often each comes. A tuple is one number of
+    62 bits; where that isn't enough, the numbers so far are made dense, so nothing is hashed."""
+    key, most = parts[0], int(parts[0].max()) + 1
     for own in parts[1:]:
-        wide = int(own.max()) + 1 if len(own) else 1
-        _, key = np.unique(key, return_inverse=True)
-        key = key * wide + own
+        wide = int(own.max()) + 1
+        if most * wide > 1 << 62:
+            made, key = np.unique(key, return_inverse=True)
+            most = len(made)
+        key, most = key * wide + own, most * wide
     _, first, count = np.unique(key, return_index=True, return_counts=True)
     return [p[first] for p in parts], count
 
@@ -166,9 +169,34 @@ def _scan(batches: Iterator[pa.RecordBatch], length: int, buckets: int, least: i
             n = np.bincount(lang, minlength=len(names.dictionary))
             yield from counts.add(names.dictionary, pa.nulls(len(n), pa.string()), n)
     yield from counts.left()
-    for k in np.flatnonzero(next_.reshape(-1, min(SLICE, buckets)).any(axis=1)) if more else ():
-        own = next_[k * SLICE : (k + 1) * SLICE].tobytes()
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.array([k], pa.int32()), pa.array([0], pa.int64()), pa.array([own], pa.binary())], names=[x.split()[0] for x in _KIND.split(", ")])
+    for slices, packed in _packed(next_):
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(slices), pa.string()), pa.nulls(len(slices), pa.string()), slices, pa.array(np.zeros(len(slices), np.int64)), packed], names=[x.split()[0] for x in _KIND.split(", ")])
+
+
+def _packed(counts: np.ndarray) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Numbers and bytes of the slices of counts that aren't all zero: where a quarter of a slice's buckets or more have a count, all
+    counts (behind a 0), else the buckets that have one and their counts (behind a 1)."""
+    found = np.flatnonzero(counts)
+    wide = min(SLICE, max(1, len(counts)))
+    which, first = np.unique(found // wide, return_index=True)
+    ends = np.append(first[1:], len(found))
+    for k in range(0, len(which), SLICES):
+        out = []
+        for number, a, b in zip(which[k : k + SLICES], first[k : k + SLICES], ends[k : k + SLICES]):
+            if 4 * (b - a) >= wide:
+                out.append(b"\0" + counts[number * wide : (number + 1) * wide].tobytes())
+            else:
+                out.append(b"\1" + (found[a:b] % wide).astype("<u2").tobytes() + counts[found[a:b]].tobytes())
+        yield pa.array(which[k : k + SLICES], pa.int32()), pa.array(out, pa.binary())
+
+
+def _add(sums: np.ndarray, raw: bytes) -> None:
+    """Adds a slice's counts of one task to sums."""
+    if raw[0] == 0:
+        sums += np.frombuffer(raw, np.uint8, offset=1)
+    else:
+        n = (len(raw) - 1) // 3
+        sums[np.frombuffer(raw, "<u2", n, 1)] += np.frombuffer(raw, np.uint8, n, 1 + 2 * n)
 
 
 def _bits(rows: DataFrame, buckets: int, least: int) -> np.ndarray:
@@ -181,17 +209,17 @@ def _bits(rows: DataFrame, buckets: int, least: int) -> np.ndarray:
 
         now, sums = None, None
         for batch in batches:
-            for k, own in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for k, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if k != now:
                     if sums is not None:
                         yield out(now, sums)
                     now, sums = k, np.zeros(wide, np.int64)
-                sums += np.frombuffer(own.as_buffer(), np.uint8)
+                _add(sums, own)
         if sums is not None:
             yield out(now, sums)
 
     table = np.zeros(-(-buckets // 8), np.uint8)
-    for row in rows.where("slice is not null").select("slice", "counts").repartition("slice").sortWithinPartitions("slice").mapInArrow(run, "slice int, bits binary").toLocalIterator():
+    for row in rows.where("slice is not null").select("slice", "counts").repartition("slice").sortWithinPartitions("slice").mapInArrow(run, "slice int, bits binary").collect():  # buckets / 8 bytes
         own = np.frombuffer(row["bits"], np.uint8)
         table[row["slice"] * wide // 8 : row["slice"] * wide // 8 + len(own)] = own
     return table
@@ -201,7 +229,7 @@ def _marked(phrases: DataFrame, buckets: int) -> np.ndarray:
     """Bits that phrases (lang, phrase) set by their hash in a table of buckets bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(buckets, bool)
+        table = np.zeros(buckets, np.uint8)
         for batch in batches:
             split = pc.split_pattern(batch.column(1), " ")
             length = pc.list_value_length(split).to_numpy(zero_copy_only=False)
@@ -209,9 +237,9 @@ def _marked(phrases: DataFrame, buckets: int) -> np.ndarray:
             seeds = text_hashes(batch.column(0))
             for k in np.unique(length):
                 own = np.flatnonzero(length == k)
-                table[_bucket(mixed(seeds[own], [flat[(ends - length)[own] + j] for j in range(k)]), buckets)] = True
-        for k in np.flatnonzero(table.reshape(-1, min(SLICE, buckets)).any(axis=1)):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([table[k * SLICE : (k + 1) * SLICE].astype(np.uint8).tobytes()], pa.binary())], names=["slice", "counts"])
+                table[_bucket(mixed(seeds[own], [flat[(ends - length)[own] + j] for j in range(k)]), buckets)] = 1
+        for slices, packed in _packed(table):
+            yield pa.RecordBatch.from_arrays([slices, packed], names=["slice", "counts"])
 
     return _bits(phrases.mapInArrow(run, "slice int, counts binary"), buckets, 1)
 
