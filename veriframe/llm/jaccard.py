@@ -39,6 +39,8 @@ GROUPS = 256
 #: Members of an entry that share a tree at most; trees are built over about BATCH rows of neighbouring entries.
 TILE, BATCH = 2048, 16_384
 LEAF, FANOUT = 8, 16
+#: Bytes of text whose shingles and entries are laid out at once.
+SET_BYTES = 2 << 20
 #: Partners a member in the rounds of the search; None: all.
 ROUNDS = (1, 4, None)
 _M, _G = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0x9E3779B97F4A7C15)
@@ -182,7 +184,7 @@ class Tree:
             width = FANOUT
         Tree.built += 1
 
-    def pairs(self, point: np.ndarray, size: np.ndarray, entry: np.ndarray, comp: np.ndarray, measure: Measure, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(self, point: np.ndarray, size: np.ndarray, entry: np.ndarray, comp: np.ndarray, measure: Measure, most: int = 25_000) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of searches and of points as given, which have the same entry, differ in component, and may link.
 
         The searches go down together, level by level; most: nodes whose counts are summed at once."""
@@ -238,7 +240,7 @@ def _profiles(docs: DataFrame, measure: Measure, width: int) -> DataFrame:
     """doc_id, fp, n, cls (digest of the set; null if empty) and keys (entries; none if the task has sent the class's before)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for rows, data, offsets in blocks(batches):
+        for rows, data, offsets in blocks(batches, SET_BYTES):
             codes, at = sets_of(data, offsets, width)
             keys, ends = entries(codes, at, measure)
             size, cls = np.diff(at), _digests(codes, at)
@@ -265,7 +267,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
         out = [rows.column(0), pa.array(np.diff(at)), strings(point, np.arange(n) * GROUPS, n * GROUPS), strings(codes.astype("<u8").view(np.uint8), at[:-1] * 8, int(at[-1]) * 8)]
         return pa.RecordBatch.from_arrays(out, names=["cls", "size", "point", "codes"]).filter(pa.array(same))
 
-    return per_block(docs, block, "cls long, size long, point binary, codes binary")
+    return per_block(docs, block, "cls long, size long, point binary, codes binary", SET_BYTES)
 
 
 def _searched(members: DataFrame, points_of: DataFrame, most: int | None, measure: Measure) -> DataFrame:
