@@ -111,7 +111,10 @@ class Encoder:
         """Starts in self.ids and numbers of ids of distinct parts."""
         if len(self.known) + len(parts) > MOST_KNOWN:
             self.forget(parts)
-        new = [x for x in parts if x not in self.known]
+        which = np.fromiter(map(self.known.get, parts, itertools.repeat(-1)), np.int64, len(parts))
+        lost = np.flatnonzero(which < 0)
+        new = [parts[k] for k in lost.tolist()]
+        which[lost] = np.arange(len(self.known), len(self.known) + len(new))
         for k in range(0, len(new), STEP):
             step, n = new[k : k + STEP], len(self.known)
             own = [x.ids for x in self.tokenizer.encode_batch_fast([x.decode() for x in step], add_special_tokens=False)]
@@ -120,7 +123,6 @@ class Encoder:
             self.ids, self.at = _room(self.ids, int(ends[-1])), _room(self.at, n + len(step) + 1)
             self.ids[self.at[n] : ends[-1]] = np.fromiter(itertools.chain.from_iterable(own), np.uint32, int(ends[-1] - self.at[n]))
             self.at[n + 1 : n + len(step) + 1] = ends
-        which = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
         return self.at[which], self.at[which + 1] - self.at[which]
 
 
