@@ -1,6 +1,7 @@
 """Registered queries against their SQL in DuckDB, and what the driver deletes."""
 
 import math
+import os
 import shutil
 import subprocess
 import sys
@@ -68,4 +69,7 @@ def test_without_llm(tmp_path):
         source = root / part
         shutil.copytree(source, tmp_path / part, ignore=shutil.ignore_patterns("llm", "__pycache__")) if source.is_dir() else shutil.copy(source, tmp_path / part)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 40 and not [k for k in q if k[:2] == 'op' and k[2].isdigit()] and 'pipeline' not in q; e.oracle_sql()"
-    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PYTHONPATH": str(tmp_path), "PATH": "/usr/bin:/bin"}).returncode == 0
+    env = {"PYTHONPATH": str(tmp_path), "PATH": os.environ["PATH"], "JAVA_HOME": os.environ.get("JAVA_HOME", ""), "HOME": str(tmp_path)}
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env).returncode == 0
+    some = ["tests/test_functions.py", "tests/test_queries.py", "-k", "test_functions or coverage or quote or batch_items or checkpoint or escalation"]
+    assert subprocess.run([sys.executable, "-m", "pytest", "-q", "-p", "no:cacheprovider", *some], cwd=tmp_path, env=env).returncode == 0
