@@ -37,6 +37,8 @@ SLICE = 1 << 16
 SLICES = 32
 #: Rows of counts that a task keeps before it lets them go.
 MOST_ROWS = 400_000
+#: Parts of a language's phrases that are ranked apart before the rest.
+PARTS = 64
 UNKNOWN = "und"
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -292,5 +294,9 @@ def collocations(df: DataFrame, least: int = LEAST, longest: int = LONGEST, firs
     sides = cut.join(part("left", "l"), ["lang", "left"]).join(part("right", "r"), ["lang", "right"]).join(totals, "lang")
     score = F.expr("(cast(1000 as decimal(4,0)) * cast(a as decimal(14,0)) * cast(n as decimal(18,0))) div (cast(l as decimal(18,0)) * cast(r as decimal(18,0)))")
     scored = sides.withColumn("score", score.cast("long")).groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "a", "l", "r", "n")).alias("s")).select("lang", "phrase", "s.a", "s.l", "s.r", "s.n", "s.score")
-    order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
-    return scored.withColumn("rank", F.row_number().over(order)).where(f"rank <= {first}").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    # A language may have very many phrases: its first ones are among the first of each of PARTS parts of them.
+    order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
+    parts = scored.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
+    parts = parts.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(f"rank <= {first}")
+    ranked = parts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(f"rank <= {first}")
+    return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
