@@ -74,6 +74,11 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.merkle_manifest(table(spark, sf_dir, "documents"))
 
 
+def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op2_license_scan: its columns but those of the method's own labels and score."""
+    return op2_license_scan(spark, sf_dir).drop("labels", "score")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -82,11 +87,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
-    return {k: found[k] for k in sorted(found, key=lambda k: int(k[2:].split("_")[0]))}
+    return {k: found[k] for k in sorted(found, key=lambda k: int(k[2:].split("_")[0]))} | {"license_phrases": license_phrases}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": OP1, "op3_substring_dedup": OP3, "op4_quality_rules": OP4, "op8_jaccard_join": OP8, "op9_revisits": OP9, "op12_collocations": OP12, "op13_merkle_manifest": OP13}
+    return {"op1_secret_scan": OP1, "license_phrases": PHRASES, "op3_substring_dedup": OP3, "op4_quality_rules": OP4, "op8_jaccard_join": OP8, "op9_revisits": OP9, "op12_collocations": OP12, "op13_merkle_manifest": OP13}
 
 
 def _secret_sql() -> str:
@@ -122,6 +127,19 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 
 OP1 = _secret_sql()
 #: Windows of 400 bytes by their digest; runs of those that stand twice, and what is left between them.
+PHRASES = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), runs AS (
+  SELECT r, unnest(range(len(w))) AS place, unnest(w) AS a, unnest(w[2:] || ['']) AS b, unnest(w[3:] || ['', '']) AS c, unnest(w[4:] || ['', '', '']) AS e FROM d WHERE len(w) > 0
+), found AS (
+  SELECT r, place, CASE WHEN (a, b, c, e) = ('gnu', 'general', 'public', 'license') THEN 'gpl' WHEN (a, b) = ('apache', 'license') THEN 'apache' WHEN (a, b) = ('cc', 'by') THEN 'cc-by' WHEN (a, b) = ('mit', 'license') THEN 'mit' END AS label FROM runs
+), by_doc AS (
+  SELECT r, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM found WHERE label IS NOT NULL GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels FROM d LEFT JOIN by_doc ON by_doc.r = d.r
+"""
+
 OP3 = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, strlen(t) AS n, hex(encode(t)) AS h FROM documents),
 w AS (SELECT r, i, md5_number(substr(h, CAST(2 * i + 1 AS BIGINT), 800)) AS m FROM (SELECT r, h, unnest(range(0, n - 399)) AS i FROM d WHERE n >= 400)),
