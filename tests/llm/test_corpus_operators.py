@@ -76,6 +76,37 @@ def test_substrings_without_ids(spark):
     assert key(substrings.without_repeats(df).collect()) == removed_model(rows)
 
 
+@pytest.mark.parametrize("n", [7, 3000, 2 * substrings.PROFILE_BYTES + 50])
+def test_gram_and_word_hashes(n):
+    """Grams and words have equal hashes where they are equal, wherever they stand, and others where they aren't."""
+    r = np.random.default_rng(n)
+    texts = ["".join(r.choice(list("ab \n"), min(n, 3000))), "", " ", "ab", "a", " ab a", "x" * max(0, n - 3000), "é a"]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    words = [w for t in texts for w in re.findall("[^\x20\x09-\x0d]+", t)]
+    own, at = substrings.symbols(data, offsets, substrings.WORDS)
+    assert np.diff(at).tolist() == [len(re.findall("[^\x20\x09-\x0d]+", t)) for t in texts]
+    assert len(own) == len(words) and len(set(zip(words, own.tolist()))) == len(set(words)) == len(set(own.tolist()))
+    code = substrings.gram_hashes(substrings._TABLE[data], 4)
+    grams = [data[i : i + 4].tobytes() for i in range(min(len(code), 5000))]
+    assert len(code) == max(0, len(data) - 3) and len(set(zip(grams, code.tolist()))) == len(set(grams)) == len(set(code[: len(grams)].tolist()))
+
+
+def test_segments_are_all_windows():
+    """Each window of each text lies in one segment, and its gram is the leftmost of the least ones in it."""
+    r = random.Random(5)
+    texts = [bytes(r.choices(b"abc", k=n)) for n in (0, 399, 400, 401, 1500, 0, 800)] + [b"a" * 900]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    start, windows, dist, gram, at = substrings.segments(data, offsets)
+    code = substrings.gram_hashes(substrings._TABLE[data], 64)
+    for k in range(len(texts)):
+        mine = [(int(s) + i, int(s + d), g) for s, n, d, g in zip(*(x[at[k] : at[k + 1]] for x in (start, windows, dist, gram))) for i in range(n)]
+        assert [m[0] for m in mine] == list(range(offsets[k], offsets[k + 1] - 399))
+        for w, place, g in mine:
+            lead = code[w : w + 337] >> np.uint64(32)
+            assert place == w + int(np.argmin(lead)) and g == code[place]
+
+
 def test_split_groups(monkeypatch, copied):
     """Groups of many strings are split by class of distance; the windows found are the same."""
     texts = [(t or "").encode() for _, t in copied if t]
@@ -557,7 +588,7 @@ def test_sql_of_operators(spark):
     """SQL over the smallest driver table."""
     con = duckdb.connect()
     con.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
-    for name in ("op1_secret_scan", "op3_substring_dedup"):
+    for name in ("op1_secret_scan", "license_phrases", "op3_substring_dedup"):
         got, want = queries.queries()[name](spark, "/root/testdata/sf0.001"), con.execute(queries.oracle_sql()[name])
         names = [c[0] for c in want.description]
         assert sorted(names) == sorted(got.columns) and key(got.select(*names).collect()) == key(want.fetchall())
@@ -570,3 +601,12 @@ def test_sql_of_operators(spark):
     want = con.execute(queries.oracle_sql()["op1_secret_scan"])
     names = [c[0] for c in want.description]
     assert key(secrets.secret_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select(*names).collect()) == key(want.fetchall())
+    texts = ["MIT license, mit LICENSE; the apache license cc by", "gnu general public", "x GNU General-Public_License cc by mit license é", "by cc by", "mit", "a\x00mit\x7flicense", "", None, "mit license"]
+    rows = pa.table({"doc_id": pa.array([*range(8), 7], pa.int64()), "text": pa.array(texts, pa.string())})
+    con.register("made", rows)
+    from veriframe.llm import licenses
+
+    want = con.execute(queries.oracle_sql()["license_phrases"])
+    names = [c[0] for c in want.description]
+    want = key(want.fetchall())
+    assert key(licenses.license_scan(spark.createDataFrame(list(zip([*range(8), 7], texts)), "doc_id long, text string")).select(*names).collect()) == want and sum(r[2] for r in want) == 10  # 4 + 0 + 3 + 1 + 0 + 1 + 0 + 0 + 1

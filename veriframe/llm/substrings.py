@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import dropped, maybe_in, narrowed, per_block, ragged, released, strings, written
-from .quality import words_of
+from .quality import _SPACE
 
 @dataclass(frozen=True)
 class Shape:
@@ -64,32 +64,63 @@ MOST_STRINGS, MOST_SPLIT = 4096, 32_768
 #: Strings that are built together, about; columns above COLUMN_BYTES go to a file.
 BATCH, COLUMN_BYTES = 16_384, 64 << 20
 QUARTER = BYTES.quarter
+#: Bytes of text whose segments are found at once: arrays of eight times as many should stay in a cache.
+PROFILE_BYTES = 1 << 20
+#: Base of the hashes of grams and words, polynomials modulo 2 ** 64; odd, so that it has an inverse.
+BASE = 0x9E3779B97F4A7C15
+_POWERS: dict[str, tuple[np.ndarray, ...]] = {}
 _TABLE = np.random.default_rng(7).integers(0, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeat_words long"
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of BASE and of its inverse, modulo 2 ** 64; those of a usual block are kept."""
+    kept = _POWERS.get("kept")
+    if kept is None or len(kept[0]) < n:
+        kept = tuple(np.full(n, x, np.uint64) for x in (BASE, pow(BASE, -1, 2**64)))
+        for x in kept:
+            x[:1] = 1
+            np.cumprod(x, out=x)
+        if n <= 2 * PROFILE_BYTES:
+            _POWERS["kept"] = kept
+    return kept[0][:n], kept[1][:n]
+
+
+def _mixed(code: np.ndarray) -> np.ndarray:
+    for shift, factor in ((32, 0xBF58476D1CE4E5B9), (29, 0x94D049BB133111EB)):
+        code ^= code >> np.uint64(shift)
+        code *= np.uint64(factor)
+    code ^= code >> np.uint64(32)
+    return code
+
+
 def symbols(data: np.ndarray, offsets: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of texts, one text after the other, and n + 1 offsets: their bytes, or hashes of their words."""
     if shape.bits == 8:
         return data, offsets
-    words, doc = words_of(data, offsets)
-    coded = words.dictionary_encode()
-    names = coded.dictionary.to_pylist() if len(words) else []
-    own = np.array([xxhash.xxh32_intdigest(w) for w in names], np.uint32)
-    out = own[coded.indices.to_numpy(zero_copy_only=False)] if names else np.empty(0, np.uint32)
-    return out, np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(offsets) - 1))])
+    space = _SPACE[data]
+    starts = ~space
+    starts[1:] &= space[:-1]
+    first = offsets[:-1][offsets[:-1] < offsets[1:]]
+    starts[first] = ~space[first]
+    at = np.flatnonzero(starts)
+    if not len(at):
+        return np.empty(0, np.uint32), np.zeros(len(offsets), np.int64)
+    up, down = powers(len(data))
+    code = _TABLE[data]
+    code *= up
+    code[space] = 0
+    return (_mixed(np.add.reduceat(code, at) * down[at]) >> np.uint64(32)).astype(np.uint32), np.searchsorted(at, offsets)
 
 
 def gram_hashes(code: np.ndarray, gram: int) -> np.ndarray:
-    """Hash of the gram from each place on, by doubling; code: hashes of the symbols."""
-    length = 1
-    while length < gram:
-        code = code[:-length] * np.uint64(0x9E3779B97F4A7C15) + code[length:]
-        code ^= code >> np.uint64(29)
-        code *= np.uint64(0xBF58476D1CE4E5B9)
-        code ^= code >> np.uint64(32)
-        length *= 2
-    return code
+    """Hash of the gram from each place on, as a difference of running sums; code: hashes of the symbols."""
+    up, down = powers(len(code))
+    total = np.zeros(len(code) + 1, np.uint64)
+    np.cumsum(code * up, out=total[1:])
+    out = total[gram:] - total[:-gram]
+    out *= down[: len(out)]
+    return _mixed(out)
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, shape: Shape = BYTES) -> tuple[np.ndarray, ...]:
@@ -105,13 +136,12 @@ def segments(data: np.ndarray, offsets: np.ndarray, shape: Shape = BYTES) -> tup
         width *= 2
     if rest := shape.span + 1 - width:
         least = np.minimum(least[:-rest], least[rest:])
-    start = ragged(offsets[:-1], count)
+    end = offsets[:-1] + count  # of each text's windows; those behind it reach into the next text
+    of = lambda place: np.searchsorted(offsets, place, "right") - 1
+    new = np.flatnonzero(least[1:] != least[:-1]) + 1
+    start = np.union1d(new[new < end[of(new)]], offsets[:-1][count > 0])
+    windows = np.minimum(np.append(start[1:], len(least)), end[of(start)]) - start
     gram = (least[start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    new = np.ones(len(gram), bool)
-    new[1:] = gram[1:] != gram[:-1]
-    first = np.flatnonzero(new)
-    windows = np.diff(np.append(first, len(gram)))
-    start, gram = start[first], gram[first]
     return start, windows, gram - start, code[gram], np.searchsorted(start, offsets)
 
 
@@ -207,7 +237,7 @@ def _profiles(docs: DataFrame, shape: Shape) -> DataFrame:
         lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x)) for x in (start, windows.astype(np.int32), dist.astype(np.int32), gram.view(np.int64), body.view(np.int64))]
         return pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), *lists], names=["doc_id", "fp", "start", "windows", "dist", "gram", "body"])
 
-    return per_block(docs, block, "doc_id long, fp long, start array<long>, windows array<int>, dist array<int>, gram array<long>, body array<long>", 4 << 20)
+    return per_block(docs, block, "doc_id long, fp long, start array<long>, windows array<int>, dist array<int>, gram array<long>, body array<long>", PROFILE_BYTES)
 
 
 def _fetched(docs: DataFrame, shape: Shape) -> DataFrame:
