@@ -224,6 +224,17 @@ def test_job_graph(spark):
     assert G.verification_jobs(jobs(("v", ["x", "y"])), jobs(("s", ["x"]), ("t", ["y", "z"]))).first()["depends_on"] == ["s", "t"]
 
 
+def test_previous_layer(spark):
+    """Each job has the whole layer before it; numbers are counted a layer, without pairs of jobs and without arrays."""
+    batches = spark.createDataFrame([(1, 0, "a"), (1, 2, "b"), (1, 2, "c"), (1, 5, "d"), (2, 0, "e"), (None, 1, "f")], "phase int, layer int, job_id string")
+    got = {r["job_id"]: (r["n_deps"], r["depends_on"]) for r in G.previous_layer(batches).collect()}
+    assert got == {"a": (0, []), "b": (1, ["a"]), "c": (1, ["a"]), "d": (2, ["b", "c"]), "e": (0, [])}
+    wide = spark.range(60_000).selectExpr("1 AS phase", "cast(id % 3 AS int) AS layer", "id AS job_id")
+    counts = G.previous_layer(wide).select("job_id", "n_deps")
+    assert "collect_set" not in counts._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["n_deps"], r["n"]) for r in counts.groupBy("n_deps").agg(F.count(F.lit(1)).alias("n")).collect()} == {(0, 20_000), (20_000, 40_000)}
+
+
 def test_chain(spark):
     rows = spark.createDataFrame([("c1", "p", 1, "complete", None), ("c2", "q", 2, "complete", "c1"), ("c3", "p", 3, "committing", "c2"), ("c4", "q", 4, "complete", "c3"), ("x", "p", 9, "complete", None)], "checkpoint_id string, phase string, ordinal int, status string, previous_checkpoint_id string")
     assert {r["phase"]: r["checkpoint_id"] for r in R.latest_complete_by_phase(rows, "c4").collect()} == {"q": "c4", "p": "c1"}
