@@ -246,6 +246,26 @@ def test_chain(spark):
     assert R.last_complete(rows, "c4").first()["checkpoint_id"] == "c2" and R.last_complete(rows, None).first()["checkpoint_id"] == "x"
 
 
+def test_chain_sizes(spark, monkeypatch):
+    """Pointers' estimated size doesn't square each round; rounds end once a complete row is found, and go on to the end without one."""
+    digits = []
+    real = G.stored
+
+    def stored(df, **more):
+        out = real(df, **more)
+        digits.append(len(out._jdf.queryExecution().optimizedPlan().stats().simpleString()))
+        return out
+
+    monkeypatch.setattr(G, "stored", stored)
+    rows = spark.range(3000).selectExpr("cast(id as string) AS checkpoint_id", "cast(id as int) AS ordinal", "if(id % 5 = 1, 'complete', 'committing') AS status", "cast(id - 1 as string) AS previous_checkpoint_id")
+    assert R.last_complete(rows, "2999").first()["checkpoint_id"] == "2996" and len(digits) <= 2 + 2 * 3
+    assert R.last_complete(rows, "2996").first()["checkpoint_id"] == "2991"
+    digits.clear()
+    whole = R.chain(rows, "2999")
+    assert whole.count() == 3000 and whole.agg(F.max("depth")).first()[0] == 2999 and len(digits) >= 2 + 2 * 11 and max(digits) < 60
+    assert R.last_complete(rows.withColumn("status", F.when(F.col("ordinal") < 1, "complete").otherwise("committing")), "2999").first()["checkpoint_id"] == "0"
+
+
 def test_quotes(spark):
     s = spark.createDataFrame([(1, "xx one two three four five six yy"), (2, "one two"), (3, None), (4, "")], "source_id int, text string")
     q = spark.createDataFrame([(1, "x one two three four five six y"), (2, "e tw"), (3, "none of that at all is there"), (4, None)], "quote_id int, text string")

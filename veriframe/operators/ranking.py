@@ -93,22 +93,26 @@ def first_n(rows: DataFrame, key: str, column: str, n: int) -> DataFrame:
     return rows.select(key).distinct().join(kept, key, "left").select(key, F.coalesce("first", F.array().cast(kept.schema["first"].dataType)).alias("first"))
 
 
-def chain(rows: DataFrame, start: str | None, key: str = "checkpoint_id", previous: str = "previous_checkpoint_id") -> DataFrame:
-    """rows on the chain of previous keys from start on, with depth from 0, to its end or to where it meets itself.
+def chain(rows: DataFrame, start: str | None, key: str = "checkpoint_id", previous: str = "previous_checkpoint_id", until: str | None = None) -> DataFrame:
+    """rows on the chain of previous keys from start on, with depth from 0, to its end or to where it meets itself; with until (a
+    condition on rows), at least to the first row behind start that meets it, and at most to its end.
 
     Pointers double each round, so a chain of n rows takes as many rounds as n has binary digits."""
-    from .graph import Found, saved
+    from .graph import Found, stored
 
-    jump, step = saved(rows.where(F.col(previous).isNotNull()).select(F.col(key).alias("id"), F.col(previous).alias("to"))), 1
-    found = Found(saved(rows.where(F.col(key) == start).select(F.col(key).alias("id")).distinct().withColumn("depth", F.lit(0))))
+    jump, step = stored(rows.where(F.col(previous).isNotNull()).select(F.col(key).alias("id"), F.col(previous).alias("to"))), 1
+    found = Found(stored(rows.where(F.col(key) == start).select(F.col(key).alias("id")).distinct().withColumn("depth", F.lit(0))))
     while True:
         on = found.all()
         more = on.join(jump, "id").groupBy(F.col("to").alias("id")).agg((F.min("depth") + step).alias("depth"))
-        more = saved(more.join(on.select("id"), "id", "left_anti"))
+        more = stored(more.join(on.select("id"), "id", "left_anti"))
         if more.isEmpty():
-            return rows.join(found.all().withColumnRenamed("id", key), key)
+            break
         found.add(more)
-        jump, step = saved(jump.join(jump.select(F.col("id").alias("to"), F.col("to").alias("further")), "to").select("id", F.col("further").alias("to"))), 2 * step
+        if until is not None and not rows.where(until).select(F.col(key).alias("id")).join(more, "id", "left_semi").isEmpty():
+            break
+        jump, step = stored(jump.join(jump.select(F.col("id").alias("to"), F.col("to").alias("further")), "to").select("id", F.col("further").alias("to")), instead=jump), 2 * step
+    return rows.join(found.all().withColumnRenamed("id", key), key)
 
 
 def latest_complete_by_phase(rows: DataFrame, head: str) -> DataFrame:
@@ -120,7 +124,7 @@ def latest_complete_by_phase(rows: DataFrame, head: str) -> DataFrame:
 def last_complete(rows: DataFrame, before: str | None) -> DataFrame:
     """The first complete checkpoint on the chain behind before; without before, or where that has none, the newest complete one."""
     if before is not None:
-        found = chain(rows, before).where("status = 'complete' and depth > 0").orderBy("depth").limit(1).drop("depth")
+        found = chain(rows, before, until="status = 'complete'").where("status = 'complete' and depth > 0").orderBy("depth").limit(1).drop("depth")
         if not found.isEmpty():
             return found
     return rows.where("status = 'complete'").orderBy(F.desc("ordinal")).limit(1)
