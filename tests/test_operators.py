@@ -117,6 +117,12 @@ def test_long_paths(spark):
     assert sorted(map(tuple, G.acyclic_layers(spark.range(41), edges).collect())) == [(k, k) for k in range(41)]
 
 
+def test_closure_beyond_the_guard(spark):
+    """The closure has no depth at which it stops; the query's SQL has one of 64."""
+    edges = spark.range(70).selectExpr("id AS caller", "id + 1 AS callee")
+    assert G.impact_closure(edges, spark.createDataFrame([(0,)], "id long")).count() == 71
+
+
 def test_closure(spark):
     edges = spark.createDataFrame([("p", "q"), ("r", "q"), ("s", "t")], "caller string, callee string")
     got = {r["id"]: r["reason"] for r in G.impact_closure(edges, spark.createDataFrame([("p",)], "id string")).collect()}
