@@ -443,6 +443,25 @@ def test_common_seeds(spark, monkeypatch):
     assert sizes["pairs"].count() < 430 + 400  # those of the item without another seed, and few of the others
 
 
+def test_common_passage(spark, monkeypatch):
+    """A passage of more than COMMON documents makes half of an item whose other half has many rarer seeds: all of them hold the item,
+    also by several passes, and beside items that are joined by seeds."""
+    r = random.Random(19)
+    words = [f"w{i}" for i in range(2000)]
+    passage, tail = r.sample(words, 30), r.sample(words, 28)
+    items = [(1, " ".join(passage + tail)), (2, " ".join(passage[:20])), (3, " ".join(own := r.choices(words, k=30)))]
+    docs = [(k, " ".join([*r.choices(words, k=20), *passage, *r.choices(words, k=20)])) for k in range(20)] + [(20, items[0][1]), (21, " ".join(own[3:])), (22, " ".join(tail[:9]))]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    whole = key(decontaminate.leaks(df, bench).collect())
+    assert {(x[0], x[1]) for x in whole} == {(k, i) for k in range(21) for i in (1, 2)} | {(21, 3)}
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 0)
+    monkeypatch.setattr(decontaminate, "COMMON", 5)
+    for size in (1 << 20, 200):
+        monkeypatch.setattr(decontaminate, "PASS_BYTES", size)
+        assert key(decontaminate.leaks(df, bench).collect()) == whole
+        assert {x["doc_id"] for x in decontaminate.without_leaks(df, bench).collect()} == {22}
+
+
 def test_windows_lose_nothing(monkeypatch):
     """With common seeds everywhere, cut and skipped windows give the items and scores of whole texts that hold a seed."""
     r = random.Random(13)

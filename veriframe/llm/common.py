@@ -6,12 +6,13 @@ import contextlib
 import ctypes
 import re
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that a Python worker handles at once; one longer text is a block of its own.
 BLOCK_BYTES = 4 << 20
@@ -113,13 +114,18 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     """df written as Parquet to the shared folder and read again: later reads need no executor to have survived.
 
     The folder is deleted when the session's JVM ends, if the file system allows it."""
-    spark = df.sparkSession
+    return appended([df], df.sparkSession, df.schema, name)
+
+
+def appended(parts: Iterable[DataFrame], spark: SparkSession, schema: StructType | str, name: str = "step") -> DataFrame:
+    """The rows of all parts, written one part after the other into one table as by written()."""
     path = f"{shared_folder(spark)}/{name}"
-    df.write.parquet(path)
+    for df in parts:
+        df.write.mode("append").parquet(path)
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def dropped(df: DataFrame) -> None:

@@ -11,10 +11,10 @@ MATCH, others -LOSS, and no alignment is worth more than the best stretch of tha
 it span more than SPAN words a word of the item, so long windows are cut into overlapping ones that hold each such span.
 
 The join goes by the benchmark's size, which is measured: items of BLOCK_BYTES of text together at most are broadcast, with
-seeds and words, to one pass over the documents. A larger benchmark is joined by shuffled seeds, also in one pass over them. There the
-documents' seeds are counted first, and each item is looked up by its rarest ones that occur at all: ALWAYS of them whatever their count, and
-up to RARE_SEEDS of no more than COMMON documents. A seed of most documents then costs rows only for items that have few rarer ones. A
-copy is missed only if it holds none of these; the tests compare the two ways.
+seeds and words, to one pass over the documents. A larger benchmark goes two ways, both with all seeds, so nothing is lost. The documents'
+seeds are counted; items whose seeds all lie in COMMON documents at most are joined by shuffled seeds, in at most COMMON rows a seed
+of an item. An item with a more common seed would be paired with most documents; such items are broadcast, about PASS_BYTES of text at
+a time, each time to one pass over the documents, as a small benchmark is. So their passes grow with their bytes, and memory doesn't.
 
 Defined results: null and empty texts and items match nothing, as do items of fewer words than a seed unless the document
 holds just these words in a row; repeated rows each give their rows; null ids stay null; other columns are not read.
@@ -28,18 +28,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, bounded, dropped, flat, free_name, maybe_in, narrowed, per_block, ragged, strings, written
+from .common import appended, blocks, bounded, dropped, flat, free_name, maybe_in, narrowed, per_block, ragged, strings, written
 
 SEED_WORDS = 3
 MARGIN = 8
 MATCH, LOSS = 2, 1
 LEAST_SCORE = 0.5
 BLOCK_BYTES = 4 << 20
-#: Seeds by which an item is looked up in the shuffled join, those of fewest documents; those in more than COMMON only if among the first ALWAYS.
-RARE_SEEDS, ALWAYS, COMMON = 24, 4, 10_000
+#: Items with a seed of more than COMMON documents aren't joined by seeds but broadcast, about PASS_BYTES of text in each pass.
+COMMON, PASS_BYTES = 10_000, 4 << 20
 #: Rows of one seed that a task should get; the busiest seed's count by this gives the number of salts, MOST_SALTS at most.
 SALT_ROWS, MOST_SALTS = 100_000, 256
 #: Cells of alignment tables that are held at once.
@@ -293,9 +294,9 @@ def _seeds(rows: DataFrame) -> DataFrame:
 
 
 def _joined_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Leaks by joins, whatever the benchmark's size: one pass over the documents gives those seeds (as hashes) that pass a filter of the
-    items' seeds, a salted join by the items' rarest ones gives pairs of document and item, and these are joined with both
-    texts and aligned."""
+    """Leaks whatever the benchmark's size: one pass over the documents gives those seeds (as hashes) that pass a filter of the items'
+    seeds, a salted join by all seeds of items without a common one gives pairs of document and item, and these are joined with both
+    texts and aligned. Items with a common seed are broadcast in passes."""
     own = F.xxhash64("id", F.xxhash64("text")).alias("rk")
     items = written(items.select(F.col("item_id").alias("id"), "text").select(own, F.col("id").alias("item_id"), "text"), "items")
     seeds = _seeds(items.select("rk", "text").dropDuplicates(["rk"])).where(F.col("size") == F.least(F.col("words"), F.lit(SEED_WORDS)))
@@ -303,8 +304,9 @@ def _joined_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").alias("id"), "text").select(own, F.col("id").alias("doc_id"), "text")
     hits = written(maybe_in(_seeds(docs), "seed", seeds).select("rk", "seed"), "hits")
     counts = hits.groupBy("seed").agg(F.count(F.lit(1)).alias("n"))
-    nth = F.row_number().over(Window.partitionBy("item").orderBy("n", "seed"))  # an item's seeds are as many as its words at most
-    rare = written(seeds.join(counts, "seed").withColumn("nth", nth).where((F.col("nth") <= RARE_SEEDS) & ((F.col("nth") <= ALWAYS) | (F.col("n") <= COMMON))).select("seed", "item", "n"), "rare")
+    known = seeds.join(counts, "seed")
+    usual = written(known.where(F.col("n") > COMMON).select(F.col("item").alias("rk")).distinct(), "usual")
+    rare = written(known.join(usual.withColumnRenamed("rk", "item"), "item", "left_anti"), "rare")
     salts = max(1, min(MOST_SALTS, -(-(rare.agg(F.max("n")).first()[0] or 0) // SALT_ROWS)))
     salted = rare.select("seed", "item", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     found = hits.withColumn("salt", F.pmod(F.xxhash64("rk"), F.lit(salts)).cast("int")).join(salted, ["seed", "salt"]).select("rk", "item").distinct()
@@ -324,22 +326,43 @@ def _joined_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                     text, _, score, start, end = found_in(item, part.column(4))
                     yield pa.RecordBatch.from_arrays([part.column(3).take(pa.array(text)), part.column(1).take(pa.array(text)), *map(pa.array, (score, start, end))], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return both.sortWithinPartitions("item").mapInArrow(run, SCHEMA)
+    found = both.sortWithinPartitions("item").mapInArrow(run, SCHEMA)
+    return found if usual.isEmpty() else found.unionByName(_passes(docs.select("doc_id", "text"), items.join(usual, "rk", "left_semi")))
 
 
-def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row for each row of df and item that it holds: ids, score, where the best alignment's window starts and it ends (words)."""
-    docs, items = narrowed(df, id_col, text_col), _items(benchmark, item_col, item_text_col)
-    if (own := _small(items)) is None:
-        return _joined_leaks(docs, items)
-    shared = df.sparkSession.sparkContext.broadcast(own)
+def _passes(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Leaks of items (rk, item_id, text) by a pass over docs for each PASS_BYTES or so of them; the driver holds those of one pass."""
+    size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0]
+    passes = -(-size // PASS_BYTES)
+    items = written(items.select("item_id", "text", F.pmod(F.xxhash64("rk", F.lit(1)), F.lit(passes)).cast("int").alias("pass")), "passes")
+
+    def parts() -> Iterator[DataFrame]:
+        for k in range(passes):
+            found, shared = _against(docs, _collected(items.where(F.col("pass") == k)))
+            yield found
+            shared.destroy()
+
+    return appended(parts(), docs.sparkSession, SCHEMA, "leaks")
+
+
+def _against(docs: DataFrame, own: Items) -> tuple[DataFrame, Broadcast]:
+    """Leaks of docs by a pass with all items in every task, and the broadcast that the pass reads."""
+    shared = docs.sparkSession.sparkContext.broadcast(own)
 
     def block(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
         text, item, score, start, end = found_in(shared.value, rows.column(1))
         ids = pa.array(shared.value.ids, pa.int64()).take(pa.array(item))
         return pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(text)), ids, *map(pa.array, (score, start, end))], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return per_block(docs, block, SCHEMA)
+    return per_block(docs, block, SCHEMA), shared
+
+
+def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """One row for each row of df and item that it holds: ids, score, where the best alignment's window starts and it ends (words)."""
+    docs, items = narrowed(df, id_col, text_col), _items(benchmark, item_col, item_text_col)
+    if (own := _small(items)) is None:
+        return _joined_leaks(docs, items)
+    return _against(docs, own)[0]
 
 
 def _small(items: DataFrame) -> Items | None:
@@ -347,6 +370,10 @@ def _small(items: DataFrame) -> Items | None:
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0)).alias("n")).first()["n"]
     if size > BLOCK_BYTES:
         return None
+    return _collected(items)
+
+
+def _collected(items: DataFrame) -> Items:
     rows = items.orderBy("item_id", "text").collect()
     return Items([r["item_id"] for r in rows], [r["text"] for r in rows])
 
