@@ -210,6 +210,13 @@ def test_near_copies_stage(spark):
     assert kept == {d for d, _, c in want if d == c} and kept & set(range(1000, 1004)) == {1000, 1003}
 
 
+def test_keys_told_apart(spark):
+    """Of keys with the same members one is searched, whatever their components; no set of members goes."""
+    rows = [(k, c) for k, own in {1: "ab", 2: "ab", 3: "abc", 4: "bc", 5: "ab", 6: "bc"}.items() for c in own]
+    members = spark.createDataFrame([(k, ord(c), ord(c)) for k, c in rows], "key long, cls long, comp long").repartition(3)
+    assert sorted(map(tuple, jaccard._told_apart(members).select("key", "cls").collect())) == sorted((k, ord(c)) for k, c in rows if k in (1, 3, 4))
+
+
 def test_one_of_each_row(spark):
     """Null and repeated ids: each component keeps one row, and rows of other components under the same id stay."""
     r = random.Random(15)

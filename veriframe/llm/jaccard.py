@@ -371,6 +371,14 @@ def _mixed(rows: DataFrame, of: str) -> DataFrame:
     return rows.groupBy("key").agg(F.min(of).alias("lo"), F.max(of).alias("hi")).where("lo <> hi").select("key")
 
 
+def _told_apart(members: DataFrame) -> DataFrame:
+    """members (key, cls, comp) of one key of each set of members: keys with the same ones find the same pairs, and texts that share a
+    passage have many such keys. Sets of members are told apart by their number and two 64-bit hashes."""
+    one, two = F.xxhash64("cls"), F.xxhash64("cls", F.lit(1))
+    sets = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(one).alias("x"), F.bit_xor(two).alias("y"))
+    return members.join(sets.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "key")
+
+
 def _few(shared: DataFrame, turn: int) -> DataFrame:
     """Two entries of each class, others each turn: they find most links."""
     by = F.xxhash64("key", F.lit(turn))
@@ -398,9 +406,11 @@ def _labelled(docs: DataFrame, percent: int, width: int) -> DataFrame:
         members = (shared if most is None else _few(shared, turn)).join(labels, "cls")
         if turn:  # components only grow: entries of one component are done
             members = written(members.join(_mixed(members, "comp"), "key"), "mixed")
+        if most is None:
+            members = written(_told_apart(members), "apart")
         pairs = _searched(members, points_of, most, measure)
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        if tested is not None:  # of the pairs once, not of each key that found one: Spark moves the join in front of distinct()
+            pairs = written(pairs, "found").join(tested.select("a", "b"), ["a", "b"], "left_anti")
         checked = written(_verified(written(pairs, "pairs"), sets, measure), "checked")
         tested = checked if tested is None else tested.unionByName(checked)
         if not checked.where("links").isEmpty():
